@@ -61,8 +61,17 @@ DATE_FORMATS = [
 
 
 def rnd(c: Column, places: int) -> Column:
-    """Round half-up (same as DuckDB ``round``) and drop the sign of zero."""
-    return F.round(c, places) + F.lit(0.0)
+    """Round half away from zero on the binary value scaled in double arithmetic.
+
+    Spark's ``round`` rounds the shortest decimal text of a double (0.00015 -> 0.0002)
+    while pandas/numpy round the binary value (0.0001). This spelled-out rule is
+    the same IEEE arithmetic in any engine; ``+ 0.0`` drops the sign of zero.
+    """
+    scale = float(10 ** places)
+    t = F.abs(c.cast("double")) * F.lit(scale)
+    whole = t - t % F.lit(1.0)
+    r = whole + F.when(t - whole >= F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.signum(c) * r / F.lit(scale) + F.lit(0.0)
 
 
 def nan_to_null(c: Column) -> Column:

@@ -359,9 +359,11 @@ class TableProfile:
         means = {c: (mom[c]["mean"] if c in mom else None) for c in [s.name for s in nums]}
         nullable = {c for c, k in self.patterns["null"].items() if k > 0}
         r = spine.run_batched(self.base, spine.correlation_exprs(self.specs, means, nullable))
-        live = [s for s in nums if means.get(s.name) is not None]
+        live = nums
 
         def pair(a: str, b: str):
+            if means.get(a) is None or means.get(b) is None:
+                return None
             if a == b:
                 n, sx, sy, sxx, syy, sxy = (r[f"n:{a}"], r[f"s:{a}"], r[f"s:{a}"], r[f"ss:{a}"], r[f"ss:{a}"], r[f"ss:{a}"])
             else:
