@@ -23,7 +23,7 @@ ALLOWED_NODES = {
     "Distinct", "Deduplicate", "Union", "Intersect", "Except", "Join", "LateralJoin", "SubqueryAlias",
     "UnresolvedRelation", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "UnresolvedWith",
     "WithCTE", "CTERelationDef", "CTERelationRef", "UnresolvedHint", "Sample", "Generate", "Pivot",
-    "Unpivot", "Window", "RepartitionByExpression", "Repartition", "UnresolvedSubqueryColumnAliases",
+    "Unpivot", "Window", "UnresolvedHaving", "RepartitionByExpression", "Repartition", "UnresolvedSubqueryColumnAliases",
     "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "Expand", "CreateViewCommand", "Range",
     "UnresolvedFunctionName", "NamedParametersSupport", "PlanWithUnresolvedIdentifier",
 }

@@ -436,3 +436,269 @@ def q_columns_with_outliers(spark, sf_dir):
     from tabscope.operators.charts import columns_with_outliers
 
     return columns_with_outliers(_t(spark, sf_dir, "li_outliers"))
+
+
+# ------------------------------------------------------------ guarded SQL surface
+def _sql_check(name: str, spark_sql: str, duck_sql: str | None = None, oracle: bool = True,
+               current: str | None = None) -> None:
+    def q(spark, sf_dir):
+        from tabscope.operators.sql import guarded_sql
+        from tabscope.sources.catalog import load_catalog
+
+        return guarded_sql(load_catalog(spark, sf_dir), spark_sql, current_table=current)
+
+    check(name, (duck_sql or spark_sql) if oracle else None)(q)
+
+
+_sql_check("sql_filter_project", """SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS gross,
+  CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END AS band
+FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity BETWEEN 10 AND 20 AND l_linestatus LIKE 'F%'""")
+_sql_check("sql_join_inner", """SELECT o.o_orderkey, c.c_name, o.o_totalprice
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000""")
+_sql_check("sql_join_left", """SELECT c.c_custkey, count(o.o_orderkey) AS orders
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+_sql_check("sql_join_full", """SELECT s.s_suppkey, n.n_name
+FROM supplier s FULL OUTER JOIN nation n ON s.s_nationkey = n.n_nationkey""")
+_sql_check("sql_join_using", """SELECT doc_id, quality, toxic, lang FROM labels JOIN documents USING (doc_id)""")
+_sql_check("sql_semi_join", """SELECT c_custkey, c_name FROM customer
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
+_sql_check("sql_anti_join", """SELECT s_suppkey, s_name FROM supplier
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50)""")
+_sql_check("sql_range_join", """SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c
+ON s.s_nationkey = c.c_nationkey AND c.c_acctbal BETWEEN s.s_acctbal - 100 AND s.s_acctbal + 100""")
+_sql_check("sql_interval_join", """SELECT a.event_id, b.event_id AS next_event_id FROM events a JOIN events b
+ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '10' MINUTE""")
+_sql_check("sql_group_agg", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+  round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc,
+  min(l_shipdate) AS first_ship, max(l_tax) AS max_tax, count(*) AS count_order
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+_sql_check("sql_distinct_agg", """SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(*) AS orders
+FROM orders GROUP BY o_orderstatus HAVING count(*) > 10""")
+_sql_check("sql_cube", """SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS g_flag,
+  CAST(grouping(l_linestatus) AS INT) AS g_status, count(*) AS n
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+_sql_check("sql_rollup", """SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS g_flag,
+  CAST(grouping(l_linestatus) AS INT) AS g_status, count(*) AS n
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+_sql_check("sql_grouping_sets", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""")
+_sql_check("sql_approx", """SELECT o_orderstatus, approx_count_distinct(o_custkey) AS approx_customers,
+  percentile_approx(o_totalprice, 0.5) AS approx_median FROM orders GROUP BY o_orderstatus""", oracle=False)
+_sql_check("sql_window_rank", """SELECT o_custkey, o_orderkey,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rn,
+  CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INT) AS rk,
+  lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_price
+FROM orders""")
+_sql_check("sql_window_frame", """SELECT event_id, user_id,
+  round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving_sum,
+  count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_n
+FROM events""")
+_sql_check("sql_top_k", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
+_sql_check("sql_set_ops", """SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) a
+UNION ALL SELECT 'customer_only', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) b
+UNION ALL SELECT 'any', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) c""")
+_sql_check("sql_cte_subquery", """WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_name, round(total, 2) AS total FROM customer JOIN spend ON c_custkey = o_custkey
+WHERE total > (SELECT avg(total) FROM spend)""")
+_sql_check("sql_string_funcs", """SELECT n_nationkey, upper(n_name) AS up, lower(n_name) AS low, substring(n_name, 1, 3) AS pre,
+  CAST(length(n_name) AS INT) AS len, concat_ws('-', n_name, CAST(n_regionkey AS STRING)) AS tagged,
+  replace(n_name, 'A', 'a') AS repl, regexp_extract(n_name, '([A-Z]+)', 1) AS caps, trim(n_name) AS trimmed
+FROM nation""")
+_sql_check("sql_date_funcs", """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m,
+  dayofweek(o_orderdate) AS dow, datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01') AS days
+FROM orders""", """SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m,
+  CAST(dayofweek(o_orderdate) + 1 AS INT) AS dow,
+  CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days
+FROM orders""")
+_sql_check("sql_math_funcs", """SELECT p_partkey, round(ln(p_retailprice), 6) AS ln_price, power(p_size, 2) AS size_sq,
+  abs(p_retailprice - 1500) AS dist, CAST(floor(p_retailprice / 100) AS BIGINT) AS bucket, p_size % 7 AS m,
+  round(sqrt(p_retailprice), 6) AS root
+FROM part""")
+_sql_check("sql_array_funcs", """SELECT vec_id, label, size(embedding) AS dim, CAST(array_max(embedding) AS DOUBLE) AS mx,
+  round(aggregate(embedding, CAST(0 AS DOUBLE), (acc, x) -> acc + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), 6) AS sq_norm
+FROM embeddings""", """SELECT vec_id, label, CAST(len(embedding) AS INT) AS dim, CAST(list_max(embedding) AS DOUBLE) AS mx,
+  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS sq_norm
+FROM embeddings""")
+_sql_check("sql_json_funcs", """SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events""",
+           """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
+_sql_check("sql_values", """SELECT v.code, v.label, count(*) AS n
+FROM orders JOIN (VALUES ('F', 'finished'), ('O', 'open'), ('P', 'partial')) AS v(code, label) ON o_orderstatus = v.code
+GROUP BY v.code, v.label""")
+_sql_check("sql_temp_view", """CREATE TEMPORARY VIEW big_orders AS SELECT * FROM orders WHERE o_totalprice > 300000;
+SELECT o_orderstatus, count(*) AS n FROM big_orders GROUP BY o_orderstatus""",
+           """SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY o_orderstatus""")
+_sql_check("sql_current_alias", """SELECT o_orderpriority, count(*) AS n FROM df GROUP BY o_orderpriority""",
+           """SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority""", current="orders")
+
+
+# --------------------------------------------------------------- joins and keys
+@check("asof_join", """SELECT l.event_id, l.user_id, l.ts, l.value, r.event_id AS p_event_id, r.value AS p_value,
+  r.ts AS p_ts, r.event_type AS p_event_type, r.props AS p_props
+FROM (SELECT * FROM events WHERE event_type = 'click') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r
+ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def q_asof_join(spark, sf_dir):
+    from tabscope.operators.asof import asof_join
+
+    ev = _t(spark, sf_dir, "events")
+    clicks = ev.where(F.col("event_type") == "click").select("event_id", "user_id", "ts", "value")
+    buys = ev.where(F.col("event_type") == "purchase")
+    return asof_join(clicks, buys, "user_id", "ts", right_prefix="p_")
+
+
+@check("check_primary_key", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(o_orderkey) AS BIGINT) AS null_keys,
+  CAST((SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS duplicate_keys,
+  CAST(coalesce((SELECT sum(c) FROM (SELECT count(*) AS c FROM orders WHERE o_orderkey IS NOT NULL GROUP BY o_orderkey HAVING count(*) > 1)), 0) AS BIGINT) AS duplicate_rows,
+  (count(*) = count(o_orderkey)) AND NOT EXISTS (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1) AS is_primary_key
+FROM orders""")
+def q_check_primary_key(spark, sf_dir):
+    from tabscope.operators.keys import check_primary_key
+
+    return check_primary_key(_t(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@check("check_primary_key_composite", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_keys,
+  CAST((SELECT count(*) FROM (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)) AS BIGINT) AS duplicate_keys,
+  CAST(coalesce((SELECT sum(c) FROM (SELECT count(*) AS c FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1)), 0) AS BIGINT) AS duplicate_rows,
+  NOT EXISTS (SELECT 1 FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1) AS is_primary_key
+FROM conversations""")
+def q_check_primary_key_composite(spark, sf_dir):
+    from tabscope.operators.keys import check_primary_key
+
+    return check_primary_key(_t(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+@check("check_foreign_key", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(doc_id) AS BIGINT) AS null_keys,
+  CAST(count(*) FILTER (WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)) AS BIGINT) AS orphan_rows,
+  CAST(count(DISTINCT doc_id) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)) AS BIGINT) AS orphan_keys
+FROM labels""")
+def q_check_foreign_key(spark, sf_dir):
+    from tabscope.operators.keys import check_foreign_key
+
+    return check_foreign_key(_t(spark, sf_dir, "labels"), "doc_id", _t(spark, sf_dir, "documents"), "doc_id")
+
+
+@check("check_foreign_key_lineitem", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_keys,
+  CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS BIGINT) AS orphan_rows,
+  CAST(count(DISTINCT l_orderkey) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS BIGINT) AS orphan_keys
+FROM lineitem""")
+def q_check_foreign_key_lineitem(spark, sf_dir):
+    from tabscope.operators.keys import check_foreign_key
+
+    return check_foreign_key(_t(spark, sf_dir, "lineitem"), "l_orderkey", _t(spark, sf_dir, "orders"), "o_orderkey")
+
+
+# ----------------------------------------------------------------- normality
+@check("normality_jb", f"""SELECT "column", CAST(n AS BIGINT) AS n, {O.r('jb', 4)} AS jarque_bera, {O.r('exp(-jb / 2)', 6)} AS p_value,
+  exp(-jb / 2) > 0.05 AS is_normal
+FROM (SELECT "column", n, n / 6.0 * (power(s, 2) + power(k, 2) / 4.0) AS jb FROM (
+  {' UNION ALL '.join(
+      f"SELECT '{c}' AS \"column\", count(x) AS n, avg(power(x - mu, 3)) / power(avg(power(x - mu, 2)), 1.5) AS s, "
+      f"avg(power(x - mu, 4)) / power(avg(power(x - mu, 2)), 2) - 3 AS k FROM (SELECT CAST({c} AS DOUBLE) AS x, "
+      f"avg(CAST({c} AS DOUBLE)) OVER () AS mu FROM {O.src('li_nulls')}) z WHERE x IS NOT NULL"
+      for c, cls, _ in O.SCHEMAS['li_nulls'] if cls == 'numeric')}) m) j""")
+def q_normality_jb(spark, sf_dir):
+    from tabscope.operators.normality import normality_jb
+
+    return normality_jb(_t(spark, sf_dir, "li_nulls"))
+
+
+@check("normality_shapiro")
+def q_normality_shapiro(spark, sf_dir):
+    from tabscope.operators.normality import normality_shapiro
+
+    return normality_shapiro(_t(spark, sf_dir, "li_nulls"))
+
+
+# --------------------------------------------------------------------- logs
+@check("chat_summaries", r"""SELECT conv_id,
+  CASE WHEN t <> '' THEN t END AS title, CAST(messages_count AS BIGINT) AS messages_count,
+  CAST(turns AS BIGINT) AS turns, last_turn
+FROM (SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS messages_count, count(*) AS turns,
+        max(turn) AS last_turn,
+        substring(split_part(regexp_replace(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user'),
+          '^[\s\x85\xa0]+', ''), '[\s\x85\xa0]+$', ''), chr(10), 1), 1, 40) AS t
+      FROM conversations GROUP BY conv_id) x""")
+def q_chat_summaries(spark, sf_dir):
+    from tabscope.operators.logs import chat_summaries
+
+    return chat_summaries(_t(spark, sf_dir, "conversations"))
+
+
+@check("chat_transcript", r"""SELECT conv_id, turn, role, text FROM conversations
+WHERE role IN ('user', 'assistant') AND text IS NOT NULL
+  AND regexp_replace(text, '[\s\x85\xa0]+', '', 'g') <> ''""")
+def q_chat_transcript(spark, sf_dir):
+    from tabscope.operators.logs import chat_transcript
+
+    return chat_transcript(_t(spark, sf_dir, "conversations"))
+
+
+# ------------------------------------------------------------ sinks and sources
+@check("json_safe", """SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value, user_id, event_type, props FROM events""")
+def q_json_safe(spark, sf_dir):
+    from tabscope.sources.sinks import json_safe
+
+    ev = _t(spark, sf_dir, "events")
+    ev = ev.withColumn("value", F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return json_safe(ev)
+
+
+@check("catalog_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows, "
+    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS columns FROM {t}"
+    for t in ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+              "nation", "orders", "pages", "part", "region", "supplier"]))
+def q_catalog_tables(spark, sf_dir):
+    from tabscope.sources.catalog import catalog_tables, load_catalog
+
+    return catalog_tables(load_catalog(spark, sf_dir))
+
+
+@check("catalog_columns", """SELECT table_name AS "table", column_name AS "column", CAST(ordinal_position - 1 AS INTEGER) AS ordinal
+FROM information_schema.columns WHERE table_name IN ('benchmark', 'conversations', 'customer', 'documents', 'embeddings',
+  'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier')""")
+def q_catalog_columns(spark, sf_dir):
+    from tabscope.sources.catalog import catalog_columns, load_catalog
+
+    return catalog_columns(load_catalog(spark, sf_dir)).select("table", "column", "ordinal")
+
+
+@check("describe_tables")
+def q_describe_tables(spark, sf_dir):
+    from tabscope.sources.catalog import describe_tables, load_catalog
+
+    return describe_tables(load_catalog(spark, sf_dir))
+
+
+@check("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+def q_sample_rows(spark, sf_dir):
+    from tabscope.sources.catalog import load_catalog, sample_rows
+
+    return sample_rows(load_catalog(spark, sf_dir), "orders", 5)
+
+
+@check("source_metadata")
+def q_source_metadata(spark, sf_dir):
+    from tabscope.sources.readers import source_metadata
+
+    return source_metadata(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).drop("uploaded_at")
+
+
+@check("profile_diff")
+def q_profile_diff(spark, sf_dir):
+    from tabscope.operators.diff import profile_diff
+
+    return profile_diff(_profile(spark, sf_dir, "lineitem").columns, _profile(spark, sf_dir, "li_nulls").columns)
+
+
+@check("dynamics_stream", """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS events,
+  round(sum(value), 6) AS value_sum, max(value) AS value_max FROM events GROUP BY 1""")
+def q_dynamics_stream(spark, sf_dir):
+    from tabscope.streaming.dynamics import run_dynamics_stream
+
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = run_dynamics_stream(spark, sf_dir, ev.schema, "ts", "value", glob="events.parquet")
+    return out.select("day", "events", F.round("value_sum", 6).alias("value_sum"), "value_max")
