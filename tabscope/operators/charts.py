@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscope.functions.local import local_frame
+
 from tabscope.functions.expressions import (
     STAT_PLACES,
     rnd,
@@ -162,7 +164,7 @@ def column_missing(df: DataFrame, profile: TableProfile | None = None) -> DataFr
     p = profile or TableProfile(df)
     n = p.n_rows
     rows = [(s.name, s.ordinal, p.patterns["null"][s.name]) for s in p.specs]
-    d = p.spark.createDataFrame(rows, "column string, ordinal int, missing_count long")
+    d = local_frame(p.spark, rows, "column string, ordinal int, missing_count long")
     from tabscope.functions.expressions import PCT_PLACES, rnd, safe_ratio
 
     return d.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.functions.local import local_frame
+
 
 def check_primary_key(df: DataFrame, key: list[str] | str) -> DataFrame:
     """One row: ``rows, null_keys, duplicate_keys, duplicate_rows, is_primary_key``.
@@ -27,7 +29,7 @@ def check_primary_key(df: DataFrame, key: list[str] | str) -> DataFrame:
     d = dup.collect()[0]
     row = (r["rows"], r["null_keys"], d["duplicate_keys"], int(d["duplicate_rows"]),
            r["null_keys"] == 0 and d["duplicate_keys"] == 0)
-    return df.sparkSession.createDataFrame(
+    return local_frame(df.sparkSession, 
         [row], "rows long, null_keys long, duplicate_keys long, duplicate_rows long, is_primary_key boolean"
     )
 
@@ -47,7 +49,7 @@ def check_foreign_key(child: DataFrame, child_key: list[str] | str, parent: Data
     orphans = c.where(complete).join(p, keys, "left_anti")
     o = orphans.agg(F.count(F.lit(1)).alias("orphan_rows"), F.count_distinct(*keys).alias("orphan_keys")).collect()[0]
     t = c.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~complete, F.lit(1))).alias("null_keys")).collect()[0]
-    return child.sparkSession.createDataFrame(
+    return local_frame(child.sparkSession, 
         [(t["rows"], t["null_keys"], o["orphan_rows"], o["orphan_keys"])],
         "rows long, null_keys long, orphan_rows long, orphan_keys long",
     )

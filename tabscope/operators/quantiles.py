@@ -25,10 +25,14 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabscope.functions.local import local_frame
+
 from tabscope.session import ensure_checkpoint_dir
 
 # Largest small-side row count this module hands to a broadcast join.
 BROADCAST_MAX_ROWS = 200_000
+# Largest distinct-value count per group for Spark's exact ``percentile``.
+EXACT_MAP_MAX = 2_000_000
 
 
 def scratch_path(spark, tag: str) -> str:
@@ -45,6 +49,7 @@ def exact_quantiles(
     weight: str | None = None,
     unique: bool = False,
     partitions: int | None = None,
+    force_distributed: bool = False,
 ) -> DataFrame:
     """Return ``keys + names`` with one row per group that has a non-null value.
 
@@ -59,6 +64,12 @@ def exact_quantiles(
     )
     if not unique:
         d = d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    # Size check: when no group holds more than EXACT_MAP_MAX distinct values,
+    # Spark's exact ``percentile`` (a value map per group) is bounded and cheaper.
+    widest = None if force_distributed else d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).collect()[0][0]
+    if not force_distributed and (widest is None or widest <= EXACT_MAP_MAX):
+        q = d.groupBy(*keys).agg(F.percentile("_v", probs, F.col("_w")).alias("_q"))
+        return q.select(*keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "quantiles")
     d.repartitionByRange(p, *keys, "_v").withColumn("_pid", F.spark_partition_id()).write.parquet(path)
@@ -89,7 +100,7 @@ def exact_quantiles(
     # it goes to the executors as a broadcast; beyond it, a shuffled join.
     sample = hits.limit(BROADCAST_MAX_ROWS + 1).collect()
     if len(sample) <= BROADCAST_MAX_ROWS:
-        hits_df = F.broadcast(spark.createDataFrame(sample, hits.schema))
+        hits_df = F.broadcast(local_frame(spark, sample, hits.schema))
         pids = sorted({r["_pid"] for r in sample})
         ranged = ranged.where(F.col("_pid").isin(pids))
     else:

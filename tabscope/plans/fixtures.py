@@ -56,12 +56,27 @@ DERIVED = {
 }
 
 
+_FRAMES: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views for the generated tables and the derived inputs above."""
-    for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            spark.read.parquet(p).createOrReplaceTempView(t)
+    """Temp views for the generated tables and the derived inputs above.
+
+    Resolved DataFrames are kept per (session, folder): resolving a Parquet
+    schema runs a small job, and views are re-pointed at every call because
+    another folder may have been registered in between.
+    """
+    key = (id(spark), os.path.abspath(sf_dir))
+    frames = _FRAMES.get(key)
+    if frames is None:
+        frames = {}
+        for t in TABLES:
+            p = os.path.join(sf_dir, f"{t}.parquet")
+            if os.path.exists(p):
+                frames[t] = spark.read.parquet(p)
+        _FRAMES[key] = frames
+    for t, df in frames.items():
+        df.createOrReplaceTempView(t)
     for name, sql in DERIVED.items():
         spark.sql(sql).createOrReplaceTempView(name)
 

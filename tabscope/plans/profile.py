@@ -15,6 +15,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabscope.functions.local import local_frame
+
 from tabscope.functions.expressions import (
     CORR_LIST_THRESHOLD,
     CORR_PLACES,
@@ -35,11 +37,13 @@ from tabscope.functions.expressions import (
     safe_ratio,
     status_band,
 )
-from tabscope.operators.quantiles import exact_quantiles
+from tabscope.operators.quantiles import EXACT_MAP_MAX, exact_quantiles
 from tabscope.plans import spine
 from tabscope.session import reuse
 
 
+
+
 class TableProfile:
     def __init__(self, df: DataFrame, columns: list[str] | None = None, approx: bool = False):
         self.raw = df
@@ -76,112 +80,125 @@ class TableProfile:
         self._persisted.clear()
 
     # ------------------------------------------------------- per-column facts
-    def _local(self, rows, schema) -> DataFrame:
-        """Small collected facts back as a DataFrame (a local relation: no job)."""
-        return self.spark.createDataFrame(rows, schema)
+    @cached_property
+    def _facts(self) -> list[dict]:
+        """Every per-column fact, collected once (one row per column: bounded by the
+        schema, not the data). Three jobs: F's per-column aggregate, the quantile
+        selection, and one pass over F's numeric part for central moments and
+        outlier counts."""
+        n = self.n_rows
+        got = {r["column"]: r.asDict() for r in spine.column_stats(self.freq, self.specs, n).collect()}
+        facts = []
+        for s in self.specs:
+            r = got.get(s.name, {})
+            facts.append({
+                "column": s.name, "ordinal": s.ordinal, "storage_type": s.type_name, "cls": s.cls,
+                "integral": s.integral, "n_rows": n, "missing_count": int(r.get("missing_count") or 0),
+                "unique_count": int(r.get("unique_count") or 0), "entropy_raw": r.get("entropy_raw"),
+                "duplicate_count": int(r.get("duplicate_count") or 0), "vmin": r.get("vmin"), "vmax": r.get("vmax"),
+                "n_num": int(r.get("n_num") or 0), "mean": r.get("mean"),
+                "date_fit_max": int(r.get("date_fit_max") or 0),
+                "q25": None, "median": None, "q75": None, "m2": None, "m3": None, "m4": None,
+                "below": None, "above": None,
+            })
+        by_name = {f["column"]: f for f in facts}
+        live = [f for f in facts if f["cls"] == "numeric" and f["n_num"] > 0]
+        if live:
+            for col, q25, med, q75 in self._quantile_rows(live):
+                by_name[col].update(q25=q25, median=med, q75=q75)
+            small = []
+            for f in live:
+                iqr = (f["q75"] - f["q25"]) if f["q75"] is not None and f["q25"] is not None else None
+                lo = f["q25"] - IQR_K * iqr if iqr is not None else None
+                hi = f["q75"] + IQR_K * iqr if iqr is not None else None
+                f["lower_bound"], f["upper_bound"] = lo, hi
+                small.append((f["column"], f["mean"], lo, hi))
+            fences = local_frame(self.spark, small, "column string, mean double, lower_bound double, upper_bound double")
+            # One row per numeric column: a bounded broadcast.
+            j = spine.numeric_frequencies(self.freq).join(F.broadcast(fences), "column")
+            d = F.col("dval") - F.col("mean")
+            w = F.col("cnt")
+            agg = j.groupBy("column").agg(
+                F.sum(w * d * d).alias("m2"), F.sum(w * d * d * d).alias("m3"), F.sum(w * d * d * d * d).alias("m4"),
+                F.sum(F.when(F.col("dval") < F.col("lower_bound"), w).otherwise(0)).alias("below"),
+                F.sum(F.when(F.col("dval") > F.col("upper_bound"), w).otherwise(0)).alias("above"),
+            )
+            for r in agg.collect():
+                by_name[r["column"]].update(m2=r["m2"], m3=r["m3"], m4=r["m4"], below=int(r["below"]), above=int(r["above"]))
+        return facts
+
+    def _quantile_rows(self, live: list[dict]) -> list[tuple]:
+        """(column, q25, median, q75) per numeric column.
+
+        Columns whose checked distinct count fits ``EXACT_MAP_MAX`` use Spark's
+        exact ``percentile`` with F's counts as frequencies (its value map per
+        column is bounded by that count); larger columns go through the
+        distributed range selection. ``approx=True`` uses a bounded sketch.
+        """
+        probs = [0.25, 0.5, 0.75]
+        num = spine.numeric_frequencies(self.freq)
+        out = []
+        if self.approx:
+            cols = [f["column"] for f in live]
+            long = self.base.select(*[spine.q(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+            q = long.where(F.col("v").isNotNull()).groupBy("column").agg(
+                F.percentile_approx("v", probs, 10000).alias("q"))
+            return [(r["column"], *r["q"]) for r in q.collect()]
+        small = [f["column"] for f in live if f["unique_count"] <= EXACT_MAP_MAX]
+        big = [f["column"] for f in live if f["unique_count"] > EXACT_MAP_MAX]
+        if small:
+            q = num.where(F.col("column").isin(small)).groupBy("column").agg(
+                F.percentile("dval", probs, F.col("cnt")).alias("q"))
+            out += [(r["column"], *r["q"]) for r in q.collect()]
+        if big:
+            q = exact_quantiles(num.where(F.col("column").isin(big)), ["column"], "dval", probs,
+                                ["q25", "median", "q75"], weight="cnt", unique=True, force_distributed=True)
+            out += [(r["column"], r["q25"], r["median"], r["q75"]) for r in q.collect()]
+        return out
 
     @cached_property
-    def _column_facts(self) -> DataFrame:
-        """One job over F: per-column nulls, distinct, entropy, duplicates, range,
-        date fits and the first moment. Collected (one row per column)."""
-        cs = spine.column_stats(self.freq, self.specs, self.n_rows)
-        return self._local(cs.collect(), cs.schema)
+    def facts(self) -> DataFrame:
+        """The collected facts as one local relation; every per-column view below is
+        a projection of it (evaluated on the driver, no job)."""
+        schema = ("column string, ordinal int, storage_type string, cls string, integral boolean, n_rows long, "
+                  "missing_count long, unique_count long, entropy_raw double, duplicate_count long, vmin double, "
+                  "vmax double, n_num long, mean double, date_fit_max long, q25 double, median double, q75 double, "
+                  "m2 double, m3 double, m4 double, below long, above long, lower_bound double, upper_bound double")
+        names = [x.split()[0] for x in schema.split(", ")]
+        rows = [tuple(f.get(k) for k in names) for f in self._facts]
+        return local_frame(self.spark, rows, schema)
 
     @cached_property
     def stats(self) -> DataFrame:
         """Column facts + semantic type (P1-P4, T7), one row per column."""
         n = self.n_rows
-        d = self.specs_df.join(self._column_facts, "column", "left")
-        nonnull = F.lit(n) - F.coalesce(F.col("missing_count"), F.lit(0))
-        ratio_nn = F.col("unique_count") / nonnull
-        typ = (
-            F.when(nonnull <= 0, "empty")
-            .when(
-                F.col("cls") == "numeric",
-                F.when(F.col("unique_count") == 2, "binary")
-                .when(ratio_nn < NUMERIC_CATEGORICAL_RATIO, "categorical")
-                .otherwise("numeric"),
-            )
-            .when(F.col("cls") == "boolean", F.when(F.col("unique_count") == 2, "binary").otherwise("boolean"))
-            .when(F.col("cls") == "datetime", "datetime")
-            .when(F.col("cls") == "nested", "nested")
-            .when((F.col("cls") == "string") & (F.col("date_fit_max") == F.col("unique_count")), "datetime")
-            .when(ratio_nn < TEXT_CATEGORICAL_RATIO, "categorical")
-            .otherwise("text")
-        )
-        return d.select(
-            "column",
-            "ordinal",
-            "storage_type",
-            "cls",
-            "integral",
-            typ.alias("type"),
-            F.coalesce(F.col("missing_count"), F.lit(0)).alias("missing_count"),
-            rnd(safe_ratio(F.coalesce(F.col("missing_count"), F.lit(0)), F.lit(n)) * 100, PCT_PLACES).alias("missing_percentage"),
-            F.coalesce(F.col("unique_count"), F.lit(0)).alias("unique_count"),
-            rnd(safe_ratio(F.coalesce(F.col("unique_count"), F.lit(0)), F.lit(n)), STAT_PLACES).alias("unique_ratio"),
+        return self.facts.select(
+            "column", "ordinal", "storage_type", "cls", "integral",
+            self._type_expr().alias("type"),
+            "missing_count",
+            rnd(safe_ratio(F.col("missing_count"), F.lit(n)) * 100, PCT_PLACES).alias("missing_percentage"),
+            "unique_count",
+            rnd(safe_ratio(F.col("unique_count"), F.lit(n)), STAT_PLACES).alias("unique_ratio"),
             F.when(F.lit(n) > 0, rnd(F.col("entropy_raw"), STAT_PLACES)).alias("entropy"),
-            F.coalesce(F.col("duplicate_count"), F.lit(0)).alias("duplicate_count"),
-            "vmin",
-            "vmax",
-            "n_num",
-            "mean",
-            nonnull.alias("non_null"),
+            "duplicate_count", "vmin", "vmax", "n_num", "mean",
+            (F.lit(n) - F.col("missing_count")).alias("non_null"),
         )
 
     @cached_property
     def quantiles(self) -> DataFrame:
-        """(column, q25, median, q75) over non-null numeric values (collected)."""
-        num = spine.numeric_frequencies(self.freq)
-        if not any(s.numeric for s in self.specs):
-            return self._local([], "column string, q25 double, median double, q75 double")
-        if self.approx:
-            # Size mode: a bounded sketch per column instead of exact selection.
-            q = num.groupBy("column").agg(
-                F.percentile_approx("dval", [0.25, 0.5, 0.75], 10000).alias("_q")
-            ).select("column", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
-        else:
-            # F rows are unique per (column, value): no pre-aggregation needed.
-            q = exact_quantiles(num, ["column"], "dval", [0.25, 0.5, 0.75], ["q25", "median", "q75"], weight="cnt", unique=True)
-        return self._local(q.collect(), q.schema)
-
-    @cached_property
-    def _second_pass(self) -> DataFrame:
-        """One job over F's numeric part: centred moment sums and outlier counts."""
-        iqr = F.col("q75") - F.col("q25")
-        small = self.stats.where(F.col("n_num") > 0).select("column", "mean").join(self.quantiles, "column", "left").select(
-            "column", "mean",
-            (F.col("q25") - IQR_K * iqr).alias("lower_bound"),
-            (F.col("q75") + IQR_K * iqr).alias("upper_bound"),
-        )
-        small = self._local(small.collect(), small.schema)
-        # One row per numeric column: a bounded broadcast.
-        j = spine.numeric_frequencies(self.freq).join(F.broadcast(small), "column")
-        d = F.col("dval") - F.col("mean")
-        w = F.col("cnt")
-        agg = j.groupBy("column", "mean", "lower_bound", "upper_bound").agg(
-            F.sum(w).alias("n"),
-            F.sum(w * d * d).alias("m2"),
-            F.sum(w * d * d * d).alias("m3"),
-            F.sum(w * d * d * d * d).alias("m4"),
-            F.sum(F.when(F.col("dval") < F.col("lower_bound"), w).otherwise(0)).alias("below"),
-            F.sum(F.when(F.col("dval") > F.col("upper_bound"), w).otherwise(0)).alias("above"),
-        )
-        return self._local(agg.collect(), agg.schema)
+        """(column, q25, median, q75) over non-null numeric values."""
+        return self.facts.where(F.col("n_num") > 0).select("column", "q25", "median", "q75")
 
     @cached_property
     def outliers(self) -> DataFrame:
         """(column, outlier_count, outlier_percentage, lower_bound, upper_bound, below, above, non_null)."""
         o = F.col("below") + F.col("above")
-        return self._second_pass.select(
+        return self.facts.where(F.col("n_num") > 0).select(
             "column",
             o.alias("outlier_count"),
-            rnd(safe_ratio(o, F.col("n")) * 100, PCT_PLACES).alias("outlier_percentage"),
-            "lower_bound",
-            "upper_bound",
-            "below",
-            "above",
-            F.col("n").alias("non_null"),
+            rnd(safe_ratio(o, F.col("n_num")) * 100, PCT_PLACES).alias("outlier_percentage"),
+            "lower_bound", "upper_bound", "below", "above",
+            F.col("n_num").alias("non_null"),
         )
 
     @cached_property
@@ -191,14 +208,14 @@ class TableProfile:
         Skewness and kurtosis are the population (biased) definitions; they are
         null when the variance vanishes against the mean's resolution.
         """
-        n = F.col("n").cast("double")
+        n = F.col("n_num").cast("double")
         var_pop = F.col("m2") / n
         flat = var_pop <= F.pow(F.lit(1e-15) * F.col("mean"), 2)
-        return self._second_pass.select(
+        return self.facts.where(F.col("n_num") > 0).select(
             "column",
-            F.col("n").cast("long").alias("n"),
+            F.col("n_num").alias("n"),
             "mean",
-            F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (n - 1))).alias("std"),
+            F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (n - 1))).alias("std"),
             F.when(~flat, (F.col("m3") / n) / F.pow(var_pop, 1.5)).alias("skew"),
             F.when(~flat, (F.col("m4") / n) / F.pow(var_pop, 2) - 3.0).alias("kurt"),
         )
@@ -206,25 +223,28 @@ class TableProfile:
     @cached_property
     def numeric(self) -> DataFrame:
         """Numeric statistics block (P5 + P7), rounded."""
-        m = self.moments
-        s = self.stats.select("column", "ordinal", "vmin", "vmax").join(m, "column").join(self.quantiles, "column", "left")
-        s = s.where(F.col("n") > 0)
-        enough = F.col("n") >= 3
-        return s.select(
+        n = F.col("n_num").cast("double")
+        var_pop = F.col("m2") / n
+        flat = var_pop <= F.pow(F.lit(1e-15) * F.col("mean"), 2)
+        enough = (F.col("n_num") >= 3) & ~flat
+        skew = (F.col("m3") / n) / F.pow(var_pop, 1.5)
+        kurt = (F.col("m4") / n) / F.pow(var_pop, 2) - 3.0
+        std = F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (n - 1)))
+        return self.facts.where(F.col("n_num") > 0).select(
             "column",
             "ordinal",
             rnd(F.col("mean"), STAT_PLACES).alias("mean"),
             rnd(F.col("median"), STAT_PLACES).alias("median"),
-            rnd(F.col("std"), STAT_PLACES).alias("std"),
+            rnd(std, STAT_PLACES).alias("std"),
             rnd(F.col("vmin"), STAT_PLACES).alias("min"),
             rnd(F.col("vmax"), STAT_PLACES).alias("max"),
             rnd(F.col("q25"), STAT_PLACES).alias("q25"),
             rnd(F.col("q75"), STAT_PLACES).alias("q75"),
-            F.when(enough, rnd(F.col("skew"), STAT_PLACES)).alias("skewness"),
-            F.when(enough, rnd(F.col("kurt"), STAT_PLACES)).alias("kurtosis"),
-            F.col("n").alias("n"),
-            F.col("skew").alias("_skew_raw"),
-            F.col("kurt").alias("_kurt_raw"),
+            F.when(enough, rnd(skew, STAT_PLACES)).alias("skewness"),
+            F.when(enough, rnd(kurt, STAT_PLACES)).alias("kurtosis"),
+            F.col("n_num").alias("n"),
+            F.when(enough, skew).alias("_skew_raw"),
+            F.when(enough, kurt).alias("_kurt_raw"),
         )
 
     def top_values(self, k: int = TOP_VALUES, columns: list[str] | None = None, types=("categorical", "text", "boolean")) -> DataFrame:
@@ -257,42 +277,66 @@ class TableProfile:
 
     @cached_property
     def columns(self) -> DataFrame:
-        """Column report (P11): one flat row per column, including score and status."""
-        st = self.stats.drop("mean", "n_num")
-        num = self.numeric.drop("ordinal", "_skew_raw", "_kurt_raw", "n")
-        out = self.outliers.drop("non_null")
-        d = st.join(num, "column", "left").join(out, "column", "left")
-        score = quality_score(
-            F.coalesce(F.col("missing_percentage"), F.lit(0.0)), F.col("outlier_percentage"), F.col("unique_ratio")
+        """Column report (P11): one flat row per column, including score and status.
+
+        Two projections of the collected facts (no join, no job)."""
+        n = self.n_rows
+        nn = F.col("n_num").cast("double")
+        var_pop = F.col("m2") / nn
+        flat = var_pop <= F.pow(F.lit(1e-15) * F.col("mean"), 2)
+        enough = (F.col("n_num") >= 3) & ~flat
+        has_num = F.col("n_num") > 0
+        std = F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (nn - 1)))
+        outl = F.col("below") + F.col("above")
+        base = self.facts.select(
+            "*",
+            rnd(safe_ratio(F.col("missing_count"), F.lit(n)) * 100, PCT_PLACES).alias("missing_percentage"),
+            rnd(safe_ratio(F.col("unique_count"), F.lit(n)), STAT_PLACES).alias("unique_ratio"),
+            F.when(F.lit(n) > 0, rnd(F.col("entropy_raw"), STAT_PLACES)).alias("entropy"),
+            F.when(has_num, outl).alias("outlier_count"),
+            F.when(has_num, rnd(safe_ratio(outl, F.col("n_num")) * 100, PCT_PLACES)).alias("outlier_percentage"),
         )
-        return d.select(
-            "column",
-            "ordinal",
-            "type",
-            "storage_type",
-            "missing_count",
-            "missing_percentage",
-            "unique_count",
-            "unique_ratio",
-            "entropy",
-            "duplicate_count",
-            "mean",
-            "median",
-            "std",
-            "min",
-            "max",
-            "q25",
-            "q75",
-            "outlier_count",
-            "outlier_percentage",
+        base = base.select("*", self._type_expr().alias("type"))
+        score = quality_score(F.col("missing_percentage"), F.col("outlier_percentage"), F.col("unique_ratio"))
+        return base.select(
+            "column", "ordinal", "type", "storage_type", "missing_count", "missing_percentage", "unique_count",
+            "unique_ratio", "entropy", "duplicate_count",
+            F.when(has_num, rnd(F.col("mean"), STAT_PLACES)).alias("mean"),
+            F.when(has_num, rnd(F.col("median"), STAT_PLACES)).alias("median"),
+            F.when(has_num, rnd(std, STAT_PLACES)).alias("std"),
+            F.when(has_num, rnd(F.col("vmin"), STAT_PLACES)).alias("min"),
+            F.when(has_num, rnd(F.col("vmax"), STAT_PLACES)).alias("max"),
+            F.when(has_num, rnd(F.col("q25"), STAT_PLACES)).alias("q25"),
+            F.when(has_num, rnd(F.col("q75"), STAT_PLACES)).alias("q75"),
+            "outlier_count", "outlier_percentage",
             rnd(F.col("lower_bound"), STAT_PLACES).alias("lower_bound"),
             rnd(F.col("upper_bound"), STAT_PLACES).alias("upper_bound"),
-            "skewness",
-            "kurtosis",
+            F.when(has_num & enough, rnd((F.col("m3") / nn) / F.pow(var_pop, 1.5), STAT_PLACES)).alias("skewness"),
+            F.when(has_num & enough, rnd((F.col("m4") / nn) / F.pow(var_pop, 2) - 3.0, STAT_PLACES)).alias("kurtosis"),
             score.alias("quality_score"),
             status_band(score).alias("status"),
         )
 
+    def _type_expr(self):
+        """P1 semantic type rule over the facts columns."""
+        nonnull = F.lit(self.n_rows) - F.col("missing_count")
+        ratio_nn = F.col("unique_count") / nonnull
+        return (
+            F.when(nonnull <= 0, "empty")
+            .when(
+                F.col("cls") == "numeric",
+                F.when(F.col("unique_count") == 2, "binary")
+                .when(ratio_nn < NUMERIC_CATEGORICAL_RATIO, "categorical")
+                .otherwise("numeric"),
+            )
+            .when(F.col("cls") == "boolean", F.when(F.col("unique_count") == 2, "binary").otherwise("boolean"))
+            .when(F.col("cls") == "datetime", "datetime")
+            .when(F.col("cls") == "nested", "nested")
+            .when((F.col("cls") == "string") & (F.col("date_fit_max") == F.col("unique_count")), "datetime")
+            .when(ratio_nn < TEXT_CATEGORICAL_RATIO, "categorical")
+            .otherwise("text")
+        )
+
     # -------------------------------------------------------------- table level
     def high_cardinality(self, threshold: float = HIGH_CARDINALITY_THRESHOLD) -> DataFrame:
         n = self.n_rows
@@ -311,7 +355,7 @@ class TableProfile:
         cells = n * c
         pct = (missing / cells * 100) if cells else None
         row = (n, c, cells, missing, pct, (100 - pct) if pct is not None else None)
-        df = self.spark.createDataFrame(
+        df = local_frame(self.spark, 
             [row],
             "rows long, columns int, total_cells long, missing_cells long, missing_raw double, complete_raw double",
         )
@@ -324,7 +368,7 @@ class TableProfile:
     def missing_patterns(self) -> DataFrame:
         """Rows with every value missing and rows with at least one missing."""
         p = self.patterns
-        return self.spark.createDataFrame(
+        return local_frame(self.spark, 
             [(p["completely_empty_rows"], p["rows_with_missing"])],
             "completely_empty_rows long, rows_with_missing long",
         )
@@ -345,7 +389,7 @@ class TableProfile:
             r = (n * nij - ni * nj) / math.sqrt(den)
             if abs(r) > threshold:
                 rows.append((a, b, i, j, float(r)))
-        df = self.spark.createDataFrame(rows, "col1 string, col2 string, i int, j int, r double")
+        df = local_frame(self.spark, rows, "col1 string, col2 string, i int, j int, r double")
         return df.select("col1", "col2", rnd(F.col("r"), CORR_PLACES).alias("correlation"))
 
     @cached_property
@@ -396,7 +440,7 @@ class TableProfile:
         Empty when fewer than two numeric columns (the reference's "not available").
         """
         rows = self._corr_pairs if sum(1 for s in self.specs if s.numeric) >= 2 else []
-        df = self.spark.createDataFrame(rows, "col1 string, col2 string, i int, j int, r double")
+        df = local_frame(self.spark, rows, "col1 string, col2 string, i int, j int, r double")
         return df.select("col1", "col2", rnd(F.col("r"), STAT_PLACES).alias("correlation"))
 
     def strong_correlations(self, hide_ids: bool = False, threshold: float = CORR_LIST_THRESHOLD) -> DataFrame:
@@ -406,7 +450,7 @@ class TableProfile:
             for a, b, i, j, r in (self._corr_pairs if sum(1 for s in self.specs if s.numeric) >= 2 else [])
             if i < j and r is not None and abs(r) > threshold
         ]
-        df = self.spark.createDataFrame(rows, "col1 string, col2 string, i int, j int, r double")
+        df = local_frame(self.spark, rows, "col1 string, col2 string, i int, j int, r double")
         if hide_ids:
             df = df.where(~is_id_like(F.col("col1")) & ~is_id_like(F.col("col2")))
         return df.select(

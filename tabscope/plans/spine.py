@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscope.functions.local import local_frame
+
 from tabscope.functions.expressions import (
     DATE_FORMATS,
     as_text,
@@ -69,7 +71,7 @@ def column_specs(df: DataFrame, columns: list[str] | None = None) -> list[Column
 def specs_frame(spark, specs: list[ColumnSpec]) -> DataFrame:
     """Small metadata table (one row per column): schema facts, not data."""
     schema = "column string, ordinal int, storage_type string, cls string, integral boolean"
-    return spark.createDataFrame([(s.name, s.ordinal, s.type_name, s.cls, s.integral) for s in specs], schema)
+    return local_frame(spark, [(s.name, s.ordinal, s.type_name, s.cls, s.integral) for s in specs], schema)
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.functions.local import local_frame
+
 Loader = Callable[[SparkSession], DataFrame]
 
 
@@ -144,7 +146,7 @@ def catalog_columns(cat: Catalog) -> DataFrame:
     for name in cat.names:
         for i, f in enumerate(cat.loaders[name](cat.spark).schema.fields):
             rows.append((name, f.name, i, f.dataType.simpleString(), f.nullable))
-    return cat.spark.createDataFrame(rows, "table string, column string, ordinal int, type string, nullable boolean")
+    return local_frame(cat.spark, rows, "table string, column string, ordinal int, type string, nullable boolean")
 
 
 def catalog_keys(cat: Catalog) -> DataFrame:
@@ -159,7 +161,7 @@ def catalog_keys(cat: Catalog) -> DataFrame:
             rows.append((t, "primary", k["primary_key"], None, None))
         for fk in k.get("foreign_keys", []):
             rows.append((t, "foreign", fk["constrained_columns"], fk["referred_table"], fk["referred_columns"]))
-    return cat.spark.createDataFrame(
+    return local_frame(cat.spark, 
         rows, "table string, kind string, columns array<string>, referred_table string, referred_columns array<string>"
     )
 
@@ -171,7 +173,7 @@ def describe_tables(cat: Catalog) -> DataFrame:
     for name in cat.names:
         df = cat.loaders[name](cat.spark)
         rows.append((name, ", ".join(f"{n}: {t}" for n, t in df.dtypes)))
-    meta = cat.spark.createDataFrame(rows, "table string, dtypes string")
+    meta = local_frame(cat.spark, rows, "table string, dtypes string")
     return counts.join(meta, "table")
 
 

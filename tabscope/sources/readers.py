@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscope.functions.local import local_frame
+
 from tabscope.functions.expressions import DATE_FORMATS
 
 # Text read as missing by pandas' CSV reader (its default NA tokens).
@@ -125,7 +127,7 @@ def source_metadata(df: DataFrame, filename: str | None = None) -> DataFrame:
             pass
     name = filename or (os.path.basename(files[0].rstrip("/")) if files else None)
     rows = df.count()
-    return spark.createDataFrame(
+    return local_frame(spark, 
         [(name, rows, len(df.columns), size)], "filename string, rows long, columns int, size_bytes long"
     ).withColumn("uploaded_at", F.current_timestamp())
 
