@@ -147,7 +147,7 @@ def dynamics(df: DataFrame, date_column: str, value_column: str, agg: str = "sum
         fn = F.count("value") if key == "count" else F.count_distinct("value")
         out = w.groupBy("day").agg(fn.cast("double").alias("value"))
     else:
-        num = raw.cast("double") if type_class(vf.dataType) == "numeric" else F.try_cast(raw.cast("string"), "double")
+        num = raw.cast("double") if type_class(vf.dataType) == "numeric" else raw.cast("string").try_cast("double")
         w = df.select(day.alias("day"), num.alias("value")).where(
             F.col("day").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")
         )

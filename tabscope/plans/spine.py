@@ -99,7 +99,10 @@ def _sval(s: ColumnSpec) -> Column:
 
 def frequencies(base: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """F: ``(column, sval, dval, cnt)``; numeric values in ``dval``, others in ``sval``."""
-    structs = [F.struct(_sval(s).alias("s"), _dval(s).alias("d")).alias(s.name) for s in specs]
+    # Cast to an explicitly nullable struct: unpivot takes the first column's struct
+    # type, and a non-nullable field there would turn other columns' nulls into 0.0.
+    cell = T.StructType([T.StructField("s", T.StringType(), True), T.StructField("d", T.DoubleType(), True)])
+    structs = [F.struct(_sval(s).alias("s"), _dval(s).alias("d")).cast(cell).alias(s.name) for s in specs]
     wide = base.select(*structs)
     long = wide.unpivot([], [s.name for s in specs], "column", "v")
     return long.groupBy("column", F.col("v.s").alias("sval"), F.col("v.d").alias("dval")).agg(

@@ -37,8 +37,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         col = F.col(f"`{c}`")
         checks += [
             F.count(col).alias(f"n::{c}"),
-            F.count(F.try_cast(col, "bigint")).alias(f"i::{c}"),
-            F.count(F.try_cast(col, "double")).alias(f"d::{c}"),
+            F.count(col.try_cast("bigint")).alias(f"i::{c}"),
+            F.count(col.try_cast("double")).alias(f"d::{c}"),
             F.count(F.when(F.lower(col).isin("true", "false"), F.lit(1))).alias(f"b::{c}"),
         ]
     if not checks:
