@@ -1,9 +1,10 @@
 """Row duplicates (T4-T6) with a hash-first pass.
 
-Pass 1 shuffles only an 8-byte hash per row (partial aggregation collapses
-repeated hashes map-side, so one huge group costs one row per task). Pass 2
-groups the rows whose hash repeats by their full values, which makes the
-result exact whatever the hash collisions.
+Pass 1 counts an 8-byte row hash (partial aggregation collapses repeated
+hashes map-side, so one huge group costs one row per task); inside a report
+this pass rides along in the frequency scan. Pass 2 only runs when some hash
+repeats: the rows with a repeated hash are grouped by their full values,
+which makes the result exact whatever the hash collisions.
 """
 
 from __future__ import annotations
@@ -13,33 +14,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.expressions import PCT_PLACES, rnd, safe_ratio
-from tabscope.plans.spine import clean, q
+from tabscope.functions.local import local_frame
+from tabscope.plans.spine import _has_map, _row_hash, clean, q
 
-# Largest number of duplicate groups handed to a broadcast join.
+# Largest number of candidate hashes / duplicate groups handed to a broadcast join.
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def _groupable(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """NaN to null; nested and map values compared through their JSON text."""
+def _hashed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Cleaned rows (NaN to null; map-bearing values as JSON text) plus ``_h``."""
     base = clean(df)
-    cols = []
-    for f in base.schema.fields:
-        c: Column = q(f.name)
-        if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType)):
-            c = F.to_json(c) if not isinstance(f.dataType, T.VariantType) else c.cast("string")
-        cols.append(c.alias(f.name))
-    return base.select(*cols), [f.name for f in base.schema.fields]
+    names = [f.name for f in base.schema.fields]
+    cols: list[Column] = [F.to_json(q(f.name)).alias(f.name) if _has_map(f.dataType) else q(f.name)
+                          for f in base.schema.fields]
+    return base.select(*cols, F.hex(_row_hash(base)).alias("_h")), names
 
 
-def duplicate_groups(df: DataFrame) -> DataFrame:
-    """Exact groups of equal rows that occur more than once: ``cols..., _copies``.
+def repeated_hashes(df: DataFrame) -> DataFrame:
+    """Pass 1 on its own: hashes seen more than once (``_h``)."""
+    h, _ = _hashed(df)
+    return h.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_h")
+
+
+def duplicate_groups(df: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Exact groups of equal rows that occur more than once: ``_h, cols..., _copies``.
 
     Nulls compare equal, like pandas ``duplicated``.
     """
-    g, names = _groupable(df)
-    hashed = g.withColumn("_h", F.xxhash64(*[q(n) for n in names]))
-    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_h")
-    cand = hashed.join(repeated, "_h", "left_semi")
+    hashed, names = _hashed(df)
+    cand_h = candidates if candidates is not None else repeated_hashes(df)
+    if cand_h.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
+        cand_h = F.broadcast(cand_h)
+    cand = hashed.join(cand_h, "_h", "left_semi")
     return (
         cand.groupBy("_h", *[q(n) for n in names])
         .agg(F.count(F.lit(1)).alias("_copies"))
@@ -47,7 +53,7 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, n_rows: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """T4/T5: one row ``duplicate_rows, duplicate_percentage, rows_in_duplicate_groups,
     duplicate_groups, duplicate_groups_ref``.
 
@@ -55,31 +61,35 @@ def duplicate_rows(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     is half the rows in groups, rounded down, which equals it only for pairs.
     """
     n = df.count() if n_rows is None else n_rows
-    groups = duplicate_groups(df)
-    agg = groups.agg(
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_in_duplicate_groups"),
-        F.count(F.lit(1)).alias("duplicate_groups"),
-    )
-    return agg.select(
-        F.col("duplicate_rows").cast("long").alias("duplicate_rows"),
-        rnd(safe_ratio(F.col("duplicate_rows"), F.lit(n)) * 100, PCT_PLACES).alias("duplicate_percentage"),
-        F.col("rows_in_duplicate_groups").cast("long").alias("rows_in_duplicate_groups"),
-        F.col("duplicate_groups").cast("long").alias("duplicate_groups"),
-        F.floor(F.col("rows_in_duplicate_groups") / 2).cast("long").alias("duplicate_groups_ref"),
+    spark = df.sparkSession
+    if candidates is not None and candidates.limit(1).count() == 0:
+        dup = rows_in = groups = 0
+    else:
+        r = duplicate_groups(df, candidates).agg(
+            F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("d"),
+            F.coalesce(F.sum("_copies"), F.lit(0)).alias("r"),
+            F.count(F.lit(1)).alias("g"),
+        ).collect()[0]
+        dup, rows_in, groups = int(r["d"]), int(r["r"]), int(r["g"])
+    out = local_frame(spark, [(dup, rows_in, groups)], "d long, r long, g long")
+    return out.select(
+        F.col("d").alias("duplicate_rows"),
+        rnd(safe_ratio(F.col("d"), F.lit(n)) * 100, PCT_PLACES).alias("duplicate_percentage"),
+        F.col("r").alias("rows_in_duplicate_groups"),
+        F.col("g").alias("duplicate_groups"),
+        F.floor(F.col("r") / 2).cast("long").alias("duplicate_groups_ref"),
     )
 
 
 def duplicate_row_list(df: DataFrame) -> DataFrame:
     """Every row that has an equal copy (all copies kept), with its group size."""
-    g, names = _groupable(df)
+    hashed, names = _hashed(df)
     groups = duplicate_groups(df)
-    hashed = g.withColumn("_h", F.xxhash64(*[q(n) for n in names]))
-    # Join on the hash first (plain equi key), then null-safe on every value.
     right = groups.select("_h", *[q(n).alias(f"_r_{i}") for i, n in enumerate(names)], "_copies")
-    if right.count() <= BROADCAST_MAX_ROWS:
+    if right.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
         right = F.broadcast(right)
+    # Join on the hash (plain equi key), then null-safe on every value.
     cond = [hashed["_h"] == right["_h"]] + [hashed[f"`{n}`"].eqNullSafe(right[f"_r_{i}"]) for i, n in enumerate(names)]
     joined = hashed.join(right, cond, "inner")
-    # Nested values come back as their JSON text (the form they were compared in).
+    # Map-bearing values come back as their JSON text (the form they were compared in).
     return joined.select(*[hashed[f"`{n}`"].alias(n) for n in names], right["_copies"].alias("group_size"))

@@ -48,17 +48,26 @@ class TableProfile:
     def __init__(self, df: DataFrame, columns: list[str] | None = None, approx: bool = False):
         self.raw = df
         selected = df.select(*[spine.q(c) for c in columns]) if columns else df
-        self.base = spine.clean(selected)
+        self._persisted: list[DataFrame] = []
+        base = spine.clean(selected)
+        # An input with fewer partitions than the cluster has cores (one file with
+        # one row group) would run every scan in a few tasks: spread it once and
+        # keep it. Inputs of real size already have more splits than cores, so
+        # this never triggers at scale.
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if base.rdd.getNumPartitions() < target:
+            base = reuse(base.repartition(target))
+            self._persisted.append(base)
+        self.base = base
         self.specs = spine.column_specs(self.base)
         self.spark = df.sparkSession
         self.approx = approx
-        self._persisted: list[DataFrame] = []
 
     # ------------------------------------------------------------------ scans
     @cached_property
     def patterns(self) -> dict:
-        """Null-pattern facts from M (one scan, tiny shuffle)."""
-        return spine.pattern_stats(spine.null_patterns(self.base, self.specs), self.specs, pairs=True)
+        """Null-pattern facts from M, which rides along in F's scan."""
+        return spine.patterns_from_frequencies(self.freq, self.specs, pairs=True)
 
     @cached_property
     def n_rows(self) -> int:
@@ -497,7 +506,8 @@ class TableProfile:
     def duplicates(self) -> DataFrame:
         from tabscope.operators.duplicates import duplicate_rows
 
-        return duplicate_rows(self.base, self.n_rows)
+        cand = self.freq.where((F.col("column") == spine.ROW) & (F.col("cnt") > 1)).select(F.col("sval").alias("_h"))
+        return duplicate_rows(self.base, self.n_rows, candidates=cand)
 
     def summary(self) -> DataFrame:
         """Rows, columns, missing %, duplicate rows, numeric / other column counts."""

@@ -97,14 +97,53 @@ def _sval(s: ColumnSpec) -> Column:
     return F.lit(None).cast("string") if s.numeric else as_text(q(s.name), s.dtype)
 
 
-def frequencies(base: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """F: ``(column, sval, dval, cnt)``; numeric values in ``dval``, others in ``sval``."""
+# Pseudo-columns carried through F: each row's null pattern and its row hash.
+PATTERN = "__tabscope_null_pattern__"
+ROW = "__tabscope_row_hash__"
+
+
+def _row_hash(base: DataFrame) -> Column:
+    """xxhash64 over all values (maps and variants through their JSON text)."""
+    parts = [F.to_json(q(f.name)) if _has_map(f.dataType) else q(f.name) for f in base.schema.fields]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+
+
+def _has_map(dt: T.DataType) -> bool:
+    if isinstance(dt, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _has_map(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_has_map(f.dataType) for f in dt.fields)
+    return False
+
+
+def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -> DataFrame:
+    """F: ``(column, sval, dval, cnt)``; numeric values in ``dval``, others in ``sval``.
+
+    With ``extras`` two pseudo-columns ride along in the same scan: ``PATTERN``
+    (the row's null flags as a 0/1 string: the null-pattern table M) and
+    ``ROW`` (the row hash: duplicate-row candidates). One pass over the base
+    table then serves every per-column metric, the missing-value patterns and
+    the first duplicate pass.
+    """
+    names = {s.name for s in specs}
+    if PATTERN in names or ROW in names:
+        raise ValueError("column name reserved by the profiler")
     # Cast to an explicitly nullable struct: unpivot takes the first column's struct
     # type, and a non-nullable field there would turn other columns' nulls into 0.0.
     cell = T.StructType([T.StructField("s", T.StringType(), True), T.StructField("d", T.DoubleType(), True)])
     structs = [F.struct(_sval(s).alias("s"), _dval(s).alias("d")).cast(cell).alias(s.name) for s in specs]
+    value_names = [s.name for s in specs]
+    if extras:
+        flags = F.concat(*[F.when(q(s.name).isNull(), F.lit("1")).otherwise(F.lit("0")) for s in specs]) \
+            if specs else F.lit("")
+        structs.append(F.struct(flags.alias("s"), F.lit(None).cast("double").alias("d")).cast(cell).alias(PATTERN))
+        structs.append(F.struct(F.hex(_row_hash(base)).alias("s"), F.lit(None).cast("double").alias("d"))
+                       .cast(cell).alias(ROW))
+        value_names += [PATTERN, ROW]
     wide = base.select(*structs)
-    long = wide.unpivot([], [s.name for s in specs], "column", "v")
+    long = wide.unpivot([], value_names, "column", "v")
     return long.groupBy("column", F.col("v.s").alias("sval"), F.col("v.d").alias("dval")).agg(
         F.count(F.lit(1)).alias("cnt")
     )
@@ -134,7 +173,7 @@ def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int) -> DataF
                 f"date_fit_{i}"
             )
         )
-    out = freq.groupBy("column").agg(*aggs)
+    out = freq.where(~F.col("column").isin(PATTERN, ROW)).groupBy("column").agg(*aggs)
     fits = [F.col(f"date_fit_{i}") for i in range(len(DATE_FORMATS))]
     return out.withColumn("date_fit_max", F.greatest(*fits) if len(fits) > 1 else fits[0]).drop(
         *[f"date_fit_{i}" for i in range(len(DATE_FORMATS))]
@@ -171,6 +210,14 @@ def null_patterns(base: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     return base.groupBy(flags.alias("pattern")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def patterns_from_frequencies(freq: DataFrame, specs: list[ColumnSpec], pairs: bool = True) -> dict:
+    """M as carried in F (0/1 strings) -> the same facts as ``pattern_stats``."""
+    m = freq.where(F.col("column") == PATTERN).select(
+        F.transform(F.split(F.col("sval"), ""), lambda x: x == "1").alias("pattern"), "cnt"
+    ) if specs else freq.where(F.col("column") == PATTERN).select(F.array().cast("array<boolean>").alias("pattern"), "cnt")
+    return pattern_stats(m, specs, pairs)
+
+
 def pattern_stats(m: DataFrame, specs: list[ColumnSpec], pairs: bool = True) -> dict:
     """Null counts, all/any-null rows and pairwise co-null counts from M (tiny input)."""
     c = len(specs)
