@@ -702,3 +702,42 @@ def q_dynamics_stream(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     out = run_dynamics_stream(spark, sf_dir, ev.schema, "ts", "value", glob="events.parquet")
     return out.select("day", "events", F.round("value_sum", 6).alias("value_sum"), "value_max")
+
+
+# ------------------------------------------------------------------- file readers
+@check("read_csv", """SELECT o_orderkey, o_custkey,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+  o_totalprice, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM orders""")
+def q_read_csv(spark, sf_dir):
+    """Spark writes a CSV copy of ``orders`` (with pandas NA tokens) to the scratch
+    folder; ``read_any`` reads it back with NA handling and type inference."""
+    from tabscope.operators.quantiles import scratch_path
+    from tabscope.sources.readers import read_any
+
+    path = scratch_path(spark, "orders") + ".csv"
+    src = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey",
+        F.when(F.col("o_orderkey") % 17 == 0, F.lit("N/A")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        "o_totalprice",
+        F.when(F.col("o_orderkey") % 19 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+    src.write.option("header", True).csv(path)
+    return read_any(spark, path)
+
+
+@check("read_json", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, event_type, value FROM events""")
+def q_read_json(spark, sf_dir):
+    """A JSON Lines copy of ``events`` with a date-named text column, read back:
+    ``created_at`` comes back as a timestamp (shown as text for the comparison)."""
+    from tabscope.operators.quantiles import scratch_path
+    from tabscope.sources.readers import read_any
+
+    path = scratch_path(spark, "events") + ".json"
+    _t(spark, sf_dir, "events").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "event_type", "value"
+    ).write.json(path)
+    df = read_any(spark, path)
+    assert dict(df.dtypes)["created_at"].startswith("timestamp")
+    return df.select("event_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                     "event_type", "value")

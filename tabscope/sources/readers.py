@@ -71,9 +71,10 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """An array of records (multi-line) or JSON Lines; date-named text columns parsed."""
     if multi_line is None:
-        with open(path, "rb") as fh:
-            head = fh.read(4096).lstrip()
-        multi_line = head.startswith(b"[")
+        multi_line = False
+        if os.path.isfile(path):
+            with open(path, "rb") as fh:
+                multi_line = fh.read(4096).lstrip().startswith(b"[")
     df = spark.read.option("multiLine", multi_line).json(path)
     cols = []
     for f in df.schema.fields:
