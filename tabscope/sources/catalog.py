@@ -185,3 +185,9 @@ def sample_rows(cat: Catalog, table: str | None = None, n: int = 5, order_by: li
     df = cat.table(table)
     keys = order_by or [df.columns[0]]
     return df.orderBy(*keys).limit(n)
+
+
+def catalog_status(cat: Catalog) -> DataFrame:
+    """One row per table found: ``table, status, error`` (``ok`` or ``error``)."""
+    rows = [(n, "ok", None) for n in cat.names] + [(n, "error", e) for n, e in cat.errors.items()]
+    return local_frame(cat.spark, rows, "table string, status string, error string")
