@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.expressions import SHAPIRO_MAX_N, SHAPIRO_MIN_N, STAT_PLACES, rnd
 from tabscope.plans.profile import TableProfile
 from tabscope.plans.spine import clean, column_specs, q
+from tabscope.session import spread_if_narrow
 
 # Polynomial coefficients of Royston's AS R94 approximations.
 _C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
@@ -112,7 +113,7 @@ def _test_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def normality_shapiro(df: DataFrame, max_n: int = SHAPIRO_MAX_N) -> DataFrame:
     """``column, n, test, statistic, p_value, is_normal`` for every numeric column
     with a non-null value; columns with fewer than 8 values report ``N/A``."""
-    base = clean(df)
+    base = spread_if_narrow(clean(df))
     nums = [s for s in column_specs(base) if s.numeric]
     spark = df.sparkSession
     schema = "column string, n long, test string, statistic double, p_value double"

@@ -39,7 +39,7 @@ from tabscope.functions.expressions import (
 )
 from tabscope.operators.quantiles import EXACT_MAP_MAX, exact_quantiles
 from tabscope.plans import spine
-from tabscope.session import reuse
+from tabscope.session import reuse, spread_if_narrow
 
 
 
@@ -50,15 +50,7 @@ class TableProfile:
         selected = df.select(*[spine.q(c) for c in columns]) if columns else df
         self._persisted: list[DataFrame] = []
         base = spine.clean(selected)
-        # An input with fewer partitions than the cluster has cores (one file with
-        # one row group) would run every scan in a few tasks: spread it once and
-        # keep it. Inputs of real size already have more splits than cores, so
-        # this never triggers at scale.
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if base.rdd.getNumPartitions() < target:
-            base = reuse(base.repartition(target))
-            self._persisted.append(base)
-        self.base = base
+        self.base = spread_if_narrow(base)
         self.specs = spine.column_specs(self.base)
         self.spark = df.sparkSession
         self.approx = approx
@@ -66,8 +58,11 @@ class TableProfile:
     # ------------------------------------------------------------------ scans
     @cached_property
     def patterns(self) -> dict:
-        """Null-pattern facts from M, which rides along in F's scan."""
-        return spine.patterns_from_frequencies(self.freq, self.specs, pairs=True)
+        """Null-pattern facts from M. M rides along in F's scan; when F has not been
+        built (a missing-values question alone) M is its own small aggregate."""
+        if "freq" in self.__dict__:
+            return spine.patterns_from_frequencies(self.freq, self.specs, pairs=True)
+        return spine.pattern_stats(spine.null_patterns(self.base, self.specs), self.specs, pairs=True)
 
     @cached_property
     def n_rows(self) -> int:
@@ -407,10 +402,25 @@ class TableProfile:
         nums = [s for s in self.specs if s.numeric]
         if not nums:
             return []
-        mom = {r["column"]: r for r in self.moments.select("column", "mean").collect()}
-        uniq = {r["column"]: r["unique_count"] for r in self.stats.select("column", "unique_count").collect()}
-        means = {c: (mom[c]["mean"] if c in mom else None) for c in [s.name for s in nums]}
-        nullable = {c for c, k in self.patterns["null"].items() if k > 0}
+        if "_facts" in self.__dict__:
+            facts = {f["column"]: f for f in self._facts}
+            means = {s.name: facts[s.name]["mean"] for s in nums}
+            uniq = {s.name: facts[s.name]["unique_count"] for s in nums}
+            nullable = {s.name for s in nums if facts[s.name]["missing_count"] > 0}
+        else:
+            # Standalone: one small global pass (4 fields per column) instead of F.
+            exprs = []
+            for s in nums:
+                c = spine.q(s.name).cast("double")
+                exprs += [(f"n:{s.name}", F.count(c), 1), (f"sum:{s.name}", F.sum(c), 1),
+                          (f"min:{s.name}", F.min(c), 1), (f"max:{s.name}", F.max(c), 1)]
+            exprs.append(("rows", F.count(F.lit(1)), 1))
+            g = spine.run_batched(self.base, exprs)
+            means = {s.name: (g[f"sum:{s.name}"] / g[f"n:{s.name}"]) if g[f"n:{s.name}"] else None for s in nums}
+            # distinct count only matters as "at most one value": min == max
+            uniq = {s.name: (0 if not g[f"n:{s.name}"] else (1 if g[f"min:{s.name}"] == g[f"max:{s.name}"] else 2))
+                    for s in nums}
+            nullable = {s.name for s in nums if g[f"n:{s.name}"] < g["rows"]}
         r = spine.run_batched(self.base, spine.correlation_exprs(self.specs, means, nullable))
         live = nums
 

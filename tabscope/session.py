@@ -62,3 +62,16 @@ def reuse(df: DataFrame) -> DataFrame:
     Lost blocks are recomputed from lineage, which gives the same rows.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin an input that has fewer partitions than the cluster has cores.
+
+    A single Parquet file with one row group scans in one task, so every
+    per-row step after it would run on one core. Inputs of real size already
+    have more splits than cores, where this is a no-op.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
