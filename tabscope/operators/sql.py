@@ -120,7 +120,7 @@ def _walk_plan(p, found: dict):
         _walk_expr(e, found)
 
 
-def check_read_only(spark: SparkSession, statement: str, known: set[str]) -> list[str]:
+def check_read_only(spark: SparkSession, statement: str, known: set[str], used: set[str] | None = None) -> list[str]:
     """Q1: raise ``RefusedQuery`` unless the statement only reads known relations.
 
     Returns names of temp views the statement creates.
@@ -150,6 +150,8 @@ def check_read_only(spark: SparkSession, statement: str, known: set[str]) -> lis
     for rel in found["relations"]:
         if len(rel) != 1 or rel[0].lower() not in allowed:
             raise RefusedQuery(f"unknown relation: {'.'.join(rel)}")
+        if used is not None:
+            used.add(rel[0].lower())
     for fn in found["functions"]:
         if fn.split(".")[-1] in REFUSED_FUNCTIONS:
             raise RefusedQuery(f"function not allowed: {fn}")
@@ -174,11 +176,15 @@ def guarded_sql(cat: Catalog, query: str | list[str], current_table: str | None
     names = list(cat.names)
     current = current_table or cat.current or (names[0] if names else None)
     known = set(names) | ({"df"} if current else set())
+    used: set[str] = set()
     for s in statements:  # check everything before running anything
-        known |= set(check_read_only(session, s, known))
-    for name in names:
-        cat.loaders[name](session).createOrReplaceTempView(name)
-    if current:
+        known |= set(check_read_only(session, s, known, used))
+    # Register only the tables the statements read.
+    by_lower = {n.lower(): n for n in names}
+    for u in used:
+        if u in by_lower:
+            cat.loaders[by_lower[u]](session).createOrReplaceTempView(by_lower[u])
+    if current and "df" in used:
         cat.loaders[current](session).createOrReplaceTempView("df")
     result = None
     for s in statements:

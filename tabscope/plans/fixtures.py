@@ -8,6 +8,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscope.sources.catalog import parquet_loader
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -73,7 +75,7 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         for t in TABLES:
             p = os.path.join(sf_dir, f"{t}.parquet")
             if os.path.exists(p):
-                frames[t] = spark.read.parquet(p)
+                frames[t] = parquet_loader(spark, p)(spark)
         _FRAMES[key] = frames
     for t, df in frames.items():
         df.createOrReplaceTempView(t)

@@ -69,6 +69,25 @@ class Catalog:
                    for fn in self.loaders.values())
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
+def parquet_loader(spark: SparkSession, path: str) -> Loader:
+    """A loader that reads ``path`` with its schema resolved once per process.
+
+    Resolving a Parquet schema runs a small job; with the schema given, every
+    later read (in any session) plans without one. Keyed on path, size and
+    modification time, so a rewritten table is resolved again.
+    """
+    st = os.stat(path)
+    key = (os.path.abspath(path), st.st_mtime_ns, st.st_size)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        schema = spark.read.parquet(path).schema
+        _SCHEMAS[key] = schema
+    return lambda s, p=path, sc=schema: s.read.schema(sc).parquet(p)
+
+
 def load_catalog(spark: SparkSession, path: str, source_id: str | None = None) -> Catalog:
     """Every ``*.parquet`` file or folder under ``path`` becomes a lazy table.
 
@@ -82,9 +101,8 @@ def load_catalog(spark: SparkSession, path: str, source_id: str | None = None) -
         name, ext = os.path.splitext(entry)
         if ext != ".parquet" and not (os.path.isdir(full) and not entry.startswith((".", "_"))):
             continue
-        loader = (lambda s, p=full: s.read.parquet(p))
         try:
-            loader(spark).schema  # noqa: B018 - resolves the footer only
+            loader = parquet_loader(spark, full)  # resolves the footer only
         except Exception as e:  # S7: keep going, remember why
             cat.errors[name] = str(e).splitlines()[0][:500]
             continue
