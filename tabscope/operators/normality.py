@@ -125,6 +125,12 @@ def normality_shapiro(df: DataFrame, max_n: int = SHAPIRO_MAX_N) -> DataFrame:
     ).where(F.col("v").isNotNull())
     w = Window.partitionBy("column").orderBy("h", "v")
     sample = long.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max_n).select("column", "v")
+    # Ship this module's code with the task, so executors need no installed copy.
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out = sample.groupBy("column").applyInPandas(_test_group, schema)
     return out.select(
         "column", "n", "test",
