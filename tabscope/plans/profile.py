@@ -91,7 +91,12 @@ class TableProfile:
         selection, and one pass over F's numeric part for central moments and
         outlier counts."""
         n = self.n_rows
-        got = {r["column"]: r.asDict() for r in spine.column_stats(self.freq, self.specs, n).collect()}
+        # When the row count itself bounds every column's distinct values, the exact
+        # percentile rides in the same aggregate (one job less).
+        fused = not self.approx and n <= EXACT_MAP_MAX
+        probs = [0.25, 0.5, 0.75]
+        got = {r["column"]: r.asDict() for r in
+               spine.column_stats(self.freq, self.specs, n, quantiles=probs if fused else None).collect()}
         facts = []
         for s in self.specs:
             r = got.get(s.name, {})
@@ -108,7 +113,9 @@ class TableProfile:
         by_name = {f["column"]: f for f in facts}
         live = [f for f in facts if f["cls"] == "numeric" and f["n_num"] > 0]
         if live:
-            for col, q25, med, q75 in self._quantile_rows(live):
+            rows = ([(f["column"], *(got[f["column"]]["quantiles"] or [None] * 3)) for f in live] if fused
+                    else self._quantile_rows(live))
+            for col, q25, med, q75 in rows:
                 by_name[col].update(q25=q25, median=med, q75=q75)
             small = []
             for f in live:

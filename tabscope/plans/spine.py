@@ -149,8 +149,13 @@ def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -
     )
 
 
-def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int) -> DataFrame:
-    """Per-column facts from F: nulls, distinct, entropy, duplicates, range, date fits."""
+def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int, quantiles: list[float] | None = None) -> DataFrame:
+    """Per-column facts from F: nulls, distinct, entropy, duplicates, range, date fits.
+
+    ``quantiles`` adds Spark's exact ``percentile`` (weighted by ``cnt``) to the
+    same aggregate; callers pass it only when the table's row count bounds every
+    column's value map.
+    """
     from tabscope.functions.expressions import entropy_term
 
     text_cols = [s.name for s in specs if s.cls == "string"]
@@ -173,6 +178,8 @@ def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int) -> DataF
                 f"date_fit_{i}"
             )
         )
+    if quantiles:
+        aggs.append(F.percentile("dval", quantiles, F.col("cnt")).alias("quantiles"))
     out = freq.where(~F.col("column").isin(PATTERN, ROW)).groupBy("column").agg(*aggs)
     fits = [F.col(f"date_fit_{i}") for i in range(len(DATE_FORMATS))]
     return out.withColumn("date_fit_max", F.greatest(*fits) if len(fits) > 1 else fits[0]).drop(
