@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.expressions import SHAPIRO_MAX_N, SHAPIRO_MIN_N, STAT_PLACES, rnd
 from tabscope.plans.profile import TableProfile
 from tabscope.plans.spine import clean, column_specs, q
+from tabscope.functions.local import local_frame
 from tabscope.session import spread_if_narrow
 
 # Polynomial coefficients of Royston's AS R94 approximations.
@@ -110,28 +111,62 @@ def _test_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"column": [col], "n": [n], "test": ["Shapiro-Wilk"], "statistic": [w], "p_value": [p]})
 
 
-def normality_shapiro(df: DataFrame, max_n: int = SHAPIRO_MAX_N) -> DataFrame:
+def _hash_cut(fraction: float) -> int:
+    """The signed 64-bit hash below which a ``fraction`` of uniform hashes fall."""
+    if fraction >= 1.0:
+        return 2 ** 63 - 1
+    return int(-(2 ** 63) + fraction * 2.0 ** 64)
+
+
+def normality_shapiro(df: DataFrame, max_n: int = SHAPIRO_MAX_N, oversample: float = 3.0) -> DataFrame:
     """``column, n, test, statistic, p_value, is_normal`` for every numeric column
-    with a non-null value; columns with fewer than 8 values report ``N/A``."""
+    with a non-null value; columns with fewer than 8 values report ``N/A``.
+
+    The sample per column is the ``max_n`` values with the smallest row hash.
+    Sorting every row to find them would cost a full sort of the table, so rows
+    are first cut at a hash threshold that keeps about ``oversample * max_n``
+    values per column (a filter, no sort); the smallest ``max_n`` among the
+    survivors are the smallest overall whenever at least ``max_n`` survive,
+    which is checked afterwards (a column that falls short is redone uncut).
+    """
     base = spread_if_narrow(clean(df))
     nums = [s for s in column_specs(base) if s.numeric]
     spark = df.sparkSession
     schema = "column string, n long, test string, statistic double, p_value double"
     if not nums:
         return spark.createDataFrame([], schema + ", is_normal boolean")
+    counts = base.agg(*[F.count(q(s.name)).alias(s.name) for s in nums]).collect()[0].asDict()
     row_hash = F.xxhash64(*[q(c) for c in base.columns])
     long = base.select(row_hash.alias("h"), *[q(s.name).cast("double").alias(s.name) for s in nums]).unpivot(
         ["h"], [s.name for s in nums], "column", "v"
     ).where(F.col("v").isNotNull())
-    w = Window.partitionBy("column").orderBy("h", "v")
-    sample = long.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max_n).select("column", "v")
+
     # Ship this module's code with the task, so executors need no installed copy.
     import sys
 
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    out = sample.groupBy("column").applyInPandas(_test_group, schema)
+
+    def run(cols: list[str], cut: bool) -> list:
+        part = long.where(F.col("column").isin(cols))
+        if cut:
+            limit = None
+            for c in cols:
+                frac = oversample * max_n / counts[c] if counts[c] else 1.0
+                cond = F.col("h") <= F.lit(_hash_cut(frac))
+                limit = F.when(F.col("column") == c, cond) if limit is None else limit.when(F.col("column") == c, cond)
+            part = part.where(limit.otherwise(F.lit(True)))
+        w = Window.partitionBy("column").orderBy("h", "v")
+        sample = part.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max_n).select("column", "v")
+        return sample.groupBy("column").applyInPandas(_test_group, schema).collect()
+
+    live = [s.name for s in nums if counts[s.name] > 0]
+    rows = run(live, cut=True) if live else []
+    short = [r["column"] for r in rows if r["n"] < min(max_n, counts[r["column"]])]
+    if short:
+        rows = [r for r in rows if r["column"] not in short] + run(short, cut=False)
+    out = local_frame(spark, rows, schema)
     return out.select(
         "column", "n", "test",
         rnd(F.col("statistic"), 6).alias("statistic"),

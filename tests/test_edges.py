@@ -73,3 +73,15 @@ def test_normality_shapiro_bounded_sample(spark):
     rows = {r["column"]: r for r in normality_shapiro(df).collect()}
     assert rows["x"]["n"] == 5000 and rows["x"]["test"] == "Shapiro-Wilk"
     assert rows["few"]["test"] == "N/A" and rows["few"]["statistic"] is None
+
+
+def test_shapiro_hash_cut_is_exact(spark):
+    from tabscope.operators.normality import normality_shapiro
+
+    df = spark.sql("SELECT id, sin(id) * 10 + id % 7 AS x, CAST(id % 13 AS DOUBLE) AS y FROM range(20000)")
+    full = {r["column"]: r for r in normality_shapiro(df, oversample=1e9).collect()}
+    cut = {r["column"]: r for r in normality_shapiro(df).collect()}
+    short = {r["column"]: r for r in normality_shapiro(df, oversample=0.05).collect()}  # forces the redo path
+    for c in full:
+        assert (full[c]["n"], full[c]["statistic"], full[c]["p_value"]) == (cut[c]["n"], cut[c]["statistic"], cut[c]["p_value"])
+        assert (full[c]["n"], full[c]["statistic"]) == (short[c]["n"], short[c]["statistic"])
