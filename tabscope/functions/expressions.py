@@ -160,6 +160,9 @@ def as_text(col: Column, dt: T.DataType) -> Column:
         return F.hex(col)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return nan_to_null(col).cast("string")
+    if isinstance(dt, T.BooleanType):
+        # Python's spelling, as the reference shows values with str().
+        return F.when(col, F.lit("True")).when(~col, F.lit("False"))
     return col.cast("string")
 
 

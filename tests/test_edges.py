@@ -85,3 +85,14 @@ def test_shapiro_hash_cut_is_exact(spark):
     for c in full:
         assert (full[c]["n"], full[c]["statistic"], full[c]["p_value"]) == (cut[c]["n"], cut[c]["statistic"], cut[c]["p_value"])
         assert (full[c]["n"], full[c]["statistic"]) == (short[c]["n"], short[c]["statistic"])
+
+
+def test_boolean_top_values_and_approx_mode(spark):
+    from tabscope.plans.profile import TableProfile
+
+    df = spark.sql("SELECT id % 3 = 0 AS flag, CAST(id AS DOUBLE) AS x FROM range(3000)")
+    tv = {r["value"]: r["count"] for r in TableProfile(df).top_values(columns=["flag"]).collect()}
+    assert tv == {"True": 1000, "False": 2000}
+    exact = {r["column"]: r for r in TableProfile(df).numeric.collect()}["x"]
+    approx = {r["column"]: r for r in TableProfile(df, approx=True).numeric.collect()}["x"]
+    assert exact["median"] == 1499.5 and abs(approx["median"] - 1499.5) <= 1.0
