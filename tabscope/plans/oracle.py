@@ -31,6 +31,14 @@ SCHEMAS = {
         ("o_totalprice", "numeric", "double"), ("o_orderdate", "datetime", "timestamp_ntz"),
         ("o_orderpriority", "string", "string"),
     ],
+    "documents": [
+        ("doc_id", "numeric", "bigint"), ("text", "string", "string"), ("lang", "string", "string"),
+        ("source", "string", "string"), ("n_chars", "numeric", "bigint"),
+    ],
+    "events": [
+        ("event_id", "numeric", "bigint"), ("ts", "datetime", "timestamp_ntz"), ("user_id", "numeric", "bigint"),
+        ("event_type", "string", "string"), ("value", "numeric", "double"), ("props", "string", "string"),
+    ],
     "lineitem": [
         ("l_orderkey", "numeric", "bigint"), ("l_partkey", "numeric", "bigint"), ("l_suppkey", "numeric", "bigint"),
         ("l_linenumber", "numeric", "int"), ("l_quantity", "numeric", "double"), ("l_extendedprice", "numeric", "double"),

@@ -22,6 +22,7 @@ from tabscope.functions.expressions import (
     CORR_PLACES,
     CORR_STRONG_THRESHOLD,
     MISSING_CORR_THRESHOLD,
+    as_text,
     fixed_width,
     is_id_like,
     verdict_band,
@@ -488,10 +489,14 @@ class TableProfile:
 
     def data_size(self) -> DataFrame:
         """T15 re-aimed: logical bytes per column (fixed width, or UTF-8 bytes of the text)."""
-        f = self.freq.where(F.col("sval").isNotNull())
-        text_bytes = f.groupBy("column").agg(F.sum(F.col("cnt") * F.octet_length("sval")).alias("var_bytes"))
-        st = self.stats.select("column", "ordinal", "non_null").join(text_bytes, "column", "left")
         widths = {s.name: fixed_width(s.dtype) for s in self.specs}
+        # Variable-width columns: one global aggregate of UTF-8 byte lengths
+        # (F holds long values only as prefix + hash).
+        var = [s for s in self.specs if widths[s.name] is None]
+        got = spine.run_batched(self.base, [(s.name, F.sum(F.octet_length(as_text(spine.q(s.name), s.dtype))), 1)
+                                            for s in var]) if var else {}
+        text_bytes = local_frame(self.spark, [(k, int(v or 0)) for k, v in got.items()], "column string, var_bytes long")
+        st = self.stats.select("column", "ordinal", "non_null").join(text_bytes, "column", "left")
         width = F.lit(None).cast("long")
         for name, w in widths.items():
             if w is not None:

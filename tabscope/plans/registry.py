@@ -741,3 +741,14 @@ def q_read_json(spark, sf_dir):
     assert dict(df.dtypes)["created_at"].startswith("timestamp")
     return df.select("event_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
                      "event_type", "value")
+
+
+@check("profile_columns_documents", O.profile_sql("documents"))
+def q_profile_columns_documents(spark, sf_dir):
+    """Whole documents (up to 20,000 words): long values enter F as prefix + SHA-256."""
+    return _profile(spark, sf_dir, "documents").columns
+
+
+@check("profile_columns_events", O.profile_sql("events"))
+def q_profile_columns_events(spark, sf_dir):
+    return _profile(spark, sf_dir, "events").columns

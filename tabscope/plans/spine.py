@@ -93,8 +93,17 @@ def _dval(s: ColumnSpec) -> Column:
     return q(s.name).cast("double") if s.numeric else F.lit(None).cast("double")
 
 
+# Values longer than this enter F as a 200-character prefix plus the SHA-256
+# of the whole value: exact equality, but the shuffle carries ~270 bytes
+# instead of whole documents or pages.
+LONG_TEXT = 256
+
+
 def _sval(s: ColumnSpec) -> Column:
-    return F.lit(None).cast("string") if s.numeric else as_text(q(s.name), s.dtype)
+    if s.numeric:
+        return F.lit(None).cast("string")
+    t = as_text(q(s.name), s.dtype)
+    return F.when(F.length(t) > LONG_TEXT, F.concat(F.substring(t, 1, 200), F.lit("…#"), F.sha2(t, 256))).otherwise(t)
 
 
 # Pseudo-columns carried through F: each row's null pattern and its row hash.

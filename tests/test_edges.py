@@ -96,3 +96,16 @@ def test_boolean_top_values_and_approx_mode(spark):
     exact = {r["column"]: r for r in TableProfile(df).numeric.collect()}["x"]
     approx = {r["column"]: r for r in TableProfile(df, approx=True).numeric.collect()}["x"]
     assert exact["median"] == 1499.5 and abs(approx["median"] - 1499.5) <= 1.0
+
+
+def test_long_text_enters_frequencies_hashed(spark):
+    from tabscope.plans.profile import TableProfile
+
+    long_a, long_b = "a" * 300, "a" * 299 + "b"  # same 200-char prefix, different values
+    df = spark.createDataFrame([(long_a,), (long_a,), (long_b,), ("short",)], "t string")
+    p = TableProfile(df)
+    r = p.columns.collect()[0]
+    assert r["unique_count"] == 3 and r["duplicate_count"] == 2
+    assert p.data_size().collect()[0]["bytes"] == 300 + 300 + 300 + 5
+    top = p.top_values(columns=["t"]).orderBy("rank").collect()[0]
+    assert top["count"] == 2 and top["value"].startswith("a" * 200 + "…#")
