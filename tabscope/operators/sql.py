@@ -177,8 +177,11 @@ def guarded_sql(cat: Catalog, query: str | list[str], current_table: str | None
     current = current_table or cat.current or (names[0] if names else None)
     known = set(names) | ({"df"} if current else set())
     used: set[str] = set()
+    created_all: list[str] = []
     for s in statements:  # check everything before running anything
-        known |= set(check_read_only(session, s, known, used))
+        created = check_read_only(session, s, known, used)
+        created_all += created
+        known |= set(created)
     # Register only the tables the statements read.
     by_lower = {n.lower(): n for n in names}
     for u in used:
@@ -187,8 +190,15 @@ def guarded_sql(cat: Catalog, query: str | list[str], current_table: str | None
     if current and "df" in used:
         cat.loaders[current](session).createOrReplaceTempView("df")
     result = None
-    for s in statements:
-        result = session.sql(s)
+    try:
+        for s in statements:
+            result = session.sql(s)
+        # The returned DataFrame holds an analysed plan, so the views can go.
+        result = result.select("*") if result is not None else None
+    finally:
+        if session is cat.spark:  # in-memory entries ran in the caller's session
+            for v in set(created_all) | {by_lower[u] for u in used if u in by_lower} | ({"df"} if "df" in used else set()):
+                session.catalog.dropTempView(v)
     return result
 
 

@@ -62,3 +62,13 @@ def test_views_do_not_leak_between_calls(cat):
 
 def test_split_statements():
     assert split_statements("select ';' as a; -- x;\nselect 2 /* ; */") == ["select ';' as a", "select 2"]
+
+
+def test_in_memory_catalog_drops_its_views(spark):
+    from tabscope.sources.catalog import Catalog
+
+    cat = Catalog(spark).register("mem", spark.range(5).toDF("a"))
+    out = guarded_sql(cat, "CREATE TEMPORARY VIEW m2 AS SELECT a * 2 AS b FROM mem; SELECT sum(b) AS s FROM m2")
+    assert out.collect()[0]["s"] == 20
+    names = {t.name for t in spark.catalog.listTables()}
+    assert "mem" not in names and "m2" not in names
