@@ -46,10 +46,14 @@ def check_foreign_key(child: DataFrame, child_key: list[str] | str, parent: Data
         complete = complete & F.col(f"_k{i}").isNotNull()
     p = parent.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(pk)]).distinct()
     keys = [f"_k{i}" for i in range(len(ck))]
-    orphans = c.where(complete).join(p, keys, "left_anti")
-    o = orphans.agg(F.count(F.lit(1)).alias("orphan_rows"), F.count_distinct(*keys).alias("orphan_keys")).collect()[0]
+    # Collapse child rows to distinct keys first (a hot key becomes one row per
+    # task map-side), so the anti-join is key against key, not row against key.
+    child_keys = c.where(complete).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    orphans = child_keys.join(p, keys, "left_anti")
+    o = orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphan_rows"),
+                    F.count(F.lit(1)).alias("orphan_keys")).collect()[0]
     t = c.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~complete, F.lit(1))).alias("null_keys")).collect()[0]
     return local_frame(child.sparkSession, 
-        [(t["rows"], t["null_keys"], o["orphan_rows"], o["orphan_keys"])],
+        [(t["rows"], t["null_keys"], int(o["orphan_rows"]), o["orphan_keys"])],
         "rows long, null_keys long, orphan_rows long, orphan_keys long",
     )
