@@ -119,13 +119,6 @@ def entropy_term(cnt: Column, n_rows: Column) -> Column:
     return -p * F.log2(p + F.lit(ENTROPY_EPS))
 
 
-def masked_corr(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson correlation; null for constants (no ANSI divide error)."""
-    a_m = F.when(b.isNotNull(), a)
-    b_m = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_m) * F.stddev_pop(b_m))
-
-
 def is_id_like(name: Column) -> Column:
     return name.rlike(ID_NAME_PATTERN)
 

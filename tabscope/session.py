@@ -46,16 +46,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss).
-
-    Used where a later step depends on a nondeterministic physical property
-    (range-partition ids) that a recomputation could change.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def reuse(df: DataFrame) -> DataFrame:
     """Cache a deterministic intermediate that several small aggregates read.
 

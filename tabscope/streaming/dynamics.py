@@ -19,10 +19,15 @@ from tabscope.session import ensure_checkpoint_dir
 def dynamics_stream_query(stream: DataFrame, ts: str, value: str, watermark: str = "2 days"):
     """The streaming aggregate: ``window(1 day) -> events, value_sum, value_max``.
 
-    Timestamps are cast to ``timestamp`` first (a watermark on ``timestamp_ntz``
-    is refused).
+    A watermark on ``timestamp_ntz`` is refused, so the wall-clock time is
+    turned into the instant with the same UTC wall time, computed from its
+    calendar fields (no session time zone involved): day windows then align
+    with calendar days whatever ``spark.sql.session.timeZone`` is.
     """
-    s = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    t = F.col(ts).cast("timestamp_ntz")
+    secs = (F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+            + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+    s = stream.withColumn("_ts", F.timestamp_seconds(secs)).withWatermark("_ts", watermark)
     return s.groupBy(F.window("_ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("events"),
         F.sum(F.col(value).cast("double")).alias("value_sum"),
@@ -42,8 +47,9 @@ def run_dynamics_stream(spark: SparkSession, source_dir: str, schema, ts: str, v
     agg = dynamics_stream_query(stream, ts, value, watermark)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        day = F.date_add(F.lit("1970-01-01").cast("date"), (F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
         batch.select(
-            F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "events", "value_sum", "value_max",
+            F.date_format(day, "yyyy-MM-dd").alias("day"), "events", "value_sum", "value_max",
             F.lit(batch_id).alias("batch_id"),
         ).write.mode("append").parquet(f"{root}/updates")
 
