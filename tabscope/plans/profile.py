@@ -46,7 +46,8 @@ from tabscope.session import reuse, spread_if_narrow
 
 
 class TableProfile:
-    def __init__(self, df: DataFrame, columns: list[str] | None = None, approx: bool = False):
+    def __init__(self, df: DataFrame, columns: list[str] | None = None, approx: bool = False,
+                 wide_corr: bool = False):
         self.raw = df
         selected = df.select(*[spine.q(c) for c in columns]) if columns else df
         self._persisted: list[DataFrame] = []
@@ -55,6 +56,7 @@ class TableProfile:
         self.specs = spine.column_specs(self.base)
         self.spark = df.sparkSession
         self.approx = approx
+        self.wide_corr = wide_corr
 
     # ------------------------------------------------------------------ scans
     @cached_property
@@ -429,21 +431,34 @@ class TableProfile:
             uniq = {s.name: (0 if not g[f"n:{s.name}"] else (1 if g[f"min:{s.name}"] == g[f"max:{s.name}"] else 2))
                     for s in nums}
             nullable = {s.name for s in nums if g[f"n:{s.name}"] < g["rows"]}
-        r = spine.run_batched(self.base, spine.correlation_exprs(self.specs, means, nullable))
         live = nums
+        exprs = spine.correlation_exprs(self.specs, means, nullable)
+        if self.wide_corr or sum(f for _, _, f in exprs) > 2 * spine.AGG_MAX_FIELDS:
+            # Many columns: one pass of per-partition numpy Gram blocks instead of
+            # several wide aggregate scans.
+            have = [s.name for s in nums if means.get(s.name) is not None]
+            pos = {c: k for k, c in enumerate(have)}
+            gn, gsx, gsxx, gsxy = spine.gram_sums(self.base, have, means) if have else (None,) * 4
+
+            def sums(a, b):
+                i, j = pos[a], pos[b]
+                return gn[i, j], gsx[i, j], gsx[j, i], gsxx[i, j], gsxx[j, i], gsxy[i, j]
+        else:
+            r = spine.run_batched(self.base, exprs)
+
+            def sums(a, b):
+                if a == b:
+                    return r[f"n:{a}"], r[f"s:{a}"], r[f"s:{a}"], r[f"ss:{a}"], r[f"ss:{a}"], r[f"ss:{a}"]
+                key = f"{a}\x00{b}"
+                if f"nxy:{key}" in r:
+                    return (r[f"nxy:{key}"], r[f"sx:{key}"], r[f"sy:{key}"], r[f"sxx:{key}"], r[f"syy:{key}"],
+                            r[f"sxy:{key}"])
+                return r[f"n:{a}"], r[f"s:{a}"], r[f"s:{b}"], r[f"ss:{a}"], r[f"ss:{b}"], r[f"sxy:{key}"]
 
         def pair(a: str, b: str):
             if means.get(a) is None or means.get(b) is None:
                 return None
-            if a == b:
-                n, sx, sy, sxx, syy, sxy = (r[f"n:{a}"], r[f"s:{a}"], r[f"s:{a}"], r[f"ss:{a}"], r[f"ss:{a}"], r[f"ss:{a}"])
-            else:
-                key = f"{a}\x00{b}"
-                sxy = r[f"sxy:{key}"]
-                if f"nxy:{key}" in r:
-                    n, sx, sy, sxx, syy = r[f"nxy:{key}"], r[f"sx:{key}"], r[f"sy:{key}"], r[f"sxx:{key}"], r[f"syy:{key}"]
-                else:
-                    n, sx, sy, sxx, syy = r[f"n:{a}"], r[f"s:{a}"], r[f"s:{b}"], r[f"ss:{a}"], r[f"ss:{b}"]
+            n, sx, sy, sxx, syy, sxy = sums(a, b)
             if not n or n < 2 or uniq.get(a, 0) <= 1 or uniq.get(b, 0) <= 1:
                 return None
             vx, vy = sxx - sx * sx / n, syy - sy * sy / n

@@ -234,8 +234,17 @@ def patterns_from_frequencies(freq: DataFrame, specs: list[ColumnSpec], pairs: b
     return pattern_stats(m, specs, pairs)
 
 
+# Pair expressions per aggregate over M (M is tiny; this only bounds plan size).
+PAIR_BATCH = 2000
+
+
 def pattern_stats(m: DataFrame, specs: list[ColumnSpec], pairs: bool = True) -> dict:
-    """Null counts, all/any-null rows and pairwise co-null counts from M (tiny input)."""
+    """Null counts, all/any-null rows and pairwise co-null counts from M (tiny input).
+
+    Co-null counts are only needed between columns that have nulls at all (a
+    column without nulls has a constant flag and drops out of the phi
+    coefficient), and are computed in batches to keep plans small.
+    """
     c = len(specs)
     cnt = F.col("cnt")
     exprs = [F.sum(cnt).alias("rows")]
@@ -244,19 +253,24 @@ def pattern_stats(m: DataFrame, specs: list[ColumnSpec], pairs: bool = True) ->
     if c:
         exprs.append(F.sum(F.when(F.array_contains("pattern", True), cnt).otherwise(0)).alias("any"))
         exprs.append(F.sum(F.when(~F.array_contains("pattern", False), cnt).otherwise(0)).alias("all"))
-    if pairs:
-        for i, j in combinations(range(c), 2):
-            exprs.append(
-                F.sum(F.when(F.col("pattern")[i] & F.col("pattern")[j], cnt).otherwise(0)).alias(f"co_{i}_{j}")
-            )
     r = m.agg(*exprs).collect()[0].asDict()
     out = {"rows": int(r["rows"] or 0), "rows_with_missing": int(r.get("any") or 0),
            "completely_empty_rows": int(r.get("all") or 0) if c else 0, "null": {}, "conull": {}}
     for i, s in enumerate(specs):
         out["null"][s.name] = int(r[f"null_{i}"] or 0)
     if pairs:
+        with_nulls = [i for i, s in enumerate(specs) if out["null"][s.name] > 0]
+        todo = list(combinations(with_nulls, 2))
+        for k in range(0, len(todo), PAIR_BATCH):
+            chunk = todo[k:k + PAIR_BATCH]
+            got = m.agg(*[
+                F.sum(F.when(F.col("pattern")[i] & F.col("pattern")[j], cnt).otherwise(0)).alias(f"co_{i}_{j}")
+                for i, j in chunk
+            ]).collect()[0].asDict()
+            for i, j in chunk:
+                out["conull"][(specs[i].name, specs[j].name)] = int(got[f"co_{i}_{j}"] or 0)
         for i, j in combinations(range(c), 2):
-            out["conull"][(specs[i].name, specs[j].name)] = int(r[f"co_{i}_{j}"] or 0)
+            out["conull"].setdefault((specs[i].name, specs[j].name), 0)
     return out
 
 
@@ -293,3 +307,46 @@ def correlation_exprs(specs: list[ColumnSpec], means: dict[str, float], nullable
 
 def numeric_frequencies(freq: DataFrame) -> DataFrame:
     return freq.where(F.col("dval").isNotNull()).select("column", "dval", "cnt")
+
+
+def _gram_partials(batches):
+    """Per partition: masked Gram-type sums of the (mean-shifted) numeric block.
+
+    n = M'M, sx = X0'M, sxx = (X0*X0)'M, sxy = X0'X0 with M the presence mask
+    and X0 the values with missing as 0: every pairwise-complete sum at once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    acc = None
+    for pdf in batches:
+        x = pdf.to_numpy(dtype=float)
+        m = ~np.isnan(x)
+        x0 = np.where(m, x, 0.0)
+        mf = m.astype(float)
+        parts = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
+        acc = parts if acc is None else tuple(a + b for a, b in zip(acc, parts))
+    if acc is not None:
+        yield pd.DataFrame({k: [v.ravel()] for k, v in zip(("n", "sx", "sxx", "sxy"), acc)})
+
+
+def gram_sums(base: DataFrame, names: list[str], means: dict[str, float]):
+    """Pairwise-complete correlation sums for many columns in one pass.
+
+    Each partition folds its rows into four C x C matrices with numpy (Arrow
+    batches, no per-row Python); partitions are combined with a tree
+    reduction, so the driver receives one C x C block set (bounded by the
+    schema, as in a Gram matrix computation).
+    """
+    import sys
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    sel = base.select(*[(q(c).cast("double") - F.lit(float(means[c]))).alias(f"c{i}") for i, c in enumerate(names)])
+    parts = sel.mapInPandas(_gram_partials, "n array<double>, sx array<double>, sxx array<double>, sxy array<double>")
+    c = len(names)
+    total = parts.rdd.map(lambda r: tuple(np.asarray(v, dtype=float) for v in r)).treeReduce(
+        lambda a, b: tuple(x + y for x, y in zip(a, b)), depth=2)
+    return tuple(v.reshape(c, c) for v in total)

@@ -109,3 +109,24 @@ def test_long_text_enters_frequencies_hashed(spark):
     assert p.data_size().collect()[0]["bytes"] == 300 + 300 + 300 + 5
     top = p.top_values(columns=["t"]).orderBy("rank").collect()[0]
     assert top["count"] == 2 and top["value"].startswith("a" * 200 + "…#")
+
+
+def test_wide_correlation_path_matches_aggregate_path(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tabscope.plans.profile import TableProfile
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(500, 1))
+    data = {f"x{i}": (base[:, 0] * i + rng.normal(size=500) * 3) for i in range(8)}
+    pdf = pd.DataFrame(data)
+    pdf.loc[rng.random(500) < 0.2, "x3"] = np.nan
+    pdf["const"] = 7.0
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf.columns))
+    a = {(r["col1"], r["col2"]): r["correlation"] for r in TableProfile(df).correlation_matrix().collect()}
+    b = {(r["col1"], r["col2"]): r["correlation"] for r in TableProfile(df, wide_corr=True).correlation_matrix().collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) <= 1e-4, (k, a[k], b[k])
+    assert a[("x3", "x5")] == round(pdf[["x3", "x5"]].corr().iloc[0, 1], 4)
