@@ -666,7 +666,18 @@ def q_catalog_columns(spark, sf_dir):
     return catalog_columns(load_catalog(spark, sf_dir)).select("table", "column", "ordinal")
 
 
-@check("describe_tables")
+_DUCK_TO_SPARK = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+                  "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' "
+                  "ELSE lower(data_type) END")
+_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+           "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@check("describe_tables", "SELECT c.\"table\", c.rows, c.columns, d.dtypes FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows, "
+    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS columns FROM {t}"
+    for t in _TABLES) + ") c JOIN (SELECT table_name AS \"table\", string_agg(column_name || ': ' || " + _DUCK_TO_SPARK
+    + ", ', ' ORDER BY ordinal_position) AS dtypes FROM information_schema.columns GROUP BY table_name) d USING (\"table\")")
 def q_describe_tables(spark, sf_dir):
     from tabscope.sources.catalog import describe_tables, load_catalog
 
@@ -687,7 +698,13 @@ def q_source_metadata(spark, sf_dir):
     return source_metadata(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).drop("uploaded_at")
 
 
-@check("profile_diff")
+_DIFF_METRICS = ["missing_percentage", "unique_ratio", "entropy", "mean", "std", "median", "quality_score"]
+
+
+@check("profile_diff", "SELECT coalesce(b.\"column\", a.\"column\") AS \"column\", b.\"type\" AS type_before, "
+       "a.\"type\" AS type_after, b.\"type\" <> a.\"type\" AS type_changed, " + ", ".join(
+           f"b.{m} AS {m}_before, a.{m} AS {m}_after, a.{m} - b.{m} AS {m}_delta" for m in _DIFF_METRICS)
+       + f" FROM ({O.profile_sql('lineitem')}) b FULL OUTER JOIN ({O.profile_sql('li_nulls')}) a ON b.\"column\" = a.\"column\"")
 def q_profile_diff(spark, sf_dir):
     from tabscope.operators.diff import profile_diff
 
@@ -752,3 +769,15 @@ def q_profile_columns_documents(spark, sf_dir):
 @check("profile_columns_events", O.profile_sql("events"))
 def q_profile_columns_events(spark, sf_dir):
     return _profile(spark, sf_dir, "events").columns
+
+
+@check("write_report", O.profile_sql("li_nulls"))
+def q_write_report(spark, sf_dir):
+    """K2: the column report written as JSON to the scratch folder and read back."""
+    from tabscope.operators.quantiles import scratch_path
+    from tabscope.sources.sinks import write_report
+
+    cols = _profile(spark, sf_dir, "li_nulls").columns
+    path = scratch_path(spark, "report")
+    write_report({"columns": cols}, path)
+    return spark.read.schema(cols.schema).json(f"{path}/columns")
