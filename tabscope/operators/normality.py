@@ -138,7 +138,7 @@ def normality_shapiro(df: DataFrame, max_n: int = SHAPIRO_MAX_N, oversample: flo
     counts = base.agg(*[F.count(q(s.name)).alias(s.name) for s in nums]).collect()[0].asDict()
     row_hash = F.xxhash64(*[q(c) for c in base.columns])
     long = base.select(row_hash.alias("h"), *[q(s.name).cast("double").alias(s.name) for s in nums]).unpivot(
-        ["h"], [s.name for s in nums], "column", "v"
+        ["h"], [q(s.name) for s in nums], "column", "v"
     ).where(F.col("v").isNotNull())
 
     # Ship this module's code with the task, so executors need no installed copy.

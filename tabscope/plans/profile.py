@@ -154,7 +154,7 @@ class TableProfile:
         out = []
         if self.approx:
             cols = [f["column"] for f in live]
-            long = self.base.select(*[spine.q(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+            long = self.base.select(*[spine.q(c).cast("double").alias(c) for c in cols]).unpivot([], [spine.q(c) for c in cols], "column", "v")
             q = long.where(F.col("v").isNotNull()).groupBy("column").agg(
                 F.percentile_approx("v", probs, 10000).alias("q"))
             return [(r["column"], *r["q"]) for r in q.collect()]

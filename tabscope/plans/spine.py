@@ -152,7 +152,7 @@ def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -
                        .cast(cell).alias(ROW))
         value_names += [PATTERN, ROW]
     wide = base.select(*structs)
-    long = wide.unpivot([], value_names, "column", "v")
+    long = wide.unpivot([], [q(n) for n in value_names], "column", "v")
     return long.groupBy("column", F.col("v.s").alias("sval"), F.col("v.d").alias("dval")).agg(
         F.count(F.lit(1)).alias("cnt")
     )

@@ -130,3 +130,15 @@ def test_wide_correlation_path_matches_aggregate_path(spark):
     for k in a:
         assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) <= 1e-4, (k, a[k], b[k])
     assert a[("x3", "x5")] == round(pdf[["x3", "x5"]].corr().iloc[0, 1], 4)
+
+
+def test_awkward_column_names(spark):
+    from tabscope.operators.normality import normality_shapiro
+    from tabscope.plans.profile import TableProfile
+
+    df = spark.sql("SELECT id AS `a.b`, CAST(id % 3 AS STRING) AS `c d`, id * 0.5 AS `e-f` FROM range(50)")
+    p = TableProfile(df)
+    rows = {r["column"]: r for r in p.columns.collect()}
+    assert set(rows) == {"a.b", "c d", "e-f"} and rows["a.b"]["unique_count"] == 50
+    assert p.correlation_matrix().count() == 4
+    assert {r["column"] for r in normality_shapiro(df).collect()} == {"a.b", "e-f"}
