@@ -115,22 +115,21 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 def source_metadata(df: DataFrame, filename: str | None = None) -> DataFrame:
     """Load receipt: ``filename, rows, columns, size_bytes, uploaded_at``.
 
-    Size is the sum of the input files' sizes (from the file listing, no data read).
+    Rows and file sizes come from one distributed pass over the hidden
+    ``_metadata`` column of file sources (no data columns are read); the
+    file name is the given one or the first input file's base name.
     """
-    spark = df.sparkSession
-    files = df.inputFiles()
-    size = 0
-    for f in files:
-        p = f[len("file:"):] if f.startswith("file:") else f
-        try:
-            size += os.path.getsize(p)
-        except OSError:
-            pass
-    name = filename or (os.path.basename(files[0].rstrip("/")) if files else None)
-    rows = df.count()
-    return local_frame(spark, 
-        [(name, rows, len(df.columns), size)], "filename string, rows long, columns int, size_bytes long"
-    ).withColumn("uploaded_at", F.current_timestamp())
+    try:
+        meta = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
+    except Exception:  # not a file source: rows only
+        meta = df.select(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("s"))
+    per_file = meta.groupBy("p").agg(F.count(F.lit(1)).alias("rows"), F.max("s").alias("s"))
+    r = per_file.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("s"), F.lit(0)).alias("size"),
+                     F.min("p").alias("first")).collect()[0]
+    name = filename or (os.path.basename(r["first"].rstrip("/")) if r["first"] else None)
+    return local_frame(df.sparkSession, [(name, int(r["rows"]), len(df.columns), int(r["size"]))],
+                       "filename string, rows long, columns int, size_bytes long").withColumn(
+        "uploaded_at", F.current_timestamp())
 
 
 # Default ports and JDBC driver classes per dialect.
