@@ -49,12 +49,24 @@ ORDERS_TEXT_DATES = """SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'n/a'
   o_totalprice, o_orderstatus
 FROM orders"""
 
+# Mixed date formats (no single format fits), one format that is not ISO,
+# a constant column (min == max) and NaN next to null.
+ORDERS_MIXED = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
+       ELSE replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '/') END AS mixed_day,
+  replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '/') AS slash_day,
+  CAST(5.0 AS DOUBLE) AS five,
+  CASE WHEN o_orderkey % 11 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 7 = 0 THEN NULL
+       ELSE o_totalprice END AS price_nan
+FROM orders"""
+
 DERIVED = {
     "li_nulls": LI_NULLS,
     "li_outliers": LI_OUTLIERS,
     "li_kinds": LI_KINDS,
     "li_dups": LI_DUPS,
     "orders_text_dates": ORDERS_TEXT_DATES,
+    "orders_mixed": ORDERS_MIXED,
 }
 
 

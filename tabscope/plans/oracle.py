@@ -31,6 +31,10 @@ SCHEMAS = {
         ("o_totalprice", "numeric", "double"), ("o_orderdate", "datetime", "timestamp_ntz"),
         ("o_orderpriority", "string", "string"),
     ],
+    "orders_mixed": [
+        ("o_orderkey", "numeric", "bigint"), ("mixed_day", "string", "string"), ("slash_day", "string", "string"),
+        ("five", "numeric", "double"), ("price_nan", "numeric", "double"),
+    ],
     "documents": [
         ("doc_id", "numeric", "bigint"), ("text", "string", "string"), ("lang", "string", "string"),
         ("source", "string", "string"), ("n_chars", "numeric", "bigint"),
@@ -90,14 +94,17 @@ def column_block(view: str, name: str, ordinal: int, cls: str, stype: str) -> st
         typ = ("CASE WHEN nn = 0 THEN 'empty' WHEN datefit = nd THEN 'datetime' "
                "WHEN nd / nn < 0.5 THEN 'categorical' ELSE 'text' END")
     vexpr = f"CAST(\"{name}\" AS VARCHAR)" if cls == "string" else f"\"{name}\""
+    if stype == "double":  # NaN is missing, like pandas
+        vexpr = f"CASE WHEN isnan(\"{name}\") THEN NULL ELSE \"{name}\" END"
     if num:
         stats = f"""
   s AS (SELECT avg(x) AS mean, stddev_samp(x) AS std, min(x) AS mn, max(x) AS mx,
                quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q75
-        FROM (SELECT CAST("{name}" AS DOUBLE) AS x FROM {s}) WHERE x IS NOT NULL),
+        FROM (SELECT CAST("{name}" AS DOUBLE) AS x FROM {s}) WHERE x IS NOT NULL AND NOT isnan(x)),
   m AS (SELECT avg(power(x - s.mean, 2)) AS m2, avg(power(x - s.mean, 3)) AS m3, avg(power(x - s.mean, 4)) AS m4,
                count(*) FILTER (WHERE x < s.q25 - 1.5 * (s.q75 - s.q25) OR x > s.q75 + 1.5 * (s.q75 - s.q25)) AS outl
-        FROM (SELECT CAST("{name}" AS DOUBLE) AS x FROM {s} WHERE "{name}" IS NOT NULL) q, s),"""
+        FROM (SELECT CAST("{name}" AS DOUBLE) AS x FROM {s} WHERE "{name}" IS NOT NULL
+              AND NOT isnan(CAST("{name}" AS DOUBLE))) q, s),"""
         numcols = f"""
     {r('s.mean', 4)} AS mean, {r('s.med', 4)} AS median, {r('s.std', 4)} AS std, {r('s.mn', 4)} AS "min",
     {r('s.mx', 4)} AS "max", {r('s.q25', 4)} AS q25, {r('s.q75', 4)} AS q75,

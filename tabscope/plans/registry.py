@@ -781,3 +781,23 @@ def q_write_report(spark, sf_dir):
     path = scratch_path(spark, "report")
     write_report({"columns": cols}, path)
     return spark.read.schema(cols.schema).json(f"{path}/columns")
+
+
+@check("profile_columns_mixed", O.profile_sql("orders_mixed"))
+def q_profile_columns_mixed(spark, sf_dir):
+    """Mixed date formats, a non-ISO date format, min == max and NaN next to null."""
+    return _profile(spark, sf_dir, "orders_mixed").columns
+
+
+@check("histogram_constant", histogram_sql(O.src("orders_mixed"), "five", 3))
+def q_histogram_constant(spark, sf_dir):
+    from tabscope.operators.charts import histogram
+
+    return histogram(_t(spark, sf_dir, "orders_mixed"), "five", 3)
+
+
+@check("histogram_nan", histogram_sql(O.src("orders_mixed"), "price_nan", 12))
+def q_histogram_nan(spark, sf_dir):
+    from tabscope.operators.charts import histogram
+
+    return histogram(_t(spark, sf_dir, "orders_mixed"), "price_nan", 12)
