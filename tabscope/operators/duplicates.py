@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabscope.functions.expressions import PCT_PLACES, rnd, safe_ratio
 from tabscope.functions.local import local_frame
