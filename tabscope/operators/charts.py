@@ -111,7 +111,16 @@ def parse_dates(df: DataFrame, column: str) -> F.Column:
     if isinstance(f.dataType, T.DateType):
         return c.cast("timestamp_ntz")
     if cls == "numeric":
-        return F.timestamp_micros(F.floor(c.cast("double") / 1000).cast("long")).cast("timestamp_ntz")
+        # Epoch nanoseconds as a wall-clock (UTC) timestamp, without going through
+        # the session time zone: epoch + whole days + remaining seconds.
+        name = column.replace("`", "``")
+        ns = f"CAST(`{name}` AS BIGINT)"
+        us = f"(({ns} - pmod({ns}, 1000)) div 1000)"  # floor division, also below zero
+        micros = F.expr(us)
+        days = F.expr(f"(({us} - pmod({us}, 86400000000)) div 86400000000)")
+        rem_s = ((micros - days * F.lit(86400000000)) / F.lit(1e6)).cast("decimal(18,6)")
+        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+            days.cast("int"), F.lit(0), F.lit(0), rem_s)
     s = c.cast("string")
     distinct = df.select(s.alias("s")).where(F.col("s").isNotNull()).distinct()
     fits = distinct.agg(

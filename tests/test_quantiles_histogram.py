@@ -60,3 +60,25 @@ def test_histogram_constant_column(spark):
     rows = histogram(df, "v", 3).orderBy("bin").collect()
     assert [r["count"] for r in rows] == [0, 3, 0]
     assert rows[0]["lo"] == 4.5 and rows[-1]["hi"] == 5.5
+
+
+def test_dynamics_date_kinds(spark):
+    import datetime as dt
+
+    from tabscope.operators.charts import dynamics
+
+    ns = int(dt.datetime(2024, 3, 5, 12, 0).timestamp()) * 10**9
+    df = spark.createDataFrame(
+        [(ns, dt.date(2024, 3, 5), "2024-03-05", 1.0), (ns + 86400 * 10**9, dt.date(2024, 3, 6), "bad", 3.0),
+         (None, None, None, 5.0)],
+        "epoch_ns long, d date, txt string, v double")
+    by_ns = {r["day"]: r["value"] for r in dynamics(df, "epoch_ns", "v", "sum").collect()}
+    assert by_ns == {"2024-03-05": 1.0, "2024-03-06": 3.0}
+    by_date = {r["day"]: r["value"] for r in dynamics(df, "d", "v", "max").collect()}
+    assert by_date == {"2024-03-05": 1.0, "2024-03-06": 3.0}
+    by_txt = {r["day"]: r["value"] for r in dynamics(df, "txt", "v", "count").collect()}
+    assert by_txt == {"2024-03-05": 1.0}
+    import pytest
+
+    with pytest.raises(ValueError):
+        dynamics(df, "d", "v", "mode")
