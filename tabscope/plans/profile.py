@@ -63,7 +63,8 @@ class TableProfile:
     def patterns(self) -> dict:
         """Null-pattern facts from M. M rides along in F's scan; when F has not been
         built (a missing-values question alone) M is its own small aggregate."""
-        if "freq" in self.__dict__:
+        if "freq" in self.__dict__ or self._freq_plan().storageLevel.useMemory:
+            # F is built (here, or cached by an earlier profile of the same input).
             return spine.patterns_from_frequencies(self.freq, self.specs, pairs=True)
         return spine.pattern_stats(spine.null_patterns(self.base, self.specs), self.specs, pairs=True)
 
@@ -71,9 +72,12 @@ class TableProfile:
     def n_rows(self) -> int:
         return int(self.patterns["rows"])
 
+    def _freq_plan(self) -> DataFrame:
+        return spine.frequencies(self.base, self.specs)
+
     @cached_property
     def freq(self) -> DataFrame:
-        f = reuse(spine.frequencies(self.base, self.specs))
+        f = reuse(self._freq_plan())
         self._persisted.append(f)
         return f
 
