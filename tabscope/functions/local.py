@@ -18,6 +18,13 @@ def local_frame(spark: SparkSession, rows, schema: str | StructType) -> DataFram
     names = [f.name for f in st.fields]
     rows = [tuple(r) for r in rows]
     if not rows:
-        return spark.createDataFrame([], st)
+        # An all-null row filtered out: the optimizer folds it to an empty local relation.
+        from pyspark.sql import functions as F
+
+        from pyspark.sql.types import StructField
+
+        loose = StructType([StructField(f.name, f.dataType, True) for f in st.fields])
+        pdf = pd.DataFrame({n: pd.Series([None], dtype=object) for n in names})
+        return spark.createDataFrame(pdf, loose).where(F.lit(False))
     pdf = pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
     return spark.createDataFrame(pdf, st)
