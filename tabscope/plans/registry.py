@@ -801,3 +801,18 @@ def q_histogram_nan(spark, sf_dir):
     from tabscope.operators.charts import histogram
 
     return histogram(_t(spark, sf_dir, "orders_mixed"), "price_nan", 12)
+
+
+@check("apply_transform", """SELECT o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice
+FROM orders GROUP BY o_orderstatus""")
+def q_apply_transform(spark, sf_dir):
+    """Q6: a user transform written in pandas syntax (pandas API on Spark)."""
+    from tabscope.operators.transform import apply_transform
+    from tabscope.sources.catalog import load_catalog
+
+    def by_status(df, tables):
+        psdf = df.pandas_api()
+        out = psdf.groupby("o_orderstatus")["o_totalprice"].sum().round(2).reset_index()
+        return out.sort_values("o_totalprice", ascending=False)
+
+    return apply_transform(load_catalog(spark, sf_dir), by_status, "orders")
