@@ -816,3 +816,40 @@ def q_apply_transform(spark, sf_dir):
         return out.sort_values("o_totalprice", ascending=False)
 
     return apply_transform(load_catalog(spark, sf_dir), by_status, "orders")
+
+
+_FEEDBACK_SRC = """SELECT conv_id AS chat_id,
+  CASE WHEN turn % 3 = 0 THEN ' Like ' WHEN turn % 3 = 1 THEN 'DISLIKE' ELSE 'meh' END AS feedback,
+  CASE WHEN turn % 2 = 0 THEN '   ' ELSE text END AS comment, turn
+FROM conversations"""
+
+
+@check("clean_feedback", r"""SELECT chat_id, lower(trim(feedback)) AS feedback,
+  CASE WHEN regexp_replace(comment, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') = '' THEN NULL
+       ELSE regexp_replace(comment, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') END AS comment, turn
+FROM (""" + _FEEDBACK_SRC + """) f WHERE lower(trim(feedback)) IN ('like', 'dislike')""")
+def q_clean_feedback(spark, sf_dir):
+    """L4 over inputs derived from every conversation turn: kinds trimmed and
+    lower-cased, anything else rejected, blank comments to null."""
+    from tabscope.operators.logs import clean_feedback
+
+    register_views(spark, sf_dir)
+    accepted, _ = clean_feedback(spark.sql(_FEEDBACK_SRC))
+    return accepted.drop("id")
+
+
+@check("clean_tickets", r"""SELECT regexp_replace(subject, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') AS subject,
+  regexp_replace(description, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') AS description, email
+FROM (SELECT CASE WHEN turn % 4 = 0 THEN '  ' ELSE role END AS subject, text AS description,
+             CAST(NULL AS VARCHAR) AS email FROM conversations) t
+WHERE regexp_replace(subject, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') <> ''
+  AND regexp_replace(coalesce(description, ''), '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') <> ''""")
+def q_clean_tickets(spark, sf_dir):
+    """L5 over inputs derived from conversations: subject and description required."""
+    from tabscope.operators.logs import clean_tickets
+
+    src = _t(spark, sf_dir, "conversations").select(
+        F.when(F.col("turn") % 4 == 0, F.lit("  ")).otherwise(F.col("role")).alias("subject"),
+        F.col("text").alias("description"), F.lit(None).cast("string").alias("email"))
+    accepted, _ = clean_tickets(src)
+    return accepted.drop("id")
