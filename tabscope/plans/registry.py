@@ -853,3 +853,19 @@ def q_clean_tickets(spark, sf_dir):
         F.col("text").alias("description"), F.lit(None).cast("string").alias("email"))
     accepted, _ = clean_tickets(src)
     return accepted.drop("id")
+
+
+@check("append_log", """SELECT conv_id, turn, role, batch FROM (
+  SELECT conv_id, turn, role, 1 AS batch FROM conversations WHERE role IN ('user', 'assistant')
+  UNION ALL
+  SELECT conv_id, turn, role, 2 AS batch FROM conversations WHERE role IN ('user', 'assistant')) x""")
+def q_append_log(spark, sf_dir):
+    """K3: two appends of the displayable chat turns to one log table, read back."""
+    from tabscope.operators.logs import append_log, chat_transcript
+    from tabscope.operators.quantiles import scratch_path
+
+    path = scratch_path(spark, "chatlog")
+    turns = chat_transcript(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+    for b in (1, 2):
+        append_log(turns.withColumn("batch", F.lit(b)), path, partition_by=["batch"])
+    return spark.read.parquet(path).select("conv_id", "turn", "role", F.col("batch").cast("int").alias("batch"))
