@@ -869,3 +869,14 @@ def q_append_log(spark, sf_dir):
     for b in (1, 2):
         append_log(turns.withColumn("batch", F.lit(b)), path, partition_by=["batch"])
     return spark.read.parquet(path).select("conv_id", "turn", "role", F.col("batch").cast("int").alias("batch"))
+
+
+@check("preview", """SELECT """ + ", ".join(
+    f"substring(CAST({c} AS VARCHAR), 1, 60) AS {c}"
+    for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    + " FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50) t")
+def q_preview(spark, sf_dir):
+    """K4: bounded text preview (50 rows, cells cut to 60 characters) of orders by key."""
+    from tabscope.operators.sql import preview
+
+    return preview(_t(spark, sf_dir, "orders").orderBy("o_orderkey"))
