@@ -880,3 +880,13 @@ def q_preview(spark, sf_dir):
     from tabscope.operators.sql import preview
 
     return preview(_t(spark, sf_dir, "orders").orderBy("o_orderkey"))
+
+
+@check("catalog_status", """SELECT table_name AS "table", 'ok' AS status, CAST(NULL AS VARCHAR) AS error
+FROM information_schema.tables WHERE table_name IN ('benchmark', 'conversations', 'customer', 'documents',
+  'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier')""")
+def q_catalog_status(spark, sf_dir):
+    """One status row per table found under the folder."""
+    from tabscope.sources.catalog import catalog_status, load_catalog
+
+    return catalog_status(load_catalog(spark, sf_dir))
