@@ -82,3 +82,14 @@ def test_dynamics_date_kinds(spark):
 
     with pytest.raises(ValueError):
         dynamics(df, "d", "v", "mode")
+
+
+@pytest.mark.parametrize("force", [True, False])
+def test_exact_quantiles_empty_and_null_groups(spark, force):
+    from tabscope.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([("a", None), ("b", 2.0), ("b", float("nan"))], "k string, v double")
+    out = {r["k"]: r["q50"] for r in exact_quantiles(df, ["k"], "v", [0.5], force_distributed=force, partitions=2).collect()}
+    assert out == {"b": 2.0}
+    empty = df.where("1 = 0")
+    assert exact_quantiles(empty, ["k"], "v", [0.5], force_distributed=force, partitions=2).count() == 0
