@@ -524,12 +524,18 @@ class TableProfile:
         return st.select("column", "ordinal", size.cast("long").alias("bytes"))
 
     def type_distribution(self) -> DataFrame:
-        """Storage type name -> number of columns (schema only)."""
-        return self.specs_df.groupBy("storage_type").agg(F.count(F.lit(1)).alias("columns"))
+        """Storage type name -> number of columns (schema only, counted on the driver)."""
+        from collections import Counter
+
+        counts = Counter(s.type_name for s in self.specs)
+        return local_frame(self.spark, sorted(counts.items()), "storage_type string, columns long")
 
     def semantic_type_distribution(self) -> DataFrame:
-        """Semantic type -> number of columns."""
-        return self.stats.groupBy("type").agg(F.count(F.lit(1)).alias("columns"))
+        """Semantic type -> number of columns (one row per column, counted on the driver)."""
+        from collections import Counter
+
+        counts = Counter(r["type"] for r in self.stats.select("type").collect())
+        return local_frame(self.spark, sorted(counts.items()), "type string, columns long")
 
     def overall_quality(self) -> DataFrame:
         """Mean column score and its verdict band."""
