@@ -48,7 +48,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sample_path(tmp_path_factory):
-    p = tmp_path_factory.mktemp("sample") / "sample_data.csv"
+    p = tmp_path_factory.mktemp("sample") / "golden_sample.csv"
     p.write_text(SAMPLE_CSV)
     return str(p)
 

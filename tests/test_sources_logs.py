@@ -11,7 +11,7 @@ def test_read_any_and_metadata(spark, sample_path, tmp_path):
 
     df = read_any(spark, sample_path)
     assert df.count() == 28
-    m = source_metadata(df, "sample_data.csv").collect()[0]
+    m = source_metadata(df, "golden_sample.csv").collect()[0]
     assert (m["rows"], m["columns"]) == (28, 8) and m["size_bytes"] > 0
     with pytest.raises(ValueError):
         read_any(spark, str(tmp_path / "x.xlsx"))
