@@ -9,24 +9,36 @@ from pyspark.sql import functions as F
 
 from .kdtree import kd_shards
 from .mixing import mix_sources
+from .multi_index import near_duplicates
+from .rabitq import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_shards(_table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit_codes": op1_one_bit_codes,
     "op6_kd_tree_shards": op6_kd_tree_shards,
+    "op8_multi_index": op8_multi_index,
     "op10_mix_sources": op10_mix_sources,
 }
 
