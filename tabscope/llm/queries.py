@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import crf
 from .kdtree import kd_shards
 from .mixing import mix_sources
 from .multi_index import near_duplicates
@@ -21,6 +22,12 @@ def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = crf.fit(docs.where(~crf.held_out() & F.col("doc_id").isNotNull()))
+    return crf.predict(docs, model).select("doc_id", crf.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_shards(_table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,6 +44,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_codes": op1_one_bit_codes,
+    "op4_crf_language": op4_crf_language,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op8_multi_index": op8_multi_index,
     "op10_mix_sources": op10_mix_sources,
