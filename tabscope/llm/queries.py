@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from .kdtree import kd_shards
 from .mixing import mix_sources
 from .multi_index import near_duplicates
 from .rabitq import nearest
+from .repair import encode_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def op3_repair_ids(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = crf.fit(docs.where(~crf.held_out() & F.col("doc_id").isNotNull()))
@@ -44,6 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_codes": op1_one_bit_codes,
+    "op3_repair_ids": op3_repair_ids,
     "op4_crf_language": op4_crf_language,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op8_multi_index": op8_multi_index,
