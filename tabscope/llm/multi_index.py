@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -38,12 +39,17 @@ class Grid:
     def visits(self, u: np.ndarray, radius: float, target_recall: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of the cells that each row's traversal visits, nearest first.
 
-        A row within ``radius`` of u whose half lies in the cell of centroid i
-        is on the far side of every plane between i and another centroid, so the
-        planes give a least distance for each half. Cells are taken in the order
-        of their summed centroid distances while they can still hold such a row;
-        below a target of 1, the radius shrinks in proportion to it.
+        A row in the cell of centroid i is on the far side of every plane between
+        i and another centroid, so the planes give a least distance for each
+        half. Cells are taken in the order of their summed centroid distances
+        while they can still hold a row within ``radius`` in a random direction,
+        of which only a part, normal with deviation radius / sqrt(dimensions),
+        points across the planes: ``target_recall`` says how many deviations
+        count. At 1, every direction counts. A pair is looked for once, from the
+        row whose home comes first in the grid.
         """
+        if target_recall < 1:
+            radius *= min(1.0, NormalDist().inv_cdf((1 + target_recall) / 2) / math.sqrt(u.shape[1]))
         found = [distances(h, c) for h, c in zip(self.halves(u), self.books)]
         least = []
         for d, c in zip(found, self.books):
@@ -53,21 +59,22 @@ class Grid:
             for k in range(len(c)):
                 np.maximum(low, (d - d[:, k : k + 1]) / (2 * np.maximum(gap[k], 1e-12)), out=low)
             least.append(low * low)
-        bound = least[0][:, :, None] + least[1][:, None, :] <= (radius * target_recall) ** 2 + 1e-9
-        row, i, j = np.nonzero(bound)
+        bound = least[0][:, :, None] + least[1][:, None, :] <= radius**2 + 1e-9
+        later = np.arange(bound[0].size).reshape(bound[0].shape) >= self.home(u)[:, None, None]
+        row, i, j = np.nonzero(bound & later)
         order = np.lexsort((found[0][row, i] + found[1][row, j], row))
         return row[order], (i * len(self.books[1]) + j)[order]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 1.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 0.999) -> DataFrame:
     """(vec_id, label, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and the cosine, in
     double precision, is at least ``threshold``. Equal vectors of a label are
     counted first and stand for one. Each of these has a home cell in a product
     grid of two codebooks (fitted on 4,096 rows, about 1,000 rows a cell) and
-    visits, nearest first, the cells that can hold a link, all of them at the
-    default target recall of 1. Rows of a cell are split into chunks of 2,048
+    visits, nearest first, the cells that can hold a link, until ``target_recall``
+    (at 1, no link is missed). Rows of a cell are split into chunks of 2,048
     by hash, for a cell may hold most rows, and every pair of chunks gives link
     counts and a spanning forest, never all pairs.
 
@@ -106,12 +113,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
                     row, cell = grid.visits(u, radius, target_recall) if visiting else (np.arange(len(u)), grid.home(u))
                     take = pa.array(row)
                     vec = pa.array([v.tobytes() for v in u], pa.binary()).take(take)
+                    away = pa.array(cell != grid.home(u)[row])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("label").take(take), pa.array(cell, pa.int32()), part.column("id").take(take), part.column("m").take(take), vec],
-                        ["label", "cell", "id", "m", "vec"],
+                        [part.column("label").take(take), pa.array(cell, pa.int32()), part.column("id").take(take), part.column("m").take(take), away, vec],
+                        ["label", "cell", "id", "m", "away", "vec"],
                     )
 
-        return copies.mapInArrow(run, "label long, cell int, id long, m long, vec binary")
+        return copies.mapInArrow(run, "label long, cell int, id long, m long, away boolean, vec binary")
 
     members, visitors = placed(False), placed(True)
     chunks = lambda c: F.ceil(F.col(c) / CHUNK_ROWS).cast("int")
@@ -121,7 +129,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = members.join(calls, ["label", "cell"]).withColumn("chunk", spread("chunks")).withColumn("call", every("calls"))
     right = visitors.join(calls, ["label", "cell"]).withColumn("call", spread("calls")).withColumn("chunk", every("chunks"))
-    left, right = (x.select("label", "cell", "chunk", "call", "id", "m", "vec") for x in (left, right))
+    left, right = (x.select("label", "cell", "chunk", "call", "id", "m", "away", "vec") for x in (left, right))
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": [], "other": [], "links": []})
@@ -130,15 +138,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
         x, y = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), dim) for t in (a, b))
         ai, bi, am = a["id"].to_numpy(), b["id"].to_numpy(), a["m"].to_numpy()
         near = (y @ x.T >= threshold) & (bi[:, None] != ai[None, :])
-        links = near @ am
+        links = near @ am  # of visitors; members count visitors from other cells, which they don't visit
+        away = b["away"].to_numpy()
+        seen = (b["m"].to_numpy() * away) @ near
         ids = np.unique(np.concatenate([ai, bi]))
         i, j = np.nonzero(near)
         low = local_components(len(ids), np.searchsorted(ids, bi)[i], np.searchsorted(ids, ai)[j])
         tied = np.flatnonzero(low != np.arange(len(ids)))
-        some = links > 0
+        some, back = links > 0, seen > 0
         return pd.DataFrame({
-            "id": np.concatenate([bi[some], ids[tied]]), "other": np.concatenate([bi[some], ids[low[tied]]]),
-            "links": np.concatenate([links[some], np.zeros(len(tied), np.int64)]),
+            "id": np.concatenate([bi[some], ai[back], ids[tied]]), "other": np.concatenate([bi[some], ai[back], ids[low[tied]]]),
+            "links": np.concatenate([links[some], seen[back], np.zeros(len(tied), np.int64)]),
         })
 
     by = ["label", "cell", "chunk", "call"]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf
+from . import crf, pieces
 from .kdtree import kd_shards
 from .mixing import mix_sources
 from .multi_index import near_duplicates
@@ -43,6 +43,13 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    vocabulary = pieces.Vocabulary(public_tokenizers.path(model))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return out.select("doc_id", "n_pieces", "ids_crc32", F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_crf_language": op4_crf_language,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op8_multi_index": op8_multi_index,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_mix_sources": op10_mix_sources,
 }
 
