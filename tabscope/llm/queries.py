@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, pieces
+from . import crf, pieces, warc
+from .common import shared_path
 from .kdtree import kd_shards
 from .mixing import mix_sources
 from .multi_index import near_duplicates
@@ -24,6 +25,16 @@ def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    if pages.isEmpty():
+        return spark.createDataFrame([], "page_id long, volume int, `offset` long, length long, sha256 string, status string")
+    first = warc.write_warc(pages, shared_path(spark, "warc"))
+    second = warc.copy_warc(spark, first, shared_path(spark, "warc"), warc.bit_rot)
+    out = warc.audited(spark, first, second)
+    return out.select(F.expr("try_cast(record_id AS long)").alias("page_id"), "volume", "offset", "length", "sha256", "status")
+
+
 def op3_repair_ids(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
@@ -57,6 +68,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_codes": op1_one_bit_codes,
+    "op2_merkle_audit": op2_merkle_audit,
     "op3_repair_ids": op3_repair_ids,
     "op4_crf_language": op4_crf_language,
     "op6_kd_tree_shards": op6_kd_tree_shards,
