@@ -13,6 +13,7 @@ from .common import shared_path
 from .kdtree import kd_shards
 from .mixing import mix_sources
 from .multi_index import near_duplicates
+from .ngram_join import similar_groups
 from .rabitq import nearest
 from .repair import encode_and_read
 
@@ -50,6 +51,10 @@ def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(_table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+
+
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93).select("vec_id", "n_links", "component_id", "kept")
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repair_ids": op3_repair_ids,
     "op4_crf_language": op4_crf_language,
     "op6_kd_tree_shards": op6_kd_tree_shards,
+    "op7_ngram_join": op7_ngram_join,
     "op8_multi_index": op8_multi_index,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_mix_sources": op10_mix_sources,
