@@ -16,6 +16,7 @@ from .multi_index import near_duplicates
 from .ngram_join import similar_groups
 from .rabitq import nearest
 from .repair import encode_and_read
+from .suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(docs, model).select("doc_id", crf.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_shards(_table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_merkle_audit": op2_merkle_audit,
     "op3_repair_ids": op3_repair_ids,
     "op4_crf_language": op4_crf_language,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op7_ngram_join": op7_ngram_join,
     "op8_multi_index": op8_multi_index,
