@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 #: Bounds of the training sample: labelled rows of a language, and windows and words taken from each.
 SAMPLE_ROWS = 400
@@ -233,37 +234,43 @@ def label_words(model: Model, texts: list[str | None], cache: dict[str, int], sc
     return forward_backward(emission, model.start, model.trans, first), lengths
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text).
+def with_language(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``label`` and ``score`` for its whole texts.
 
-    Every word of the whole text gets posterior label probabilities by
-    forward-backward; lang_pred has the largest sum, score is its mean. A null
-    or empty text, one without a letter, or a model without labels gives ``und``
-    with score 0. Rows that repeat a doc_id count each, a null doc_id is kept,
-    an empty table gives an empty result; other columns are ignored.
+    Every word gets posterior label probabilities by forward-backward; the
+    label of the largest sum is taken, score is its mean. A null or empty text,
+    one without a letter, or a model without labels gives ``und`` with score 0.
+    Other columns are kept, ones of the two names are replaced; rows that
+    repeat count each; an empty table gives an empty result.
     """
+    docs = docs.drop(label, score).withColumn("text", F.col("text").cast("string"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
-        scores: list[np.ndarray] = []
+        model, cache, scores = shared.value, {}, []
         for b in batches:
             size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0)) + 64
             piece = np.cumsum(size) // SLICE_CHARS
             edges = np.flatnonzero(np.diff(piece, prepend=-1)).tolist() + [b.num_rows]
             for lo, hi in zip(edges, edges[1:]):
                 part = b.slice(lo, hi - lo)
-                best, score = np.full(hi - lo, -1), np.zeros(hi - lo)
+                best, mean = np.full(hi - lo, -1), np.zeros(hi - lo)
                 if model.labels:
                     post, lengths = label_words(model, part.column("text").to_pylist(), cache, scores)
                     some = np.flatnonzero(lengths)
                     if len(some):
                         sums = np.add.reduceat(post, (np.cumsum(lengths) - lengths)[some], axis=0)
                         best[some] = sums.argmax(axis=1)
-                        score[some] = np.clip(sums.max(axis=1) / lengths[some], 0, 1)
+                        mean[some] = np.clip(sums.max(axis=1) / lengths[some], 0, 1)
                 names = pa.array([model.labels[i] if i >= 0 else UNKNOWN for i in best], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), names, pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(mean)], [*part.schema.names, label, score])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(label, StringType()).add(score, DoubleType()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text); see ``with_language``. A null doc_id is kept."""
+    return with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "lang_pred", "score")
 
 
 def held_out() -> Column:

@@ -326,3 +326,16 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     own = shown.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
     by_id = own.groupBy("doc_id").agg(F.min("component_id").alias("least"))
     return own.drop("component_id").join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, once each, in the columns of ``docs``.
+
+    Rows with a null doc_id, and documents without words, all stay.
+    """
+    groups = checkpoint(similar_groups(docs, width, threshold).where("doc_id IS NOT NULL"))
+    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
+    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
