@@ -45,6 +45,33 @@ def bytes_of(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(lists), np.uint8), np.concatenate([[0], ends]).astype(np.int64)
 
 
+_random = np.random.default_rng(20)
+LETTER = _random.integers(0, 2**63, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def run_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, 64-bit hashes) of the maximal runs of bytes where ``inside`` holds."""
+    padded = np.zeros(len(data) + 2, bool)
+    padded[1:-1] = inside
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    power = np.full(len(data) + 1, BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTER[data] * power[:-1], out=sums[1:])
+    power[1:] = BASE_INVERSE
+    back = np.cumprod(power)
+    return starts, ends, mixed_bits((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of ``start .. start + length - 1`` of all pairs."""
     total = int(lengths.sum())

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, local_components, shards_for
+from .common import BASE, checkpoint, connected_components, local_components, mixed_bits, run_hashes, shards_for
 
 BUCKETS, SLICES = 1 << 18, 32  # of the table of estimated frequencies
 MAX_MATCHES = 4  # shared prefix tokens asked for at most
@@ -26,16 +26,6 @@ SLICE_BYTES = 1 << 21
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_random = np.random.default_rng(20)
-LETTER = _random.integers(0, 2**63, 256, dtype=np.uint64)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of all texts, number of words of each).
@@ -46,17 +36,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts).lower(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    inside = np.concatenate([[False], ~SPACE[data], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    power = np.full(len(data) + 1, BASE, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(len(data) + 1, BASE_INVERSE, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[data] * power[:-1])])
-    words = _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    starts, _, words = run_hashes(data, ~SPACE[data])
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     return words, np.diff(np.searchsorted(starts, offsets))
 
@@ -66,7 +46,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     words, counts = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     h = np.full(max(0, len(words) - width + 1), width, np.uint64)
     for i in range(width):
-        h = _mix(h * BASE + words[i : i + len(h)])
+        h = mixed_bits(h * BASE + words[i : i + len(h)])
     out, at = [], 0
     for n in counts.tolist():
         if n >= width:
@@ -74,7 +54,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         elif n:
             one = np.full(1, n, np.uint64)
             for w in words[at : at + n]:
-                one = _mix(one * BASE + w)
+                one = mixed_bits(one * BASE + w)
             out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))

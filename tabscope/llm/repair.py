@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranges, shared_path, shards_for, text_bytes
+from .common import checkpoint, ranges, run_hashes, shared_path, shards_for, text_bytes
 
 END = 2
 MAGIC = b"RPAIR001"
 SHARD_BYTES = 4 << 20  # text of a shard
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 3_000_000
+SLICE_CHARS = 1 << 20
 #: A pair is replaced while it occurs this often; a round takes at most this many pairs.
 MIN_COUNT, ROUND_PAIRS = 12, 2048
 SYMBOLS = 1 << 16
@@ -30,7 +31,7 @@ LOOSE = re.compile(r"(?<![^\W_])[.,]|[.,][^\s\w]")
 
 
 class Encoder:
-    """The tokenizers library on whole texts, by way of a cache of their words.
+    """The tokenizers library on whole texts, by way of a cache of their words, found by 64-bit hashes.
 
     The pre-tokenizer of a byte-level BPE never joins what lies on both sides
     of a single space or line break, or of a lone comma or full stop after a
@@ -50,7 +51,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted word hashes, number of each word
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
@@ -91,27 +92,48 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.index) > CACHE_WORDS:
+        size, part, out = 0, [], []
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= SLICE_CHARS:
+                out.append(self._slice(part))
+                size, part = 0, []
+        out.append(self._slice(part))
+        return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
+
+    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > CACHE_WORDS:
             self.clear()
         pieces, direct = [], {}
         for i, t in enumerate(texts):
             if "\x00" in t or SPACES.search(t) or any(s in t for s in self.special):
                 direct[i] = t
-                pieces.append([])
-                continue
+                t = ""
             t = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
             if not LOOSE.search(t):
                 t = t.replace(",", "\x00,").replace(".", "\x00.")
-            pieces.append(t.split("\x00"))
-        index, known = self.index, len(self.index)
-        at = np.array([index.setdefault(w, len(index)) for ws in pieces for w in ws], np.int64)
-        if len(index) > known:
-            self.learn(list(index)[known:])
-        count = np.diff(self.starts)[at]
-        ids = self.flat[ranges(self.starts[at], count)]
+            pieces.append(t.encode("utf-8"))
+        raw = b"\x00".join(pieces)
+        data = np.frombuffer(raw, np.uint8)
+        first, end, hashes = run_hashes(data, data != 0)
+        order = np.argsort(hashes)
+        head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
+        distinct = hashes[order[head]]
+        slot = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            some = order[head[new]]
+            self.learn([raw[a:b].decode() for a, b in zip(first[some].tolist(), end[some].tolist())])
+            self.places = np.insert(self.places, slot[new], len(self.keys) + np.arange(len(new)))
+            self.keys = np.insert(self.keys, slot[new], distinct[new])
+        word = np.empty(len(hashes), np.int64)
+        word[order] = np.repeat(self.places[np.searchsorted(self.keys, distinct)], np.diff(np.append(head, len(order))))
+        count = (self.starts[1:] - self.starts[:-1])[word] if len(word) else word
+        ids = self.flat[ranges(self.starts[word], count)]
         sums = np.concatenate([[0], np.cumsum(count)])
-        ends = np.cumsum([len(ws) for ws in pieces])
-        lengths = np.diff(sums[np.concatenate([[0], ends])])
+        offsets = np.cumsum([0] + [len(p) + 1 for p in pieces])
+        lengths = np.diff(sums[np.searchsorted(first, offsets)])
         if direct:
             found = dict(zip(direct, self.whole(list(direct.values()))))
             split = np.split(ids, np.cumsum(lengths)[:-1])
