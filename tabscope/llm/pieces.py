@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import ranges
+from .common import ranges, run_hashes
 
 SPACE = "▁"
-CACHE_WORDS = 500_000
-SLICE_CHARS = 1 << 21
+CACHE_WORDS = 2_000_000
+SLICE_CHARS = 1 << 20
 LONG = 96  # words of more characters advance on their own
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10
-MANY = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+FRONT = b"\xff" + SPACE.encode()
+AGAIN = re.compile(b"(?<=" + SPACE.encode() + b")\xff")
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
@@ -50,6 +51,7 @@ class Vocabulary:
             if sp.is_byte(i):
                 self.byte_ids[int(pieces[i][3:-1], 16)] = i
         self.longest = max(len(pieces[i]) for i in normal)
+        self.lines_apart = not any("\n" in pieces[i] for i in normal)
         codes = np.zeros((len(normal), self.longest), np.uint32)
         hashes = np.zeros(len(normal), np.uint64)
         for r, i in enumerate(normal):
@@ -61,6 +63,8 @@ class Vocabulary:
         hashes += lengths.astype(np.uint64)
         order = np.argsort(hashes)
         self.keys, self.codes, self.lengths = hashes[order], codes[order], lengths[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.round(np.array([sp.get_score(i) for i in normal])[order] * 1024).astype(np.int64)
         self.unknown_score = self.scores.min() - UNKNOWN_PENALTY * 1024
@@ -80,9 +84,10 @@ class Vocabulary:
             w = size - n + 1
             h = h[:, :w] * STEP + mixed[:, n - 1 : n - 1 + w]
             key = h + np.uint64(n)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            r, i = np.nonzero((self.keys[at] == key) & (self.lengths[at] == n))
-            place = at[r, i]
+            r, i = np.nonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])  # most substrings are no piece
+            place = np.minimum(np.searchsorted(self.keys, key[r, i]), len(self.keys) - 1)
+            hit = (self.keys[place] == key[r, i]) & (self.lengths[place] == n)
+            r, i, place = r[hit], i[hit], place[hit]
             same = np.ones(len(r), bool)
             for j in range(n):
                 same &= codes[r, i + j] == self.codes[place, j]
@@ -141,29 +146,26 @@ class Vocabulary:
         row, pos, place = row[order], pos[order], place[order]
         ids = np.where(place >= 0, self.ids[place], -1)
         edges = np.searchsorted(row, np.arange(m + 1))
-        bad = ids < 0
-        if not bad.any():
-            return [ids[a:b] for a, b in zip(edges, edges[1:])]
-        out: list[list[np.ndarray]] = [[] for _ in range(m)]
-        for r in range(m):
-            for k in range(edges[r], edges[r + 1]):
-                if bad[k]:
-                    raw = chr(codes[r, pos[k]]).encode("utf-8", "surrogatepass")
-                    out[r].append(self.byte_ids[list(raw)])
-                else:
-                    out[r].append(ids[k : k + 1])
-        return [np.concatenate(x).astype(np.int32) for x in out]
+        bad = np.flatnonzero(ids < 0)
+        size = np.ones(len(ids), np.int64)
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[row[bad], pos[bad]].tolist()]
+        size[bad] = [len(x) for x in raw]
+        ids = np.repeat(ids, size)
+        to = np.cumsum(size) - size
+        ids[ranges(to[bad], size[bad])] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        cuts = np.append(to, len(ids))[edges].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Encoder:
-    """A vocabulary with the ids of the words seen so far."""
+    """A vocabulary with the ids of the words seen so far, found by 64-bit hashes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted word hashes, number of each word
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
@@ -181,24 +183,38 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each). Pieces hold white space in front only, so words are apart."""
-        if len(self.index) > CACHE_WORDS:
+        """(ids of all texts, number of ids of each).
+
+        Pieces hold white space in front only, so words, each with the spaces
+        before it, are segmented on their own. They are cut at a byte that UTF-8
+        never holds.
+        """
+        if len(self.keys) > CACHE_WORDS:
             self.clear()
-        words = []
-        for t in texts:
-            if not t:
-                words.append([])
-                continue
-            t = SPACE + t.replace(" ", SPACE)
-            words.append(MANY.findall(t) if SPACE + SPACE in t else [SPACE + w for w in t.split(SPACE)[1:]])
-        index, known = self.index, len(self.index)
-        at = np.array([index.setdefault(w, len(index)) for ws in words for w in ws], np.int64)
-        if len(index) > known:
-            self.learn(list(index)[known:])
-        count = np.diff(self.starts)[at]
-        ids = self.flat[ranges(self.starts[at], count)]
+        parts = [b"" if not t else FRONT + t.encode("utf-8", "surrogatepass").replace(b" ", FRONT) for t in texts]
+        parts = [AGAIN.sub(b"", p) if FRONT + FRONT in p else p for p in parts]
+        if self.vocabulary.lines_apart:
+            parts = [p.replace(b"\n", b"\xff\n\xff") for p in parts]
+        raw = b"\xff".join(parts)
+        data = np.frombuffer(raw, np.uint8)
+        first, end, hashes = run_hashes(data, data != 0xFF)
+        order = np.argsort(hashes)
+        head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
+        distinct = hashes[order[head]]
+        slot = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            some = order[head[new]]
+            self.learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[some].tolist(), end[some].tolist())])
+            self.places = np.insert(self.places, slot[new], len(self.keys) + np.arange(len(new)))
+            self.keys = np.insert(self.keys, slot[new], distinct[new])
+        word = np.empty(len(hashes), np.int64)
+        word[order] = np.repeat(self.places[np.searchsorted(self.keys, distinct)], np.diff(np.append(head, len(order))))
+        count = (self.starts[1:] - self.starts[:-1])[word] if len(word) else word
+        ids = self.flat[ranges(self.starts[word], count)]
         sums = np.concatenate([[0], np.cumsum(count)])
-        return ids, np.diff(sums[np.cumsum([0] + [len(ws) for ws in words])])
+        offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
+        return ids, np.diff(sums[np.searchsorted(first, offsets)])
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
