@@ -109,14 +109,14 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
 
     Null ids and vectors that are null, zero, of another length than most, or
     hold null or non-finite components take no part. A row that repeats the
-    query's id counts as the query's own; other repeated rows count each. An
-    empty table gives an empty result; other columns are ignored.
+    query's id counts as the query's own (of several vectors, the least bytes
+    are the query); other repeated rows count each. An empty table gives an empty result; other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.lit(None).cast("long").alias("label"), "embedding")
     dim = dimension(rows, "embedding")
     base = checkpoint(prepared(rows, dim))
     n = base.count()
-    queries = base.where(F.expr(is_query.replace("vec_id", "id")))
+    queries = checkpoint(base.where(F.expr(is_query.replace("vec_id", "id"))).groupBy("id").agg(F.min("vec").alias("vec")))
     n_queries = queries.count()
     if not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -143,7 +143,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     part = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
     left = base.mapInArrow(encoded, "id long, vec binary, code binary, cell int, length double, with_code double, with_centroid double")
     left = left.withColumn("block", part(blocks, 1)).withColumn("group", every(groups))
-    right = queries.select("id", "vec").withColumn("group", part(groups, 2)).withColumn("block", every(blocks))
+    right = queries.withColumn("group", part(groups, 2)).withColumn("block", every(blocks))
     found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(both, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
