@@ -1,33 +1,33 @@
-"""Golden values of the 28-row sample (FIXTURES.md section 1)."""
+"""Golden values of the 26-row sample (FIXTURES.md section 1)."""
 
 import pytest
 
 GOLDEN = {
     # column: type, missing, missing%, unique, ratio, entropy, score, dup
-    "name": ("text", 0, 0, 26, 0.9286, 4.6645, 100, 4),
-    "age": ("numeric", 0, 0, 22, 0.7857, 4.3249, 100, 10),
-    "salary": ("numeric", 0, 0, 26, 0.9286, 4.6645, 100, 4),
-    "department": ("categorical", 0, 0, 4, 0.1429, 1.9258, 100, 28),
-    "experience": ("numeric", 0, 0, 20, 0.7143, 4.182, 100, 14),
-    "performance_score": ("numeric", 0, 0, 21, 0.75, 4.2804, 100, 13),
-    "city": ("categorical", 0, 0, 5, 0.1786, 2.2973, 100, 28),
-    "missing_value": ("numeric", 11, 39.29, 16, 0.5714, 3.3769, 85.36, 13),
+    "station": ("text", 0, 0, 24, 0.9231, 4.5466, 100, 4),
+    "height": ("numeric", 0, 0, 24, 0.9231, 4.5466, 100, 4),
+    "rain": ("numeric", 0, 0, 24, 0.9231, 4.5466, 100, 4),
+    "zone": ("categorical", 0, 0, 3, 0.1154, 1.4979, 100, 26),
+    "wind": ("numeric", 0, 0, 19, 0.7308, 4.1039, 100, 12),
+    "grade": ("numeric", 0, 0, 24, 0.9231, 4.5466, 100, 4),
+    "river": ("categorical", 0, 0, 4, 0.1538, 1.9878, 100, 26),
+    "gauge": ("numeric", 10, 38.46, 15, 0.5769, 3.3459, 85.77, 12),
 }
 NUMERIC = {
     # mean, median, std, min, max, q25, q75, lower, upper, outliers, skew, kurtosis
-    "age": (34.5357, 34.5, 6.1913, 25, 46, 29, 39.25, 13.625, 54.625, 0, 0.2876, -1.074),
-    "salary": (85142.8571, 85500, 12207.2058, 62000, 108000, 75000, 94250, 46125, 123125, 0, 0.0206, -0.876),
-    "experience": (9.6071, 8.5, 5.6263, 1, 22, 5, 13.25, -7.375, 25.625, 0, 0.5036, -0.65),
-    "performance_score": (8.5179, 8.55, 0.6135, 7.2, 9.6, 8.075, 8.925, 6.8, 10.2, 0, -0.2185, -0.652),
-    "missing_value": (89.6471, 90, 6.4802, 78, 100, 85, 94, 71.5, 107.5, 0, -0.1098, -0.817),
+    "height": (517.6538, 509, 274.4828, 120, 972, 281.75, 742.75, -409.75, 1434.25, 0, 0.072, -1.2736),
+    "rain": (671.1154, 670, 139.5153, 460, 912, 554.75, 788.75, 203.75, 1139.75, 0, 0.0652, -1.2189),
+    "wind": (8.0769, 7.5, 5.628, 0, 18, 3.25, 12.75, -11, 27, 0, 0.1193, -1.1463),
+    "grade": (6.6077, 6.65, 0.9273, 5, 8.2, 5.925, 7.275, 3.9, 9.3, 0, -0.0931, -0.9404),
+    "gauge": (73.4375, 74, 9.1139, 60, 88, 66, 80.5, 44.25, 102.25, 0, -0.1122, -1.1954),
 }
 
 
 def test_sample_loads(sample):
-    assert sample.count() == 28
+    assert sample.count() == 26
     types = dict(sample.dtypes)
-    assert types["age"] == "bigint" and types["performance_score"] == "double" and types["name"] == "string"
-    assert types["missing_value"] == "bigint"
+    assert types["height"] == "bigint" and types["grade"] == "double" and types["station"] == "string"
+    assert types["gauge"] == "bigint"
 
 
 def test_column_profile_golden(sample_profile):
@@ -50,23 +50,21 @@ def test_column_profile_golden(sample_profile):
 
 def test_table_level_golden(sample_profile, sample):
     c = sample_profile.completeness().collect()[0]
-    assert (c["total_cells"], c["missing_cells"]) == (224, 11)
+    assert (c["total_cells"], c["missing_cells"]) == (208, 10)
     m = sample_profile.missing_patterns().collect()[0]
-    assert (m["rows_with_missing"], m["completely_empty_rows"]) == (11, 0)
+    assert (m["rows_with_missing"], m["completely_empty_rows"]) == (10, 0)
     d = sample_profile.duplicates().collect()[0]
     assert (d["duplicate_rows"], d["rows_in_duplicate_groups"], d["duplicate_groups"], d["duplicate_groups_ref"]) == (2, 4, 2, 2)
     assert [r["column"] for r in sample_profile.constant_columns().collect()] == []
-    assert sorted(r["column"] for r in sample_profile.high_cardinality().collect()) == ["name", "salary"]
+    assert sorted(r["column"] for r in sample_profile.high_cardinality().collect()) == ["grade", "height", "rain", "station"]
     assert sample_profile.missing_correlation().count() == 0
 
 
 def test_strong_correlations_golden(sample_profile):
     got = {(r["col1"], r["col2"]): (r["correlation"], r["strength"]) for r in sample_profile.strong_correlations().collect()}
     expected = {
-        ("age", "salary"): (0.983, "strong"), ("age", "experience"): (0.984, "strong"),
-        ("age", "performance_score"): (0.77, "moderate"), ("salary", "experience"): (0.977, "strong"),
-        ("salary", "performance_score"): (0.81, "moderate"), ("experience", "performance_score"): (0.754, "moderate"),
-        ("performance_score", "missing_value"): (0.763, "moderate"),
+        ("height", "rain"): (0.997, "strong"), ("height", "grade"): (0.897, "moderate"),
+        ("rain", "grade"): (0.896, "moderate"), ("wind", "gauge"): (0.999, "strong"),
     }
     assert got == expected
 
@@ -74,10 +72,10 @@ def test_strong_correlations_golden(sample_profile):
 def test_histogram_golden(sample):
     from tabscope.operators.charts import histogram
 
-    rows = histogram(sample, "age", 5).orderBy("bin").collect()
-    assert [r["count"] for r in rows] == [8, 5, 6, 4, 5]
+    rows = histogram(sample, "height", 5).orderBy("bin").collect()
+    assert [r["count"] for r in rows] == [7, 5, 4, 5, 5]
     edges = [r["lo"] for r in rows] + [rows[-1]["hi"]]
-    assert edges == pytest.approx([25, 29.2, 33.4, 37.6, 41.8, 46])
+    assert edges == pytest.approx([120, 290.4, 460.8, 631.2, 801.6, 972])
 
 
 def test_report_has_all_parts(sample_profile):
@@ -85,5 +83,5 @@ def test_report_has_all_parts(sample_profile):
     for key in ("columns", "top_values", "completeness", "duplicates", "correlation_matrix", "warnings"):
         assert key in rep
     assert rep["correlation_matrix"].count() == 25
-    tv = rep["top_values"].where("column = 'department'").orderBy("rank").collect()
-    assert tv[0]["value"] == "Engineering" and tv[0]["count"] == 11
+    tv = rep["top_values"].where("column = 'zone'").orderBy("rank").collect()
+    assert tv[0]["value"] == "hill" and tv[0]["count"] == 13

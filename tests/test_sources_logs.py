@@ -10,9 +10,9 @@ def test_read_any_and_metadata(spark, sample_path, tmp_path):
     from tabscope.sources.readers import read_any, source_metadata
 
     df = read_any(spark, sample_path)
-    assert df.count() == 28
+    assert df.count() == 26
     m = source_metadata(df, "golden_sample.csv").collect()[0]
-    assert (m["rows"], m["columns"]) == (28, 8) and m["size_bytes"] > 0
+    assert (m["rows"], m["columns"]) == (26, 8) and m["size_bytes"] > 0
     with pytest.raises(ValueError):
         read_any(spark, str(tmp_path / "x.xlsx"))
 
