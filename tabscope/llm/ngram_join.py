@@ -154,6 +154,16 @@ def _entries(batch: pa.RecordBatch, threshold: Fraction) -> np.ndarray:
     return out
 
 
+def _columns(data: bytes) -> np.ndarray:
+    """Entries from their columns, one after another."""
+    out = np.empty(len(data) // ENTRY.itemsize, ENTRY)
+    at = 0
+    for c in ENTRY.names:
+        out[c] = np.frombuffer(data, ENTRY[c], len(out), at)
+        at += len(out) * ENTRY[c].itemsize
+    return out
+
+
 def list_pairs(entries: np.ndarray, threshold: Fraction) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
     """From the entries of a bucket: ((a, b, matches asked for, shared tokens), (pivot, member) of long lists).
 
@@ -249,60 +259,59 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequency = token_frequencies(rows, width)
     shown = checkpoint(_prefixes(rows, width, t, frequency))
-    reps = shown.where("doc_id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "matches", "tokens")).alias("x"))
-    reps = checkpoint(reps.select("digest", F.col("x.doc_id").alias("id"), "x.n", "x.matches", "x.tokens"))
-    n_buckets = shards_for((reps.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8, TOKENS)
+    known = shown.where("doc_id IS NOT NULL AND n > 0")
+    reps = known.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "matches", "tokens")).alias("x"))
+    reps = reps.select(F.col("x.doc_id").alias("id"), "x.n", "x.matches", "x.tokens")
+    n_buckets = shards_for((shown.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8, TOKENS)
     shared = spark.sparkContext.broadcast(frequency)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hot(e: np.ndarray) -> np.ndarray:
+        return shared.value[(e["token"] % np.uint64(BUCKETS)).astype(np.int64)] > HOT_ROWS
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e = _entries(b, t)
-            hot = shared.value[(e["token"] % np.uint64(BUCKETS)).astype(np.int64)] > HOT_ROWS
-            bucket = np.where(hot, -1, (e["token"] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32)
+            e = e[~hot(e)]
+            bucket = ((e["token"] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-2)).tolist() + [len(e)]
-            out = [(int(bucket[lo]), e[lo:hi]) for lo, hi in zip(edges, edges[1:])]
-            cold = [(k, None, None, x.tobytes()) for k, x in out if k >= 0]
-            warm = [(k, token, i, None) for k, x in out if k < 0 for token, i in zip(x["token"].view(np.int64).tolist(), x["id"].tolist())]
-            columns = list(zip(*(cold + warm))) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "token", "id", "entries"])
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(e)]
+            parts = [b"".join(np.ascontiguousarray(e[lo:hi][c]).tobytes() for c in ENTRY.names) for lo, hi in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([zlib.compress(x, 1) for x in parts], pa.binary())], ["bucket", "entries"])
+
+    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = _entries(b, t)
+            e = e[hot(e)]
+            yield pa.RecordBatch.from_arrays([pa.array(e["token"].view(np.int64)), pa.array(e["id"])], ["token", "id"])
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        (a, b, need, n), (pivot, member) = list_pairs(np.frombuffer(b"".join(group["entries"]), ENTRY), t)
+        (a, b, need, n), (pivot, member) = list_pairs(np.concatenate([_columns(zlib.decompress(x)) for x in group["entries"]]), t)
         pivot, member = np.unique(np.stack([pivot, member]), axis=1)
         zero = np.zeros(len(pivot), np.int64)
         return pd.DataFrame({"a": np.concatenate([a, pivot]), "b": np.concatenate([b, member]), "need": np.concatenate([need, zero]), "n": np.concatenate([n, zero])})
 
-    posted = checkpoint(reps.select("id", "n", "matches", "tokens").mapInArrow(post, "bucket int, token long, id long, entries binary"))
-    found = checkpoint(posted.where("bucket >= 0").groupBy("bucket").applyInPandas(pairs, "a long, b long, need long, n long"))
+    found = checkpoint(reps.mapInArrow(cold, "bucket int, entries binary").groupBy("bucket").applyInPandas(pairs, "a long, b long, need long, n long"))
     asked = found.where("need > 0").groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where("n >= need")
-    warm = posted.where("bucket < 0").select("token", "id")
-    pivots = checkpoint(warm.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1"))
-    blocks = found.where("need = 0").select("a", "b").union(warm.join(pivots, "token").select("a", F.col("id").alias("b"))).distinct()
+    frequent = checkpoint(reps.mapInArrow(warm, "token long, id long"))
+    pivots = checkpoint(frequent.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1"))
+    blocks = found.where("need = 0").select("a", "b").union(frequent.join(pivots, "token").select("a", F.col("id").alias("b"))).distinct()
     stars = asked.select(F.col("a").alias("center"), F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("kind")).distinct()
     members = checkpoint(stars.union(blocks.select(F.col("a").alias("center"), F.col("b").alias("id"), F.lit(1).alias("kind"))))
     sizes = members.groupBy("center", "kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b):
-                found = shingle_sets(part.column("text").to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "tokens"])
-
-    whole = rows.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, tokens binary")
     cut = members.join(checkpoint(sizes), ["center", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.select("center", "kind", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = linked(group["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["tokens"]], group["own"].to_numpy(), t)
+        a, b = linked(group["id"].to_numpy(), shingle_sets(group["text"].tolist(), width), group["own"].to_numpy(), t)
         return pd.DataFrame({"a": a, "b": b})
 
-    links = cut.join(whole, "id").groupBy("center", "kind", "low", "high").applyInPandas(verify, "a long, b long")
+    whole = cut.join(rows, F.col("id") == F.col("doc_id")).drop("doc_id")
+    links = whole.groupBy("center", "kind", "low", "high").applyInPandas(verify, "a long, b long")
     groups = connected_components(links)
-    labels = checkpoint(reps.join(groups, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id")))
+    least = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    labels = checkpoint(least.join(groups, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     own = shown.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
     by_id = own.groupBy("doc_id").agg(F.min("component_id").alias("least"))
     return own.drop("component_id").join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
