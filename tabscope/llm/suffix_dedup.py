@@ -245,7 +245,7 @@ def _shards(docs: DataFrame) -> DataFrame:
         data = b"".join(texts)
         return pa.RecordBatch.from_pydict({
             "ids": pa.array([_pack(ids.astype("<i8"), lengths)], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()),
-            "text": pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary()), "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            "text": pa.array([pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)], pa.binary()), "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,18 +367,22 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 own_strings = [strings[i] for i in some.tolist()]
                 out["bucket"].append(int(bucket[some[0]]))
                 out["shard"].append(row["shard"])
-                out["data"].append(_pack(some.astype(np.uint32), smallest[some], np.array([len(s) for s in own_strings], np.uint8), np.frombuffer(b"".join(own_strings), np.uint8)))
+                # both numbers rise, so their steps are packed
+                out["data"].append(_pack(np.diff(some, prepend=0).astype(np.uint32), np.diff(smallest[some], prepend=0), np.array([len(s) for s in own_strings], np.uint8), np.frombuffer(b"".join(own_strings), np.uint8)))
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "shard": pa.array(out["shard"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
 
     by_shard = packed.select("shard", "ids", "text", "n_bytes").groupBy("shard")
-    pieces = checkpoint(by_shard.cogroup(marks.groupBy("shard")).applyInArrow(cut, "bucket int, shard long, data binary"))
+    pieces = by_shard.cogroup(marks.groupBy("shard")).applyInArrow(cut, "bucket int, shard long, data binary")
 
     def classes(group: pd.DataFrame) -> pd.DataFrame:
+        if group["bucket"].iloc[0] < 0:
+            return group[["shard", "bucket", "data"]]  # what a shard noted for itself
         entry: dict[bytes, int] = {}
         of, docs, edges = [], [], [0]
         numbers = []
         for data in group["data"]:
             number, smallest, size, text = _unpack(data)
+            number, smallest = np.cumsum(number), np.cumsum(smallest)
             raw, end = text.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
             of += [entry.setdefault(raw[a:b], len(entry)) for a, b in zip([0, *end[:-1]], end)]
             docs.append(smallest)
@@ -394,8 +398,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             found.append(_pack(number[some], masks[lo:hi][some]))
         return pd.DataFrame({"shard": group["shard"], "bucket": group["bucket"], "data": found})
 
-    masks = pieces.where("bucket >= 0").groupBy("bucket").applyInPandas(classes, "shard long, bucket int, data binary")
-    answers = pieces.where("bucket < 0").select("shard", "bucket", "data").unionByName(masks)
+    to = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(-1).alias("to")
+    answers = pieces.groupBy("bucket", to).applyInPandas(classes, "shard long, bucket int, data binary")
     names = docs.columns
     digest = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema]) if keep_text else digest
