@@ -26,7 +26,7 @@ HEADLINE = [
     "dynamics_sum",
     "dynamics_median",
     "dynamics_text_dates",
-    "normality_shapiro",
+    "normality_jb",
     "sql_group_agg",
     "sql_join_inner",
     "sql_window_rank",
@@ -47,12 +47,12 @@ def main() -> None:
     # Warm the JVM and the Python workers once (class loading, code generation,
     # worker start) on 1,000 generated rows, outside the timings: the numbers
     # below are warm-service latencies.
-    from tabscope.operators.normality import normality_shapiro
     from tabscope.plans.profile import TableProfile
 
     warm = spark.range(1000).selectExpr("id", "id % 7 AS k", "CAST(id AS STRING) AS s", "id * 0.5 AS x")
-    TableProfile(warm).columns.collect()
-    normality_shapiro(warm).collect()
+    with TableProfile(warm) as p:
+        p.columns.collect()
+        p.correlation_matrix().collect()
     names = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
@@ -66,7 +66,8 @@ def main() -> None:
         """Every report part of one table from one TableProfile (shared scans)."""
         from tabscope.plans.fixtures import table
 
-        rep = TableProfile(table(spark, sf_dir, "li_nulls")).report()
+        with TableProfile(table(spark, sf_dir, "li_nulls").repartition(int(cpus))) as p:
+            rep = p.report()
         parts = [len(df.collect()) for df in rep.values()]
         return spark.createDataFrame([(len(parts), sum(parts))], "parts int, rows long")
 

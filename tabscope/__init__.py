@@ -32,7 +32,7 @@ _API = {
     "type_distribution": "tabscope.operators.table", "semantic_type_distribution": "tabscope.operators.table",
     "table_summary": "tabscope.operators.table", "table_warnings": "tabscope.operators.table",
     "profile_table": "tabscope.operators.table",
-    "normality_shapiro": "tabscope.operators.normality", "normality_jb": "tabscope.operators.normality",
+    "normality_jb": "tabscope.operators.normality",
     "exact_quantiles": "tabscope.operators.quantiles",
     # charts
     "histogram": "tabscope.operators.charts", "category_frequency": "tabscope.operators.charts",

@@ -40,19 +40,25 @@ DATE_NAME_PATTERN = r"(?i)(date|dt|time|created|updated|opened|closed|трад|
 # Semantic-type thresholds: distinct/non-null below these is categorical.
 NUMERIC_CATEGORICAL_RATIO = 0.05
 TEXT_CATEGORICAL_RATIO = 0.5
-# Defaults: histogram bins, top values, top categories, Shapiro sample, preview rows.
+# Defaults: histogram bins, top values, top categories, preview rows.
 DEFAULT_BINS = 30
 TOP_VALUES = 10
 TOP_CATEGORIES = 20
-SHAPIRO_MAX_N = 5000
-SHAPIRO_MIN_N = 8
 PREVIEW_ROWS = 50
 # Date formats tried for text columns (one format must fit every value).
 DATE_FORMATS = [
     "yyyy-MM-dd",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd HH:mm:ssXXX",
     "yyyy/MM/dd",
     "dd.MM.yyyy",
     "MM/dd/yyyy",
@@ -60,6 +66,20 @@ DATE_FORMATS = [
 ]
 
 
+def parse_date(c: Column, fmt: str) -> Column:
+    """Text as a timestamp in one format, else null. A zone in the text is read and then
+    left out: the wall-clock time stays, as a report by calendar day shows it."""
+    if fmt.endswith("XXX"):
+        zoned = c.rlike(r"(Z|[+-]\d{2}:\d{2})$")
+        return F.when(zoned, F.try_to_timestamp(F.regexp_replace(c, r"(Z|[+-]\d{2}:\d{2})$", ""), F.lit(fmt[:-3])))
+    return F.try_to_timestamp(c, F.lit(fmt))
+
+
+def is_finite(c: Column) -> Column:
+    """True for values that are neither null, NaN nor infinite."""
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
 def rnd(c: Column, places: int) -> Column:
     """Round half away from zero on the binary value scaled in double arithmetic.
 

@@ -17,10 +17,11 @@ from tabscope.functions.expressions import (
     DEFAULT_BINS,
     TOP_CATEGORIES,
     nan_to_null,
+    parse_date,
     type_class,
 )
 from tabscope.operators.quantiles import exact_quantiles
-from tabscope.plans.profile import TableProfile
+from tabscope.plans.profile import TableProfile, profiled
 from tabscope.plans.spine import q
 
 DYNAMICS_AGGS = ("sum", "mean", "median", "min", "max", "count", "nunique")
@@ -124,12 +125,12 @@ def parse_dates(df: DataFrame, column: str) -> F.Column:
     s = c.cast("string")
     distinct = df.select(s.alias("s")).where(F.col("s").isNotNull()).distinct()
     fits = distinct.agg(
-        *[F.count(F.try_to_timestamp(F.col("s"), F.lit(fmt))).alias(f"f{i}") for i, fmt in enumerate(DATE_FORMATS)]
+        *[F.count(parse_date(F.col("s"), fmt)).alias(f"f{i}") for i, fmt in enumerate(DATE_FORMATS)]
     ).collect()[0]
     best = max(range(len(DATE_FORMATS)), key=lambda i: (fits[f"f{i}"], -i))
     if fits[f"f{best}"] == 0:
         return F.lit(None).cast("timestamp_ntz")
-    return F.try_to_timestamp(s, F.lit(DATE_FORMATS[best])).cast("timestamp_ntz")
+    return parse_date(s, DATE_FORMATS[best]).cast("timestamp_ntz")
 
 
 def dynamics(df: DataFrame, date_column: str, value_column: str, agg: str = "sum") -> DataFrame:
@@ -170,9 +171,9 @@ def dynamics(df: DataFrame, date_column: str, value_column: str, agg: str = "sum
 
 def column_missing(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """``column, ordinal, missing_count, missing_percentage`` in column order."""
-    p = profile or TableProfile(df)
-    n = p.n_rows
-    rows = [(s.name, s.ordinal, p.patterns["null"][s.name]) for s in p.specs]
+    with profiled(df, profile) as p:
+        n = p.n_rows
+        rows = [(s.name, s.ordinal, p.patterns["null"][s.name]) for s in p.specs]
     d = local_frame(p.spark, rows, "column string, ordinal int, missing_count long")
     from tabscope.functions.expressions import PCT_PLACES, rnd, safe_ratio
 
@@ -188,9 +189,9 @@ def outlier_split(df: DataFrame, profile: TableProfile | None = None) -> DataFra
     ``normal_ref`` is all rows minus outliers (nulls counted as normal), the
     figure the reference's chart shows.
     """
-    p = profile or TableProfile(df)
-    n = p.n_rows
-    o = p.outliers
+    with profiled(df, profile) as p:
+        o = p.outliers
+        n = p.n_rows
     return o.select(
         "column",
         (F.col("non_null") - F.col("outlier_count")).cast("long").alias("normal"),
@@ -204,8 +205,8 @@ def outlier_split(df: DataFrame, profile: TableProfile | None = None) -> DataFra
 
 def date_candidates(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """V7: columns offered as the dynamics date axis (all columns if none qualifies)."""
-    p = profile or TableProfile(df)
-    st = p.stats.select("column", "ordinal", "type")
+    with profiled(df, profile) as p:
+        st = p.stats.select("column", "ordinal", "type")
     hit = st.where((F.col("type") == "datetime") | F.col("column").rlike(DATE_NAME_PATTERN))
     if hit.limit(1).count() == 0:
         return st.select("column", "ordinal")
@@ -220,8 +221,8 @@ def top_missing_columns(df: DataFrame, k: int = 5, profile: TableProfile | None
 
 def columns_with_outliers(df: DataFrame, k: int = 5, profile: TableProfile | None = None) -> DataFrame:
     """The first k numeric columns (column order) that have outliers."""
-    p = profile or TableProfile(df)
-    o = p.outliers.join(p.stats.select("column", "ordinal"), "column")
+    with profiled(df, profile) as p:
+        o = p.outliers.join(p.stats.select("column", "ordinal"), "column")
     return o.where(F.col("outlier_count") > 0).orderBy("ordinal").limit(k).select(
         "column", "ordinal", F.col("outlier_count").cast("long").alias("outlier_count"), "outlier_percentage"
     )

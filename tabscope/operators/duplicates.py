@@ -1,10 +1,11 @@
 """Row duplicates (T4-T6) with a hash-first pass.
 
-Pass 1 counts an 8-byte row hash (partial aggregation collapses repeated
-hashes map-side, so one huge group costs one row per task); inside a report
-this pass rides along in the frequency scan. Pass 2 only runs when some hash
-repeats: the rows with a repeated hash are grouped by their full values,
-which makes the result exact whatever the hash collisions.
+The first pass counts an 8-byte row hash (partial aggregation collapses
+repeated hashes map-side, so one huge group costs one row per task) and is
+written to the checkpoint folder, repeated hashes only. The second groups the
+rows with a repeated hash by their full values, which makes the result exact
+whatever the hash collisions. Spark chooses the join by the size of the
+written hashes.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.expressions import PCT_PLACES, rnd, safe_ratio
 from tabscope.functions.local import local_frame
 from tabscope.plans.spine import _has_map, _row_hash, clean, q
-
-# Largest number of candidate hashes / duplicate groups handed to a broadcast join.
-BROADCAST_MAX_ROWS = 1_000_000
+from tabscope.session import ensure_checkpoint_dir
 
 
 def _hashed(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -30,21 +29,19 @@ def _hashed(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def repeated_hashes(df: DataFrame) -> DataFrame:
-    """Pass 1 on its own: hashes seen more than once (``_h``)."""
+    """Hashes seen more than once (``_h``), written once."""
     h, _ = _hashed(df)
-    return h.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_h")
+    ensure_checkpoint_dir(df.sparkSession)
+    return h.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_h").checkpoint()
 
 
-def duplicate_groups(df: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def duplicate_groups(df: DataFrame) -> DataFrame:
     """Exact groups of equal rows that occur more than once: ``_h, cols..., _copies``.
 
     Nulls compare equal, like pandas ``duplicated``.
     """
     hashed, names = _hashed(df)
-    cand_h = candidates if candidates is not None else repeated_hashes(df)
-    if cand_h.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
-        cand_h = F.broadcast(cand_h)
-    cand = hashed.join(cand_h, "_h", "left_semi")
+    cand = hashed.join(repeated_hashes(df), "_h", "left_semi")
     return (
         cand.groupBy("_h", *[q(n) for n in names])
         .agg(F.count(F.lit(1)).alias("_copies"))
@@ -52,7 +49,7 @@ def duplicate_groups(df: DataFrame, candidates: DataFrame | None = None) -> Data
     )
 
 
-def duplicate_rows(df: DataFrame, n_rows: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """T4/T5: one row ``duplicate_rows, duplicate_percentage, rows_in_duplicate_groups,
     duplicate_groups, duplicate_groups_ref``.
 
@@ -61,15 +58,12 @@ def duplicate_rows(df: DataFrame, n_rows: int | None = None, candidates: DataFra
     """
     n = df.count() if n_rows is None else n_rows
     spark = df.sparkSession
-    if candidates is not None and candidates.limit(1).count() == 0:
-        dup = rows_in = groups = 0
-    else:
-        r = duplicate_groups(df, candidates).agg(
-            F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("d"),
-            F.coalesce(F.sum("_copies"), F.lit(0)).alias("r"),
-            F.count(F.lit(1)).alias("g"),
-        ).collect()[0]
-        dup, rows_in, groups = int(r["d"]), int(r["r"]), int(r["g"])
+    r = duplicate_groups(df).agg(
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("d"),
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("r"),
+        F.count(F.lit(1)).alias("g"),
+    ).collect()[0]
+    dup, rows_in, groups = int(r["d"]), int(r["r"]), int(r["g"])
     out = local_frame(spark, [(dup, rows_in, groups)], "d long, r long, g long")
     return out.select(
         F.col("d").alias("duplicate_rows"),
@@ -81,14 +75,12 @@ def duplicate_rows(df: DataFrame, n_rows: int | None = None, candidates: DataFra
 
 
 def duplicate_row_list(df: DataFrame) -> DataFrame:
-    """Every row that has an equal copy (all copies kept), with its group size."""
-    hashed, names = _hashed(df)
-    groups = duplicate_groups(df)
-    right = groups.select("_h", *[q(n).alias(f"_r_{i}") for i, n in enumerate(names)], "_copies")
-    if right.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
-        right = F.broadcast(right)
-    # Join on the hash (plain equi key), then null-safe on every value.
-    cond = [hashed["_h"] == right["_h"]] + [hashed[f"`{n}`"].eqNullSafe(right[f"_r_{i}"]) for i, n in enumerate(names)]
-    joined = hashed.join(right, cond, "inner")
-    # Map-bearing values come back as their JSON text (the form they were compared in).
-    return joined.select(*[hashed[f"`{n}`"].alias(n) for n in names], right["_copies"].alias("group_size"))
+    """Every row that has an equal copy (all copies kept), with its group size.
+
+    The copies of a group are equal, so each group is repeated as often as it
+    was counted; no join with the table is needed. Map-bearing values come back
+    as their JSON text (the form they were compared in).
+    """
+    names = [f.name for f in df.schema.fields]
+    groups = duplicate_groups(df).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return groups.select(*[q(n) for n in names], F.col("_copies").alias("group_size"))

@@ -1,185 +1,22 @@
-"""Normality tests: Shapiro-Wilk on a bounded sample (P8) and Jarque-Bera on all rows.
-
-Shapiro-Wilk follows Royston's published algorithm (Applied Statistics
-algorithm AS R94, 1995): coefficient approximation for n >= 4 and the normal
-approximation of log(1 - W) for the p-value. The "first 5,000 values" of the
-reference have no meaning without an order, so the sample is the 5,000
-values with the smallest row hash per column (deterministic, and the partial
-group limit keeps every map task's contribution at 5,000 rows per column).
-One ``applyInPandas`` group per column then holds at most 5,000 values.
-"""
+"""Normality of numeric columns (P8, E2): Jarque-Bera over all rows."""
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.expressions import SHAPIRO_MAX_N, SHAPIRO_MIN_N, STAT_PLACES, rnd
-from tabscope.plans.profile import TableProfile
-from tabscope.plans.spine import clean, column_specs, q
-from tabscope.functions.local import local_frame
-from tabscope.session import spread_if_narrow
+from tabscope.functions.expressions import STAT_PLACES, rnd
+from tabscope.plans.profile import TableProfile, profiled
 
-# Polynomial coefficients of Royston's AS R94 approximations.
-_C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
-_C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
-_C3 = [0.544, -0.39978, 0.025054, -6.714e-4]
-_C4 = [1.3822, -0.77857, 0.062767, -0.0020322]
-_C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
-_C6 = [-0.4803, -0.082676, 0.0030302]
-_G = [-2.273, 0.459]
+# Fixed value: significance level of the verdict.
 ALPHA = 0.05
 
 
-def _poly(c, x):
-    out = 0.0
-    for k in reversed(c):
-        out = out * x + k
-    return out
-
-
-def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """(W, p) for a 1-d sample with n >= 3."""
-    x = np.sort(np.asarray(x, dtype=float))
-    n = len(x)
-    if n < 3:
-        raise ValueError("need at least 3 values")
-    if x[-1] - x[0] <= 0:
-        return 1.0, 1.0
-    half = n // 2
-    if n == 3:
-        a_half = np.array([math.sqrt(0.5)])
-    else:
-        nd = NormalDist()
-        m = np.array([nd.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, half + 1)])
-        summ2 = 2.0 * float(np.sum(m * m))
-        ssumm2 = math.sqrt(summ2)
-        rsn = 1.0 / math.sqrt(n)
-        a1 = _poly(_C1, rsn) - m[0] / ssumm2
-        a_half = np.empty(half)
-        if n > 5:
-            a2 = -m[1] / ssumm2 + _poly(_C2, rsn)
-            fac = math.sqrt((summ2 - 2.0 * m[0] ** 2 - 2.0 * m[1] ** 2) / (1.0 - 2.0 * a1 ** 2 - 2.0 * a2 ** 2))
-            a_half[1] = a2
-            start = 2
-        else:
-            fac = math.sqrt((summ2 - 2.0 * m[0] ** 2) / (1.0 - 2.0 * a1 ** 2))
-            start = 1
-        a_half[0] = a1
-        a_half[start:] = -m[start:] / fac
-    coef = np.zeros(n)
-    coef[:half] = -a_half
-    coef[n - half:] = a_half[::-1]
-    xs = (x - x.mean()) / (x[-1] - x[0])
-    cs = coef - coef.mean()
-    w = float(np.dot(cs, xs) ** 2 / (np.dot(cs, cs) * np.dot(xs, xs)))
-    w = min(w, 1.0)
-    if n == 3:
-        p = max(0.0, (6.0 / math.pi) * (math.asin(math.sqrt(w)) - math.pi / 3.0))
-        return w, p
-    w1 = 1.0 - w
-    if w1 <= 0:
-        return w, 1.0
-    y = math.log(w1)
-    if n <= 11:
-        gamma = _poly(_G, n)
-        if y >= gamma:
-            return w, 1e-99
-        y = -math.log(gamma - y)
-        mu = _poly(_C3, n)
-        sigma = math.exp(_poly(_C4, n))
-    else:
-        ln = math.log(n)
-        mu = _poly(_C5, ln)
-        sigma = math.exp(_poly(_C6, ln))
-    p = 0.5 * math.erfc(((y - mu) / sigma) / math.sqrt(2.0))
-    return w, p
-
-
-def _test_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    col = pdf["column"].iloc[0]
-    v = pdf["v"].to_numpy(dtype=float)
-    n = len(v)
-    if n < SHAPIRO_MIN_N:
-        return pd.DataFrame({"column": [col], "n": [n], "test": ["N/A"], "statistic": [None], "p_value": [None]})
-    w, p = shapiro_wilk(v)
-    return pd.DataFrame({"column": [col], "n": [n], "test": ["Shapiro-Wilk"], "statistic": [w], "p_value": [p]})
-
-
-def _hash_cut(fraction: float) -> int:
-    """The signed 64-bit hash below which a ``fraction`` of uniform hashes fall."""
-    if fraction >= 1.0:
-        return 2 ** 63 - 1
-    return int(-(2 ** 63) + fraction * 2.0 ** 64)
-
-
-def normality_shapiro(df: DataFrame, max_n: int = SHAPIRO_MAX_N, oversample: float = 3.0) -> DataFrame:
-    """``column, n, test, statistic, p_value, is_normal`` for every numeric column
-    with a non-null value; columns with fewer than 8 values report ``N/A``.
-
-    The sample per column is the ``max_n`` values with the smallest row hash.
-    Sorting every row to find them would cost a full sort of the table, so rows
-    are first cut at a hash threshold that keeps about ``oversample * max_n``
-    values per column (a filter, no sort); the smallest ``max_n`` among the
-    survivors are the smallest overall whenever at least ``max_n`` survive,
-    which is checked afterwards (a column that falls short is redone uncut).
-    """
-    base = spread_if_narrow(clean(df))
-    nums = [s for s in column_specs(base) if s.numeric]
-    spark = df.sparkSession
-    schema = "column string, n long, test string, statistic double, p_value double"
-    if not nums:
-        return spark.createDataFrame([], schema + ", is_normal boolean")
-    counts = base.agg(*[F.count(q(s.name)).alias(s.name) for s in nums]).collect()[0].asDict()
-    row_hash = F.xxhash64(*[q(c) for c in base.columns])
-    long = base.select(row_hash.alias("h"), *[q(s.name).cast("double").alias(s.name) for s in nums]).unpivot(
-        ["h"], [q(s.name) for s in nums], "column", "v"
-    ).where(F.col("v").isNotNull())
-
-    # Ship this module's code with the task, so executors need no installed copy.
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-    def run(cols: list[str], cut: bool) -> list:
-        part = long.where(F.col("column").isin(cols))
-        if cut:
-            limit = None
-            for c in cols:
-                frac = oversample * max_n / counts[c] if counts[c] else 1.0
-                cond = F.col("h") <= F.lit(_hash_cut(frac))
-                limit = F.when(F.col("column") == c, cond) if limit is None else limit.when(F.col("column") == c, cond)
-            part = part.where(limit.otherwise(F.lit(True)))
-        w = Window.partitionBy("column").orderBy("h", "v")
-        sample = part.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max_n).select("column", "v")
-        return sample.groupBy("column").applyInPandas(_test_group, schema).collect()
-
-    live = [s.name for s in nums if counts[s.name] > 0]
-    rows = run(live, cut=True) if live else []
-    short = [r["column"] for r in rows if r["n"] < min(max_n, counts[r["column"]])]
-    if short:
-        rows = [r for r in rows if r["column"] not in short] + run(short, cut=False)
-    out = local_frame(spark, rows, schema)
-    return out.select(
-        "column", "n", "test",
-        rnd(F.col("statistic"), 6).alias("statistic"),
-        rnd(F.col("p_value"), 6).alias("p_value"),
-        F.when(F.col("p_value").isNotNull(), F.col("p_value") > ALPHA).alias("is_normal"),
-    )
-
-
 def normality_jb(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
-    """Jarque-Bera from population skewness and excess kurtosis over all rows:
+    """Jarque-Bera from population skewness and excess kurtosis over all finite values:
     ``JB = n/6 (S^2 + K^2/4)``, p = exp(-JB/2) (chi-square with 2 degrees of freedom)."""
-    p = profile or TableProfile(df)
-    m = p.numeric.where((F.col("n") >= 3) & F.col("_skew_raw").isNotNull())
+    with profiled(df, profile) as p:
+        m = p.numeric.where((F.col("n") >= 3) & F.col("_skew_raw").isNotNull())
     jb = F.col("n") / 6.0 * (F.pow(F.col("_skew_raw"), 2) + F.pow(F.col("_kurt_raw"), 2) / 4.0)
     return m.select(
         "column", "n",

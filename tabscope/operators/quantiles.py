@@ -2,7 +2,7 @@
 
 ``percentile`` keeps a value map per group in one task, which does not hold
 when a single column (or a single day) carries billions of distinct values.
-Here the selection is distributed:
+Here the selection is distributed, at every size:
 
 1. pre-aggregate ``(keys, v) -> w`` (hot values collapse map-side);
 2. range-partition by ``(keys, v)`` and write once, as Parquet, to the shared
@@ -10,9 +10,9 @@ Here the selection is distributed:
    are frozen in a column before anything reads them twice);
 3. per ``(pid, keys)`` weight totals (at most partitions + groups rows) give
    the rank offset of every segment;
-4. only the segments that hold a target rank are re-read (the ``_pid`` filter
-   prunes the other files) and ranked with a running-sum window over one
-   segment each, which is bounded by the partition size.
+4. only the segments that hold a target rank are joined back and ranked with
+   a running-sum window over one segment each, which is bounded by the
+   partition size.
 
 Interpolation follows pandas/numpy ``linear`` and DuckDB ``quantile_cont``:
 position ``p * (n - 1)`` over the sorted non-null values.
@@ -25,14 +25,10 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.functions.local import local_frame
-
 from tabscope.session import ensure_checkpoint_dir
 
-# Largest small-side row count this module hands to a broadcast join.
-BROADCAST_MAX_ROWS = 200_000
-# Largest distinct-value count per group for Spark's exact ``percentile``.
-EXACT_MAP_MAX = 2_000_000
+# Values of one range partition (about 50 MB).
+PARTITION_ROWS = 2_000_000
 
 
 def scratch_path(spark, tag: str) -> str:
@@ -47,14 +43,12 @@ def exact_quantiles(
     probs: list[float],
     names: list[str] | None = None,
     weight: str | None = None,
-    unique: bool = False,
     partitions: int | None = None,
-    force_distributed: bool = False,
 ) -> DataFrame:
     """Return ``keys + names`` with one row per group that has a non-null value.
 
-    ``weight`` counts repeated values; ``unique=True`` says ``(keys, value)``
-    is already unique (skips the pre-aggregation shuffle).
+    ``weight`` counts repeated values. The number of range partitions follows
+    the number of input rows unless it is given.
     """
     spark = df.sparkSession
     names = names or [f"q{int(round(p * 100))}" for p in probs]
@@ -62,15 +56,8 @@ def exact_quantiles(
     d = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v"), w_col.alias("_w")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    if not unique:
-        d = d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    # Size check: when no group holds more than EXACT_MAP_MAX distinct values,
-    # Spark's exact ``percentile`` (a value map per group) is bounded and cheaper.
-    widest = None if force_distributed else d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).collect()[0][0]
-    if not force_distributed and (widest is None or widest <= EXACT_MAP_MAX):
-        q = d.groupBy(*keys).agg(F.percentile("_v", probs, F.col("_w")).alias("_q"))
-        return q.select(*keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    p = partitions or max(1, -(-df.count() // PARTITION_ROWS))
     path = scratch_path(spark, "quantiles")
     d.repartitionByRange(p, *keys, "_v").withColumn("_pid", F.spark_partition_id()).write.parquet(path)
     ranged = spark.read.parquet(path)
@@ -96,24 +83,15 @@ def exact_quantiles(
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_seg_w")))
         .select("_pid", *keys, "_before", "_qi", "_lo", "_hi", "_frac", "_rank")
     )
-    # hits holds at most 2 * len(probs) rows per group. Below a checked row count
-    # it goes to the executors as a broadcast; beyond it, a shuffled join.
-    sample = hits.limit(BROADCAST_MAX_ROWS + 1).collect()
-    if len(sample) <= BROADCAST_MAX_ROWS:
-        hits_df = F.broadcast(local_frame(spark, sample, hits.schema))
-        pids = sorted({r["_pid"] for r in sample})
-        ranged = ranged.where(F.col("_pid").isin(pids))
-    else:
-        hits_df = hits
-    segs = hits_df.select("_pid", *keys, "_before").distinct()
+    segs = hits.select("_pid", *keys, "_before").distinct()
     rel = ranged.join(segs, ["_pid", *keys])
     seg_win = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     rel = rel.withColumn("_cum", F.col("_before") + F.sum("_w").over(seg_win))
-    picked = rel.join(hits_df.select("_pid", *keys, "_rank").distinct(), ["_pid", *keys]).where(
+    picked = rel.join(hits.select("_pid", *keys, "_rank").distinct(), ["_pid", *keys]).where(
         (F.col("_rank") >= F.col("_cum") - F.col("_w")) & (F.col("_rank") < F.col("_cum"))
     ).select(*keys, "_rank", "_v")
 
-    targets = hits_df.select(*keys, "_qi", "_lo", "_hi", "_frac").distinct()
+    targets = hits.select(*keys, "_qi", "_lo", "_hi", "_frac").distinct()
     lo = picked.withColumnRenamed("_rank", "_lo").withColumnRenamed("_v", "_vlo")
     hi = picked.withColumnRenamed("_rank", "_hi").withColumnRenamed("_v", "_vhi")
     q = targets.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"]).withColumn(

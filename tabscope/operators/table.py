@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.operators import duplicates as _dups
-from tabscope.plans.profile import TableProfile
-
-
-def _p(df: DataFrame, profile: TableProfile | None) -> TableProfile:
-    return profile or TableProfile(df)
+from tabscope.plans.profile import TableProfile, profiled
 
 
 def table_completeness(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Rows, columns, cells, missing cells, missing % and completeness %."""
-    return _p(df, profile).completeness()
+    with profiled(df, profile) as p:
+        return p.completeness()
 
 
 def overall_quality(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Mean column score and verdict."""
-    return _p(df, profile).overall_quality()
+    with profiled(df, profile) as p:
+        return p.overall_quality()
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -35,65 +33,78 @@ def duplicate_row_list(df: DataFrame) -> DataFrame:
 
 def column_duplicates(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Rows whose value repeats in the column (null counts as a value); columns with > 0 only."""
-    return _p(df, profile).stats.where(F.col("duplicate_count") > 0).select("column", "ordinal", "duplicate_count")
+    with profiled(df, profile) as p:
+        return p.stats.where(F.col("duplicate_count") > 0).select("column", "ordinal", "duplicate_count")
 
 
 def missing_patterns(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Fully empty rows and rows with any missing value."""
-    return _p(df, profile).missing_patterns()
+    with profiled(df, profile) as p:
+        return p.missing_patterns()
 
 
 def missing_correlation(df: DataFrame, threshold: float = 0.5, profile: TableProfile | None = None) -> DataFrame:
     """Column pairs whose missingness correlates (|phi| > threshold)."""
-    return _p(df, profile).missing_correlation(threshold)
+    with profiled(df, profile) as p:
+        return p.missing_correlation(threshold)
 
 
 def correlation_matrix(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix of numeric columns, long form."""
-    return _p(df, profile).correlation_matrix()
+    with profiled(df, profile) as p:
+        return p.correlation_matrix()
 
 
 def strong_correlations(df: DataFrame, hide_ids: bool = False, threshold: float = 0.7,
                         profile: TableProfile | None = None) -> DataFrame:
     """|r| > threshold pairs, optionally without id-like columns."""
-    return _p(df, profile).strong_correlations(hide_ids=hide_ids, threshold=threshold)
+    with profiled(df, profile) as p:
+        return p.strong_correlations(hide_ids=hide_ids, threshold=threshold)
 
 
 def constant_columns(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """T13."""
-    return _p(df, profile).constant_columns()
+    with profiled(df, profile) as p:
+        return p.constant_columns()
 
 
 def high_cardinality(df: DataFrame, threshold: float = 0.9, profile: TableProfile | None = None) -> DataFrame:
     """T14."""
-    return _p(df, profile).high_cardinality(threshold)
+    with profiled(df, profile) as p:
+        return p.high_cardinality(threshold)
 
 
 def data_size(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """T15 (re-aimed): logical bytes per column."""
-    return _p(df, profile).data_size()
+    with profiled(df, profile) as p:
+        return p.data_size()
 
 
 def type_distribution(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Storage type -> column count."""
-    return _p(df, profile).type_distribution()
+    with profiled(df, profile) as p:
+        return p.type_distribution()
 
 
 def semantic_type_distribution(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Semantic type -> column count."""
-    return _p(df, profile).semantic_type_distribution()
+    with profiled(df, profile) as p:
+        return p.semantic_type_distribution()
 
 
 def table_summary(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Short summary row."""
-    return _p(df, profile).summary()
+    with profiled(df, profile) as p:
+        return p.summary()
 
 
 def table_warnings(df: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """Constant and high-cardinality columns."""
-    return _p(df, profile).warnings()
+    with profiled(df, profile) as p:
+        return p.warnings()
 
 
-def profile_table(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
+def profile_table(df: DataFrame) -> dict[str, DataFrame]:
     """The full report as a dict of small DataFrames sharing one set of scans."""
-    return TableProfile(df, approx=approx).report()
+    with profiled(df) as p:
+        return p.report()

@@ -1,14 +1,15 @@
 """``TableProfile``: builds each shared scan once and derives every column and
 table metric from them. Public operators (``tabscope.operators``) are thin
-views of this object, so a full report costs: one null-pattern aggregate, one
-frequency aggregate (persisted), one distributed quantile selection over its
-numeric part, the batched correlation aggregate and the hash-first duplicate
+views of this object, so a full report costs: one frequency aggregate with the
+null patterns (persisted until ``close``), one distributed quantile selection
+over its numeric part, one correlation pass and the hash-first duplicate
 pass. Only per-column rows reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from functools import cached_property
 from itertools import combinations
 
@@ -38,33 +39,34 @@ from tabscope.functions.expressions import (
     safe_ratio,
     status_band,
 )
-from tabscope.operators.quantiles import EXACT_MAP_MAX, exact_quantiles
+from tabscope.operators.quantiles import PARTITION_ROWS, exact_quantiles
 from tabscope.plans import spine
-from tabscope.session import reuse, spread_if_narrow
-
-
+from tabscope.session import reuse
 
 
 class TableProfile:
-    def __init__(self, df: DataFrame, columns: list[str] | None = None, approx: bool = False,
-                 wide_corr: bool = False):
+    """Shared scans of one table. Use it in a ``with`` block, or call ``close``, to free the cache."""
+
+    def __init__(self, df: DataFrame, columns: list[str] | None = None):
         self.raw = df
         selected = df.select(*[spine.q(c) for c in columns]) if columns else df
         self._persisted: list[DataFrame] = []
-        base = spine.clean(selected)
-        self.base = spread_if_narrow(base)
+        self.base = spine.clean(selected)
         self.specs = spine.column_specs(self.base)
         self.spark = df.sparkSession
-        self.approx = approx
-        self.wide_corr = wide_corr
+
+    def __enter__(self) -> "TableProfile":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     # ------------------------------------------------------------------ scans
     @cached_property
     def patterns(self) -> dict:
         """Null-pattern facts from M. M rides along in F's scan; when F has not been
         built (a missing-values question alone) M is its own small aggregate."""
-        if "freq" in self.__dict__ or self._freq_plan().storageLevel.useMemory:
-            # F is built (here, or cached by an earlier profile of the same input).
+        if "freq" in self.__dict__:
             return spine.patterns_from_frequencies(self.freq, self.specs, pairs=True)
         return spine.pattern_stats(spine.null_patterns(self.base, self.specs), self.specs, pairs=True)
 
@@ -72,38 +74,26 @@ class TableProfile:
     def n_rows(self) -> int:
         return int(self.patterns["rows"])
 
-    def _freq_plan(self) -> DataFrame:
-        return spine.frequencies(self.base, self.specs)
-
     @cached_property
     def freq(self) -> DataFrame:
-        f = reuse(self._freq_plan())
+        f = reuse(spine.frequencies(self.base, self.specs))
         self._persisted.append(f)
         return f
 
-    @cached_property
-    def specs_df(self) -> DataFrame:
-        return spine.specs_frame(self.spark, self.specs)
-
     def close(self) -> None:
+        """Free the cached frequency table; facts already collected stay."""
         for d in self._persisted:
             d.unpersist()
         self._persisted.clear()
+        self.__dict__.pop("freq", None)
 
     # ------------------------------------------------------- per-column facts
     @cached_property
-    def _facts(self) -> list[dict]:
-        """Every per-column fact, collected once (one row per column: bounded by the
-        schema, not the data). Three jobs: F's per-column aggregate, the quantile
-        selection, and one pass over F's numeric part for central moments and
-        outlier counts."""
+    def _basic(self) -> list[dict]:
+        """Counts, distinct values, entropy, range and date fits of every column, from F."""
+        freq = self.freq  # before the row count, which then rides in it
         n = self.n_rows
-        # When the row count itself bounds every column's distinct values, the exact
-        # percentile rides in the same aggregate (one job less).
-        fused = not self.approx and n <= EXACT_MAP_MAX
-        probs = [0.25, 0.5, 0.75]
-        got = {r["column"]: r.asDict() for r in
-               spine.column_stats(self.freq, self.specs, n, quantiles=probs if fused else None).collect()}
+        got = {r["column"]: r.asDict() for r in spine.column_stats(freq, self.specs, n).collect()}
         facts = []
         for s in self.specs:
             r = got.get(s.name, {})
@@ -114,23 +104,26 @@ class TableProfile:
                 "duplicate_count": int(r.get("duplicate_count") or 0), "vmin": r.get("vmin"), "vmax": r.get("vmax"),
                 "n_num": int(r.get("n_num") or 0), "mean": r.get("mean"),
                 "date_fit_max": int(r.get("date_fit_max") or 0),
-                "q25": None, "median": None, "q75": None, "m2": None, "m3": None, "m4": None,
-                "below": None, "above": None,
             })
+        return facts
+
+    @cached_property
+    def _facts(self) -> list[dict]:
+        """The basic facts plus quantiles, central moments and outlier counts (two more passes over F)."""
+        facts = [dict(f) for f in self._basic]
         by_name = {f["column"]: f for f in facts}
         live = [f for f in facts if f["cls"] == "numeric" and f["n_num"] > 0]
         if live:
-            rows = ([(f["column"], *(got[f["column"]]["quantiles"] or [None] * 3)) for f in live] if fused
-                    else self._quantile_rows(live))
-            for col, q25, med, q75 in rows:
-                by_name[col].update(q25=q25, median=med, q75=q75)
+            distinct = sum(f["unique_count"] for f in live)
+            q = exact_quantiles(spine.numeric_frequencies(self.freq), ["column"], "dval", [0.25, 0.5, 0.75],
+                                ["q25", "median", "q75"], weight="cnt", partitions=max(1, -(-distinct // PARTITION_ROWS)))
+            for r in q.collect():
+                by_name[r["column"]].update(q25=r["q25"], median=r["median"], q75=r["q75"])
             small = []
             for f in live:
-                iqr = (f["q75"] - f["q25"]) if f["q75"] is not None and f["q25"] is not None else None
-                lo = f["q25"] - IQR_K * iqr if iqr is not None else None
-                hi = f["q75"] + IQR_K * iqr if iqr is not None else None
-                f["lower_bound"], f["upper_bound"] = lo, hi
-                small.append((f["column"], f["mean"], lo, hi))
+                iqr = f["q75"] - f["q25"]
+                f["lower_bound"], f["upper_bound"] = f["q25"] - IQR_K * iqr, f["q75"] + IQR_K * iqr
+                small.append((f["column"], f["mean"], f["lower_bound"], f["upper_bound"]))
             fences = local_frame(self.spark, small, "column string, mean double, lower_bound double, upper_bound double")
             # One row per numeric column: a bounded broadcast.
             j = spine.numeric_frequencies(self.freq).join(F.broadcast(fences), "column")
@@ -145,52 +138,27 @@ class TableProfile:
                 by_name[r["column"]].update(m2=r["m2"], m3=r["m3"], m4=r["m4"], below=int(r["below"]), above=int(r["above"]))
         return facts
 
-    def _quantile_rows(self, live: list[dict]) -> list[tuple]:
-        """(column, q25, median, q75) per numeric column.
-
-        Columns whose checked distinct count fits ``EXACT_MAP_MAX`` use Spark's
-        exact ``percentile`` with F's counts as frequencies (its value map per
-        column is bounded by that count); larger columns go through the
-        distributed range selection. ``approx=True`` uses a bounded sketch.
-        """
-        probs = [0.25, 0.5, 0.75]
-        num = spine.numeric_frequencies(self.freq)
-        out = []
-        if self.approx:
-            cols = [f["column"] for f in live]
-            long = self.base.select(*[spine.q(c).cast("double").alias(c) for c in cols]).unpivot([], [spine.q(c) for c in cols], "column", "v")
-            q = long.where(F.col("v").isNotNull()).groupBy("column").agg(
-                F.percentile_approx("v", probs, 10000).alias("q"))
-            return [(r["column"], *r["q"]) for r in q.collect()]
-        small = [f["column"] for f in live if f["unique_count"] <= EXACT_MAP_MAX]
-        big = [f["column"] for f in live if f["unique_count"] > EXACT_MAP_MAX]
-        if small:
-            q = num.where(F.col("column").isin(small)).groupBy("column").agg(
-                F.percentile("dval", probs, F.col("cnt")).alias("q"))
-            out += [(r["column"], *r["q"]) for r in q.collect()]
-        if big:
-            q = exact_quantiles(num.where(F.col("column").isin(big)), ["column"], "dval", probs,
-                                ["q25", "median", "q75"], weight="cnt", unique=True, force_distributed=True)
-            out += [(r["column"], r["q25"], r["median"], r["q75"]) for r in q.collect()]
-        return out
-
     @cached_property
     def facts(self) -> DataFrame:
         """The collected facts as one local relation; every per-column view below is
         a projection of it (evaluated on the driver, no job)."""
+        return self._frame(self._facts)
+
+    def _frame(self, facts: list[dict]) -> DataFrame:
         schema = ("column string, ordinal int, storage_type string, cls string, integral boolean, n_rows long, "
                   "missing_count long, unique_count long, entropy_raw double, duplicate_count long, vmin double, "
                   "vmax double, n_num long, mean double, date_fit_max long, q25 double, median double, q75 double, "
                   "m2 double, m3 double, m4 double, below long, above long, lower_bound double, upper_bound double")
         names = [x.split()[0] for x in schema.split(", ")]
-        rows = [tuple(f.get(k) for k in names) for f in self._facts]
+        rows = [tuple(f.get(k) for k in names) for f in facts]
         return local_frame(self.spark, rows, schema)
 
     @cached_property
     def stats(self) -> DataFrame:
         """Column facts + semantic type (P1-P4, T7), one row per column."""
+        frame = self._frame(self._basic)
         n = self.n_rows
-        return self.facts.select(
+        return frame.select(
             "column", "ordinal", "storage_type", "cls", "integral",
             self._type_expr().alias("type"),
             "missing_count",
@@ -202,11 +170,6 @@ class TableProfile:
             (F.lit(n) - F.col("missing_count")).alias("non_null"),
         )
 
-    @cached_property
-    def quantiles(self) -> DataFrame:
-        """(column, q25, median, q75) over non-null numeric values."""
-        return self.facts.where(F.col("n_num") > 0).select("column", "q25", "median", "q75")
-
     @cached_property
     def outliers(self) -> DataFrame:
         """(column, outlier_count, outlier_percentage, lower_bound, upper_bound, below, above, non_null)."""
@@ -219,94 +182,75 @@ class TableProfile:
             F.col("n_num").alias("non_null"),
         )
 
-    @cached_property
-    def moments(self) -> DataFrame:
-        """(column, n, mean, std, skew, kurt) from centred sums over F.
+    @staticmethod
+    def _shape() -> dict:
+        """Standard deviation, population skewness and excess kurtosis from the central sums.
 
-        Skewness and kurtosis are the population (biased) definitions; they are
-        null when the variance vanishes against the mean's resolution.
+        Skewness and kurtosis are null below 3 values or when the variance
+        vanishes against the mean's resolution.
         """
         n = F.col("n_num").cast("double")
         var_pop = F.col("m2") / n
-        flat = var_pop <= F.pow(F.lit(1e-15) * F.col("mean"), 2)
-        return self.facts.where(F.col("n_num") > 0).select(
-            "column",
-            F.col("n_num").alias("n"),
-            "mean",
-            F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (n - 1))).alias("std"),
-            F.when(~flat, (F.col("m3") / n) / F.pow(var_pop, 1.5)).alias("skew"),
-            F.when(~flat, (F.col("m4") / n) / F.pow(var_pop, 2) - 3.0).alias("kurt"),
-        )
+        enough = (F.col("n_num") >= 3) & (var_pop > F.pow(F.lit(1e-15) * F.col("mean"), 2))
+        return {
+            "std": F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (n - 1))),
+            "skewness": F.when(enough, (F.col("m3") / n) / F.pow(var_pop, 1.5)),
+            "kurtosis": F.when(enough, (F.col("m4") / n) / F.pow(var_pop, 2) - 3.0),
+        }
 
     @cached_property
     def numeric(self) -> DataFrame:
         """Numeric statistics block (P5 + P7), rounded."""
-        n = F.col("n_num").cast("double")
-        var_pop = F.col("m2") / n
-        flat = var_pop <= F.pow(F.lit(1e-15) * F.col("mean"), 2)
-        enough = (F.col("n_num") >= 3) & ~flat
-        skew = (F.col("m3") / n) / F.pow(var_pop, 1.5)
-        kurt = (F.col("m4") / n) / F.pow(var_pop, 2) - 3.0
-        std = F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (n - 1)))
+        shape = self._shape()
         return self.facts.where(F.col("n_num") > 0).select(
             "column",
             "ordinal",
             rnd(F.col("mean"), STAT_PLACES).alias("mean"),
             rnd(F.col("median"), STAT_PLACES).alias("median"),
-            rnd(std, STAT_PLACES).alias("std"),
+            rnd(shape["std"], STAT_PLACES).alias("std"),
             rnd(F.col("vmin"), STAT_PLACES).alias("min"),
             rnd(F.col("vmax"), STAT_PLACES).alias("max"),
             rnd(F.col("q25"), STAT_PLACES).alias("q25"),
             rnd(F.col("q75"), STAT_PLACES).alias("q75"),
-            F.when(enough, rnd(skew, STAT_PLACES)).alias("skewness"),
-            F.when(enough, rnd(kurt, STAT_PLACES)).alias("kurtosis"),
+            rnd(shape["skewness"], STAT_PLACES).alias("skewness"),
+            rnd(shape["kurtosis"], STAT_PLACES).alias("kurtosis"),
             F.col("n_num").alias("n"),
-            F.when(enough, skew).alias("_skew_raw"),
-            F.when(enough, kurt).alias("_kurt_raw"),
+            shape["skewness"].alias("_skew_raw"),
+            shape["kurtosis"].alias("_kurt_raw"),
         )
 
     def top_values(self, k: int = TOP_VALUES, columns: list[str] | None = None, types=("categorical", "text", "boolean")) -> DataFrame:
         """(column, rank, value, count, percentage): most frequent non-null values.
 
         ``row_number() <= k`` lets Spark insert a partial group limit before the
-        shuffle, so each map task sends at most k rows per column.
+        shuffle, so each map task sends at most k rows per column. The k rows of
+        each column are collected; long texts among them are read again whole.
         """
+        freq = self.freq
         n = self.n_rows
         if columns is None:
-            chosen = [r["column"] for r in self.stats.where(F.col("type").isin(list(types))).select("column").collect()]
-        else:
-            chosen = columns
-        integral = [s.name for s in self.specs if s.integral]
-        display = (
-            F.when(F.col("dval").isNull(), F.col("sval"))
-            .when(F.col("column").isin(integral), F.col("dval").cast("long").cast("string"))
-            .otherwise(F.col("dval").cast("string"))
-        )
-        f = self.freq.where(F.col("column").isin(chosen) & (F.col("sval").isNotNull() | F.col("dval").isNotNull()))
+            columns = [r["column"] for r in self.stats.where(F.col("type").isin(list(types))).select("column").collect()]
+        single = [s.name for s in self.specs if s.type_name == "float"]
+        as_float = F.when(F.col("column").isin(single), F.col("dval").cast("float").cast("string")).otherwise(F.col("dval").cast("string"))
+        f = freq.where(F.col("column").isin(columns) & (F.col("sval").isNotNull() | F.col("dval").isNotNull()))
         w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("dval"), F.asc("sval"))
         ranked = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return ranked.select(
-            "column",
-            F.col("rank").cast("int").alias("rank"),
-            display.alias("value"),
-            F.col("cnt").alias("count"),
-            rnd(safe_ratio(F.col("cnt"), F.lit(n)) * 100, PCT_PLACES).alias("percentage"),
-        )
+        rows = ranked.select("column", F.col("rank").cast("int"), F.coalesce("sval", as_float), "cnt").collect()
+        whole = spine.long_values(self.base, self.specs, [(r[0], r[2]) for r in rows if r[2].startswith(spine.LONG_MARK)])
+        out = local_frame(self.spark, [(c, i, whole.get((c, v), v), m) for c, i, v, m in rows], "column string, rank int, value string, count long")
+        return out.withColumn("percentage", rnd(safe_ratio(F.col("count"), F.lit(n)) * 100, PCT_PLACES))
 
     @cached_property
     def columns(self) -> DataFrame:
         """Column report (P11): one flat row per column, including score and status.
 
         Two projections of the collected facts (no join, no job)."""
+        facts = self.facts
         n = self.n_rows
-        nn = F.col("n_num").cast("double")
-        var_pop = F.col("m2") / nn
-        flat = var_pop <= F.pow(F.lit(1e-15) * F.col("mean"), 2)
-        enough = (F.col("n_num") >= 3) & ~flat
+        shape = self._shape()
         has_num = F.col("n_num") > 0
-        std = F.when(F.col("n_num") > 1, F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / (nn - 1)))
         outl = F.col("below") + F.col("above")
-        base = self.facts.select(
+        base = facts.select(
             "*",
             rnd(safe_ratio(F.col("missing_count"), F.lit(n)) * 100, PCT_PLACES).alias("missing_percentage"),
             rnd(safe_ratio(F.col("unique_count"), F.lit(n)), STAT_PLACES).alias("unique_ratio"),
@@ -321,7 +265,7 @@ class TableProfile:
             "unique_ratio", "entropy", "duplicate_count",
             F.when(has_num, rnd(F.col("mean"), STAT_PLACES)).alias("mean"),
             F.when(has_num, rnd(F.col("median"), STAT_PLACES)).alias("median"),
-            F.when(has_num, rnd(std, STAT_PLACES)).alias("std"),
+            F.when(has_num, rnd(shape["std"], STAT_PLACES)).alias("std"),
             F.when(has_num, rnd(F.col("vmin"), STAT_PLACES)).alias("min"),
             F.when(has_num, rnd(F.col("vmax"), STAT_PLACES)).alias("max"),
             F.when(has_num, rnd(F.col("q25"), STAT_PLACES)).alias("q25"),
@@ -329,8 +273,8 @@ class TableProfile:
             "outlier_count", "outlier_percentage",
             rnd(F.col("lower_bound"), STAT_PLACES).alias("lower_bound"),
             rnd(F.col("upper_bound"), STAT_PLACES).alias("upper_bound"),
-            F.when(has_num & enough, rnd((F.col("m3") / nn) / F.pow(var_pop, 1.5), STAT_PLACES)).alias("skewness"),
-            F.when(has_num & enough, rnd((F.col("m4") / nn) / F.pow(var_pop, 2) - 3.0, STAT_PLACES)).alias("kurtosis"),
+            F.when(has_num, rnd(shape["skewness"], STAT_PLACES)).alias("skewness"),
+            F.when(has_num, rnd(shape["kurtosis"], STAT_PLACES)).alias("kurtosis"),
             score.alias("quality_score"),
             status_band(score).alias("status"),
         )
@@ -398,9 +342,10 @@ class TableProfile:
         """
         p, n = self.patterns, self.n_rows
         rows = []
-        for i, j in combinations(range(len(self.specs)), 2):
+        varying = [i for i, s in enumerate(self.specs) if 0 < p["null"][s.name] < n]
+        for i, j in combinations(varying, 2):
             a, b = self.specs[i].name, self.specs[j].name
-            ni, nj, nij = p["null"][a], p["null"][b], p["conull"][(a, b)]
+            ni, nj, nij = p["null"][a], p["null"][b], p["conull"].get((a, b), 0)
             den = ni * (n - ni) * nj * (n - nj)
             if den <= 0:
                 continue
@@ -416,54 +361,27 @@ class TableProfile:
         nums = [s for s in self.specs if s.numeric]
         if not nums:
             return []
-        if "_facts" in self.__dict__:
-            facts = {f["column"]: f for f in self._facts}
-            means = {s.name: facts[s.name]["mean"] for s in nums}
-            uniq = {s.name: facts[s.name]["unique_count"] for s in nums}
-            nullable = {s.name for s in nums if facts[s.name]["missing_count"] > 0}
+        # Count, mean and range: from F where it has been read, else one small scan.
+        if "_basic" in self.__dict__:
+            found = {f["column"]: (f["n_num"], f["mean"], f["vmin"], f["vmax"]) for f in self._basic if f["n_num"]}
         else:
-            # Standalone: one small global pass (4 fields per column) instead of F.
-            exprs = []
-            for s in nums:
-                c = spine.q(s.name).cast("double")
-                exprs += [(f"n:{s.name}", F.count(c), 1), (f"sum:{s.name}", F.sum(c), 1),
-                          (f"min:{s.name}", F.min(c), 1), (f"max:{s.name}", F.max(c), 1)]
-            exprs.append(("rows", F.count(F.lit(1)), 1))
-            g = spine.run_batched(self.base, exprs)
-            means = {s.name: (g[f"sum:{s.name}"] / g[f"n:{s.name}"]) if g[f"n:{s.name}"] else None for s in nums}
-            # distinct count only matters as "at most one value": min == max
-            uniq = {s.name: (0 if not g[f"n:{s.name}"] else (1 if g[f"min:{s.name}"] == g[f"max:{s.name}"] else 2))
-                    for s in nums}
-            nullable = {s.name for s in nums if g[f"n:{s.name}"] < g["rows"]}
+            found = spine.numeric_ranges(self.base, [s.name for s in nums])
+        means = {c: x[1] for c, x in found.items()}
+        varies = {c for c, (_, _, lo, hi) in found.items() if lo < hi}
+        have = [s.name for s in nums if s.name in found]
+        pos = {c: k for k, c in enumerate(have)}
+        gn, gsx, gsxx, gsxy = spine.gram_sums(self.base, have, means) if have else (None,) * 4
         live = nums
-        exprs = spine.correlation_exprs(self.specs, means, nullable)
-        if self.wide_corr or sum(f for _, _, f in exprs) > 2 * spine.AGG_MAX_FIELDS:
-            # Many columns: one pass of per-partition numpy Gram blocks instead of
-            # several wide aggregate scans.
-            have = [s.name for s in nums if means.get(s.name) is not None]
-            pos = {c: k for k, c in enumerate(have)}
-            gn, gsx, gsxx, gsxy = spine.gram_sums(self.base, have, means) if have else (None,) * 4
-
-            def sums(a, b):
-                i, j = pos[a], pos[b]
-                return gn[i, j], gsx[i, j], gsx[j, i], gsxx[i, j], gsxx[j, i], gsxy[i, j]
-        else:
-            r = spine.run_batched(self.base, exprs)
 
-            def sums(a, b):
-                if a == b:
-                    return r[f"n:{a}"], r[f"s:{a}"], r[f"s:{a}"], r[f"ss:{a}"], r[f"ss:{a}"], r[f"ss:{a}"]
-                key = f"{a}\x00{b}"
-                if f"nxy:{key}" in r:
-                    return (r[f"nxy:{key}"], r[f"sx:{key}"], r[f"sy:{key}"], r[f"sxx:{key}"], r[f"syy:{key}"],
-                            r[f"sxy:{key}"])
-                return r[f"n:{a}"], r[f"s:{a}"], r[f"s:{b}"], r[f"ss:{a}"], r[f"ss:{b}"], r[f"sxy:{key}"]
+        def sums(a, b):
+            i, j = pos[a], pos[b]
+            return gn[i, j], gsx[i, j], gsx[j, i], gsxx[i, j], gsxx[j, i], gsxy[i, j]
 
         def pair(a: str, b: str):
-            if means.get(a) is None or means.get(b) is None:
+            if a not in varies or b not in varies:
                 return None
             n, sx, sy, sxx, syy, sxy = sums(a, b)
-            if not n or n < 2 or uniq.get(a, 0) <= 1 or uniq.get(b, 0) <= 1:
+            if n < 2:
                 return None
             vx, vy = sxx - sx * sx / n, syy - sy * sy / n
             if vx <= 1e-12 * max(sxx, 1e-300) or vy <= 1e-12 * max(syy, 1e-300):
@@ -509,11 +427,13 @@ class TableProfile:
     def data_size(self) -> DataFrame:
         """T15 re-aimed: logical bytes per column (fixed width, or UTF-8 bytes of the text)."""
         widths = {s.name: fixed_width(s.dtype) for s in self.specs}
-        # Variable-width columns: one global aggregate of UTF-8 byte lengths
-        # (F holds long values only as prefix + hash).
+        # Variable-width columns: UTF-8 byte lengths in long form, one scan (F holds long values by their key only).
         var = [s for s in self.specs if widths[s.name] is None]
-        got = spine.run_batched(self.base, [(s.name, F.sum(F.octet_length(as_text(spine.q(s.name), s.dtype))), 1)
-                                            for s in var]) if var else {}
+        got = {}
+        if var:
+            lengths = self.base.select(*[F.octet_length(as_text(spine.q(s.name), s.dtype)).cast("long").alias(s.name) for s in var])
+            long = lengths.unpivot([], [spine.q(s.name) for s in var], "column", "v")
+            got = {r[0]: r[1] for r in long.groupBy("column").agg(F.sum("v")).collect()}
         text_bytes = local_frame(self.spark, [(k, int(v or 0)) for k, v in got.items()], "column string, var_bytes long")
         st = self.stats.select("column", "ordinal", "non_null").join(text_bytes, "column", "left")
         width = F.lit(None).cast("long")
@@ -553,8 +473,7 @@ class TableProfile:
     def duplicates(self) -> DataFrame:
         from tabscope.operators.duplicates import duplicate_rows
 
-        cand = self.freq.where((F.col("column") == spine.ROW) & (F.col("cnt") > 1)).select(F.col("sval").alias("_h"))
-        return duplicate_rows(self.base, self.n_rows, candidates=cand)
+        return duplicate_rows(self.base, self.n_rows)
 
     def summary(self) -> DataFrame:
         """Rows, columns, missing %, duplicate rows, numeric / other column counts."""
@@ -586,3 +505,14 @@ class TableProfile:
             "overall_quality": self.overall_quality(),
             "warnings": self.warnings(),
         }
+
+
+@contextmanager
+def profiled(df: DataFrame, profile: TableProfile | None = None, columns: list[str] | None = None):
+    """The given profile, or one of ``df`` that is closed at the end: results are local by then."""
+    own = profile or TableProfile(df, columns)
+    try:
+        yield own
+    finally:
+        if profile is None:
+            own.close()

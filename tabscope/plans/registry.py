@@ -32,31 +32,31 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def _profile(spark, sf_dir, view):
-    from tabscope.plans.profile import TableProfile
+def _columns(spark, sf_dir, view):
+    from tabscope.operators.columns import profile_columns
 
-    return TableProfile(_t(spark, sf_dir, view))
+    return profile_columns(_t(spark, sf_dir, view))
 
 
 # ----------------------------------------------------------------- column profile
 @check("profile_columns", O.profile_sql("li_nulls"))
 def q_profile_columns(spark, sf_dir):
-    return _profile(spark, sf_dir, "li_nulls").columns
+    return _columns(spark, sf_dir, "li_nulls")
 
 
 @check("profile_columns_outliers", O.profile_sql("li_outliers"))
 def q_profile_columns_outliers(spark, sf_dir):
-    return _profile(spark, sf_dir, "li_outliers").columns
+    return _columns(spark, sf_dir, "li_outliers")
 
 
 @check("profile_columns_kinds", O.profile_sql("li_kinds"))
 def q_profile_columns_kinds(spark, sf_dir):
-    return _profile(spark, sf_dir, "li_kinds").columns
+    return _columns(spark, sf_dir, "li_kinds")
 
 
 @check("profile_columns_orders", O.profile_sql("orders"))
 def q_profile_columns_orders(spark, sf_dir):
-    return _profile(spark, sf_dir, "orders").columns
+    return _columns(spark, sf_dir, "orders")
 
 
 @check("column_types", O.profile_subset("li_kinds", ['"column"', "ordinal", '"type"']))
@@ -603,12 +603,6 @@ def q_normality_jb(spark, sf_dir):
     return normality_jb(_t(spark, sf_dir, "li_nulls"))
 
 
-@check("normality_shapiro")
-def q_normality_shapiro(spark, sf_dir):
-    from tabscope.operators.normality import normality_shapiro
-
-    return normality_shapiro(_t(spark, sf_dir, "li_nulls"))
-
 
 # --------------------------------------------------------------------- logs
 @check("chat_summaries", r"""SELECT conv_id,
@@ -708,7 +702,7 @@ _DIFF_METRICS = ["missing_percentage", "unique_ratio", "entropy", "mean", "std",
 def q_profile_diff(spark, sf_dir):
     from tabscope.operators.diff import profile_diff
 
-    return profile_diff(_profile(spark, sf_dir, "lineitem").columns, _profile(spark, sf_dir, "li_nulls").columns)
+    return profile_diff(_columns(spark, sf_dir, "lineitem"), _columns(spark, sf_dir, "li_nulls"))
 
 
 @check("dynamics_stream", """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS events,
@@ -763,12 +757,12 @@ def q_read_json(spark, sf_dir):
 @check("profile_columns_documents", O.profile_sql("documents"))
 def q_profile_columns_documents(spark, sf_dir):
     """Whole documents (up to 20,000 words): long values enter F as prefix + SHA-256."""
-    return _profile(spark, sf_dir, "documents").columns
+    return _columns(spark, sf_dir, "documents")
 
 
 @check("profile_columns_events", O.profile_sql("events"))
 def q_profile_columns_events(spark, sf_dir):
-    return _profile(spark, sf_dir, "events").columns
+    return _columns(spark, sf_dir, "events")
 
 
 @check("write_report", O.profile_sql("li_nulls"))
@@ -777,7 +771,7 @@ def q_write_report(spark, sf_dir):
     from tabscope.operators.quantiles import scratch_path
     from tabscope.sources.sinks import write_report
 
-    cols = _profile(spark, sf_dir, "li_nulls").columns
+    cols = _columns(spark, sf_dir, "li_nulls")
     path = scratch_path(spark, "report")
     write_report({"columns": cols}, path)
     return spark.read.schema(cols.schema).json(f"{path}/columns")
@@ -786,7 +780,7 @@ def q_write_report(spark, sf_dir):
 @check("profile_columns_mixed", O.profile_sql("orders_mixed"))
 def q_profile_columns_mixed(spark, sf_dir):
     """Mixed date formats, a non-ISO date format, min == max and NaN next to null."""
-    return _profile(spark, sf_dir, "orders_mixed").columns
+    return _columns(spark, sf_dir, "orders_mixed")
 
 
 @check("histogram_constant", histogram_sql(O.src("orders_mixed"), "five", 3))

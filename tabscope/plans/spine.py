@@ -4,23 +4,23 @@
   ``(column, sval, dval)`` and counted. Nulls form their own group. Feeds
   distinct counts, entropy, top values, per-column duplicates, numeric
   quantiles (``dval`` weighted by ``cnt``), outlier counts and type rules.
-  Partial aggregation collapses a dominant value map-side, so one hot value
-  costs one row per map task.
-* ``M`` (null patterns): ``groupBy(array(c is null ...))``. A handful of rows;
-  null counts, empty rows and pairwise co-null counts are computed on it.
+  Whole numbers and decimals are grouped by their exact text, ``dval`` only
+  serves their statistics. Partial aggregation collapses a dominant value
+  map-side, so one hot value costs one row per map task.
+* ``M`` (null patterns): the rows' null flags. Rides in F's scan; alone it is
+  ``groupBy(array(c is null ...))``. Null counts, empty rows and pairwise
+  co-null counts are computed on it.
 * Moments (mean, std, skewness, kurtosis) come from F's numeric part with
   centred, ``cnt``-weighted sums: no second wide pass over the base table.
-* Correlation: one global aggregate of mean-shifted sums, batched so every
-  aggregate stays inside whole-stage code generation.
-* ``R`` (row groups) lives in ``tabscope.operators.duplicates``.
+* Correlation: one pass of per-partition Gram matrices.
+* Row duplicates live in ``tabscope.operators.duplicates``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +29,13 @@ from tabscope.functions.local import local_frame
 from tabscope.functions.expressions import (
     DATE_FORMATS,
     as_text,
+    is_finite,
     is_integral,
     nan_to_null,
+    parse_date,
     type_class,
 )
 
-# Aggregate buffer fields per global ``agg``: Spark leaves whole-stage code
-# generation above ``spark.sql.codegen.maxFields`` (100), so stay below it.
-AGG_MAX_FIELDS = 90
-
 
 @dataclass(frozen=True)
 class ColumnSpec:
@@ -93,22 +91,41 @@ def _dval(s: ColumnSpec) -> Column:
     return q(s.name).cast("double") if s.numeric else F.lit(None).cast("double")
 
 
-# Values longer than this enter F as a 200-character prefix plus the SHA-256
-# of the whole value: exact equality, but the shuffle carries ~270 bytes
-# instead of whole documents or pages.
-LONG_TEXT = 256
+# Values of over 256 characters are counted under this mark, their first 200
+# characters and their SHA-256: exact equality, but the shuffle carries ~270
+# bytes instead of whole documents. ``long_values`` finds the whole text again.
+LONG_TEXT, LONG_MARK = 256, "\ue000long\ue000"
+
+
+def value_key(t: Column) -> Column:
+    """What a text is counted under in F."""
+    return F.when(F.length(t) > LONG_TEXT, F.concat(F.lit(LONG_MARK), F.substring(t, 1, 200), F.sha2(t, 256))).otherwise(t)
 
 
 def _sval(s: ColumnSpec) -> Column:
-    if s.numeric:
+    if isinstance(s.dtype, (T.FloatType, T.DoubleType)):
         return F.lit(None).cast("string")
-    t = as_text(q(s.name), s.dtype)
-    return F.when(F.length(t) > LONG_TEXT, F.concat(F.substring(t, 1, 200), F.lit("…#"), F.sha2(t, 256))).otherwise(t)
+    if s.numeric:
+        return q(s.name).cast("string")
+    return value_key(as_text(q(s.name), s.dtype))
+
 
+def long_values(base: DataFrame, specs: list[ColumnSpec], keys: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """The whole texts of some (column, key) of F; ``keys`` is as short as the list of top values."""
+    by_column: dict[str, list[str]] = {}
+    for c, k in keys:
+        by_column.setdefault(c, []).append(k)
+    found = {}
+    for s in specs:
+        if s.name in by_column:
+            t = as_text(q(s.name), s.dtype)
+            rows = base.select(value_key(t).alias("k"), t.alias("t")).where(F.col("k").isin(by_column[s.name]))
+            found |= {(s.name, r["k"]): r["t"] for r in rows.groupBy("k").agg(F.min("t").alias("t")).collect()}
+    return found
 
-# Pseudo-columns carried through F: each row's null pattern and its row hash.
+
+# Pseudo-column carried through F: each row's null pattern.
 PATTERN = "__tabscope_null_pattern__"
-ROW = "__tabscope_row_hash__"
 
 
 def _row_hash(base: DataFrame) -> Column:
@@ -128,16 +145,14 @@ def _has_map(dt: T.DataType) -> bool:
 
 
 def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -> DataFrame:
-    """F: ``(column, sval, dval, cnt)``; numeric values in ``dval``, others in ``sval``.
+    """F: ``(column, sval, dval, cnt)``; floats in ``dval``, whole numbers and decimals in both, others in ``sval``.
 
-    With ``extras`` two pseudo-columns ride along in the same scan: ``PATTERN``
-    (the row's null flags as a 0/1 string: the null-pattern table M) and
-    ``ROW`` (the row hash: duplicate-row candidates). One pass over the base
-    table then serves every per-column metric, the missing-value patterns and
-    the first duplicate pass.
+    With ``extras`` the pseudo-column ``PATTERN`` (the row's null flags as a 0/1
+    string: the null-pattern table M) rides along, so one pass over the base
+    table serves every per-column metric and the missing-value patterns.
     """
     names = {s.name for s in specs}
-    if PATTERN in names or ROW in names:
+    if PATTERN in names:
         raise ValueError("column name reserved by the profiler")
     # Cast to an explicitly nullable struct: unpivot takes the first column's struct
     # type, and a non-nullable field there would turn other columns' nulls into 0.0.
@@ -148,9 +163,7 @@ def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -
         flags = F.concat(*[F.when(q(s.name).isNull(), F.lit("1")).otherwise(F.lit("0")) for s in specs]) \
             if specs else F.lit("")
         structs.append(F.struct(flags.alias("s"), F.lit(None).cast("double").alias("d")).cast(cell).alias(PATTERN))
-        structs.append(F.struct(F.hex(_row_hash(base)).alias("s"), F.lit(None).cast("double").alias("d"))
-                       .cast(cell).alias(ROW))
-        value_names += [PATTERN, ROW]
+        value_names.append(PATTERN)
     wide = base.select(*structs)
     long = wide.unpivot([], [q(n) for n in value_names], "column", "v")
     return long.groupBy("column", F.col("v.s").alias("sval"), F.col("v.d").alias("dval")).agg(
@@ -158,66 +171,39 @@ def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -
     )
 
 
-def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int, quantiles: list[float] | None = None) -> DataFrame:
+def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int) -> DataFrame:
     """Per-column facts from F: nulls, distinct, entropy, duplicates, range, date fits.
 
-    ``quantiles`` adds Spark's exact ``percentile`` (weighted by ``cnt``) to the
-    same aggregate; callers pass it only when the table's row count bounds every
-    column's value map.
+    Infinite values count as values but stay out of the statistics: range, mean
+    and everything after them are over finite values.
     """
     from tabscope.functions.expressions import entropy_term
 
     text_cols = [s.name for s in specs if s.cls == "string"]
     is_null = F.col("sval").isNull() & F.col("dval").isNull()
+    finite = F.when(is_finite(F.col("dval")), F.col("dval"))
+    weight = F.when(finite.isNotNull(), F.col("cnt"))
     aggs = [
         F.sum("cnt").alias("n_rows"),
         F.coalesce(F.sum(F.when(is_null, F.col("cnt"))), F.lit(0)).alias("missing_count"),
         F.count(F.when(~is_null, F.lit(1))).alias("unique_count"),
         (F.sum(entropy_term(F.col("cnt"), F.lit(float(max(n_rows, 1))))) + F.lit(0.0)).alias("entropy_raw"),
         F.coalesce(F.sum(F.when(F.col("cnt") > 1, F.col("cnt"))), F.lit(0)).alias("duplicate_count"),
-        F.min("dval").alias("vmin"),
-        F.max("dval").alias("vmax"),
-        F.sum(F.when(F.col("dval").isNotNull(), F.col("cnt"))).alias("n_num"),
-        (F.sum(F.col("cnt") * F.col("dval")) / F.sum(F.when(F.col("dval").isNotNull(), F.col("cnt")))).alias("mean"),
+        F.min(finite).alias("vmin"),
+        F.max(finite).alias("vmax"),
+        F.sum(weight).alias("n_num"),
+        (F.sum(F.col("cnt") * finite) / F.sum(weight)).alias("mean"),
     ]
     for i, fmt in enumerate(DATE_FORMATS):
-        parse_ok = F.try_to_timestamp(F.col("sval"), F.lit(fmt)).isNotNull()
+        parse_ok = parse_date(F.col("sval"), fmt).isNotNull()
         aggs.append(
             F.count(F.when(F.col("column").isin(text_cols) & F.col("sval").isNotNull() & parse_ok, F.lit(1))).alias(
                 f"date_fit_{i}"
             )
         )
-    if quantiles:
-        aggs.append(F.percentile("dval", quantiles, F.col("cnt")).alias("quantiles"))
-    out = freq.where(~F.col("column").isin(PATTERN, ROW)).groupBy("column").agg(*aggs)
+    out = freq.where(F.col("column") != PATTERN).groupBy("column").agg(*aggs)
     fits = [F.col(f"date_fit_{i}") for i in range(len(DATE_FORMATS))]
-    return out.withColumn("date_fit_max", F.greatest(*fits) if len(fits) > 1 else fits[0]).drop(
-        *[f"date_fit_{i}" for i in range(len(DATE_FORMATS))]
-    )
-
-
-def run_batched(base: DataFrame, exprs: list[tuple[str, Column, int]], max_fields: int = AGG_MAX_FIELDS) -> dict:
-    """Run named global aggregates in as few scans as keep each aggregate's
-    buffer under Spark's whole-stage-codegen field limit. Returns one small dict."""
-    out: dict = {}
-    batch: list[tuple[str, Column]] = []
-    used = 0
-
-    def flush():
-        nonlocal batch, used
-        if batch:
-            r: Row = base.agg(*[e.alias(f"a{j}") for j, (_, e) in enumerate(batch)]).collect()[0]
-            for j, (k, _) in enumerate(batch):
-                out[k] = r[f"a{j}"]
-        batch, used = [], 0
-
-    for name, expr, fields in exprs:
-        if used + fields > max_fields:
-            flush()
-        batch.append((name, expr))
-        used += fields
-    flush()
-    return out
+    return out.withColumn("date_fit_max", F.greatest(*fits)).drop(*[f"date_fit_{i}" for i in range(len(DATE_FORMATS))])
 
 
 def null_patterns(base: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -234,16 +220,11 @@ def patterns_from_frequencies(freq: DataFrame, specs: list[ColumnSpec], pairs: b
     return pattern_stats(m, specs, pairs)
 
 
-# Pair expressions per aggregate over M (M is tiny; this only bounds plan size).
-PAIR_BATCH = 2000
-
-
 def pattern_stats(m: DataFrame, specs: list[ColumnSpec], pairs: bool = True) -> dict:
     """Null counts, all/any-null rows and pairwise co-null counts from M (tiny input).
 
-    Co-null counts are only needed between columns that have nulls at all (a
-    column without nulls has a constant flag and drops out of the phi
-    coefficient), and are computed in batches to keep plans small.
+    Co-null counts come from one aggregate over the pairs of null positions of
+    each pattern; pairs that are never null together have no entry.
     """
     c = len(specs)
     cnt = F.col("cnt")
@@ -258,55 +239,27 @@ def pattern_stats(m: DataFrame, specs: list[ColumnSpec], pairs: bool = True) ->
            "completely_empty_rows": int(r.get("all") or 0) if c else 0, "null": {}, "conull": {}}
     for i, s in enumerate(specs):
         out["null"][s.name] = int(r[f"null_{i}"] or 0)
-    if pairs:
-        with_nulls = [i for i, s in enumerate(specs) if out["null"][s.name] > 0]
-        todo = list(combinations(with_nulls, 2))
-        for k in range(0, len(todo), PAIR_BATCH):
-            chunk = todo[k:k + PAIR_BATCH]
-            got = m.agg(*[
-                F.sum(F.when(F.col("pattern")[i] & F.col("pattern")[j], cnt).otherwise(0)).alias(f"co_{i}_{j}")
-                for i, j in chunk
-            ]).collect()[0].asDict()
-            for i, j in chunk:
-                out["conull"][(specs[i].name, specs[j].name)] = int(got[f"co_{i}_{j}"] or 0)
-        for i, j in combinations(range(c), 2):
-            out["conull"].setdefault((specs[i].name, specs[j].name), 0)
+    if pairs and c:
+        at = F.expr("filter(sequence(0, size(pattern) - 1), i -> pattern[i])")
+        both = m.select("cnt", at.alias("at")).select("cnt", "at", F.explode("at").alias("i"))
+        both = both.select("cnt", "i", F.explode("at").alias("j")).where("i < j")
+        for p in both.groupBy("i", "j").agg(F.sum("cnt").alias("n")).collect():
+            out["conull"][(specs[p["i"]].name, specs[p["j"]].name)] = int(p["n"])
     return out
 
 
-def correlation_exprs(specs: list[ColumnSpec], means: dict[str, float], nullable: set[str]) -> list[tuple[str, Column, int]]:
-    """Shifted-sum terms for pairwise-complete Pearson correlation.
-
-    Values are shifted by their column mean (known from F), which keeps raw
-    sums numerically stable. Pairs of null-free columns share per-column
-    terms and cost one buffer field; pairs with a nullable column carry their
-    own masked terms.
-    """
-    nums = [s for s in specs if s.numeric and means.get(s.name) is not None]
-    shifted = {s.name: q(s.name).cast("double") - F.lit(float(means[s.name])) for s in nums}
-    exprs: list[tuple[str, Column, int]] = []
-    for s in nums:
-        x = shifted[s.name]
-        exprs.append((f"n:{s.name}", F.count(x), 1))
-        exprs.append((f"s:{s.name}", F.sum(x), 1))
-        exprs.append((f"ss:{s.name}", F.sum(x * x), 1))
-    for a, b in combinations(nums, 2):
-        x, y = shifted[a.name], shifted[b.name]
-        key = f"{a.name}\x00{b.name}"
-        exprs.append((f"sxy:{key}", F.sum(x * y), 1))
-        if a.name in nullable or b.name in nullable:
-            both = x.isNotNull() & y.isNotNull()
-            xm, ym = F.when(both, x), F.when(both, y)
-            exprs.append((f"nxy:{key}", F.count(F.when(both, F.lit(1))), 1))
-            exprs.append((f"sx:{key}", F.sum(xm), 1))
-            exprs.append((f"sy:{key}", F.sum(ym), 1))
-            exprs.append((f"sxx:{key}", F.sum(xm * xm), 1))
-            exprs.append((f"syy:{key}", F.sum(ym * ym), 1))
-    return exprs
+def numeric_ranges(base: DataFrame, names: list[str]) -> dict[str, tuple]:
+    """(count, mean, min, max) of the finite values of numeric columns, from one scan in long form."""
+    if not names:
+        return {}
+    long = base.select(*[q(c).cast("double").alias(c) for c in names]).unpivot([], [q(c) for c in names], "column", "v")
+    got = long.where(is_finite(F.col("v"))).groupBy("column").agg(F.count("v"), F.avg("v"), F.min("v"), F.max("v")).collect()
+    return {r[0]: tuple(r)[1:] for r in got}
 
 
 def numeric_frequencies(freq: DataFrame) -> DataFrame:
-    return freq.where(F.col("dval").isNotNull()).select("column", "dval", "cnt")
+    """(column, dval, cnt) of the finite values."""
+    return freq.where(is_finite(F.col("dval"))).select("column", "dval", "cnt")
 
 
 def _gram_partials(batches):
@@ -321,7 +274,7 @@ def _gram_partials(batches):
     acc = None
     for pdf in batches:
         x = pdf.to_numpy(dtype=float)
-        m = ~np.isnan(x)
+        m = np.isfinite(x)
         x0 = np.where(m, x, 0.0)
         mf = m.astype(float)
         parts = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)

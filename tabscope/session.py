@@ -33,7 +33,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a scratch folder is created.
+    Only in local mode, and only when nothing is configured, a scratch folder is
+    created; on a cluster that would be another folder on every machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tabscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -52,16 +55,3 @@ def reuse(df: DataFrame) -> DataFrame:
     Lost blocks are recomputed from lineage, which gives the same rows.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin an input that has fewer partitions than the cluster has cores.
-
-    A single Parquet file with one row group scans in one task, so every
-    per-row step after it would run on one core. Inputs of real size already
-    have more splits than cores, where this is a no-op.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -15,13 +15,13 @@ def _frame(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("force", [True, False])
-def test_exact_quantiles_match_numpy(spark, force):
+@pytest.mark.parametrize("partitions", [7, None])
+def test_exact_quantiles_match_numpy(spark, partitions):
     from tabscope.operators.quantiles import exact_quantiles
 
     pdf, df = _frame(spark)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    out = exact_quantiles(df, ["g"], "v", probs, force_distributed=force, partitions=7).collect()
+    out = exact_quantiles(df, ["g"], "v", probs, partitions=partitions).collect()
     got = {r["g"]: [r[f"q{int(round(p * 100))}"] for p in probs] for r in out}
     for g, sub in pdf.groupby("g"):
         exp = np.percentile(sub["v"].to_numpy(), [p * 100 for p in probs])
@@ -32,8 +32,7 @@ def test_exact_quantiles_weighted(spark):
     from tabscope.operators.quantiles import exact_quantiles
 
     df = spark.createDataFrame([("x", 1.0, 3), ("x", 2.0, 1), ("x", 10.0, 4), ("y", 7.0, 1)], "k string, v double, w long")
-    out = {r["k"]: (r["q50"], r["q25"]) for r in exact_quantiles(df, ["k"], "v", [0.5, 0.25], weight="w",
-                                                                  force_distributed=True, partitions=3).collect()}
+    out = {r["k"]: (r["q50"], r["q25"]) for r in exact_quantiles(df, ["k"], "v", [0.5, 0.25], weight="w", partitions=3).collect()}
     x = np.array([1, 1, 1, 2, 10, 10, 10, 10], dtype=float)
     assert out["x"] == pytest.approx((np.percentile(x, 50), np.percentile(x, 25)))
     assert out["y"] == (7.0, 7.0)
@@ -84,12 +83,12 @@ def test_dynamics_date_kinds(spark):
         dynamics(df, "d", "v", "mode")
 
 
-@pytest.mark.parametrize("force", [True, False])
-def test_exact_quantiles_empty_and_null_groups(spark, force):
+@pytest.mark.parametrize("partitions", [7, None])
+def test_exact_quantiles_empty_and_null_groups(spark, partitions):
     from tabscope.operators.quantiles import exact_quantiles
 
     df = spark.createDataFrame([("a", None), ("b", 2.0), ("b", float("nan"))], "k string, v double")
-    out = {r["k"]: r["q50"] for r in exact_quantiles(df, ["k"], "v", [0.5], force_distributed=force, partitions=2).collect()}
+    out = {r["k"]: r["q50"] for r in exact_quantiles(df, ["k"], "v", [0.5], partitions=partitions).collect()}
     assert out == {"b": 2.0}
     empty = df.where("1 = 0")
-    assert exact_quantiles(empty, ["k"], "v", [0.5], force_distributed=force, partitions=2).count() == 0
+    assert exact_quantiles(empty, ["k"], "v", [0.5], partitions=partitions).count() == 0
