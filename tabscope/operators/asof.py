@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.operators.quantiles import scratch_path
+from tabscope.operators.quantiles import PARTITION_ROWS, scratch_path
 
 
 def asof_join(
@@ -36,7 +36,7 @@ def asof_join(
     """Return left columns + right non-key columns (prefixed) of the matching row.
 
     ``how="left"`` keeps unmatched left rows with nulls, ``"inner"`` drops them.
-    Right rows with equal key and time are ordered by their full value hash, so
+    A null in a key or a time never matches. Right rows with equal key and time are ordered by their full value hash, so
     the pick is deterministic.
     """
     by = [by] if isinstance(by, str) else list(by)
@@ -64,9 +64,14 @@ def asof_join(
         F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in left.columns])).schema[0].dataType).alias("_l"),
         F.struct(*[F.col(c).alias(r_named[c]) for c in r_cols]).alias("_r"),
     ).where(F.col("_ts").isNotNull())
+    known = F.lit(True)
+    for i in range(len(by)):
+        known = known & F.col(f"_k{i}").isNotNull()
+    alone = l_part.where(~(known & F.col("_ts").isNotNull())).select("_l", F.col("_r").alias("_m"))
+    l_part, r_part = l_part.where(known & F.col("_ts").isNotNull()), r_part.where(known)
     keys = [f"_k{i}" for i in range(len(by))]
     order = [*keys, "_ts", "_side", "_tie"]
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // PARTITION_ROWS))
     path = scratch_path(spark, "asof")
     l_part.unionByName(r_part).repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
     data = spark.read.parquet(path)
@@ -83,7 +88,7 @@ def asof_join(
     scanned = data.withColumn("_match", F.last("_r", ignorenulls=True).over(in_seg)).where(F.col("_side") == 1)
     joined = scanned.join(segs, ["_pid", *keys], "left")
     match = F.coalesce(F.col("_match"), F.col("_carry"))
-    out = joined.select(F.col("_l.*"), match.alias("_m"))
+    out = joined.select("_l", match.alias("_m")).union(alone).select(F.col("_l.*"), "_m")
     if how == "inner":
         out = out.where(F.col("_m").isNotNull())
     return out.select(

@@ -7,7 +7,7 @@ projection whose output is appended with ``write.mode("append")``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Roles shown to users, title length, accepted feedback kinds.
@@ -28,18 +28,25 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s)
 
 
-def chat_summaries(conversations: DataFrame) -> DataFrame:
-    """L1/L2: per conversation: ``conv_id, title, messages_count, turns, last_turn``.
+def chat_summaries(conversations: DataFrame, source_id: str | None = None) -> DataFrame:
+    """L1/L2: per conversation: ``conv_id, title, messages_count, turns, last_turn, created_at, updated_at``.
 
     ``messages_count`` counts user and assistant turns; ``title`` is the first
-    line of the first user message, 40 characters, after trimming.
+    line of the first user message, 40 characters, after trimming. Times are
+    the first and last ``created_at`` of the turns (null without that column).
+    ``source_id`` keeps the chats of one source. Newest update first.
     """
+    if source_id is not None:
+        conversations = conversations.where(F.col("source_id") == source_id)
+    time = F.col("created_at") if "created_at" in conversations.columns else F.lit(None).cast("timestamp")
     first_user = F.min(F.when(F.col("role") == "user", F.struct("turn", "text")))
     agg = conversations.groupBy("conv_id").agg(
         F.count(F.when(F.col("role").isin(CHAT_ROLES), F.lit(1))).alias("messages_count"),
         first_user.alias("_first"),
         F.count(F.lit(1)).alias("turns"),
         F.max("turn").alias("last_turn"),
+        F.min(time).alias("created_at"),
+        F.max(time).alias("updated_at"),
     )
     first_line = F.split(_strip(F.col("_first.text")), _LINE_BREAK, 2).getItem(0)
     title = F.substring(first_line, 1, TITLE_CHARS)
@@ -49,7 +56,9 @@ def chat_summaries(conversations: DataFrame) -> DataFrame:
         "messages_count",
         "turns",
         "last_turn",
-    )
+        "created_at",
+        "updated_at",
+    ).orderBy(F.desc_nulls_last("updated_at"), "conv_id")
 
 
 def chat_transcript(conversations: DataFrame) -> DataFrame:
@@ -59,23 +68,37 @@ def chat_transcript(conversations: DataFrame) -> DataFrame:
     ).select("conv_id", "turn", "role", "text")
 
 
-def clean_feedback(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stamped(df: DataFrame, source_id: str | None) -> DataFrame:
+    """Adds ``source_id`` and ``created_at`` where they are missing, and an ``id`` made of the row's
+    values, so that the row written and the row read again are the same."""
+    given = F.lit(source_id).cast("string")
+    df = df.withColumn("source_id", F.coalesce(F.col("source_id"), given) if "source_id" in df.columns else given)
+    now = F.current_timestamp()
+    df = df.withColumn("created_at", F.coalesce(F.col("created_at").cast("timestamp"), now) if "created_at" in df.columns else now)
+    # Equal rows of one intake are told apart by their number.
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+    twin = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    return df.withColumn("_row", F.sha2(row, 256)).withColumn("id", F.sha2(F.concat_ws("-", "_row", twin.cast("string")), 256)).drop("_row")
+
+
+def clean_feedback(raw: DataFrame, source_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """L4: ``(accepted, rejected)``. Kind is trimmed and lower-cased and must be
-    like/dislike; blank texts become null; each accepted row gets an id."""
+    like/dislike; blank texts become null; accepted rows get an id, ``created_at``
+    and ``source_id``."""
     kind = F.lower(_strip(F.coalesce(F.col("feedback"), F.lit(""))))
     staged = raw.withColumn("feedback", kind)
     for c in ("comment", "user_message", "assistant_message"):
         if c in raw.columns:
             staged = staged.withColumn(c, _blank_to_null(F.col(c)))
     ok = F.col("feedback").isin(FEEDBACK_KINDS)
-    accepted = staged.where(ok).withColumn("id", F.expr("uuid()"))
+    accepted = _stamped(staged.where(ok), source_id)
     rejected = staged.where(~ok).withColumn("reason", F.lit("feedback must be 'like' or 'dislike'"))
     return accepted, rejected
 
 
-def clean_tickets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean_tickets(raw: DataFrame, source_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``. Subject and description are required after
-    trimming; email is optional (blank to null)."""
+    trimming; email is optional (blank to null); accepted rows are stamped as in L4."""
     staged = raw.withColumn("subject", _strip(F.coalesce(F.col("subject"), F.lit("")))).withColumn(
         "description", _strip(F.coalesce(F.col("description"), F.lit("")))
     )
@@ -84,7 +107,7 @@ def clean_tickets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.col("subject") == "", "subject is required").when(
         F.col("description") == "", "description is required"
     )
-    accepted = staged.where(reason.isNull()).withColumn("id", F.expr("uuid()"))
+    accepted = _stamped(staged.where(reason.isNull()), source_id)
     rejected = staged.where(reason.isNotNull()).withColumn("reason", reason)
     return accepted, rejected
 

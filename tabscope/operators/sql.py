@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.functions.expressions import PREVIEW_ROWS
@@ -25,7 +27,7 @@ ALLOWED_NODES = {
     "WithCTE", "CTERelationDef", "CTERelationRef", "UnresolvedHint", "Sample", "Generate", "Pivot",
     "Unpivot", "Window", "UnresolvedHaving", "RepartitionByExpression", "Repartition", "UnresolvedSubqueryColumnAliases",
     "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "Expand", "CreateViewCommand", "Range",
-    "UnresolvedFunctionName", "NamedParametersSupport", "PlanWithUnresolvedIdentifier",
+    "UnresolvedFunctionName", "NamedParametersSupport",
 }
 # Functions that reach outside the data (JVM reflection).
 REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
@@ -82,26 +84,26 @@ def _is_plan(o) -> bool:
     return "catalyst.plans.logical" in o.getClass().getName()
 
 
-def _walk_expr(e, found: dict):
+def _walk_expr(e, found: dict, scope: frozenset[str]):
     name = e.getClass().getSimpleName()
     if name == "UnresolvedFunction":
         found["functions"].add(".".join(_seq(e.nameParts())).lower())
-    if hasattr(e, "plan"):
-        try:
-            p = e.plan()
-            if _is_plan(p):
-                _walk_plan(p, found)
-        except Exception:
-            pass
+    elif name == "ExpressionWithUnresolvedIdentifier":
+        found["nodes"].append(name)  # IDENTIFIER(...): no allowed node
+    if is_instance_of(SparkContext._gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+        _walk_plan(e.plan(), found, scope)
     for c in _seq(e.children()):
-        _walk_expr(c, found)
+        _walk_expr(c, found, scope)
 
 
-def _walk_plan(p, found: dict):
+def _walk_plan(p, found: dict, scope: frozenset[str] = frozenset()):
+    """Collects what a plan uses. ``scope``: the CTE names visible at this place."""
     name = p.getClass().getSimpleName()
     found["nodes"].append(name)
     if name == "UnresolvedRelation":
-        found["relations"].append([str(x) for x in _seq(p.multipartIdentifier())])
+        parts = [str(x) for x in _seq(p.multipartIdentifier())]
+        if not (len(parts) == 1 and parts[0].lower() in scope):
+            found["relations"].append(parts)
     elif name == "SubqueryAlias":
         found["aliases"].append(str(p.alias()).lower())
     elif name == "UnresolvedTableValuedFunction":
@@ -109,15 +111,21 @@ def _walk_plan(p, found: dict):
     elif name == "CreateViewCommand":
         found["views"].append((str(p.name().table()), str(p.viewType().toString())))
     elif name == "UnresolvedWith":
+        # Each CTE sees the ones before it (and itself, if recursive); the body sees all.
+        inner = scope
         for rel in _seq(p.cteRelations()):
-            found["ctes"].add(str(rel._1()).lower())
+            own = str(rel._1()).lower()
+            _walk_plan(rel._2(), found, inner | {own} if bool(p.allowRecursion()) else inner)
+            inner = inner | {own}
+        _walk_plan(p.child(), found, inner)
+        return
     for c in _seq(p.children()):
-        _walk_plan(c, found)
+        _walk_plan(c, found, scope)
     for c in _seq(p.innerChildren()):
         if _is_plan(c):
-            _walk_plan(c, found)
+            _walk_plan(c, found, scope)
     for e in _seq(p.expressions()):
-        _walk_expr(e, found)
+        _walk_expr(e, found, scope)
 
 
 def check_read_only(spark: SparkSession, statement: str, known: set[str], used: set[str] | None = None) -> list[str]:
@@ -131,8 +139,11 @@ def check_read_only(spark: SparkSession, statement: str, known: set[str], used:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     except Exception as e:
         raise RefusedQuery(f"cannot parse: {str(e).splitlines()[0][:300]}") from None
-    found = {"nodes": [], "relations": [], "aliases": [], "tvfs": [], "views": [], "functions": set(), "ctes": set()}
-    _walk_plan(plan, found)
+    found = {"nodes": [], "relations": [], "aliases": [], "tvfs": [], "views": [], "functions": set()}
+    try:
+        _walk_plan(plan, found)
+    except Exception as e:  # what cannot be read cannot be allowed
+        raise RefusedQuery(f"cannot check the query: {str(e).splitlines()[0][:300]}") from None
     bad = [n for n in found["nodes"] if n not in ALLOWED_NODES]
     if bad:
         raise RefusedQuery(f"only read-only queries are allowed (found {bad[0]})")
@@ -146,7 +157,7 @@ def check_read_only(spark: SparkSession, statement: str, known: set[str], used:
         raise RefusedQuery("only CREATE TEMPORARY VIEW is allowed")
     if "asof" in found["aliases"]:
         raise RefusedQuery("ASOF JOIN is not Spark SQL (it would run as a plain join); use tabscope.asof_join")
-    allowed = {k.lower() for k in known} | found["ctes"] | set(created)
+    allowed = {k.lower() for k in known} | set(created)
     for rel in found["relations"]:
         if len(rel) != 1 or rel[0].lower() not in allowed:
             raise RefusedQuery(f"unknown relation: {'.'.join(rel)}")
@@ -182,13 +193,19 @@ def guarded_sql(cat: Catalog, query: str | list[str], current_table: str | None
         created = check_read_only(session, s, known, used)
         created_all += created
         known |= set(created)
-    # Register only the tables the statements read.
+    # Register only the tables the statements read. In the caller's session (in-memory
+    # entries) a view of the same name would be lost, so such a call is refused.
     by_lower = {n.lower(): n for n in names}
-    for u in used:
-        if u in by_lower:
-            cat.loaders[by_lower[u]](session).createOrReplaceTempView(by_lower[u])
-    if current and "df" in used:
-        cat.loaders[current](session).createOrReplaceTempView("df")
+    wanted = {by_lower[u]: by_lower[u] for u in used if u in by_lower}
+    if current and "df" in used and "df" not in by_lower:
+        wanted["df"] = current
+    if session is cat.spark:
+        taken = {t.name.lower() for t in session.catalog.listTables() if t.isTemporary}
+        clash = sorted(taken & {v.lower() for v in [*wanted, *created_all]})
+        if clash:
+            raise RefusedQuery(f"the session already has a temporary view named {clash[0]}")
+    for view, name in wanted.items():
+        cat.loaders[name](session).createOrReplaceTempView(view)
     result = None
     try:
         for s in statements:
@@ -196,8 +213,8 @@ def guarded_sql(cat: Catalog, query: str | list[str], current_table: str | None
         # The returned DataFrame holds an analysed plan, so the views can go.
         result = result.select("*") if result is not None else None
     finally:
-        if session is cat.spark:  # in-memory entries ran in the caller's session
-            for v in set(created_all) | {by_lower[u] for u in used if u in by_lower} | ({"df"} if "df" in used else set()):
+        if session is cat.spark:
+            for v in {*wanted, *created_all}:
                 session.catalog.dropTempView(v)
     return result
 
@@ -211,12 +228,16 @@ class SqlResult:
 
 
 def read_only_sql(cat: Catalog, query: str | list[str], current_table: str | None = None,
-                  preview_rows: int = PREVIEW_ROWS, count_rows: bool = True) -> SqlResult:
-    """Q2/Q5: guarded SQL with a bounded preview (``limit`` is pushed into the plan)."""
+                  preview_rows: int = PREVIEW_ROWS, count_rows: bool = False) -> SqlResult:
+    """Q2/Q5: guarded SQL with a bounded preview (``limit`` is pushed into the plan).
+
+    One run shows whether there is more; ``count_rows`` runs the query again
+    for the whole number of rows.
+    """
     df = guarded_sql(cat, query, current_table)
     head = df.limit(preview_rows + 1).collect()
-    total = df.count() if count_rows else None
-    truncated = len(head) > preview_rows if total is None else total > preview_rows
+    truncated = len(head) > preview_rows
+    total = len(head) if not truncated else df.count() if count_rows else None
     return SqlResult(df.columns, [tuple(r) for r in head[:preview_rows]], total, truncated)
 
 

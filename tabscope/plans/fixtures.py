@@ -4,11 +4,10 @@ outliers or mixed types by themselves)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.sources.catalog import parquet_loader
+from tabscope.sources.files import status
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -80,13 +79,13 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     schema runs a small job, and views are re-pointed at every call because
     another folder may have been registered in between.
     """
-    key = (id(spark), os.path.abspath(sf_dir))
+    key = (id(spark), sf_dir.rstrip("/"))
     frames = _FRAMES.get(key)
     if frames is None:
         frames = {}
         for t in TABLES:
-            p = os.path.join(sf_dir, f"{t}.parquet")
-            if os.path.exists(p):
+            p = f"{key[1]}/{t}.parquet"
+            if status(spark, p):
                 frames[t] = parquet_loader(spark, p)(spark)
         _FRAMES[key] = frames
     for t, df in frames.items():

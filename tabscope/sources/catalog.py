@@ -8,7 +8,6 @@ schema cannot be resolved is kept with its error and skipped by queries.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.functions.local import local_frame
+from tabscope.sources.files import list_path, status
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -79,8 +79,7 @@ def parquet_loader(spark: SparkSession, path: str) -> Loader:
     later read (in any session) plans without one. Keyed on path, size and
     modification time, so a rewritten table is resolved again.
     """
-    st = os.stat(path)
-    key = (os.path.abspath(path), st.st_mtime_ns, st.st_size)
+    key = (path, status(spark, path))
     schema = _SCHEMAS.get(key)
     if schema is None:
         schema = spark.read.parquet(path).schema
@@ -89,17 +88,15 @@ def parquet_loader(spark: SparkSession, path: str) -> Loader:
 
 
 def load_catalog(spark: SparkSession, path: str, source_id: str | None = None) -> Catalog:
-    """Every ``*.parquet`` file or folder under ``path`` becomes a lazy table.
+    """Every ``*.parquet`` file, and every folder, under ``path`` becomes a lazy table.
 
-    Each table's schema is resolved once (metadata only); a table that cannot be
+    The path may lie in any store that Spark reads. Each table's schema is resolved once (metadata only); a table that cannot be
     read is recorded in ``errors`` and left out. No readable table is an error.
     """
     cat = Catalog(spark, source_id=source_id or f"parquet:{path}")
-    entries = sorted(os.listdir(path)) if os.path.isdir(path) else []
-    for entry in entries:
-        full = os.path.join(path, entry)
-        name, ext = os.path.splitext(entry)
-        if ext != ".parquet" and not (os.path.isdir(full) and not entry.startswith((".", "_"))):
+    for entry, full, is_dir, _, _ in list_path(spark, path):
+        name = entry.removesuffix(".parquet")
+        if name == entry and not (is_dir and not entry.startswith((".", "_"))):
             continue
         try:
             loader = parquet_loader(spark, full)  # resolves the footer only
@@ -145,12 +142,21 @@ def load_jdbc_catalog(spark: SparkSession, url: str, tables: list[str], properti
 
 
 def catalog_tables(cat: Catalog) -> DataFrame:
-    """``table, rows, columns`` per table (one count job per table, in parallel stages)."""
+    """``table, rows, columns, primary_key, foreign_keys`` per table (rows counted in parallel stages).
+
+    Declared keys as text: columns joined by commas, foreign keys as
+    ``columns -> table(columns)`` joined by semicolons; null without keys.
+    """
     parts = []
     for name in cat.names:
         df = cat.loaders[name](cat.spark)
+        keys = cat.keys.get(name, {})
+        primary = ",".join(keys.get("primary_key") or []) or None
+        foreign = ";".join(f"{','.join(k['constrained_columns'])} -> {k['referred_table']}({','.join(k['referred_columns'])})"
+                           for k in keys.get("foreign_keys") or []) or None
         parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table"), F.col("rows"), F.lit(len(df.columns)).alias("columns")
+            F.lit(name).alias("table"), F.col("rows"), F.lit(len(df.columns)).alias("columns"),
+            F.lit(primary).cast("string").alias("primary_key"), F.lit(foreign).cast("string").alias("foreign_keys"),
         ))
     out = parts[0]
     for p in parts[1:]:
@@ -186,7 +192,7 @@ def catalog_keys(cat: Catalog) -> DataFrame:
 
 def describe_tables(cat: Catalog) -> DataFrame:
     """``table, rows, columns, dtypes`` (dtype list as text), the data context of a catalog."""
-    counts = catalog_tables(cat)
+    counts = catalog_tables(cat).select("table", "rows", "columns")
     rows = []
     for name in cat.names:
         df = cat.loaders[name](cat.spark)

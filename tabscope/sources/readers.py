@@ -3,7 +3,6 @@ rules, Parquet, format dispatch, load receipt and JDBC options."""
 
 from __future__ import annotations
 
-import os
 from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,8 @@ from pyspark.sql import types as T
 
 from tabscope.functions.local import local_frame
 
-from tabscope.functions.expressions import DATE_FORMATS
+from tabscope.sources.files import list_path
+from tabscope.functions.expressions import DATE_FORMATS, parse_date
 
 # Text read as missing by pandas' CSV reader (its default NA tokens).
 NA_TOKENS = [
@@ -29,6 +29,11 @@ def _na_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
+# What pandas reads as a whole number and as a number.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Type inference for all-string columns in one aggregate pass: a column becomes
     bigint, double or boolean when every non-null value casts; otherwise it stays text."""
@@ -37,8 +42,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         col = F.col(f"`{c}`")
         checks += [
             F.count(col).alias(f"n::{c}"),
-            F.count(col.try_cast("bigint")).alias(f"i::{c}"),
-            F.count(col.try_cast("double")).alias(f"d::{c}"),
+            F.count(F.when(col.rlike(WHOLE), col.try_cast("bigint"))).alias(f"i::{c}"),
+            F.count(F.when(col.rlike(NUMBER), col.try_cast("double"))).alias(f"d::{c}"),
             F.count(F.when(F.lower(col).isin("true", "false"), F.lit(1))).alias(f"b::{c}"),
         ]
     if not checks:
@@ -59,28 +64,38 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Header row, pandas NA tokens to null, blank lines skipped, then type inference."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    df = _na_to_null(df)
-    # A blank line is a row of nulls only.
-    df = df.dropna(how="all")
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """Header row, pandas NA tokens to null, blank lines skipped, then type inference.
+
+    A quote inside a quoted cell is doubled, and cells may hold line breaks;
+    ``multi_line=False`` lets large files without such breaks be split. Short
+    rows are filled with nulls, rows of empty cells stay; a row with more cells
+    than the header raises when it is read.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    if not names:
+        return reader.csv(path)
+    surplus = "_surplus_cell"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, surplus]])
+    df = reader.schema(schema).csv(path)
+    fits = F.when(F.col(surplus).isNotNull(), F.raise_error(F.lit("a row has more cells than the header")).cast("string"))
+    df = _na_to_null(df.select(*[fits.otherwise(F.col(f"`{c}`")).alias(c) for c in names]))
     return infer_types(df) if infer else df
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """An array of records (multi-line) or JSON Lines; date-named text columns parsed."""
+    """Arrays of records (multi-line) or JSON Lines, in files or folders of any store;
+    date-named text columns parsed."""
     if multi_line is None:
-        multi_line = False
-        if os.path.isfile(path):
-            with open(path, "rb") as fh:
-                multi_line = fh.read(4096).lstrip().startswith(b"[")
+        first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value").alias("v")).first()
+        multi_line = first is not None and first["v"].startswith("[")
     df = spark.read.option("multiLine", multi_line).json(path)
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType) and _date_named(f.name):
-            parsed = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS] + [F.try_to_timestamp(c)]
+            parsed = [parse_date(c, fmt) for fmt in DATE_FORMATS] + [F.try_to_timestamp(c)]
             c = F.coalesce(*parsed)
         cols.append(c.alias(f.name))
     return df.select(*cols)
@@ -104,8 +119,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
     Excel files are not decoded (no splittable reader): convert them to CSV or Parquet.
     """
-    ext = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
-    if os.path.isdir(path) and not ext:
+    name = path.rstrip("/").rpartition("/")[2]
+    ext = name.rpartition(".")[2].lower() if "." in name else ""
+    if not ext and any(n.endswith(".parquet") for n, *_ in list_path(spark, path)):
         ext = "parquet"
     if ext not in READERS:
         raise ValueError(f"unsupported file type: {ext or '(none)'}; use csv, json or parquet")
@@ -119,14 +135,14 @@ def source_metadata(df: DataFrame, filename: str | None = None) -> DataFrame:
     ``_metadata`` column of file sources (no data columns are read); the
     file name is the given one or the first input file's base name.
     """
-    try:
+    if df.inputFiles():
         meta = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
-    except Exception:  # not a file source: rows only
+    else:  # not a file source: rows only
         meta = df.select(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("s"))
     per_file = meta.groupBy("p").agg(F.count(F.lit(1)).alias("rows"), F.max("s").alias("s"))
     r = per_file.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("s"), F.lit(0)).alias("size"),
                      F.min("p").alias("first")).collect()[0]
-    name = filename or (os.path.basename(r["first"].rstrip("/")) if r["first"] else None)
+    name = filename or (r["first"].rstrip("/").rpartition("/")[2] if r["first"] else None)
     return local_frame(df.sparkSession, [(name, int(r["rows"]), len(df.columns), int(r["size"]))],
                        "filename string, rows long, columns int, size_bytes long").withColumn(
         "uploaded_at", F.current_timestamp())

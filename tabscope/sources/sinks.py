@@ -28,7 +28,7 @@ def _safe(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.MapType):
         return F.transform_values(c, lambda _k, v: _safe(v, dt.valueType))
     if isinstance(dt, T.StructType):
-        return F.struct(*[_safe(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), F.struct(*[_safe(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
     return c
 
 
@@ -41,4 +41,4 @@ def write_report(report: dict[str, DataFrame], path: str, fmt: str = "json", mod
     """K2: each report part to ``path/<part>`` (JSON values cleaned first)."""
     for name, part in report.items():
         out = json_safe(part) if fmt == "json" else part
-        out.coalesce(1).write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
+        out.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")

@@ -1,9 +1,10 @@
 """Streaming dynamics (E3): daily aggregates over an append-only stream.
 
-``withWatermark`` bounds the state (days older than the watermark are
-finalised and dropped); each micro-batch's updated days are appended to a
-table under the checkpoint folder, and the latest version of each day is
-read back, so a restart resumes from the streaming checkpoint.
+State is one row a day, whatever the number of events, so days are never
+closed and late rows count: there is no watermark. Each micro-batch's updated
+days are appended to a table under the checkpoint folder, and the latest
+version of each day is read back, so a restart resumes from the streaming
+checkpoint.
 """
 
 from __future__ import annotations
@@ -16,19 +17,10 @@ from pyspark.sql import functions as F
 from tabscope.session import ensure_checkpoint_dir
 
 
-def dynamics_stream_query(stream: DataFrame, ts: str, value: str, watermark: str = "2 days"):
-    """The streaming aggregate: ``window(1 day) -> events, value_sum, value_max``.
-
-    A watermark on ``timestamp_ntz`` is refused, so the wall-clock time is
-    turned into the instant with the same UTC wall time, computed from its
-    calendar fields (no session time zone involved): day windows then align
-    with calendar days whatever ``spark.sql.session.timeZone`` is.
-    """
-    t = F.col(ts).cast("timestamp_ntz")
-    secs = (F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400
-            + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
-    s = stream.withColumn("_ts", F.timestamp_seconds(secs)).withWatermark("_ts", watermark)
-    return s.groupBy(F.window("_ts", "1 day").alias("w")).agg(
+def dynamics_stream_query(stream: DataFrame, ts: str, value: str):
+    """The streaming aggregate: ``day -> events, value_sum, value_max``; rows without a time are left out."""
+    s = stream.withColumn("day", F.date_format(F.col(ts).cast("timestamp_ntz"), "yyyy-MM-dd")).where("day IS NOT NULL")
+    return s.groupBy("day").agg(
         F.count(F.lit(1)).alias("events"),
         F.sum(F.col(value).cast("double")).alias("value_sum"),
         F.max(F.col(value).cast("double")).alias("value_max"),
@@ -36,22 +28,19 @@ def dynamics_stream_query(stream: DataFrame, ts: str, value: str, watermark: str
 
 
 def run_dynamics_stream(spark: SparkSession, source_dir: str, schema, ts: str, value: str,
-                        out_dir: str | None = None, watermark: str = "2 days", glob: str | None = None) -> DataFrame:
+                        out_dir: str | None = None, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Run the stream over Parquet files in ``source_dir`` until all available data
     is processed; return the final per-day table (``day, events, value_sum, value_max``)."""
     root = out_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/dynamics-stream-{uuid.uuid4().hex}"
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(source_dir)
-    agg = dynamics_stream_query(stream, ts, value, watermark)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    agg = dynamics_stream_query(reader.parquet(source_dir), ts, value)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        day = F.date_add(F.lit("1970-01-01").cast("date"), (F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
-        batch.select(
-            F.date_format(day, "yyyy-MM-dd").alias("day"), "events", "value_sum", "value_max",
-            F.lit(batch_id).alias("batch_id"),
-        ).write.mode("append").parquet(f"{root}/updates")
+        batch.select("day", "events", "value_sum", "value_max", F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(f"{root}/updates")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())

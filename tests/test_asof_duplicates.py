@@ -42,3 +42,15 @@ def test_duplicates_match_pandas(spark):
     assert r["rows_in_duplicate_groups"] == int(pdf.duplicated(keep=False).sum()) == 5
     assert r["duplicate_groups"] == 2 and r["duplicate_groups_ref"] == 2
     assert duplicate_row_list(df).count() == 5
+
+
+def test_asof_null_keys_never_match(spark):
+    from tabscope.operators.asof import asof_join
+
+    left = spark.sql("SELECT * FROM VALUES (1, NULL, TIMESTAMP_NTZ'2024-01-02 00:00:00'), (2, 'a', TIMESTAMP_NTZ'2024-01-02 00:00:00'), "
+                     "(3, 'a', NULL) AS t(id, k, ts)")
+    right = spark.sql("SELECT * FROM VALUES (10, NULL, TIMESTAMP_NTZ'2024-01-01 00:00:00'), (11, 'a', TIMESTAMP_NTZ'2024-01-01 00:00:00') AS t(rid, k, rts)")
+    for p in (1, 4):
+        got = {r["id"]: r["rid"] for r in asof_join(left, right, "k", "ts", "rts", partitions=p).collect()}
+        assert got == {1: None, 2: 11, 3: None}
+    assert asof_join(left, right, "k", "ts", "rts", how="inner").count() == 1

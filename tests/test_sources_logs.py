@@ -91,3 +91,79 @@ def test_chat_summaries_title(spark):
     rows = {r["conv_id"]: r for r in chat_summaries(conv).collect()}
     assert rows[1]["title"] == "first line that is quite long, longer th" and rows[1]["messages_count"] == 2
     assert rows[2]["title"] is None
+    assert rows[1]["created_at"] is None
+
+
+def test_chat_list_by_source_newest_first(spark):
+    from tabscope.operators.logs import chat_summaries
+
+    conv = spark.sql("""SELECT * FROM VALUES (1, 0, 'user', 'old', 'a', TIMESTAMP'2024-01-01 10:00:00'),
+      (1, 1, 'assistant', 'x', 'a', TIMESTAMP'2024-01-01 11:00:00'), (2, 0, 'user', 'new', 'a', TIMESTAMP'2024-02-01 10:00:00'),
+      (3, 0, 'user', 'other', 'b', TIMESTAMP'2024-03-01 10:00:00') AS t(conv_id, turn, role, text, source_id, created_at)""")
+    rows = chat_summaries(conv, source_id="a").collect()
+    assert [(r["conv_id"], r["title"], str(r["created_at"]), str(r["updated_at"])) for r in rows] == [
+        (2, "new", "2024-02-01 10:00:00", "2024-02-01 10:00:00"), (1, "old", "2024-01-01 10:00:00", "2024-01-01 11:00:00")]
+
+
+def test_intake_stamps_are_stable(spark):
+    from tabscope.operators.logs import clean_feedback
+
+    fb = spark.createDataFrame([("c1", "like", "2024-01-01 00:00:00"), ("c1", "like", "2024-01-01 00:00:00"), ("c2", "dislike", None)],
+                               "chat_id string, feedback string, created_at string")
+    ok, _ = clean_feedback(fb.where("created_at IS NOT NULL"), source_id="web")
+    first, again = (sorted(r["id"] for r in ok.collect()) for _ in range(2))
+    assert first == again and len(set(first)) == 2
+    assert {r["source_id"] for r in ok.collect()} == {"web"}
+    assert clean_feedback(fb)[0].where("created_at IS NULL").count() == 0
+
+
+def test_csv_cells_with_quotes_breaks_and_codes(spark, tmp_path):
+    from tabscope.sources.readers import read_csv
+
+    p = tmp_path / "x.csv"
+    p.write_text('id,say,code,flag\n1,"say ""hi"", ok",10D,true\n2,"two\nlines",20F,false\n,,,\nNA,NA,NA,NA\n\n5,short\n')
+    df = read_csv(spark, str(p))
+    assert dict(df.dtypes) == {"id": "bigint", "say": "string", "code": "string", "flag": "boolean"}
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([
+        (1, 'say "hi", ok', "10D", True), (2, "two\nlines", "20F", False), (None,) * 4, (None,) * 4, (5, "short", None, None)], key=str)
+    p.write_text("a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_csv(spark, str(p)).collect()
+
+
+def test_json_arrays_in_a_folder(spark, tmp_path):
+    from tabscope.sources.readers import read_any
+
+    folder = tmp_path / "recs.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('[\n {"a": 1},\n {"a": 2}\n]')
+    (folder / "b.json").write_text('[{"a": 3}]')
+    assert sorted(r["a"] for r in read_any(spark, str(folder)).collect()) == [1, 2, 3]
+
+
+def test_json_safe_keeps_null_structs(spark):
+    from tabscope.sources.sinks import json_safe
+
+    df = spark.sql("SELECT CAST(NULL AS STRUCT<a: DOUBLE>) AS s UNION ALL SELECT named_struct('a', CAST('NaN' AS DOUBLE))")
+    assert sorted(str(r["s"]) for r in json_safe(df).collect()) == ["None", "Row(a=None)"]
+
+
+def test_catalog_by_uri_lists_keys(spark):
+    from tabscope.sources.catalog import catalog_tables, load_catalog
+
+    cat = load_catalog(spark, "file:///root/testdata/sf0.001")
+    cat.register("orders", cat.loaders["orders"], ["o_orderkey"],
+                 [{"constrained_columns": ["o_custkey"], "referred_table": "customer", "referred_columns": ["c_custkey"]}])
+    row = next(r for r in catalog_tables(cat).collect() if r["table"] == "orders")
+    assert (row["primary_key"], row["foreign_keys"]) == ("o_orderkey", "o_custkey -> customer(c_custkey)")
+
+
+def test_clusters_need_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from tabscope.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
