@@ -56,12 +56,16 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def run_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, 64-bit hashes) of the maximal runs of bytes where ``inside`` holds."""
-    padded = np.zeros(len(data) + 2, bool)
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of true values."""
+    padded = np.zeros(len(inside) + 2, bool)
     padded[1:-1] = inside
     edge = np.flatnonzero(padded[1:] != padded[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
     power = np.full(len(data) + 1, BASE, np.uint64)
     power[0] = 1
     power = np.cumprod(power)
@@ -69,7 +73,7 @@ def run_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     np.cumsum(LETTER[data] * power[:-1], out=sums[1:])
     power[1:] = BASE_INVERSE
     back = np.cumprod(power)
-    return starts, ends, mixed_bits((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return mixed_bits((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, checkpoint, connected_components, local_components, mixed_bits, run_hashes, shards_for
+from .common import BASE, checkpoint, connected_components, local_components, mixed_bits, runs, shards_for, span_hashes
 
 BUCKETS, SLICES = 1 << 18, 32  # of the table of estimated frequencies
 MAX_MATCHES = 4  # shared prefix tokens asked for at most
@@ -36,7 +36,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts).lower(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    starts, _, words = run_hashes(data, ~SPACE[data])
+    starts, ends = runs(~SPACE[data])
+    words = span_hashes(data, starts, ends)
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     return words, np.diff(np.searchsorted(starts, offsets))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import ranges, run_hashes
+from .common import ranges, runs, span_hashes
 
 SPACE = "▁"
 CACHE_WORDS = 2_000_000
@@ -197,7 +197,8 @@ class Encoder:
             parts = [p.replace(b"\n", b"\xff\n\xff") for p in parts]
         raw = b"\xff".join(parts)
         data = np.frombuffer(raw, np.uint8)
-        first, end, hashes = run_hashes(data, data != 0xFF)
+        first, end = runs(data != 0xFF)
+        hashes = span_hashes(data, first, end)
         order = np.argsort(hashes)
         head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
         distinct = hashes[order[head]]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranges, run_hashes, shared_path, shards_for, text_bytes
+from .common import checkpoint, ranges, shared_path, shards_for, span_hashes, text_bytes
 
 END = 2
 MAGIC = b"RPAIR001"
@@ -26,26 +26,40 @@ SLICE_CHARS = 1 << 20
 MIN_COUNT, ROUND_PAIRS = 12, 2048
 SYMBOLS = 1 << 16
 SPACES = re.compile(r"\s\s")
-#: A comma or full stop that doesn't follow a letter or digit, or stands before another sign.
-LOOSE = re.compile(r"(?<![^\W_])[.,]|[.,][^\s\w]")
+# Classes of bytes: letters, digits, signs, space, line break, end of text; 0 (bytes beyond ASCII, the
+# apostrophe, other white space) is cut off from none of its neighbours.
+CLASS = np.zeros(256, np.uint8)
+CLASS[33:127] = 3
+CLASS[[*range(65, 91), *range(97, 123)]] = 1
+CLASS[48:58] = 2
+CLASS[[39, 32, 10, 255]] = [0, 4, 5, 6]
+#: Where the second of two classes starts a piece.
+BREAK = np.array([[c >= 4 or p >= 5 or (p in (1, 2, 3) and c in (1, 2, 3) and p != c) for c in range(8)] for p in range(8)]).ravel()
+
+
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others, in order, for 256 and up.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+LINE = BYTE_CHARACTERS[10]
 
 
 class Encoder:
     """The tokenizers library on whole texts, by way of a cache of their words, found by 64-bit hashes.
 
-    The pre-tokenizer of a byte-level BPE never joins what lies on both sides
-    of a single space or line break, or of a lone comma or full stop after a
-    letter or digit, so pieces cut there encode on their own to the ids they
+    The pre-tokenizer of a byte-level BPE starts a new part at a single space,
+    around a line break, and between ASCII letters, digits and signs (the
+    apostrophe aside), so pieces cut there encode on their own to the ids they
     have in the text. Unknown pieces go to the library many at a time, joined
-    by line breaks. Texts with adjacent white space, a null character or a
-    special token go to the library whole.
+    by line breaks. Texts with adjacent white space or a special token go to the library whole.
     """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.letters = Tokenizer.from_str(definition)
+        self.letters.pre_tokenizer = pre_tokenizers.Split(LINE, "isolated")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
@@ -58,36 +72,39 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Adds the ids of unknown words, which have no line break inside and don't end in white space."""
-        odd = {i for i, w in enumerate(words) if not w or w[-1].isspace() or "\n" in w or w in self.special}
-        plain = [w for i, w in enumerate(words) if i not in odd]
-        ids: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            got = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids + self.line, np.int32)
-            breaks = np.flatnonzero(got == self.line[0])
-            if len(breaks) != len(part):
-                raise ValueError("a line break joined other text")
-            ids.append(got[got != self.line[0]])
-            ends.append(np.diff(breaks, prepend=-1) - 1)
+    def _joined(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each), from texts of words with line breaks between them."""
+        mark = self.line[0]
+        found = [np.array([*e.ids, mark], np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, np.int32)])
+        return ids[ids != mark], np.diff(np.flatnonzero(ids == mark), prepend=-1) - 1
+
+    def learn(self, raw: list[bytes]) -> None:
+        """Adds the ids of unknown words.
+
+        Words of letters, with at most one space in front, are one pre-token:
+        they skip the pre-tokenizer, in its alphabet of byte characters. The
+        rest is joined by line breaks; what itself holds a line break or ends in
+        white space goes to the library alone.
+        """
+        words = [w.decode() for w in raw]
+        kind = np.array([0 if (w[1:] if w[0] == " " else w).isalpha() and max(w) < "\u2000" else 1 if not (w[-1].isspace() or "\n" in w or w in self.special) else 2 for w in words])
+        letters, plain, odd = (np.flatnonzero(kind == k).tolist() for k in range(3))
+        own = self.whole([words[i] for i in odd])
+        parts = [
+            self._joined(self.letters, [b"\n".join([raw[i] for i in letters[k : k + 200]]).decode("latin-1").translate(BYTE_CHARACTERS) for k in range(0, len(letters), 200)]),
+            self._joined(self.tokenizer, ["\n".join([words[i] for i in plain[k : k + 2000]]) for k in range(0, len(plain), 2000)]),
+            (np.array([x for ids in own for x in ids], np.int32), np.array([len(ids) for ids in own], np.int64)),
+        ]
         counts = np.zeros(len(words), np.int64)
-        for i in odd:
-            counts[i] = -1
-        keep = counts >= 0
-        counts[keep] = np.concatenate(ends) if ends else 0
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-        if odd:
-            own = {i: np.array(x, np.int32) for i, x in zip(sorted(odd), self.whole([words[i] for i in sorted(odd)]))}
-            for i, x in own.items():
-                counts[i] = len(x)
-            at, parts = 0, []
-            for i, n in enumerate(counts):
-                parts.append(own[i] if i in own else flat[at : at + n])
-                at += 0 if i in own else n
-            flat = np.concatenate(parts)
-        self.flat = np.concatenate([self.flat, flat])
+        if sum(len(n) for _, n in parts) != len(words):
+            raise ValueError("a line break joined other text")
+        counts[[*letters, *plain, *odd]] = np.concatenate([n for _, n in parts])
+        order = np.argsort(kind, kind="stable")  # the words in the order of ``parts``
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        flat = np.concatenate([ids for ids, _ in parts])
+        self.flat = np.concatenate([self.flat, flat[ranges(starts, counts)]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +122,19 @@ class Encoder:
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        pieces, direct = [], {}
-        for i, t in enumerate(texts):
-            if "\x00" in t or SPACES.search(t) or any(s in t for s in self.special):
-                direct[i] = t
-                t = ""
-            t = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
-            if not LOOSE.search(t):
-                t = t.replace(",", "\x00,").replace(".", "\x00.")
-            pieces.append(t.encode("utf-8"))
-        raw = b"\x00".join(pieces)
+        direct = {i: t for i, t in enumerate(texts) if SPACES.search(t) or any(s in t for s in self.special)}
+        pieces = [b"" if i in direct else t.encode("utf-8") for i, t in enumerate(texts)]
+        raw = b"\xff".join([*pieces, b""])
         data = np.frombuffer(raw, np.uint8)
-        first, end, hashes = run_hashes(data, data != 0)
+        kind = CLASS[data]
+        pair = kind.copy()
+        pair[1:] += kind[:-1] << 3
+        pair[:1] = 6 << 3 | kind[:1]
+        cut = np.flatnonzero(BREAK[pair])
+        first, end = cut, np.append(cut[1:], len(data))
+        keep = kind[first] != 6
+        first, end = first[keep], end[keep]
+        hashes = span_hashes(data, first, end)
         order = np.argsort(hashes)
         head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
         distinct = hashes[order[head]]
@@ -124,7 +142,7 @@ class Encoder:
         new = np.flatnonzero(np.append(self.keys, np.uint64(0))[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
             some = order[head[new]]
-            self.learn([raw[a:b].decode() for a, b in zip(first[some].tolist(), end[some].tolist())])
+            self.learn([raw[a:b] for a, b in zip(first[some].tolist(), end[some].tolist())])
             self.places = np.insert(self.places, slot[new], len(self.keys) + np.arange(len(new)))
             self.keys = np.insert(self.keys, slot[new], distinct[new])
         word = np.empty(len(hashes), np.int64)
