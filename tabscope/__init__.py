@@ -43,6 +43,7 @@ _API = {
     "guarded_sql": "tabscope.operators.sql", "read_only_sql": "tabscope.operators.sql",
     "preview": "tabscope.operators.sql", "RefusedQuery": "tabscope.operators.sql",
     "apply_transform": "tabscope.operators.transform", "asof_join": "tabscope.operators.asof",
+    "band_join": "tabscope.operators.bands", "running_totals": "tabscope.operators.bands",
     "check_primary_key": "tabscope.operators.keys", "check_foreign_key": "tabscope.operators.keys",
     "chat_summaries": "tabscope.operators.logs", "chat_transcript": "tabscope.operators.logs",
     "clean_feedback": "tabscope.operators.logs", "clean_tickets": "tabscope.operators.logs",

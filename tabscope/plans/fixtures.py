@@ -59,7 +59,31 @@ ORDERS_MIXED = """SELECT o_orderkey,
        ELSE o_totalprice END AS price_nan
 FROM orders"""
 
+# Whole numbers beyond 2^53, a wide decimal, a single-precision column and few large values.
+ORDERS_EXACT = """SELECT o_orderkey + 1152921504606846976 AS big_key,
+  CAST(o_orderkey AS DECIMAL(18,0)) * CAST(4503599627370497 AS DECIMAL(18,0)) AS wide_key,
+  CASE WHEN o_orderkey % 2 = 0 THEN 1152921504606846976 ELSE 1152921504606846977 END AS two_big,
+  o_totalprice
+FROM orders"""
+
+# Times as text with a zone, with milliseconds and without seconds.
+ORDERS_ZONED = """SELECT concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T21:30:00.250Z') AS zoned_day,
+  concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 21:30') AS minute_day, o_totalprice
+FROM orders"""
+
+# Columns that rise together, one of them named like an id.
+LI_LINEAR = """SELECT l_orderkey AS order_id, l_orderkey * 2.0 + l_linenumber AS line_place, l_orderkey * 1.5 + 10 * l_linenumber AS shelf,
+  l_quantity, l_quantity * 3 + l_linenumber AS units
+FROM lineitem"""
+
+# A third of the events on one user.
+EVENTS_HOT = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, ts, value, event_type FROM events"""
+
 DERIVED = {
+    "orders_exact": ORDERS_EXACT,
+    "orders_zoned": ORDERS_ZONED,
+    "li_linear": LI_LINEAR,
+    "events_hot": EVENTS_HOT,
     "li_nulls": LI_NULLS,
     "li_outliers": LI_OUTLIERS,
     "li_kinds": LI_KINDS,

@@ -31,6 +31,14 @@ SCHEMAS = {
         ("o_totalprice", "numeric", "double"), ("o_orderdate", "datetime", "timestamp_ntz"),
         ("o_orderpriority", "string", "string"),
     ],
+    "orders_exact": [
+        ("big_key", "numeric", "bigint"), ("wide_key", "numeric", "decimal(37,0)"), ("two_big", "numeric", "bigint"),
+        ("o_totalprice", "numeric", "double"),
+    ],
+    "li_linear": [
+        ("order_id", "numeric", "bigint"), ("line_place", "numeric", "double"), ("shelf", "numeric", "double"),
+        ("l_quantity", "numeric", "double"), ("units", "numeric", "double"),
+    ],
     "orders_mixed": [
         ("o_orderkey", "numeric", "bigint"), ("mixed_day", "string", "string"), ("slash_day", "string", "string"),
         ("five", "numeric", "double"), ("price_nan", "numeric", "double"),

@@ -444,11 +444,13 @@ class TableProfile:
         return st.select("column", "ordinal", size.cast("long").alias("bytes"))
 
     def type_distribution(self) -> DataFrame:
-        """Storage type name -> number of columns (schema only, counted on the driver)."""
-        from collections import Counter
-
-        counts = Counter(s.type_name for s in self.specs)
-        return local_frame(self.spark, sorted(counts.items()), "storage_type string, columns long")
+        """Storage type name -> number of columns and of their non-null values."""
+        found: dict[str, list[int]] = {}
+        for s in self.specs:
+            own = found.setdefault(s.type_name, [0, 0])
+            own[0] += 1
+            own[1] += self.n_rows - self.patterns["null"][s.name]
+        return local_frame(self.spark, sorted((k, *v) for k, v in found.items()), "storage_type string, columns long, values long")
 
     def semantic_type_distribution(self) -> DataFrame:
         """Semantic type -> number of columns (one row per column, counted on the driver)."""

@@ -233,18 +233,81 @@ def q_correlation_matrix_kinds(spark, sf_dir):
     return correlation_matrix(_t(spark, sf_dir, "li_kinds"))
 
 
-@check("strong_correlations", O.strong_corr_sql("li_outliers", threshold=0.5))
+@check("strong_correlations", O.strong_corr_sql("li_linear"))
 def q_strong_correlations(spark, sf_dir):
     from tabscope.operators.table import strong_correlations
 
-    return strong_correlations(_t(spark, sf_dir, "li_outliers"), threshold=0.5)
+    return strong_correlations(_t(spark, sf_dir, "li_linear"))
 
 
-@check("strong_correlations_hide_ids", O.strong_corr_sql("lineitem", hide_ids=True, threshold=0.7))
+@check("strong_correlations_hide_ids", O.strong_corr_sql("li_linear", hide_ids=True))
 def q_strong_correlations_hide_ids(spark, sf_dir):
     from tabscope.operators.table import strong_correlations
 
-    return strong_correlations(_t(spark, sf_dir, "lineitem"), hide_ids=True)
+    return strong_correlations(_t(spark, sf_dir, "li_linear"), hide_ids=True)
+
+
+@check("profile_columns_exact", O.profile_sql("orders_exact"))
+def q_profile_columns_exact(spark, sf_dir):
+    """Whole numbers beyond 2^53 and a decimal column are grouped exactly."""
+    return _columns(spark, sf_dir, "orders_exact")
+
+
+def _top_sql(view: str, columns: dict[str, str], k: int = 10) -> str:
+    s = O.src(view)
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {shown} AS value, count(*) AS cnt, (SELECT count(*) FROM {s}) AS n, {order} AS o FROM {s} "
+        f"WHERE {c} IS NOT NULL GROUP BY 2, 5" for c, (shown, order) in columns.items())
+    return f"""SELECT "column", CAST(rank AS INTEGER) AS rank, value, CAST(cnt AS BIGINT) AS "count", {O.r("cnt * 100.0 / n", 2)} AS percentage
+FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, o, value) AS rank FROM ({parts}) p) q WHERE rank <= {k}"""
+
+
+@check("top_values_numbers", _top_sql("lineitem", {
+    "l_quantity": ("printf('%.1f', l_quantity)", "l_quantity"), "l_linenumber": ("CAST(l_linenumber AS VARCHAR)", "CAST(l_linenumber AS DOUBLE)"),
+    "l_orderkey": ("CAST(l_orderkey AS VARCHAR)", "CAST(l_orderkey AS DOUBLE)")}))
+def q_top_values_numbers(spark, sf_dir):
+    from tabscope.operators.columns import top_values
+
+    return top_values(_t(spark, sf_dir, "lineitem"), columns=["l_quantity", "l_linenumber", "l_orderkey"])
+
+
+@check("top_values_long_text", """SELECT 'text' AS "column", CAST(count(*) AS BIGINT) AS n_values, CAST(sum(cnt) AS BIGINT) AS total,
+  CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT text, count(*) AS cnt FROM documents GROUP BY 1 HAVING count(*) > 1)""")
+def q_top_values_long_text(spark, sf_dir):
+    """All repeated documents as top values: they come back whole, not as their key in F."""
+    from tabscope.operators.columns import top_values
+
+    docs = _t(spark, sf_dir, "documents")
+    out = top_values(docs, k=docs.count(), columns=["text"]).where("count > 1")
+    return out.groupBy("column").agg(F.count("*").alias("n_values"), F.sum("count").alias("total"), F.sum(F.length("value")).alias("chars"))
+
+
+@check("profile_table", f"""SELECT 'columns' AS part, CAST(count(*) AS BIGINT) AS rows, {O.r('avg(quality_score)', 2)} AS figure FROM ({O.profile_sql('li_nulls')}) p
+UNION ALL SELECT 'completeness', 1, completeness_percentage FROM ({O.completeness_sql('li_nulls')}) c
+UNION ALL SELECT 'column_duplicates', CAST(count(*) AS BIGINT), CAST(sum(duplicate_count) AS DOUBLE) FROM ({O.profile_sql('li_nulls')}) p WHERE duplicate_count > 0
+UNION ALL SELECT 'missing_patterns', 1, CAST(rows_with_missing AS DOUBLE) FROM ({O.missing_patterns_sql('li_nulls')}) m
+UNION ALL SELECT 'missing_correlation', CAST(count(*) AS BIGINT), CAST(sum(correlation) AS DOUBLE) FROM ({O.missing_corr_sql('li_nulls')}) m
+UNION ALL SELECT 'correlation_matrix', CAST(count(*) AS BIGINT), {O.r('sum(correlation)', 3)} FROM ({O.corr_matrix_sql('li_nulls')}) m
+UNION ALL SELECT 'overall_quality', 1, {O.r('avg(quality_score)', 2)} FROM ({O.profile_sql('li_nulls')}) p""")
+def q_profile_table(spark, sf_dir):
+    """The whole report from one set of scans; a figure from each part."""
+    from tabscope.operators.table import profile_table
+
+    rep = profile_table(_t(spark, sf_dir, "li_nulls"))
+    figures = {
+        "columns": F.expr("avg(quality_score)"), "completeness": F.max("completeness_percentage"), "column_duplicates": F.sum("duplicate_count"),
+        "missing_patterns": F.max("rows_with_missing"), "missing_correlation": F.sum("correlation"), "correlation_matrix": F.sum("correlation"),
+        "overall_quality": F.max("overall_quality_score"),
+    }
+    from tabscope.functions.expressions import rnd
+
+    places = {"columns": 2, "correlation_matrix": 3}
+    out = None
+    for part, figure in figures.items():
+        value = figure.cast("double")
+        row = rep[part].agg(F.count("*").alias("rows"), (rnd(value, places[part]) if part in places else value).alias("figure")).select(F.lit(part).alias("part"), "rows", "figure")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @check("constant_columns", O.profile_subset("li_kinds", ['"column"', "ordinal"], "unique_count <= 1"))
@@ -274,14 +337,12 @@ def q_data_size(spark, sf_dir):
     return data_size(_t(spark, sf_dir, "orders"))
 
 
-@check("type_distribution", """SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
-  WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END
-  AS storage_type, CAST(count(*) AS BIGINT) AS columns
-FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1""")
+@check("type_distribution", f"""SELECT storage_type, CAST(count(*) AS BIGINT) AS columns, CAST(sum(n) AS BIGINT) AS "values" FROM (
+{' UNION ALL '.join(f"SELECT '{t}' AS storage_type, count({c}) AS n FROM {O.src('li_nulls')}" for c, _, t in O.SCHEMAS['li_nulls'])}) x GROUP BY 1""")
 def q_type_distribution(spark, sf_dir):
     from tabscope.operators.table import type_distribution
 
-    return type_distribution(_t(spark, sf_dir, "lineitem"))
+    return type_distribution(_t(spark, sf_dir, "li_nulls"))
 
 
 @check("semantic_type_distribution", f"""SELECT "type", CAST(count(*) AS BIGINT) AS columns
@@ -401,6 +462,22 @@ def q_dynamics_text_dates(spark, sf_dir):
     return dynamics(_t(spark, sf_dir, "orders_text_dates"), "order_day", "o_totalprice", "sum")
 
 
+@check("dynamics_zoned_dates", f"""SELECT strftime(CAST(substr(zoned_day, 1, 10) AS DATE), '%Y-%m-%d') AS day, CAST(sum(o_totalprice) AS DOUBLE) AS value
+FROM {O.src('orders_zoned')} GROUP BY 1""")
+def q_dynamics_zoned_dates(spark, sf_dir):
+    from tabscope.operators.charts import dynamics
+
+    return dynamics(_t(spark, sf_dir, "orders_zoned"), "zoned_day", "o_totalprice", "sum")
+
+
+@check("dynamics_minute_dates", f"""SELECT strftime(CAST(substr(minute_day, 1, 10) AS DATE), '%Y-%m-%d') AS day, CAST(count(*) AS DOUBLE) AS value
+FROM {O.src('orders_zoned')} GROUP BY 1""")
+def q_dynamics_minute_dates(spark, sf_dir):
+    from tabscope.operators.charts import dynamics
+
+    return dynamics(_t(spark, sf_dir, "orders_zoned"), "minute_day", "o_totalprice", "count")
+
+
 @check("outlier_split", f"""SELECT "column", CAST(n - outlier_count - missing_count AS BIGINT) AS normal,
   CAST(outlier_count AS BIGINT) AS outliers, CAST(missing_count AS BIGINT) AS nulls,
   CAST(n - outlier_count AS BIGINT) AS normal_ref, lower_bound, upper_bound
@@ -463,7 +540,7 @@ _sql_check("sql_join_using", """SELECT doc_id, quality, toxic, lang FROM labels
 _sql_check("sql_semi_join", """SELECT c_custkey, c_name FROM customer
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
 _sql_check("sql_anti_join", """SELECT s_suppkey, s_name FROM supplier
-WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50)""")
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_discount > 0.09)""")
 _sql_check("sql_range_join", """SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c
 ON s.s_nationkey = c.c_nationkey AND c.c_acctbal BETWEEN s.s_acctbal - 100 AND s.s_acctbal + 100""")
 _sql_check("sql_interval_join", """SELECT a.event_id, b.event_id AS next_event_id FROM events a JOIN events b
@@ -546,6 +623,50 @@ def q_asof_join(spark, sf_dir):
     return asof_join(clicks, buys, "user_id", "ts", right_prefix="p_")
 
 
+@check("asof_join_null_keys", """SELECT l.event_id, l.k, r.event_id AS p_event_id, r.value AS p_value
+FROM (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS k, ts FROM events WHERE event_type = 'click') l
+ASOF LEFT JOIN (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS k, ts, value FROM events WHERE event_type = 'purchase') r
+ON l.k = r.k AND l.ts >= r.ts""")
+def q_asof_join_null_keys(spark, sf_dir):
+    from tabscope.operators.asof import asof_join
+
+    ev = _t(spark, sf_dir, "events").withColumn("k", F.expr("CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END"))
+    clicks = ev.where(F.col("event_type") == "click").select("event_id", "k", "ts")
+    buys = ev.where(F.col("event_type") == "purchase").select("event_id", "k", "ts", "value")
+    return asof_join(clicks, buys, "k", "ts", right_prefix="p_").drop("ts", "p_ts")
+
+
+@check("interval_join_hot_key", f"""SELECT a.event_id, b.event_id AS next_event_id
+FROM {O.src('events_hot')} JOIN (SELECT * FROM {O.src('events_hot')}) b ON events_hot.user_id = b.user_id
+  AND b.ts > events_hot.ts AND b.ts <= events_hot.ts + INTERVAL '10' MINUTE""".replace("SELECT a.event_id", "SELECT events_hot.event_id"))
+def q_interval_join_hot_key(spark, sf_dir):
+    """A third of all events lie on one user; the join splits it by time."""
+    from tabscope.operators.bands import band_join
+
+    ev = _t(spark, sf_dir, "events_hot").select("event_id", "user_id", "ts")
+    out = band_join(ev, ev, "user_id", "ts", low=0, high=600, include_low=False)
+    return out.select("event_id", F.col("r_event_id").alias("next_event_id"))
+
+
+@check("range_join", """SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c
+ON s.s_nationkey = c.c_nationkey AND c.c_acctbal - s.s_acctbal BETWEEN -100 AND 100""")
+def q_range_join(spark, sf_dir):
+    from tabscope.operators.bands import band_join
+
+    s = _t(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", "s_acctbal AS bal", "s_suppkey")
+    c = _t(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", "c_acctbal AS bal", "c_custkey")
+    return band_join(s, c, "nation", "bal", low=-100, high=100).select("s_suppkey", F.col("r_c_custkey").alias("c_custkey"))
+
+
+@check("running_totals_hot_key", f"""SELECT event_id, user_id, CAST(count(*) OVER w AS BIGINT) AS running_n, round(sum(value) OVER w, 3) AS running_sum
+FROM {O.src('events_hot')} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def q_running_totals_hot_key(spark, sf_dir):
+    from tabscope.operators.bands import running_totals
+
+    out = running_totals(_t(spark, sf_dir, "events_hot"), "user_id", ["ts", "event_id"], "value", partitions=8)
+    return out.select("event_id", "user_id", "running_n", F.round("running_sum", 3).alias("running_sum"))
+
+
 @check("check_primary_key", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(o_orderkey) AS BIGINT) AS null_keys,
   CAST((SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS duplicate_keys,
   CAST(coalesce((SELECT sum(c) FROM (SELECT count(*) AS c FROM orders WHERE o_orderkey IS NOT NULL GROUP BY o_orderkey HAVING count(*) > 1)), 0) AS BIGINT) AS duplicate_rows,
@@ -607,16 +728,20 @@ def q_normality_jb(spark, sf_dir):
 # --------------------------------------------------------------------- logs
 @check("chat_summaries", r"""SELECT conv_id,
   CASE WHEN t <> '' THEN t END AS title, CAST(messages_count AS BIGINT) AS messages_count,
-  CAST(turns AS BIGINT) AS turns, last_turn
-FROM (SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS messages_count, count(*) AS turns,
+  CAST(turns AS BIGINT) AS turns, last_turn, created_at, updated_at
+FROM (SELECT conv_id, min(TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' HOUR + conv_id * INTERVAL '1' DAY) AS created_at,
+        max(TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' HOUR + conv_id * INTERVAL '1' DAY) AS updated_at, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS messages_count, count(*) AS turns,
         max(turn) AS last_turn,
         substring(split_part(regexp_replace(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user'),
           '^[\s\x85\xa0]+', ''), '[\s\x85\xa0]+$', ''), chr(10), 1), 1, 40) AS t
-      FROM conversations GROUP BY conv_id) x""")
+      FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id) x""")
 def q_chat_summaries(spark, sf_dir):
     from tabscope.operators.logs import chat_summaries
 
-    return chat_summaries(_t(spark, sf_dir, "conversations"))
+    conv = _t(spark, sf_dir, "conversations").selectExpr(
+        "*", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(conv_id AS INT), CAST(turn AS INT)) AS created_at",
+        "IF(conv_id % 2 = 0, 'web', 'mail') AS source_id")
+    return chat_summaries(conv, source_id="web")
 
 
 @check("chat_transcript", r"""SELECT conv_id, turn, role, text FROM conversations
@@ -631,33 +756,41 @@ def q_chat_transcript(spark, sf_dir):
 # ------------------------------------------------------------ sinks and sources
 @check("json_safe", """SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
   ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts,
-  CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value, user_id, event_type, props FROM events""")
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value, user_id, event_type, props,
+  event_id % 5 = 0 AS no_struct FROM events""")
 def q_json_safe(spark, sf_dir):
     from tabscope.sources.sinks import json_safe
 
     ev = _t(spark, sf_dir, "events")
     ev = ev.withColumn("value", F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
-    return json_safe(ev)
+    ev = ev.withColumn("nested", F.when(F.col("event_id") % 5 != 0, F.struct("value")))
+    return json_safe(ev).withColumn("no_struct", F.col("nested").isNull()).drop("nested")
 
 
 @check("catalog_tables", " UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows, "
-    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS columns FROM {t}"
+    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS INTEGER) AS columns, "
+    f"CAST({chr(39) + 'o_orderkey' + chr(39) if t == 'orders' else 'NULL'} AS VARCHAR) AS primary_key, "
+    f"CAST({chr(39) + 'o_custkey -> customer(c_custkey)' + chr(39) if t == 'orders' else 'NULL'} AS VARCHAR) AS foreign_keys FROM {t}"
     for t in ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
               "nation", "orders", "pages", "part", "region", "supplier"]))
 def q_catalog_tables(spark, sf_dir):
     from tabscope.sources.catalog import catalog_tables, load_catalog
 
-    return catalog_tables(load_catalog(spark, sf_dir))
+    cat = load_catalog(spark, f"file://{sf_dir}" if sf_dir.startswith("/") else sf_dir)
+    cat.register("orders", cat.loaders["orders"], ["o_orderkey"],
+                 [{"constrained_columns": ["o_custkey"], "referred_table": "customer", "referred_columns": ["c_custkey"]}])
+    return catalog_tables(cat)
 
 
-@check("catalog_columns", """SELECT table_name AS "table", column_name AS "column", CAST(ordinal_position - 1 AS INTEGER) AS ordinal
-FROM information_schema.columns WHERE table_name IN ('benchmark', 'conversations', 'customer', 'documents', 'embeddings',
-  'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier')""")
+@check("catalog_columns", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", CAST({i} AS INTEGER) AS ordinal, '{k}' AS type, TRUE AS nullable, "
+    f"CAST(count({c}) AS BIGINT) AS non_null FROM {t}"
+    for t in ("orders", "lineitem", "events", "documents") for i, (c, _, k) in enumerate(O.SCHEMAS[t])))
 def q_catalog_columns(spark, sf_dir):
     from tabscope.sources.catalog import catalog_columns, load_catalog
 
-    return catalog_columns(load_catalog(spark, sf_dir)).select("table", "column", "ordinal")
+    return catalog_columns(load_catalog(spark, sf_dir)).where(F.col("table").isin("orders", "lineitem", "events", "documents"))
 
 
 _DUCK_TO_SPARK = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
@@ -710,8 +843,12 @@ def q_profile_diff(spark, sf_dir):
 def q_dynamics_stream(spark, sf_dir):
     from tabscope.streaming.dynamics import run_dynamics_stream
 
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    out = run_dynamics_stream(spark, sf_dir, ev.schema, "ts", "value", glob="events.parquet")
+    from tabscope.operators.quantiles import scratch_path
+
+    ev = _t(spark, sf_dir, "events")
+    path = scratch_path(spark, "events-stream")  # four files, days mixed: most rows come late
+    ev.repartition(4, F.col("event_id") % 4).write.parquet(path)
+    out = run_dynamics_stream(spark, path, ev.schema, "ts", "value", files_per_batch=1)
     return out.select("day", "events", F.round("value_sum", 6).alias("value_sum"), "value_max")
 
 
@@ -754,6 +891,30 @@ def q_read_json(spark, sf_dir):
                      "event_type", "value")
 
 
+@check("read_csv_texts", """SELECT doc_id, text, lang || '"' || source AS tag FROM documents""")
+def q_read_csv_texts(spark, sf_dir):
+    """Texts with quotes, commas and line breaks through a CSV copy of ``documents``."""
+    from tabscope.operators.quantiles import scratch_path
+    from tabscope.sources.readers import read_csv
+
+    path = scratch_path(spark, "documents") + ".csv"
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.concat("lang", F.lit('"'), "source").alias("tag"))
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return read_csv(spark, path)
+
+
+@check("read_json_arrays", "SELECT page_id, url, html FROM pages")
+def q_read_json_arrays(spark, sf_dir):
+    """A folder of JSON arrays made of ``pages``, an array of at most 50 in each file."""
+    from tabscope.operators.quantiles import scratch_path
+    from tabscope.sources.readers import read_any
+
+    path = scratch_path(spark, "pages") + ".json"
+    rows = _t(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("k")).agg(F.to_json(F.collect_list(F.struct("page_id", "url", "html"))).alias("value"))
+    rows.write.partitionBy("k").text(path)
+    return read_any(spark, path).select("page_id", "url", "html")
+
+
 @check("profile_columns_documents", O.profile_sql("documents"))
 def q_profile_columns_documents(spark, sf_dir):
     """Whole documents (up to 20,000 words): long values enter F as prefix + SHA-256."""
@@ -818,35 +979,44 @@ _FEEDBACK_SRC = """SELECT conv_id AS chat_id,
 FROM conversations"""
 
 
-@check("clean_feedback", r"""SELECT chat_id, lower(trim(feedback)) AS feedback,
+@check("clean_feedback", r"""SELECT *, CASE WHEN feedback IN ('like', 'dislike') THEN 'web' END AS source_id,
+  CASE WHEN feedback IN ('like', 'dislike') THEN NULL ELSE 'feedback must be ''like'' or ''dislike''' END AS reason,
+  CAST(CASE WHEN feedback IN ('like', 'dislike') THEN count(*) FILTER (WHERE feedback IN ('like', 'dislike')) OVER () END AS BIGINT) AS ids
+FROM (SELECT chat_id, lower(trim(feedback)) AS feedback,
   CASE WHEN regexp_replace(comment, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') = '' THEN NULL
        ELSE regexp_replace(comment, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') END AS comment, turn
-FROM (""" + _FEEDBACK_SRC + """) f WHERE lower(trim(feedback)) IN ('like', 'dislike')""")
+FROM (""" + _FEEDBACK_SRC + """) f) g""")
 def q_clean_feedback(spark, sf_dir):
     """L4 over inputs derived from every conversation turn: kinds trimmed and
-    lower-cased, anything else rejected, blank comments to null."""
+    lower-cased, anything else rejected with a reason, blank comments to null,
+    accepted rows stamped and told apart by id."""
     from tabscope.operators.logs import clean_feedback
 
     register_views(spark, sf_dir)
-    accepted, _ = clean_feedback(spark.sql(_FEEDBACK_SRC))
-    return accepted.drop("id")
-
-
-@check("clean_tickets", r"""SELECT regexp_replace(subject, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') AS subject,
-  regexp_replace(description, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') AS description, email
-FROM (SELECT CASE WHEN turn % 4 = 0 THEN '  ' ELSE role END AS subject, text AS description,
-             CAST(NULL AS VARCHAR) AS email FROM conversations) t
-WHERE regexp_replace(subject, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') <> ''
-  AND regexp_replace(coalesce(description, ''), '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') <> ''""")
+    accepted, rejected = clean_feedback(spark.sql(_FEEDBACK_SRC), source_id="web")
+    ids = accepted.where("created_at IS NOT NULL").agg(F.count_distinct("id")).first()[0]
+    accepted = accepted.select("chat_id", "feedback", "comment", "turn", "source_id", F.lit(None).cast("string").alias("reason"), F.lit(ids).cast("long").alias("ids"))
+    return accepted.union(rejected.select("chat_id", "feedback", "comment", "turn", F.lit(None).cast("string"), "reason", F.lit(None).cast("long")))
+
+
+@check("clean_tickets", r"""SELECT subject, description, email,
+  CASE WHEN subject = '' THEN 'subject is required' WHEN description = '' THEN 'description is required' END AS reason,
+  CASE WHEN subject <> '' AND description <> '' THEN 'mail' END AS source_id
+FROM (SELECT regexp_replace(subject, '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') AS subject,
+        regexp_replace(coalesce(description, ''), '^[\s\x85\xa0]+|[\s\x85\xa0]+$', '', 'g') AS description, email
+      FROM (SELECT CASE WHEN turn % 4 = 0 THEN '  ' ELSE role END AS subject, CASE WHEN turn % 7 = 5 THEN ' ' ELSE text END AS description,
+                   CAST(NULL AS VARCHAR) AS email FROM conversations) t) u""")
 def q_clean_tickets(spark, sf_dir):
-    """L5 over inputs derived from conversations: subject and description required."""
+    """L5 over inputs derived from conversations: subject and description required, rejected rows with their reason."""
     from tabscope.operators.logs import clean_tickets
 
     src = _t(spark, sf_dir, "conversations").select(
         F.when(F.col("turn") % 4 == 0, F.lit("  ")).otherwise(F.col("role")).alias("subject"),
-        F.col("text").alias("description"), F.lit(None).cast("string").alias("email"))
-    accepted, _ = clean_tickets(src)
-    return accepted.drop("id")
+        F.when(F.col("turn") % 7 == 5, F.lit(" ")).otherwise(F.col("text")).alias("description"), F.lit(None).cast("string").alias("email"))
+    accepted, rejected = clean_tickets(src, source_id="mail")
+    none = F.lit(None).cast("string")
+    return accepted.where("id IS NOT NULL AND created_at IS NOT NULL").select("subject", "description", "email", none.alias("reason"), "source_id").union(
+        rejected.select("subject", "description", "email", "reason", none))
 
 
 @check("append_log", """SELECT conv_id, turn, role, batch FROM (
@@ -876,11 +1046,15 @@ def q_preview(spark, sf_dir):
     return preview(_t(spark, sf_dir, "orders").orderBy("o_orderkey"))
 
 
-@check("catalog_status", """SELECT table_name AS "table", 'ok' AS status, CAST(NULL AS VARCHAR) AS error
-FROM information_schema.tables WHERE table_name IN ('benchmark', 'conversations', 'customer', 'documents',
-  'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier')""")
+@check("catalog_status", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", 'ok' AS status, CAST(count(*) AS BIGINT) AS rows FROM {t}" for t in _TABLES)
+       + " UNION ALL SELECT 'broken', 'error', NULL")
 def q_catalog_status(spark, sf_dir):
-    """One status row per table found under the folder."""
+    """A catalog of all tables and one whose files are no Parquet; that one is kept with its error."""
+    from tabscope.operators.quantiles import scratch_path
     from tabscope.sources.catalog import catalog_status, load_catalog
 
-    return catalog_status(load_catalog(spark, sf_dir))
+    cat = load_catalog(spark, sf_dir)
+    path = scratch_path(spark, "broken")
+    _t(spark, sf_dir, "region").select("r_name").write.text(path)
+    cat.register("broken", lambda s: s.read.schema("a long").parquet(path))
+    return catalog_status(cat).select("table", "status", "rows")

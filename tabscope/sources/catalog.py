@@ -165,12 +165,14 @@ def catalog_tables(cat: Catalog) -> DataFrame:
 
 
 def catalog_columns(cat: Catalog) -> DataFrame:
-    """``table, column, ordinal, type, nullable`` from the schemas (no data read)."""
+    """``table, column, ordinal, type, nullable, non_null``: the schemas, with each column's non-null values (one scan a table)."""
     rows = []
     for name in cat.names:
-        for i, f in enumerate(cat.loaders[name](cat.spark).schema.fields):
-            rows.append((name, f.name, i, f.dataType.simpleString(), f.nullable))
-    return local_frame(cat.spark, rows, "table string, column string, ordinal int, type string, nullable boolean")
+        df = cat.loaders[name](cat.spark)
+        counts = df.agg(*[F.count(F.col(f"`{f.name}`")) for f in df.schema.fields]).first()
+        for i, f in enumerate(df.schema.fields):
+            rows.append((name, f.name, i, f.dataType.simpleString(), f.nullable, counts[i]))
+    return local_frame(cat.spark, rows, "table string, column string, ordinal int, type string, nullable boolean, non_null long")
 
 
 def catalog_keys(cat: Catalog) -> DataFrame:
@@ -212,6 +214,16 @@ def sample_rows(cat: Catalog, table: str | None = None, n: int = 5, order_by: li
 
 
 def catalog_status(cat: Catalog) -> DataFrame:
-    """One row per table found: ``table, status, error`` (``ok`` or ``error``)."""
-    rows = [(n, "ok", None) for n in cat.names] + [(n, "error", e) for n, e in cat.errors.items()]
-    return local_frame(cat.spark, rows, "table string, status string, error string")
+    """One row per table found: ``table, status, error, rows`` (``ok`` or ``error``).
+
+    Every table is read to count its rows, so one whose schema resolves but
+    whose files cannot be read shows as an error too.
+    """
+    rows = [(n, "error", e, None) for n, e in cat.errors.items()]
+    for name in cat.names:
+        try:
+            df = cat.loaders[name](cat.spark)
+            rows.append((name, "ok", None, df.count()))
+        except Exception as e:
+            rows.append((name, "error", str(e).splitlines()[0][:500], None))
+    return local_frame(cat.spark, rows, "table string, status string, error string, rows long")
