@@ -61,7 +61,7 @@ FROM orders"""
 
 # Whole numbers beyond 2^53, a wide decimal, a single-precision column and few large values.
 ORDERS_EXACT = """SELECT o_orderkey + 1152921504606846976 AS big_key,
-  CAST(o_orderkey AS DECIMAL(18,0)) * CAST(4503599627370497 AS DECIMAL(18,0)) AS wide_key,
+  CAST(o_orderkey AS DECIMAL(30,0)) * 1000003 + CAST('0' AS DECIMAL(30,0)) AS wide_key,
   CASE WHEN o_orderkey % 2 = 0 THEN 1152921504606846976 ELSE 1152921504606846977 END AS two_big,
   o_totalprice
 FROM orders"""

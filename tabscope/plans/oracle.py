@@ -32,7 +32,7 @@ SCHEMAS = {
         ("o_orderpriority", "string", "string"),
     ],
     "orders_exact": [
-        ("big_key", "numeric", "bigint"), ("wide_key", "numeric", "decimal(37,0)"), ("two_big", "numeric", "bigint"),
+        ("big_key", "numeric", "bigint"), ("wide_key", "numeric", "decimal(38,0)"), ("two_big", "numeric", "bigint"),
         ("o_totalprice", "numeric", "double"),
     ],
     "li_linear": [
