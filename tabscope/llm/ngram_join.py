@@ -20,7 +20,7 @@ MAX_MATCHES = 4  # shared prefix tokens asked for at most
 VERIFY_COST = 20  # of a candidate, in posting entries
 LIST_ROWS = 16  # longer posting lists are compared as a block
 HOT_ROWS = 4_096  # lists of more estimated rows are found by grouped sums
-BLOCK_ROWS = 384  # documents of a block compared at a time
+BLOCK_ROWS = 1024  # documents of a block compared at a time
 TOKENS = 1 << 20  # prefix tokens of a bucket
 SLICE_BYTES = 1 << 21
 
@@ -251,7 +251,9 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     Equal sets are grouped first, so copies stand as one. Each of the rest shows
     a prefix of its rarest tokens, lengthened for each document while that is
     estimated to save verifying; a pair is verified when it shares as many
-    prefix tokens as the less demanding of the two asks for. Posting lists of
+    prefix tokens as the less demanding of the two asks for: first each document
+    with the smallest of its candidates, then the pairs that are in different
+    groups still. Posting lists of
     over 16 documents give no pairs: their members meet in blocks of the list's
     smallest document, which are compared whole, block by block.
     """
@@ -297,20 +299,35 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     frequent = checkpoint(reps.mapInArrow(warm, "token long, id long"))
     pivots = checkpoint(frequent.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1"))
     blocks = found.where("need = 0").select("a", "b").union(frequent.join(pivots, "token").select("a", F.col("id").alias("b"))).distinct()
-    stars = asked.select(F.col("a").alias("center"), F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("kind")).distinct()
-    members = checkpoint(stars.union(blocks.select(F.col("a").alias("center"), F.col("b").alias("id"), F.lit(1).alias("kind"))))
-    sizes = members.groupBy("center", "kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    cut = members.join(checkpoint(sizes), ["center", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("center", "kind", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
+    asked = checkpoint(asked.select("a", "b"))
+    blocks = checkpoint(blocks)
+    wanted = asked.select(F.explode(F.array("a", "b")).alias("doc_id")).union(blocks.select("b")).distinct()
+    whole = checkpoint(rows.join(wanted, "doc_id"))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         a, b = linked(group["id"].to_numpy(), shingle_sets(group["text"].tolist(), width), group["own"].to_numpy(), t)
         return pd.DataFrame({"a": a, "b": b})
 
-    whole = cut.join(rows, F.col("id") == F.col("doc_id")).drop("doc_id")
-    links = whole.groupBy("center", "kind", "low", "high").applyInPandas(verify, "a long, b long")
-    groups = connected_components(links)
+    def links(members: DataFrame) -> DataFrame:
+        """Spanning links among the members (id) of each center, compared in pairs of parts of bounded size."""
+        members = checkpoint(members)
+        sizes = members.groupBy("center", "kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+        cut = members.join(checkpoint(sizes), ["center", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cut = cut.select("center", "kind", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
+        both = cut.join(whole, F.col("id") == F.col("doc_id")).drop("doc_id")
+        return checkpoint(both.groupBy("center", "kind", "low", "high").applyInPandas(verify, "a long, b long"))
+
+    stars = lambda pairs: pairs.select(F.col("a").alias("center"), F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("kind")).distinct()
+    first = asked.groupBy("b").agg(F.min("a").alias("a"))
+    found = links(stars(first).union(blocks.select(F.col("a").alias("center"), F.col("b").alias("id"), F.lit(1).alias("kind"))))
+    groups = connected_components(found)
+    # Pairs that were not compared and are not in one group yet.
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = asked.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = checkpoint(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    if not rest.isEmpty():
+        groups = connected_components(found.union(links(stars(rest))))
     least = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
     labels = checkpoint(least.join(groups, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     own = shown.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
