@@ -202,8 +202,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     Rows with a null or letterless text or a null lang teach nothing; the rows
     of smallest hash of doc_id are taken and cut into windows where they lie.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows)
+    rows = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    # A hash threshold leaves about four times the wanted rows of each language before they are ranked,
+    # so what meets in one task doesn't grow with the table. One row a label reaches the driver.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    if counts:
+        least = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * sample_rows / n) * (1 << 40)))])
+        rows = rows.where(draw < least[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy(draw, F.xxhash64("doc_id"), "doc_id")
+    rows = rows.where("text RLIKE '\\\\p{L}'").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

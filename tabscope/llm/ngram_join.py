@@ -22,7 +22,7 @@ LIST_ROWS = 16  # longer posting lists are compared as a block
 HOT_ROWS = 4_096  # lists of more estimated rows are found by grouped sums
 BLOCK_ROWS = 1024  # documents of a block compared at a time
 TOKENS = 1 << 20  # prefix tokens of a bucket
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

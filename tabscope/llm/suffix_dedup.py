@@ -51,7 +51,7 @@ def window_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tu
     valid = np.zeros(len(data), bool)
     counts = np.maximum(0, lengths - WIDTH + 1)
     valid[ranges(starts, counts)] = True
-    owner = np.repeat(np.arange(len(starts)), lengths)
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
     out = []
     for lo in range(0, len(data) - WIDTH + 1, CHUNK):
         part = data[lo : lo + CHUNK + WIDTH - 1]
