@@ -163,8 +163,8 @@ class Encoder:
 def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, last flags) of Re-Pair over one shard.
 
-    Each round counts all neighbouring pairs, takes those of at least half the
-    largest count (and ``min_count``), and replaces their occurrences from left
+    Each round counts all neighbouring pairs, takes the most frequent ones, those of at
+    least a 32nd of the largest count (and ``min_count``), and replaces their occurrences from left
     to right by new symbols; of overlapping occurrences every second one
     stays. Pairs never cross the end of a document (``last``). It stops when no
     pair is frequent or the 16-bit symbols are used up.
@@ -181,13 +181,15 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int
         counts = np.diff(np.append(edge, len(ordered)))
         if counts.max() < floor:
             break
-        often = np.flatnonzero(counts >= max(floor, counts.max() // 8))
+        often = np.flatnonzero(counts >= max(floor, counts.max() // 32))
         room = min(ROUND_PAIRS, SYMBOLS - symbols)
         often = often[np.argsort(-counts[often], kind="stable")[:room]]
         chosen = np.sort(ordered[edge[often]])
-        left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inner)
+        # Few pairs share the upper bits of their product with a chosen one; only those are looked up.
+        spread = np.uint32(0x9E3779B1)
+        table = np.zeros(1 << 18, bool)
+        table[(chosen * spread) >> np.uint32(14)] = True
+        maybe = np.flatnonzero(table[(keys * spread) >> np.uint32(14)] & inner)
         place = np.minimum(np.searchsorted(chosen, keys[maybe]), len(chosen) - 1)
         hit = chosen[place] == keys[maybe]
         at, place = maybe[hit], place[hit]
