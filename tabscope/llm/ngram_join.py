@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +196,14 @@ def list_pairs(entries: np.ndarray, threshold: Fraction) -> tuple[tuple[np.ndarr
     return (a[first], b[first], need[first], np.add.reduceat(one, first) if len(first) else none), members
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, each on its own (null as empty)."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        texts = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+
 def linked(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges (a, b) of all links between the two sides, or among all if there is one side.
 
@@ -294,18 +303,23 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
         zero = np.zeros(len(pivot), np.int64)
         return pd.DataFrame({"a": np.concatenate([a, pivot]), "b": np.concatenate([b, member]), "need": np.concatenate([need, zero]), "n": np.concatenate([n, zero])})
 
-    found = checkpoint(reps.mapInArrow(cold, "bucket int, entries binary").groupBy("bucket").applyInPandas(pairs, "a long, b long, need long, n long"))
+    listed = reps.mapInArrow(cold, "bucket int, entries binary").groupBy("bucket").applyInPandas(pairs, "a long, b long, need long, n long")
+    frequent = reps.mapInArrow(warm, "token long, id long").select(F.col("token").alias("a"), F.col("id").alias("b"), F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    found = checkpoint(listed.union(frequent))  # both read one exchange of the prefixes
     asked = found.where("need > 0").groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where("n >= need")
-    frequent = checkpoint(reps.mapInArrow(warm, "token long, id long"))
+    frequent = found.where("need < 0").select(F.col("a").alias("token"), F.col("b").alias("id"))
     pivots = checkpoint(frequent.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1"))
     blocks = found.where("need = 0").select("a", "b").union(frequent.join(pivots, "token").select("a", F.col("id").alias("b"))).distinct()
     asked = checkpoint(asked.select("a", "b"))
     blocks = checkpoint(blocks)
     wanted = asked.select(F.explode(F.array("a", "b")).alias("doc_id")).union(blocks.select("b")).distinct()
-    whole = checkpoint(rows.join(wanted, "doc_id"))
+    # Joined by sorting at every size: an estimate would broadcast small tables of ids and so change what is moved.
+    whole = checkpoint(rows.mapInArrow(_packed, "doc_id long, text binary").join(wanted.hint("merge"), "doc_id"))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = linked(group["id"].to_numpy(), shingle_sets(group["text"].tolist(), width), group["own"].to_numpy(), t)
+        unpack = zstandard.ZstdDecompressor()
+        sets = shingle_sets([unpack.decompress(x).decode("utf-8", "surrogatepass") for x in group["text"]], width)
+        a, b = linked(group["id"].to_numpy(), sets, group["own"].to_numpy(), t)
         return pd.DataFrame({"a": a, "b": b})
 
     def links(members: DataFrame) -> DataFrame:
@@ -315,7 +329,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
         cut = members.join(checkpoint(sizes), ["center", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cut = cut.select("center", "kind", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
-        both = cut.join(whole, F.col("id") == F.col("doc_id")).drop("doc_id")
+        both = cut.join(whole.hint("merge"), F.col("id") == F.col("doc_id")).drop("doc_id")
         return checkpoint(both.groupBy("center", "kind", "low", "high").applyInPandas(verify, "a long, b long"))
 
     stars = lambda pairs: pairs.select(F.col("a").alias("center"), F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("kind")).distinct()
@@ -343,6 +357,6 @@ def one_of_each_group(docs: DataFrame, width: int = 5, threshold: float = 0.8) -
     groups = checkpoint(similar_groups(docs, width, threshold).where("doc_id IS NOT NULL"))
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
     again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
