@@ -26,13 +26,12 @@ def main(sf_dir: str, out: str) -> None:
     register_views(spark, sf_dir)
     p = TableProfile(spark.table("li_nulls"))
     frames = {
-        "F: frequency scan (values, null patterns, row hashes)": spine.frequencies(p.base, p.specs),
-        "per-column aggregate over F (with fused exact percentile)": spine.column_stats(
-            p.freq, p.specs, p.n_rows, quantiles=[0.25, 0.5, 0.75]),
-        "top values (row_number <= 10 over F)": p.top_values(columns=["l_returnflag", "l_linenumber"]),
+        "F: frequency scan (values, null patterns)": spine.frequencies(p.base, p.specs),
+        "per-column aggregate over F": spine.column_stats(p.freq, p.specs, p.n_rows),
     }
     for name in ["sql_filter_project", "sql_join_inner", "sql_group_agg", "histogram", "asof_join",
-                 "duplicate_row_list", "check_foreign_key_lineitem", "dynamics_median"]:
+                 "duplicate_row_list", "check_foreign_key_lineitem", "dynamics_median",
+                 "interval_join_hot_key", "running_totals_hot_key"]:
         frames[name] = QUERIES[name](spark, sf_dir)
     lines = [f"# Executed plans ({os.path.basename(sf_dir.rstrip('/'))}, local[8], 16 shuffle partitions)", "",
              "Generated by `python tools/explain_plans.py`. Each block is the AQE-final physical plan",
