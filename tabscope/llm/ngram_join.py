@@ -260,11 +260,11 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     Equal sets are grouped first, so copies stand as one. Each of the rest shows
     a prefix of its rarest tokens, lengthened for each document while that is
     estimated to save verifying; a pair is verified when it shares as many
-    prefix tokens as the less demanding of the two asks for: first each document
-    with the smallest of its candidates, then the pairs that are in different
-    groups still. Posting lists of
-    over 16 documents give no pairs: their members meet in blocks of the list's
-    smallest document, which are compared whole, block by block.
+    prefix tokens as the less demanding of the two asks for. Posting lists of
+    over 16 documents give no pairs: their members meet under the list's
+    smallest document and are compared whole, in blocks. Both go in two rounds:
+    each document with its smallest candidate and list, then only what is in
+    different groups still.
     """
     t = Fraction(threshold).limit_denominator(1000)
     spark = docs.sparkSession
@@ -325,7 +325,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     def links(members: DataFrame) -> DataFrame:
         """Spanning links among the members (id) of each center, compared in pairs of parts of bounded size."""
         members = checkpoint(members)
-        sizes = members.groupBy("center", "kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+        sizes = members.groupBy("center", "kind").agg(F.count("*").alias("n")).where("n > 1").select("center", "kind", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
         cut = members.join(checkpoint(sizes), ["center", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cut = cut.select("center", "kind", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
@@ -333,15 +333,20 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
         return checkpoint(both.groupBy("center", "kind", "low", "high").applyInPandas(verify, "a long, b long"))
 
     stars = lambda pairs: pairs.select(F.col("a").alias("center"), F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("kind")).distinct()
+    within = lambda lists: lists.select(F.col("a").alias("center"), F.col("b").alias("id"), F.lit(1).alias("kind"))
+    # First each document with the smallest of its candidates, and with the list of the smallest pivot.
     first = asked.groupBy("b").agg(F.min("a").alias("a"))
-    found = links(stars(first).union(blocks.select(F.col("a").alias("center"), F.col("b").alias("id"), F.lit(1).alias("kind"))))
+    found = links(stars(first).union(within(blocks.groupBy("b").agg(F.min("a").alias("a")))))
     groups = connected_components(found)
-    # Pairs that were not compared and are not in one group yet.
+    # Then the pairs that are in different groups still, and the lists that hold members of several groups.
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rest = asked.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = checkpoint(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    pairs_left = asked.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs_left = pairs_left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    mixed = blocks.join(of("b"), "b", "left").groupBy("a").agg(F.min(F.coalesce("of_b", "b")).alias("low"), F.max(F.coalesce("of_b", "b")).alias("high"))
+    lists_left = blocks.join(mixed.where("low <> high").select("a"), "a")
+    rest = checkpoint(stars(pairs_left).union(within(lists_left)))
     if not rest.isEmpty():
-        groups = connected_components(found.union(links(stars(rest))))
+        groups = connected_components(found.union(links(rest)))
     least = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
     labels = checkpoint(least.join(groups, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     own = shown.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(labels, "digest", "left")
