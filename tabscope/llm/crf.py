@@ -232,7 +232,7 @@ def label_words(model: Model, texts: list[str | None], cache: dict[str, int], sc
     for w in new:
         cache[w] = len(cache)
     if new:
-        scores.append(model.emissions(new))
+        scores += [model.emissions(new[i : i + 16_384]) for i in range(0, len(new), 16_384)]
         scores[:] = [np.concatenate(scores)]
     lengths = np.array([len(ws) for ws in words], np.int64)
     at = np.array([cache[w] for ws in words for w in ws], np.int64)

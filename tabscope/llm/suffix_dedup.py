@@ -17,11 +17,11 @@ from .common import checkpoint, ranges, shards_for
 
 WIDTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of an anchor
-SHARD_BYTES = 6 << 20  # documents of a shard
+SHARD_BYTES = 4 << 20  # documents of a shard
 BUCKET_BYTES = 4 << 20  # text for each bucket of windows
 ARRAY_BYTES = 2 << 20  # text of one suffix array
 ANCHORS = 1 << 22  # anchors of a bucket
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 PLACE_BITS = np.uint64(31)
 
 _random = np.random.default_rng(50)
@@ -426,11 +426,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                     at = own_first[(bits >> np.uint64(j)) & np.uint64(1) == 1].astype(np.int64) + j
                     np.add.at(step, at, 1)
                     np.add.at(step, at + WIDTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
             data = np.frombuffer(text, np.uint8)
             ends = np.cumsum(lengths)
-            total = np.concatenate([[0], np.cumsum(gone)])
-            removed = total[ends] - total[ends - lengths]
+            total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
+            removed = (total[ends] - total[ends - lengths]).astype(np.int64)
             kept, spans = [], np.zeros(len(ids), np.int64)
             for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
                 if removed[i]:
