@@ -18,7 +18,7 @@ WINDOWS, WINDOW_WORDS = 4, 40
 FEATURES = 1 << 16
 ROUNDS = 40
 CACHE_WORDS = 200_000
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -272,6 +272,7 @@ def with_language(docs: DataFrame, model: Model, label: str = "lang_pred", score
                         mean[some] = np.clip(sums.max(axis=1) / lengths[some], 0, 1)
                 names = pa.array([model.labels[i] if i >= 0 else UNKNOWN for i in best], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(mean)], [*part.schema.names, label, score])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(label, StringType()).add(score, DoubleType()))
 
