@@ -112,8 +112,10 @@ def test_kd_shards_split_equal_texts(spark):
     assert {r["count"] for r in kdtree.kd_shards(same, 16).groupBy("shard").count().collect()} == {40}
 
 
-@pytest.mark.parametrize("width,threshold", [(3, 0.9), (5, 0.8)])
-def test_similar_groups(docs, width, threshold):
+@pytest.mark.parametrize("width,threshold,hot", [(3, 0.9, 4096), (5, 0.8, 4096), (5, 0.8, 3)])
+def test_similar_groups(docs, width, threshold, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 1024 if hot > 3 else 16)
     got = ngram_join.similar_groups(docs, width, threshold).collect()
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
