@@ -66,17 +66,18 @@ class Grid:
         return row[order], (i * len(self.books[1]) + j)[order]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 0.999) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 1.0) -> DataFrame:
     """(vec_id, label, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and the cosine, in
     double precision, is at least ``threshold``. Equal vectors of a label are
     counted first and stand for one. Each of these has a home cell in a product
     grid of two codebooks (fitted on 4,096 rows, about 1,000 rows a cell) and
-    visits, nearest first, the cells that can hold a link, until ``target_recall``
-    (at 1, no link is missed). Rows of a cell are split into chunks of 2,048
-    by hash, for a cell may hold most rows, and every pair of chunks gives link
-    counts and a spanning forest, never all pairs.
+    visits, nearest first, the cells that can hold a link, all of them at the
+    default ``target_recall`` of 1; less cuts the radius, trusting that links point
+    in random directions. Rows of a cell are split into chunks of 2,048 by hash,
+    for a cell may hold most rows, and every pair of chunks gives link counts and
+    a spanning forest, never all pairs.
 
     n_links counts other rows; component_id is the smallest vec_id reachable,
     the row's own without links; kept marks that row. Rows with a null label or

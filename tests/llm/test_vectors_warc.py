@@ -90,6 +90,18 @@ def test_near_duplicates(vectors, rows, chunk, recall, monkeypatch):
         assert r["kept"] == (i is not None and component.get(i, i) == i)
 
 
+def test_near_duplicates_in_few_directions(spark):
+    """Vectors that vary in 2 of 64 dimensions: links point straight across the cells."""
+    rng = np.random.default_rng(11)
+    x = np.full((400, 64), 0.5)
+    x[:, [0, 40]] += 4 * rng.normal(size=(400, 2))
+    x = x.astype(np.float32).astype(np.float64)
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    near = u @ u.T >= 0.93
+    got = multi_index.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert multi_index.near_duplicates(none).count() == 0
