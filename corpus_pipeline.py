@@ -17,16 +17,14 @@ from tabscope.llm.mixing import mixed
 from tabscope.llm.ngram_join import one_of_each_group
 from tabscope.llm.suffix_dedup import remove_repeats
 
-#: A document whose best language has a smaller mean posterior is rejected, and one without letters.
-LEAST_SCORE = 0.4
 PIECES = "piece_bpe_32k.model"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are clearly in one of the labelled languages; their columns stay as they are."""
+    """Rejects documents without letters; the columns of the others, in one language or several, stay as they are."""
     model = crf.fit(docs.where(~crf.held_out() & F.col("doc_id").isNotNull()))
     found = crf.with_language(docs, model, "_language", "_score")
-    return found.where((F.col("_language") != crf.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(F.col("_language") != crf.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
