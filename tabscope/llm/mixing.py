@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, numbered
@@ -49,14 +49,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     each and are sampled in the order of their size. An empty table gives an
     empty result. Other columns are ignored.
     """
-    sized = checkpoint(
-        docs.select(
-            "doc_id", "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long").alias("h"),
-        )
+    sized = checkpoint(docs.select("doc_id", "source", _size().alias("size"), _order(seed).alias("h")))
+    copies = F.col("copies")
+    return _with_copies(sized, F.col("size"), weights, max_epochs, ["doc_id", "size"]).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * copies).cast("long").alias("taken")
     )
-    bins = checkpoint(sized.groupBy("source", F.floor(F.col("h") / (2**32 // BINS)).alias("bin")).agg(F.sum("size").alias("bin_size")))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _order(seed: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+
+
+def _with_copies(sized: DataFrame, size: Column, weights: tuple[int, ...], max_epochs: int, ties: list[str | Column]) -> DataFrame:
+    """``sized`` (source, h, and what ``size`` and ``ties`` name) with source_size, target and copies."""
+    bins = checkpoint(sized.groupBy("source", F.floor(F.col("h") / (2**32 // BINS)).alias("bin")).agg(F.sum(size).alias("bin_size")))
     sums = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     ranked = numbered(sums, F.col("source").asc_nulls_last(), name="i")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
@@ -76,18 +86,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     params = checkpoint(sources.withColumnRenamed("s", "source").join(crossing, F.col("source").eqNullSafe(F.col("s"))).drop("source"))
     rows = sized.join(params, own).withColumn("own_bin", F.floor(F.col("h") / (2**32 // BINS)))
     edge = rows.where("own_bin = bin")
-    middle = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
+    middle = F.col("before") + F.sum(size).over(Window.partitionBy("source").orderBy("h", *ties).rowsBetween(Window.unboundedPreceding, 0)) - size / 2
     edge = edge.withColumn("extra", (middle <= F.col("rest")).cast("long"))
     rest = rows.where("own_bin <> bin").withColumn("extra", (F.col("own_bin") < F.col("bin")).cast("long"))
     copies = F.col("whole") + F.when(F.col("rest") > 0, F.col("extra")).otherwise(0)
-    return rest.unionByName(edge).select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
-    )
+    return rest.unionByName(edge).withColumn("copies", copies.cast("long"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken."""
-    plan = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    plan = plan.groupBy("_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as ``mix_sources`` takes it.
+
+    Copies are counted for the row itself, so rows that repeat a doc_id, or have
+    none, keep their own; among rows of equal doc_id and size the digest of the
+    text decides.
+    """
+    rows = docs.select("doc_id", "source", "text", _order(seed).alias("h"), F.struct("*").alias("row"))
+    plan = _with_copies(rows, _size(), weights, max_epochs, ["doc_id", _size(), F.md5("text")]).where("copies > 0")
+    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, checkpoint, connected_components, local_components, mixed_bits, runs, shards_for, span_hashes
+from .common import BASE, checkpoint, connected_components, local_components, mixed_bits, numbered, runs, shards_for, span_hashes
 
 BUCKETS, SLICES = 1 << 21, 64  # of the table of estimated frequencies: 16 MB on the driver and in each worker
 MAX_MATCHES = 4  # shared prefix tokens asked for at most
@@ -355,13 +355,24 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, once each, in the columns of ``docs``.
+    """The rows of ``docs`` whose doc_id is the smallest of its group, one a group, in the columns of ``docs``.
 
-    Rows with a null doc_id, and documents without words, all stay.
+    Rows with a null doc_id, and documents without words, all stay. Different
+    texts under one doc_id are grouped each on its own; among those of a group
+    the one of the smallest digest stays, and one of equal rows.
     """
-    groups = checkpoint(similar_groups(docs, width, threshold).where("doc_id IS NOT NULL"))
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        groups = checkpoint(similar_groups(docs, width, threshold))
+        return docs.join(groups.where("component_id < doc_id").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*names)
+    # Numbers in the order of (doc_id, digest of the text) stand for doc_id; of rows equal in both, the one of the smallest hash of all columns is taken.
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.select("doc_id", digest.alias("digest"), F.struct("*").alias("row"))
+    usable = rows.where("doc_id IS NOT NULL")
+    ids = checkpoint(numbered(usable.select("doc_id", "digest").distinct(), F.col("doc_id"), F.col("digest"), name="number"))
+    once = usable.groupBy("doc_id", "digest").agg(F.min_by("row", F.struct(F.xxhash64("row"), F.to_json("row"))).alias("row"))
+    once = checkpoint(once.join(ids.hint("merge"), ["doc_id", "digest"]).select("number", "row"))
+    groups = checkpoint(similar_groups(once.select(F.col("number").alias("doc_id"), "row.text"), width, threshold))
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("number"))
+    kept = once.join(gone.hint("merge"), "number", "left_anti").select("row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*names)
