@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from . import crf, pieces, warc
 from .common import shared_path
+from .divergence import source_divergence
 from .kdtree import kd_shards
 from .mixing import mix_sources
 from .multi_index import near_duplicates
 from .ngram_join import similar_groups
+from .phrases import collocations
 from .rabitq import nearest
 from .repair import encode_and_read
 from .suffix_dedup import remove_repeats
+from .term_search import top_products
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("text", "lang"), least=100, factor=1000, top=2000)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=3, top_terms=200)
+
+
+def op13_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_codes": op1_one_bit_codes,
     "op2_merkle_audit": op2_merkle_audit,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index": op8_multi_index,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_mix_sources": op10_mix_sources,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_term_search": op13_term_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -143,4 +161,65 @@ ordered AS (
   FROM sized s JOIN split t ON s.source IS NOT DISTINCT FROM t.source),
 taken AS (SELECT *, whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END AS copies FROM ordered)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM taken""",
+    "op11_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+  FROM words, range(1, 6) s(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m >= 2) c
+  JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.m], ' ') JOIN n ON n.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, f FROM (
+    SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM often WHERE m >= 3))),
+covered AS (SELECT lang, phrase, max(f) AS cover FROM parts GROUP BY ALL),
+ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest x LEFT JOIN covered USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    "op12_source_divergence": r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT lang, source, id, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+         (1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (sum(coalesce(c, 0)) OVER (PARTITION BY g.lang, g.source) + v))::BIGINT AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p)::HUGEINT * (x.p - y.p)) // y.p)::BIGINT AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+all_pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs z ON z.lang = a.lang AND z.source = a.source AND z.item = b.source),
+whole AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang) + v))::BIGINT AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL) JOIN v USING (lang)),
+terms AS (
+  SELECT p.lang, source, term AS item, (((p - q)::HUGEINT * (p - q)) // q)::BIGINT AS value FROM p JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM all_pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_term_search": """
+WITH weights AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) IS NOT FALSE),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * d.w[i]))::BIGINT AS score
+  FROM weights q JOIN weights d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10""",
 }
