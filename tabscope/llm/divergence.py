@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,56 @@ TILE = 2_048  # columns of a tile of the product
 BROADCAST_ROWS = 10_000  # languages; more are joined by sorting
 UNIT = 1_000_000_000
 HALF = 30  # bits of the low part of a price
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+ENTRIES = 300_000  # counts that a task holds before it passes them on
+SLICE_BYTES = 4 << 20
+#: On UTF-8 bytes: every byte of a character beyond ASCII belongs to a term.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+NO_TERM = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def _slices(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of bounded size, cut where no term is."""
+    at = 0
+    while len(raw) - at > SLICE_BYTES:
+        gap = NO_TERM.search(raw, at + SLICE_BYTES)
+        if not gap:
+            break
+        yield raw[at : gap.start()]
+        at = gap.start()
+    yield raw[at:]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, occurrences, rows that hold it) of the texts, passed on whenever many counts are held."""
+    words: dict[tuple, Counter] = {}
+    rows: dict[tuple, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), found in words.items():
+            n, texts = len(found), rows[lang, source]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * n), pa.array([source] * n), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([texts[t] for t in found], pa.int64())],
+                ["lang", "source", "term", "c", "d"],
+            )
+        words.clear()
+        rows.clear()
+
+    held = 0
+    for b in batches:
+        for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text")):
+            key, own = (lang, source), set()
+            count = words.setdefault(key, Counter())
+            before = len(count)
+            for part in _slices(text.as_py().lower()):
+                found = TERM.findall(part)
+                count.update(found)
+                own.update(found)
+            rows.setdefault(key, Counter()).update(own)
+            held += len(count) - before
+            if held > ENTRIES:
+                yield from flush()
+                held = 0
+    yield from flush()
 
 
 def probability(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -124,18 +175,11 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = 200)
     gives an empty result. Other columns are ignored.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text"))
-    words = rows.select("lang", "source", F.split(F.translate("text", UPPER, LOWER), NO_TERM).alias("w"))
-    # All words of a text count as occurrences, its distinct ones as rows.
-    kinds = F.array(
-        F.struct(F.col("w").alias("w"), F.lit(1).alias("c"), F.lit(0).alias("d")),
-        F.struct(F.array_distinct("w").alias("w"), F.lit(0).alias("c"), F.lit(1).alias("d")),
-    )
-    each = words.select("lang", "source", F.explode(kinds).alias("k")).select("lang", "source", "k.c", "k.d", F.explode("k.w").alias("term"))
-    each = each.where("term <> ''")
-    counts = checkpoint(each.groupBy("lang", "source", "term").agg(F.sum("c").alias("count"), F.sum("d").alias("docs")))
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
-    kept = checkpoint(counts.join(terms, ["lang", "term"]).select("lang", "source", "term", "count"))
+    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
+    counts = rows.mapInArrow(_counted, "lang string, source string, term string, c long, d long")
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("c").alias("count"), F.sum("d").alias("docs"))
+    in_lang = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    kept = checkpoint(counts.withColumn("docs", in_lang).where(F.col("docs") >= min_docs).select("lang", "source", "term", "count"))
 
     n_terms = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"))
     totals = kept.groupBy("lang", "source").agg(F.sum("count").alias("total"))

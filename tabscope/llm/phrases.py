@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,46 +13,55 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, checkpoint, mixed_bits, ranges, runs, span_hashes
+from .common import BASE, BASE_INVERSE, checkpoint, mixed_bits, span_hashes
 
 LONGEST = 5
-SHARD_WORDS = 1 << 20  # words and breaks of a shard
+SHARD_WORDS = 3 << 19  # words and breaks of a shard
 SLICE_BYTES = 2 << 20  # text cut into words at a time
+PRINT, PLACE = 5, 3  # bytes of a fingerprint within its bucket, and of a place or word number in a shard
 BUCKET_ENTRIES = 1 << 20  # fingerprints that meet in one group, about
 NO_LANG = "und"
 
-# Fixed classes of bytes: 1 ends a piece, 2 parts words.
-CLASS = np.zeros(256, np.uint8)
-CLASS[[ord(c) for c in ".,;:!?"]] = 1
-CLASS[[10, 11, 12, 13]] = 1
-CLASS[[9, 32]] = 2
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
-    """The number of each word in ``known``, which gains the new ones. Words of equal hash are compared byte by byte."""
-    hashes = span_hashes(data, starts, ends)
-    order = np.argsort(hashes, kind="stable")
-    head = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
-    first = order[head]  # the first word of each hash
-    raw = data.tobytes()
-    own = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts[first].tolist(), ends[first].tolist())], np.int64)
-    group = np.cumsum(head) - 1
-    out = np.empty(len(hashes), np.int64)
-    out[order] = own[group]
-    like = np.empty(len(hashes), np.int64)
-    like[order] = first[group]
-    size = ends - starts
-    differ = np.zeros(len(hashes), bool)
-    differ[size != size[like]] = True
-    at = np.flatnonzero(~differ & (like != np.arange(len(like))))
-    wrong = data[ranges(starts[at], size[at])] != data[ranges(starts[like[at]], size[at])]
-    if wrong.any():
-        differ[at[np.unique(np.repeat(np.arange(len(at)), size[at])[wrong])]] = True
-    for i in np.flatnonzero(differ).tolist():
-        out[i] = known.setdefault(raw[starts[i] : ends[i]], len(known))
-    return out
+# Fixed classes of bytes: breaks, which end a piece, become a line break; white space within a piece, a space.
+TABLE = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
+GAP = re.compile(rb"[\t-\r .,;:!?]")
+
+
+class Known(dict):
+    """Numbers of words, given as they come; 0 is a break and -1 nothing between two spaces."""
+
+    def __init__(self, words: list[bytes] = ()) -> None:
+        super().__init__({b"": -1, b"\n": 0, **{w: i + 1 for i, w in enumerate(words)}})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self) - 1
+        return out
+
+    def words(self) -> list[bytes]:
+        return list(self)[2:]
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of bounded size, cut before white space or a break."""
+    at = 0
+    while len(raw) - at > SLICE_BYTES:
+        gap = GAP.search(raw, at + SLICE_BYTES)
+        if not gap:
+            break
+        yield raw[at : gap.start()]
+        at = gap.start()
+    yield raw[at:]
+
+
+def word_numbers(raw: bytes, known: Known) -> np.ndarray:
+    """The numbers of the words of a text in lower case, with a 0 for each stretch of breaks and at the end."""
+    found = []
+    for part in _parts(raw):
+        tokens = part.lower().translate(TABLE).replace(b"\n", b" \n ").split(b" ")
+        found.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+    got = np.concatenate([*found, np.zeros(1, np.int32)])
+    got = got[got >= 0]
+    return got[(got > 0) | (np.append(np.int32(0), got[:-1]) > 0)]
 
 
 class Shard:
@@ -68,7 +78,8 @@ class Shard:
         ends = np.cumsum([len(w) for w in self.words], dtype=np.int64)
         names = [x.encode() for x in self.langs]
         head = np.array([len(self.seq), self.own, len(self.words), len(self.lang_at), len(names), *[len(x) for x in names]], np.int64)
-        arrays = (self.seq.astype(np.int32), ends, self.lang_at.astype(np.int64), self.lang.astype(np.int32))
+        planes = np.ascontiguousarray(self.seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :PLACE].T)  # compresses better than whole numbers
+        arrays = (planes, ends, self.lang_at.astype(np.int64), self.lang.astype(np.int32))
         body = b"".join([np.array([len(head)], np.int64).tobytes(), head.tobytes(), *[a.tobytes() for a in arrays], *names, *self.words])
         return zstandard.ZstdCompressor(level=1).compress(body)
 
@@ -86,7 +97,9 @@ class Shard:
             at += out.nbytes
             return out
 
-        seq, ends, lang_at, lang = take(np.int32, n_seq), take(np.int64, n_words), take(np.int64, n_at), take(np.int32, n_at)
+        planes = take(np.uint8, PLACE * n_seq).reshape(PLACE, n_seq).astype(np.int32)
+        seq = planes[0] | planes[1] << 8 | planes[2] << 16
+        ends, lang_at, lang = take(np.int64, n_words), take(np.int64, n_at), take(np.int32, n_at)
         langs = []
         for k in sizes:
             langs.append(body[at : at + k].decode())
@@ -127,7 +140,7 @@ class Shard:
 
     def distinct(self, at: np.ndarray, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(fingerprint, count, first place) of the different phrases at ``at``, compared word by word where prints agree."""
-        order = np.argsort(prints, kind="stable")
+        order = np.argsort(prints)
         prints, at = prints[order], at[order]
         head = np.diff(prints, prepend=~prints[:1]) != 0
         group = np.cumsum(head) - 1
@@ -148,36 +161,6 @@ class Shard:
         return b" ".join(self.words[i - 1] for i in self.seq[at : at + n].tolist()).decode("utf-8", "replace")
 
 
-def _slices(texts: pa.Array, langs: list[str]) -> Iterator[tuple[bytes, list[str], list[int]]]:
-    """(bytes, language of each stretch, its start): texts joined by line breaks, long ones cut where words part."""
-    part, names, starts, size = [], [], [], 0
-    for text, lang in zip(texts, langs):
-        raw = memoryview(text.as_buffer() or b"") if text.is_valid else memoryview(b"")
-        at = 0
-        while at < len(raw) or not at:
-            end = min(len(raw), at + SLICE_BYTES)
-            if end < len(raw):  # back to a space or a break, else on to the next
-                gaps = np.flatnonzero(CLASS[np.frombuffer(raw[at:end], np.uint8)])
-                while not len(gaps) and end < len(raw):
-                    far = min(len(raw), end + SLICE_BYTES)
-                    gaps = np.flatnonzero(CLASS[np.frombuffer(raw[end:far], np.uint8)]) + (end - at)
-                    end = far
-                end = at + int(gaps[-1]) + 1 if len(gaps) else len(raw)
-            last = end >= len(raw)
-            names.append(lang)
-            starts.append(size)
-            part.append(bytes(raw[at:end]) + (b"\n" if last else b""))
-            size += len(part[-1])
-            at = end
-            if size >= SLICE_BYTES:
-                yield b"".join(part), names, starts
-                part, names, starts, size = [], [], [], 0
-            if last:
-                break
-    if part:
-        yield b"".join(part), names, starts
-
-
 class _Builder:
     """Collects words into shards."""
 
@@ -185,41 +168,31 @@ class _Builder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Known()
         self.codes: dict[str, int] = {}
         self.seq: list[np.ndarray] = []
         self.lang: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, raw: bytes, names: list[str], starts: list[int]) -> None:
-        data = LOWER[np.frombuffer(raw, np.uint8)]
-        kind = CLASS[data]
-        a, b = runs(kind == 0)
-        codes = np.array([self.codes.setdefault(x, len(self.codes)) for x in names])
-        # A 0 stands between two words where a break lies, and where one lies before the first or after the last.
-        breaks = np.concatenate([[0], np.cumsum(kind == 1)])
-        parted = np.diff(np.concatenate([[0], np.stack([breaks[a], breaks[b]], axis=1).ravel(), breaks[-1:]]))[::2] > 0
-        at = np.concatenate([a, [len(data)]]) if len(a) else np.zeros(1, np.int64)
-        lang = codes[np.searchsorted(starts, at, side="right") - 1]
-        size = parted + 1
-        size[-1] -= 1  # no word follows the last break
-        seq = np.zeros(int(size.sum()), np.int64)
-        seq[(np.cumsum(size) - 1)[: len(a)]] = word_ids(data, a, b, self.known) + 1
+    def add(self, raw: bytes, lang: str) -> None:
+        code = self.codes.setdefault(lang, len(self.codes))
+        seq = word_numbers(raw, self.known)
         self.seq.append(seq)
-        self.lang.append(np.repeat(lang, size))
+        self.lang.append(np.full(len(seq), code, np.int32))
         self.size += len(seq)
 
     def shards(self, end: bool) -> Iterator[Shard]:
         """Whole shards of what was added; the rest stays, but at the ``end``."""
-        seq, lang = np.concatenate([*self.seq, np.zeros(0, np.int64)]), np.concatenate([*self.lang, np.zeros(0, np.int64)])
-        words, names = list(self.known), list(self.codes)
+        none = np.zeros(0, np.int32)
+        seq, lang = np.concatenate([*self.seq, none]), np.concatenate([*self.lang, none])
+        words, names = self.known.words(), list(self.codes)
 
         def own(piece: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
             """The places numbered by their own words alone."""
             there = np.zeros(len(words) + 1, bool)
             there[0] = True
             there[piece] = True
-            return (np.cumsum(there) - 1)[piece], [words[i] for i in np.flatnonzero(there[1:]).tolist()]
+            return (np.cumsum(there, dtype=np.int32) - np.int32(1))[piece], [words[i] for i in np.flatnonzero(there[1:]).tolist()]
 
         more, at = LONGEST - 1, 0
         while len(seq) - at >= SHARD_WORDS + more or (end and at < len(seq)):
@@ -232,7 +205,7 @@ class _Builder:
         self.clear()
         if at < len(seq):
             local, used = own(seq[at:])
-            self.known = {w: i for i, w in enumerate(used)}
+            self.known = Known(used)
             self.codes = {x: i for i, x in enumerate(names)}
             self.seq, self.lang, self.size = [local], [lang[at:]], len(local)
 
@@ -253,8 +226,8 @@ def word_shards(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([s.pack()], pa.binary())], ["langs", "words", "content"])
 
         for b in batches:
-            for raw, names, starts in _slices(b.column("text"), b.column("lang").to_pylist()):
-                built.add(raw, names, starts)
+            for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
+                built.add(text.as_py(), lang)
                 if built.size >= SHARD_WORDS + LONGEST:
                     yield from flush(False)
         yield from flush(True)
@@ -263,50 +236,66 @@ def word_shards(docs: DataFrame) -> DataFrame:
     return checkpoint(out.withColumn("shard", F.monotonically_increasing_id()))
 
 
+def _bytes(x: np.ndarray, n: int) -> bytes:
+    """The ``n`` low bytes of each unsigned number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
+REQUEST = "bucket int, shard long, prints binary, counts binary, places binary, sizes binary"
+REPLY = "shard long, counts binary, places binary, sizes binary"
+
+
 def _requests(shard: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> pd.DataFrame:
-    """One row a bucket: sorted fingerprints with length, count and place, as bytes."""
+    """One row a bucket, which the upper 24 bits choose: the lower 40 bits of the prints, counts, places, lengths.
+
+    A print shorter than the whole only lets more phrases through to the comparison of texts.
+    """
     size, prints, counts, places = (np.concatenate(x) for x in zip(*[(np.full(len(p), n, np.uint8), p, c, a) for n, p, c, a in parts]))
-    bucket = ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(prints, kind="stable")
+    bucket = ((prints >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    order = np.argsort(bucket)
     size, prints, counts, places, bucket = (x[order] for x in (size, prints, counts, places, bucket))
-    live = np.unique(bucket)
-    cuts = np.append(np.searchsorted(bucket, live), len(bucket)).tolist()
+    live, cuts = np.unique(bucket, return_index=True)
+    cuts = np.append(cuts, len(bucket)).tolist()
     rows = [
-        (int(k), shard, prints[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), places[a:b].astype(np.uint32).tobytes(), size[a:b].tobytes())
+        (k, shard, _bytes(prints[a:b], PRINT), counts[a:b].astype("<u4").tobytes(), _bytes(places[a:b], PLACE), size[a:b].tobytes())
         for k, a, b in zip(live.tolist(), cuts, cuts[1:])
     ]
     return pd.DataFrame(rows, columns=["bucket", "shard", "prints", "counts", "places", "sizes"])
 
 
-REQUEST = "bucket int, shard long, prints binary, counts binary, places binary, sizes binary"
-REPLY = "shard long, places binary, sizes binary"
-
-
 def _frequent(requests: DataFrame, least: int) -> DataFrame:
-    """Back to each shard: where its phrases lie whose fingerprint occurs ``least`` times in all shards together."""
+    """Back to each shard: where its phrases lie, with its own counts, whose fingerprint occurs ``least`` times in all."""
 
     def bucket(group: pd.DataFrame) -> pd.DataFrame:
-        prints = np.frombuffer(b"".join(group["prints"]), np.uint64)
-        counts = np.frombuffer(b"".join(group["counts"]), np.uint32).astype(np.int64)
-        order = np.argsort(prints, kind="stable")
+        prints = _numbers(b"".join(group["prints"]), PRINT)
+        counts = np.frombuffer(b"".join(group["counts"]), "<u4")
+        order = np.argsort(prints)
         head = np.flatnonzero(np.diff(prints[order], prepend=~prints[order[:1]]) != 0)
-        sums = np.add.reduceat(counts[order], head)
-        often = np.repeat(sums >= least, np.diff(np.append(head, len(order))))
+        sums = np.add.reduceat(counts[order].astype(np.int64), head)
         hit = np.zeros(len(prints), bool)
-        hit[order] = often
-        places = np.frombuffer(b"".join(group["places"]), np.uint32)
-        sizes = np.frombuffer(b"".join(group["sizes"]), np.uint8)
-        ends = np.cumsum([len(x) // 8 for x in group["prints"]]).tolist()
-        rows = [(s, places[a:b][hit[a:b]].tobytes(), sizes[a:b][hit[a:b]].tobytes()) for s, a, b in zip(group["shard"].tolist(), [0, *ends], ends) if hit[a:b].any()]
-        return pd.DataFrame(rows, columns=["shard", "places", "sizes"])
+        hit[order] = np.repeat(sums >= least, np.diff(np.append(head, len(order))))
+        ends, rows, at = np.cumsum([len(x) // PRINT for x in group["prints"]]).tolist(), [], 0
+        for shard, end, places, sizes in zip(group["shard"].tolist(), ends, group["places"], group["sizes"]):
+            own = hit[at:end]
+            if own.any():
+                place = np.frombuffer(places, np.uint8).reshape(-1, PLACE)[own]
+                rows.append((shard, counts[at:end][own].tobytes(), place.tobytes(), np.frombuffer(sizes, np.uint8)[own].tobytes()))
+            at = end
+        return pd.DataFrame(rows, columns=["shard", "counts", "places", "sizes"])
 
     return requests.groupBy("bucket").applyInPandas(bucket, REPLY)
 
 
-def _places(reply: pd.DataFrame, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    places = np.frombuffer(b"".join(reply["places"]), np.uint32).astype(np.int64)
-    sizes = np.frombuffer(b"".join(reply["sizes"]), np.uint8)
-    return (places, sizes) if n is None else (places[sizes == n], sizes[sizes == n])
+def _reply(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, lengths, counts)."""
+    places = _numbers(b"".join(rows["places"]), PLACE).astype(np.int64)
+    return places, np.frombuffer(b"".join(rows["sizes"]), np.uint8), np.frombuffer(b"".join(rows["counts"]), "<u4")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -315,10 +304,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     Each shard hashes its one- and two-word phrases from prefix polynomials
     and sends (fingerprint, count, place of the first); groups of fingerprints
     add the counts and send the places of frequent ones back. Longer phrases
-    go the same way where all their two-word parts are frequent. Then each
-    shard writes the frequent phrases out, counting occurrences it has compared word
-    by word, and the counts are summed by text: where fingerprints collide,
-    the texts part again.
+    go the same way where all their two-word parts are frequent. A shard's
+    counts are of occurrences compared word by word. At the places that came
+    back the phrases are written out, and the counts are summed by text: where
+    fingerprints of different shards collide, the texts part again.
     """
     shards = word_shards(docs)
     totals = checkpoint(shards.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n")))
@@ -345,8 +334,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
         if not len(left) or not len(right):
             return empty
         s = Shard.unpack(left["content"].iloc[0])
-        at, _ = _places(right, 2)
-        chosen = np.unique(_pair(s, at))
+        at, sizes, _ = _reply(right)
+        chosen = np.unique(_pair(s, at[sizes == 2]))
         starts = s.starts(2)
         if not len(chosen) or not len(starts):
             return empty
@@ -373,18 +362,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
         if not len(left) or not len(right):
             return empty
         s = Shard.unpack(left["content"].iloc[0])
-        places, sizes = _places(right)
-        out = []
-        own = s.prefixes()
-        for n in np.unique(sizes).tolist():
-            at = s.starts(n)
-            prints = s.fingerprints(at, n, own)
-            wanted = np.unique(s.fingerprints(places[sizes == n], n, own))
-            found = np.minimum(np.searchsorted(wanted, prints), len(wanted) - 1)
-            hit = wanted[found] == prints
-            _, counts, first = s.distinct(at[hit], n, prints[hit])
-            langs = s.languages(first).tolist()
-            out += [(s.langs[c], s.phrase(a, n), n, k) for c, a, k in zip(langs, first.tolist(), counts.tolist())]
+        places, sizes, counts = _reply(right)
+        langs = s.languages(places).tolist()
+        out = [(s.langs[c], s.phrase(a, n), n, k) for c, a, n, k in zip(langs, places.tolist(), sizes.tolist(), counts.tolist())]
         return pd.DataFrame(out, columns=["lang", "phrase", "size", "f"])
 
     replies = first.unionAll(second)
