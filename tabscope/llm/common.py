@@ -30,6 +30,11 @@ def shards_for(n_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:
     return max(1, math.ceil(n_bytes / shard_bytes))
 
 
+def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is; ``df`` is written already."""
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

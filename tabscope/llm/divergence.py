@@ -12,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shards_for
+from .common import checkpoint, small_side
 
-BLOCK_TERMS = 512
+BLOCK_TERMS = 1_024
 TILE = 2_048  # columns of a tile of the product
-BROADCAST_ROWS = 10_000  # languages; more are joined by sorting
 UNIT = 1_000_000_000
 HALF = 30  # bits of the low part of a price
-ENTRIES = 300_000  # counts that a task holds before it passes them on
+ENTRIES = 500_000  # counts that a task holds before it passes them on
 SLICE_BYTES = 4 << 20
 #: On UTF-8 bytes: every byte of a character beyond ASCII belongs to a term.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -47,7 +46,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), found in words.items():
             n, texts = len(found), rows[lang, source]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * n), pa.array([source] * n), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([texts[t] for t in found], pa.int64())],
+                [pa.repeat(lang, n), pa.repeat(source, n), pa.array(found, pa.binary(), size=n).cast(pa.string()), pa.array(np.fromiter(found.values(), np.int64, n)), pa.array(np.fromiter(map(texts.__getitem__, found), np.int64, n))],
                 ["lang", "source", "term", "c", "d"],
             )
         words.clear()
@@ -164,7 +163,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = 200)
     group with p over the language's q, by the same price. Ranks order by value
     descending, then by the item's UTF-8 bytes.
 
-    Terms are dealt in blocks of about 512; in each the one-hot matrix of
+    Terms are dealt in blocks of about 1,024; in each the one-hot matrix of
     (group, count level) columns, times its transpose in tiles, counts the
     terms at every pair of levels, and each entry is priced once. All sums
     are exact integers. A task holds one block's matrix; tables of the
@@ -185,7 +184,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = 200)
     totals = kept.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     langs = totals.groupBy("lang").agg(F.sum("total").alias("n_lang")).join(n_terms, "lang")
     langs = checkpoint(langs.withColumn("blocks", F.ceil(F.col("n_terms") / BLOCK_TERMS).cast("int")))
-    few = F.broadcast(langs) if langs.count() <= BROADCAST_ROWS else langs
+    few = small_side(langs)
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(few, "lang", "left")
     # New names of the key columns: both sides of the cogroup come from the same table.
     groups = checkpoint(groups.select(F.col("lang").alias("lang"), F.col("source").alias("source"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "n_lang", "blocks"))

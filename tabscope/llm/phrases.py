@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, checkpoint, mixed_bits, span_hashes
+from .common import BASE, BASE_INVERSE, checkpoint, mixed_bits, small_side, span_hashes
 
 LONGEST = 5
 SHARD_WORDS = 3 << 19  # words and breaks of a shard
@@ -157,8 +157,11 @@ class Shard:
             parts.append((np.array(p, np.uint64), np.array(c), np.array(a)))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def phrase(self, at: int, n: int) -> str:
-        return b" ".join(self.words[i - 1] for i in self.seq[at : at + n].tolist()).decode("utf-8", "replace")
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The texts of the phrases of ``n`` words at the places ``at``, words joined by spaces."""
+        words = pa.array([b"", *self.words], pa.binary())
+        parts = [words.take(pa.array(self.seq[at + i])) for i in range(n)]
+        return pa.compute.binary_join_element_wise(*parts, b" ").cast(pa.string()) if n > 1 else parts[0].cast(pa.string())
 
 
 class _Builder:
@@ -357,20 +360,40 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     by_shard = shards.select("shard", "content").groupBy("shard")
     second = checkpoint(_frequent(by_shard.cogroup(first.groupBy("shard")).applyInPandas(longer, REQUEST), least))
 
-    def texts(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"lang": [], "phrase": [], "size": [], "f": []})
-        if not len(left) or not len(right):
-            return empty
-        s = Shard.unpack(left["content"].iloc[0])
-        places, sizes, counts = _reply(right)
-        langs = s.languages(places).tolist()
-        out = [(s.langs[c], s.phrase(a, n), n, k) for c, a, n, k in zip(langs, places.tolist(), sizes.tolist(), counts.tolist())]
-        return pd.DataFrame(out, columns=["lang", "phrase", "size", "f"])
-
     replies = first.unionAll(second)
-    found = by_shard.cogroup(replies.groupBy("shard")).applyInPandas(texts, "lang string, phrase string, size int, f long")
-    summed = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return checkpoint(summed), totals
+    hits = replies.agg(F.sum(F.octet_length("sizes"))).first()[0] or 0
+    groups = max(1, -(-hits // BUCKET_ENTRIES))
+
+    def texts(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            s = Shard.unpack(left["content"].iloc[0])
+            places, sizes, counts = _reply(right)
+            own = s.prefixes()
+            for n in np.unique(sizes).tolist():
+                at, count = places[sizes == n], counts[sizes == n]
+                group = (s.fingerprints(at, n, own) % np.uint64(groups)).astype(np.int64)
+                lang = s.languages(at)
+                order = np.lexsort((group, lang))
+                edges = np.flatnonzero((np.diff(lang[order], prepend=-1) != 0) | (np.diff(group[order], prepend=-1) != 0))
+                found = s.phrases(at[order], n)
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+                    i = order[a]
+                    rows.append((int(group[i]), s.langs[int(lang[i])], n, found[a:b].to_pylist(), count[order[a:b]].tobytes()))
+        return pd.DataFrame(rows, columns=["group", "lang", "size", "phrases", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        """Sums by text; phrases of one text meet in one group."""
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").astype(np.int64)
+        coded = pa.concat_arrays(table.column("phrases").chunks).flatten().dictionary_encode()
+        sums = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(sums, np.asarray(coded.indices), counts)
+        often = np.flatnonzero(sums >= least)
+        n = len(often)
+        return pa.table({"lang": pa.repeat(table.column("lang")[0], n), "phrase": coded.dictionary.take(pa.array(often)), "size": pa.repeat(table.column("size")[0], n), "f": sums[often]})
+
+    found = by_shard.cogroup(replies.groupBy("shard")).applyInPandas(texts, "group int, lang string, size int, phrases array<string>, counts binary")
+    return checkpoint(found.groupBy("group", "lang", "size").applyInArrow(added, "lang string, phrase string, size int, f long")), totals
 
 
 def _pair(s: Shard, at: np.ndarray) -> np.ndarray:
@@ -406,7 +429,7 @@ def collocations(docs: DataFrame, least: int = 100, factor: int = 1000, top: int
     cut = cut.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("first"), _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
     known = frequent.select("lang", "phrase", "f")
     scored = cut.join(known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
-    scored = scored.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(totals, "lang")
+    scored = scored.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(small_side(totals), "lang")
     exact = lambda c: f"CAST({c} AS DECIMAL(19,0))"
     score = F.expr(f"({factor}BD * {exact('a')} * {exact('n')}) div ({exact('l')} * {exact('r')})")
     lowest = scored.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
