@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 
@@ -30,6 +31,14 @@ def shards_for(n_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:
     return max(1, math.ceil(n_bytes / shard_bytes))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is; ``df`` is written already."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
@@ -50,10 +59,10 @@ def bytes_of(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(lists), np.uint8), np.concatenate([[0], ends]).astype(np.int64)
 
 
-_random = np.random.default_rng(20)
-LETTER = _random.integers(0, 2**63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG_SPAN = 256  # bytes; longer spans are hashed by blake2b
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed_bits(h: np.ndarray) -> np.ndarray:
@@ -69,16 +78,79 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data``, as a number."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes."""
-    power = np.full(len(data) + 1, BASE, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(LETTER[data] * power[:-1], out=sums[1:])
-    power[1:] = BASE_INVERSE
-    back = np.cumprod(power)
-    return mixed_bits((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of spans of bytes, eight bytes at a step; no two spans of one length up to 8 share one."""
+    size = (ends - starts).astype(np.int64)
+    out = mixed_bits(size.astype(np.uint64) * BASE)
+    eights = _eights(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = starts[live].astype(np.int64), size[live]
+    while len(live):
+        step = mixed_bits((out[live] ^ (eights[at] & LOW_BYTES[np.minimum(left, 8)])) * BASE)
+        out[live] = mixed_bits(step * BASE)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def differing(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Which spans of ``data`` are not byte for byte those of ``other``."""
+    out = sizes != other_sizes
+    x, y = _eights(data), _eights(other)
+    live = np.flatnonzero(~out & (sizes > 0) & (sizes <= LONG_SPAN))
+    a, b, left = starts[live].astype(np.int64), other_starts[live].astype(np.int64), sizes[live].astype(np.int64)
+    while len(live):
+        wrong = (x[a] ^ y[b]) & LOW_BYTES[np.minimum(left, 8)] != 0
+        out[live[wrong]] = True
+        more = (left > 8) & ~wrong
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~out & (sizes > LONG_SPAN)).tolist():
+        out[i] = not np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[other_starts[i] : other_starts[i] + sizes[i]])
+    return out
+
+
+class WordCache:
+    """Numbers of words, found by hash and compared byte by byte."""
+
+    def __init__(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, number of each word
+        self.raw, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each span, places of the spans that are new). New words get numbers in that order.
+
+        A span whose hash belongs to another word gets -1: such a word is never kept.
+        """
+        hashes = span_hashes(data, starts, ends)
+        order = np.argsort(hashes)
+        head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
+        distinct = hashes[order[head]]
+        slot = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        some = order[head[new]]
+        if len(new):
+            known = len(self.keys)
+            size = (ends - starts)[some]
+            self.raw = np.concatenate([self.raw, data[ranges(starts[some], size)]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            self.places = np.insert(self.places, slot[new], known + np.arange(len(new)))
+            self.keys = np.insert(self.keys, slot[new], distinct[new])
+        word = np.empty(len(hashes), np.int64)
+        word[order] = np.repeat(self.places[np.searchsorted(self.keys, distinct)], np.diff(np.append(head, len(order))))
+        if len(word):
+            at = self.ends[:-1][word]
+            word[differing(data, starts, ends - starts, self.raw, at, self.ends[1:][word] - at)] = -1
+        return word, some
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import ranges, runs, span_hashes
+from .common import WordCache, ranges, runs
 
 SPACE = "▁"
 CACHE_WORDS = 2_000_000
@@ -158,14 +158,14 @@ class Vocabulary:
 
 
 class Encoder:
-    """A vocabulary with the ids of the words seen so far, found by 64-bit hashes."""
+    """A vocabulary with the ids of the words seen so far, found by hash and compared byte by byte."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted word hashes, number of each word
+        self.known = WordCache()
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
@@ -189,7 +189,7 @@ class Encoder:
         before it, are segmented on their own. They are cut at a byte that UTF-8
         never holds.
         """
-        if len(self.keys) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.clear()
         parts = [b"" if not t else FRONT + t.encode("utf-8", "surrogatepass").replace(b" ", FRONT) for t in texts]
         parts = [AGAIN.sub(b"", p) if FRONT + FRONT in p else p for p in parts]
@@ -198,23 +198,20 @@ class Encoder:
         raw = b"\xff".join(parts)
         data = np.frombuffer(raw, np.uint8)
         first, end = runs(data != 0xFF)
-        hashes = span_hashes(data, first, end)
-        order = np.argsort(hashes)
-        head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
-        distinct = hashes[order[head]]
-        slot = np.searchsorted(self.keys, distinct)
-        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        word, new = self.known.lookup(data, first, end)
+        text = lambda at: [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[at].tolist(), end[at].tolist())]
         if len(new):
-            some = order[head[new]]
-            self.learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[some].tolist(), end[some].tolist())])
-            self.places = np.insert(self.places, slot[new], len(self.keys) + np.arange(len(new)))
-            self.keys = np.insert(self.keys, slot[new], distinct[new])
-        word = np.empty(len(hashes), np.int64)
-        word[order] = np.repeat(self.places[np.searchsorted(self.keys, distinct)], np.diff(np.append(head, len(order))))
+            self.learn(text(new))
+        odd = np.flatnonzero(word < 0)
+        if len(odd):  # words whose hash is another word's: segmented now, never found again
+            word[odd] = len(self.starts) - 1 + np.arange(len(odd))
+            self.learn(text(odd))
         count = (self.starts[1:] - self.starts[:-1])[word] if len(word) else word
         ids = self.flat[ranges(self.starts[word], count)]
         sums = np.concatenate([[0], np.cumsum(count)])
         offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
+        if len(odd):
+            self.clear()
         return ids, np.diff(sums[np.searchsorted(first, offsets)])
 
 

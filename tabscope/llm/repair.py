@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranges, shared_path, shards_for, span_hashes, text_bytes
+from .common import WordCache, checkpoint, ranges, shared_path, shards_for, text_bytes
 
 END = 2
 MAGIC = b"RPAIR001"
@@ -23,7 +23,7 @@ SHARD_BYTES = 4 << 20  # text of a shard
 CACHE_WORDS = 3_000_000
 SLICE_CHARS = 1 << 20
 #: A pair is replaced while it occurs this often; a round takes at most this many pairs.
-MIN_COUNT, ROUND_PAIRS = 12, 2048
+MIN_COUNT, ROUND_PAIRS = 2, 2048
 SYMBOLS = 1 << 16
 SPACES = re.compile(r"\s\s")
 # Classes of bytes: letters, digits, signs, space, line break, end of text; 0 (bytes beyond ASCII, the
@@ -44,7 +44,7 @@ LINE = BYTE_CHARACTERS[10]
 
 
 class Encoder:
-    """The tokenizers library on whole texts, by way of a cache of their words, found by 64-bit hashes.
+    """The tokenizers library on whole texts, by way of a cache of their words, found by hash and compared byte by byte.
 
     The pre-tokenizer of a byte-level BPE starts a new part at a single space,
     around a line break, and between ASCII letters, digits and signs (the
@@ -65,7 +65,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted word hashes, number of each word
+        self.known = WordCache()
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
@@ -120,7 +120,7 @@ class Encoder:
         return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.clear()
         direct = {i: t for i, t in enumerate(texts) if SPACES.search(t) or any(s in t for s in self.special)}
         pieces = [b"" if i in direct else t.encode("utf-8") for i, t in enumerate(texts)]
@@ -134,23 +134,16 @@ class Encoder:
         first, end = cut, np.append(cut[1:], len(data))
         keep = kind[first] != 6
         first, end = first[keep], end[keep]
-        hashes = span_hashes(data, first, end)
-        order = np.argsort(hashes)
-        head = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
-        distinct = hashes[order[head]]
-        slot = np.searchsorted(self.keys, distinct)
-        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        word, new = self.known.lookup(data, first, end)
         if len(new):
-            some = order[head[new]]
-            self.learn([raw[a:b] for a, b in zip(first[some].tolist(), end[some].tolist())])
-            self.places = np.insert(self.places, slot[new], len(self.keys) + np.arange(len(new)))
-            self.keys = np.insert(self.keys, slot[new], distinct[new])
-        word = np.empty(len(hashes), np.int64)
-        word[order] = np.repeat(self.places[np.searchsorted(self.keys, distinct)], np.diff(np.append(head, len(order))))
+            self.learn([raw[a:b] for a, b in zip(first[new].tolist(), end[new].tolist())])
+        offsets = np.cumsum([0] + [len(p) + 1 for p in pieces])
+        # A text with a word whose hash is another word's goes to the library whole.
+        direct |= {i: texts[i] for i in (np.searchsorted(offsets, first[word < 0], side="right") - 1).tolist()}
+        word = np.maximum(word, 0)
         count = (self.starts[1:] - self.starts[:-1])[word] if len(word) else word
         ids = self.flat[ranges(self.starts[word], count)]
         sums = np.concatenate([[0], np.cumsum(count)])
-        offsets = np.cumsum([0] + [len(p) + 1 for p in pieces])
         lengths = np.diff(sums[np.searchsorted(first, offsets)])
         if direct:
             found = dict(zip(direct, self.whole(list(direct.values()))))
@@ -167,10 +160,9 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int
     least a 32nd of the largest count (and ``min_count``), and replaces their occurrences from left
     to right by new symbols; of overlapping occurrences every second one
     stays. Pairs never cross the end of a document (``last``). It stops when no
-    pair is frequent or the 16-bit symbols are used up.
+    pair occurs ``min_count`` times or the 16-bit symbols are used up.
     """
     seq, rules, symbols = ids.astype(np.uint16), [], first_rule
-    floor = max(min_count, len(seq) >> 16)
     while len(seq) > 1 and symbols < SYMBOLS:
         keys = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
         inner = ~last[:-1]
@@ -179,9 +171,9 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, min_count: int
             break
         edge = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
         counts = np.diff(np.append(edge, len(ordered)))
-        if counts.max() < floor:
+        if counts.max() < min_count:
             break
-        often = np.flatnonzero(counts >= max(floor, counts.max() // 32))
+        often = np.flatnonzero(counts >= max(min_count, counts.max() // 32))
         room = min(ROUND_PAIRS, SYMBOLS - symbols)
         often = often[np.argsort(-counts[often], kind="stable")[:room]]
         chosen = np.sort(ordered[edge[often]])

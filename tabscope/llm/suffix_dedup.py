@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpoint, ranges, shards_for
+from .common import checkpoint, free_name, ranges, shards_for
 
 WIDTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of an anchor
@@ -226,18 +226,17 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _shards(docs: DataFrame) -> DataFrame:
+def _shards(docs: DataFrame, key: str) -> DataFrame:
     """(shard, ids, lengths, text, rest): documents packed where they are read, in the order of doc_id; written once.
 
-    ``rest`` holds the other columns. The written rows are what every later
+    ``rest`` holds the other columns, ``key`` is the name of doc_id's copy among them. The written rows are what every later
     step reads, so a shard's number and order are the same in all of them.
     """
 
     def pack(rows: pa.Table) -> pa.RecordBatch:
-        key = pa.array(rows.column("_doc"))
-        rows = rows.take(pa.compute.sort_indices(pa.table({"k": key}), sort_keys=[("k", "ascending")]))
+        rows = rows.take(pa.compute.sort_indices(pa.table({"k": rows.column(key)}), sort_keys=[("k", "ascending")]))
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()]
-        ids = np.asarray(pa.compute.fill_null(rows.column("_doc"), 2**63 - 1))
+        ids = np.asarray(pa.compute.fill_null(rows.column(key), 2**63 - 1))
         lengths = np.array([len(t) for t in texts], np.int64)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -265,7 +264,7 @@ def _shards(docs: DataFrame) -> DataFrame:
         if held:
             yield pack(pa.Table.from_batches(held))
 
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     packed = rows.mapInArrow(run, "ids binary, n_bytes long, text binary, rest binary")
     return checkpoint(packed.withColumn("shard", F.monotonically_increasing_id()))
 
@@ -312,7 +311,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     by binary search. Every shard gets back, for each run, the windows that
     start in a smaller document.
     """
-    packed = _shards(docs)
+    own_id = free_name(docs, "_doc")
+    packed = _shards(docs, own_id)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     n_anchor, n_bucket = shards_for(total // 12, ANCHORS), shards_for(total, BUCKET_BYTES)
 
@@ -445,7 +445,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 tables.append(rest.set_column(rest.schema.get_field_index("text"), "text", texts).select(names))
             else:
                 tables.append(pa.table({
-                    "doc_id": rest.column("_doc"), "n_bytes": pa.array(lengths), "n_removed": pa.array(removed), "n_spans": pa.array(spans),
+                    "doc_id": rest.column(own_id), "n_bytes": pa.array(lengths), "n_removed": pa.array(removed), "n_spans": pa.array(spans),
                     "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                 }))
         return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64())})

@@ -110,7 +110,10 @@ def test_stages(spark, tmp_path, monkeypatch):
     assert out.columns == ["doc_id", "lang", "source", "n_pieces", "piece_ids"]
     last = out.collect()
     assert Counter(seen[0]) == Counter(rows())
-    assert Counter(seen[1]) == Counter(r for r in rows() if any(c.isalpha() for c in r[1] or ""))
+    said = lambda r: next((x for x, own in PARTS.items() if any(w.startswith(tuple(own)) for w in r[1].split()[-1:])), None)
+    kept = [(*r[:2], "mixed" if r[0] == 110 else said(r), *r[3:]) for r in rows() if any(c.isalpha() for c in r[1] or "")]
+    assert Counter((*r[:2], "mixed" if r[0] == 110 and r[2] in PARTS else r[2], *r[3:]) for r in seen[1]) == Counter(kept)
+    assert {r[2] for r in rows() if r[0] is None} == {None} and {r[2] for r in seen[1] if r[0] is None} == {"aa"}
     assert Counter(seen[2]) == Counter(unlinked(seen[1])) and sum(r[0] == 130 for r in seen[2]) == 2
     assert Counter(seen[3]) == Counter(uncut(seen[2])) != Counter(seen[2])
     assert Counter(seen[4]) == Counter(filled(seen[3]))
