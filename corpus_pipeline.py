@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.llm import crf, pieces
-from tabscope.llm.common import shared_path
+from tabscope.llm.common import free_name, shared_path
 from tabscope.llm.mixing import mixed
 from tabscope.llm.ngram_join import one_of_each_group
 from tabscope.llm.suffix_dedup import remove_repeats
@@ -21,10 +21,14 @@ PIECES = "piece_bpe_32k.model"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters; the columns of the others, in one language or several, stay as they are."""
+    """Writes each document's predicted language into ``lang`` and rejects documents without letters.
+
+    Text in several languages stays, with the language of the largest share.
+    """
     model = crf.fit(docs.where(~crf.held_out() & F.col("doc_id").isNotNull()))
-    found = crf.with_language(docs, model, "_language", "_score")
-    return found.where(F.col("_language") != crf.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    label, score = free_name(docs, "_language"), free_name(docs, "_score")
+    found = crf.with_language(docs, model, label, score).where(F.col(label) != crf.UNKNOWN)
+    return found.select(*[F.col(label).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
