@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +77,22 @@ def parse_date(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt))
 
 
+def date_shape(c: Column) -> Column:
+    """The text with every digit as 0, empty where no date format can fit: what decides which formats are tried."""
+    shape = F.translate(c, "123456789", "000000000")
+    return F.when(shape.rlike(r"^(0000[-/]00[-/]00|00[./]00[./]0000$|[+-]0|00[./]00[./][+-])"), shape).otherwise(F.lit(""))
+
+
+def may_fit(shape: Column, fmt: str) -> Column:
+    """Whether a text of this shape can have this format. Signed years, a fraction of any length
+    and either case of T are let through; whether the digits make a date is for the parser."""
+    zoned = fmt.endswith("XXX")
+    body = re.sub("[yMdHms]", "0", fmt.removesuffix("XXX").replace("'T'", "T"))
+    body = re.escape(body.split(".S")[0]) + (r"(\.0*)?" if ".S" in body else "")
+    pattern = body.replace("T", "[Tt]") + (r"(Z|[+-]00:00)" if zoned else "")
+    return (shape != "") & (shape.rlike(f"^{pattern}$") | shape.rlike(r"^[+-]|[./][+-]"))
+
+
 def is_finite(c: Column) -> Column:
     """True for values that are neither null, NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))

@@ -1,30 +1,24 @@
 """Small driver-side results as DataFrames.
 
-``createDataFrame`` of a Python list becomes an RDD scan (a job per use);
-going through pandas/Arrow gives a local relation that Spark evaluates on the
-driver, so projections of per-column facts cost no job. Only for results
-bounded by the schema (columns, column pairs), never for data.
+An Arrow table becomes a local relation that Spark evaluates on the driver,
+whatever the session's Arrow setting, so projections of per-column facts cost
+no job. Only for results bounded by the schema (columns, column pairs), never
+for data.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
 def local_frame(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
+    """``rows`` as a DataFrame; numpy scalars count as the Python values they hold."""
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    names = [f.name for f in st.fields]
-    rows = [tuple(r) for r in rows]
-    if not rows:
-        # An all-null row filtered out: the optimizer folds it to an empty local relation.
-        from pyspark.sql import functions as F
-
-        from pyspark.sql.types import StructField
-
-        loose = StructType([StructField(f.name, f.dataType, True) for f in st.fields])
-        pdf = pd.DataFrame({n: pd.Series([None], dtype=object) for n in names})
-        return spark.createDataFrame(pdf, loose).where(F.lit(False))
-    pdf = pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
-    return spark.createDataFrame(pdf, st)
+    rows = [tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows]
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(st.fields)]
+    table = pa.Table.from_arrays(columns, schema=pa.schema([(f.name, c.type) for f, c in zip(st.fields, columns)]))
+    return spark.createDataFrame(table, st)

@@ -16,6 +16,7 @@ from tabscope.functions.expressions import (
     DATE_NAME_PATTERN,
     DEFAULT_BINS,
     TOP_CATEGORIES,
+    is_finite,
     nan_to_null,
     parse_date,
     type_class,
@@ -38,7 +39,7 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS) -> DataFrame
     """V1/V2: equal-width bins over [min, max] exactly as ``numpy.histogram``.
 
     Half-open bins, the last one closed; ``min == max`` widens the range by
-    0.5 on each side; empty bins are kept; nulls and NaN are dropped.
+    0.5 on each side; empty bins are kept; nulls, NaN and infinite values are dropped.
     Returns ``bin, lo, hi, label, count``.
     """
     if bins < 1:
@@ -47,7 +48,7 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS) -> DataFrame
     if type_class(f.dataType) != "numeric":
         raise ValueError(f"histogram needs a numeric column, got {f.dataType.simpleString()}")
     spark = df.sparkSession
-    v = df.select(nan_to_null(q(column).cast("double")).alias("v")).where(F.col("v").isNotNull())
+    v = df.select(q(column).cast("double").alias("v")).where(is_finite(F.col("v")))
     r = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()[0]
     lo, hi = (0.0, 1.0) if r["lo"] is None else (float(r["lo"]), float(r["hi"]))
     if lo == hi:

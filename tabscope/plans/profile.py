@@ -41,6 +41,7 @@ from tabscope.functions.expressions import (
 )
 from tabscope.operators.quantiles import PARTITION_ROWS, exact_quantiles
 from tabscope.plans import spine
+from tabscope.plans.moments import pair_moments, pearson
 from tabscope.session import reuse
 
 
@@ -63,12 +64,17 @@ class TableProfile:
 
     # ------------------------------------------------------------------ scans
     @cached_property
-    def patterns(self) -> dict:
-        """Null-pattern facts from M. M rides along in F's scan; when F has not been
-        built (a missing-values question alone) M is its own small aggregate."""
+    def _pattern_table(self) -> DataFrame:
+        """M, written. It rides along in F's scan; when F has not been built (a
+        missing-values question alone) M is its own small aggregate."""
         if "freq" in self.__dict__:
-            return spine.patterns_from_frequencies(self.freq, self.specs, pairs=True)
-        return spine.pattern_stats(spine.null_patterns(self.base, self.specs), self.specs, pairs=True)
+            return spine.patterns_from_frequencies(self.freq, self.specs)
+        return spine.null_patterns(self.base, self.specs)
+
+    @cached_property
+    def patterns(self) -> dict:
+        """Null-pattern facts from M."""
+        return spine.pattern_stats(self._pattern_table, self.specs)
 
     @cached_property
     def n_rows(self) -> int:
@@ -340,63 +346,26 @@ class TableProfile:
 
         Equals Pearson on 0/1 flags; pairs with a constant flag drop out.
         """
-        p, n = self.patterns, self.n_rows
+        null, n = [self.patterns["null"][s.name] for s in self.specs], self.n_rows
+        varying = [i for i, k in enumerate(null) if 0 < k < n]
         rows = []
-        varying = [i for i, s in enumerate(self.specs) if 0 < p["null"][s.name] < n]
-        for i, j in combinations(varying, 2):
-            a, b = self.specs[i].name, self.specs[j].name
-            ni, nj, nij = p["null"][a], p["null"][b], p["conull"].get((a, b), 0)
-            den = ni * (n - ni) * nj * (n - nj)
-            if den <= 0:
-                continue
-            r = (n * nij - ni * nj) / math.sqrt(den)
+        for (i, j), both in spine.co_nulls(self._pattern_table, list(combinations(varying, 2))).items():
+            r = (n * both - null[i] * null[j]) / math.sqrt(null[i] * (n - null[i]) * null[j] * (n - null[j]))
             if abs(r) > threshold:
-                rows.append((a, b, i, j, float(r)))
+                rows.append((self.specs[i].name, self.specs[j].name, i, j, r))
         df = local_frame(self.spark, rows, "col1 string, col2 string, i int, j int, r double")
         return df.select("col1", "col2", rnd(F.col("r"), CORR_PLACES).alias("correlation"))
 
     @cached_property
     def _corr_pairs(self) -> list[tuple[str, str, int, int, float | None]]:
         """Pairwise-complete Pearson for every ordered numeric pair (diagonal included)."""
-        nums = [s for s in self.specs if s.numeric]
-        if not nums:
+        names = [s.name for s in self.specs if s.numeric]
+        if not names:
             return []
-        # Count, mean and range: from F where it has been read, else one small scan.
-        if "_basic" in self.__dict__:
-            found = {f["column"]: (f["n_num"], f["mean"], f["vmin"], f["vmax"]) for f in self._basic if f["n_num"]}
-        else:
-            found = spine.numeric_ranges(self.base, [s.name for s in nums])
-        means = {c: x[1] for c, x in found.items()}
-        varies = {c for c, (_, _, lo, hi) in found.items() if lo < hi}
-        have = [s.name for s in nums if s.name in found]
-        pos = {c: k for k, c in enumerate(have)}
-        gn, gsx, gsxx, gsxy = spine.gram_sums(self.base, have, means) if have else (None,) * 4
-        live = nums
-
-        def sums(a, b):
-            i, j = pos[a], pos[b]
-            return gn[i, j], gsx[i, j], gsx[j, i], gsxx[i, j], gsxx[j, i], gsxy[i, j]
-
-        def pair(a: str, b: str):
-            if a not in varies or b not in varies:
-                return None
-            n, sx, sy, sxx, syy, sxy = sums(a, b)
-            if n < 2:
-                return None
-            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-            if vx <= 1e-12 * max(sxx, 1e-300) or vy <= 1e-12 * max(syy, 1e-300):
-                return None
-            return (sxy - sx * sy / n) / math.sqrt(vx * vy)
-
-        out = []
-        idx = {s.name: k for k, s in enumerate(live)}
-        for a in live:
-            for b in live:
-                i, j = idx[a.name], idx[b.name]
-                val = pair(a.name, b.name) if i <= j else None
-                out.append((a.name, b.name, i, j, val))
-        sym = {(x[0], x[1]): x[4] for x in out if x[2] <= x[3]}
-        return [(a, b, i, j, sym[(a, b)] if i <= j else sym[(b, a)]) for a, b, i, j, _ in out]
+        state = pair_moments(self.base, names)
+        at = range(len(names))
+        found = {(i, j): pearson(state, i, j) for i in at for j in at if i <= j}
+        return [(names[i], names[j], i, j, found[min(i, j), max(i, j)]) for i in at for j in at]
 
     def correlation_matrix(self) -> DataFrame:
         """T10 in long form: ``col1, col2, correlation`` for all numeric pairs.

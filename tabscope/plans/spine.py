@@ -7,12 +7,12 @@
   Whole numbers and decimals are grouped by their exact text, ``dval`` only
   serves their statistics. Partial aggregation collapses a dominant value
   map-side, so one hot value costs one row per map task.
-* ``M`` (null patterns): the rows' null flags. Rides in F's scan; alone it is
-  ``groupBy(array(c is null ...))``. Null counts, empty rows and pairwise
-  co-null counts are computed on it.
+* ``M`` (null patterns): the rows' null flags as bits of whole numbers. Rides in
+  F's scan or is grouped alone, and is written once. Null counts, empty rows and,
+  where asked for, pairwise co-null counts are bit operations on it.
 * Moments (mean, std, skewness, kurtosis) come from F's numeric part with
   centred, ``cnt``-weighted sums: no second wide pass over the base table.
-* Correlation: one pass of per-partition Gram matrices.
+* Correlation: one pass of mergeable moments (``plans.moments``).
 * Row duplicates live in ``tabscope.operators.duplicates``.
 """
 
@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.local import local_frame
+from tabscope.session import ensure_checkpoint_dir
 
 from tabscope.functions.expressions import (
     DATE_FORMATS,
     as_text,
+    date_shape,
     is_finite,
     is_integral,
+    may_fit,
     nan_to_null,
     parse_date,
     type_class,
@@ -126,6 +129,8 @@ def long_values(base: DataFrame, specs: list[ColumnSpec], keys: list[tuple[str,
 
 # Pseudo-column carried through F: each row's null pattern.
 PATTERN = "__tabscope_null_pattern__"
+WORD_BITS = 62
+PAIRS_AT_ONCE = 300
 
 
 def _row_hash(base: DataFrame) -> Column:
@@ -147,8 +152,8 @@ def _has_map(dt: T.DataType) -> bool:
 def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -> DataFrame:
     """F: ``(column, sval, dval, cnt)``; floats in ``dval``, whole numbers and decimals in both, others in ``sval``.
 
-    With ``extras`` the pseudo-column ``PATTERN`` (the row's null flags as a 0/1
-    string: the null-pattern table M) rides along, so one pass over the base
+    With ``extras`` the pseudo-column ``PATTERN`` (the row's null flags as whole
+    numbers: the null-pattern table M) rides along, so one pass over the base
     table serves every per-column metric and the missing-value patterns.
     """
     names = {s.name for s in specs}
@@ -160,8 +165,7 @@ def frequencies(base: DataFrame, specs: list[ColumnSpec], extras: bool = True) -
     structs = [F.struct(_sval(s).alias("s"), _dval(s).alias("d")).cast(cell).alias(s.name) for s in specs]
     value_names = [s.name for s in specs]
     if extras:
-        flags = F.concat(*[F.when(q(s.name).isNull(), F.lit("1")).otherwise(F.lit("0")) for s in specs]) \
-            if specs else F.lit("")
+        flags = F.concat_ws(",", *[w.cast("string") for w in _pattern_words(specs)])
         structs.append(F.struct(flags.alias("s"), F.lit(None).cast("double").alias("d")).cast(cell).alias(PATTERN))
         value_names.append(PATTERN)
     wide = base.select(*structs)
@@ -195,111 +199,70 @@ def column_stats(freq: DataFrame, specs: list[ColumnSpec], n_rows: int) -> DataF
         (F.sum(F.col("cnt") * finite) / F.sum(weight)).alias("mean"),
     ]
     for i, fmt in enumerate(DATE_FORMATS):
-        parse_ok = parse_date(F.col("sval"), fmt).isNotNull()
-        aggs.append(
-            F.count(F.when(F.col("column").isin(text_cols) & F.col("sval").isNotNull() & parse_ok, F.lit(1))).alias(
-                f"date_fit_{i}"
-            )
-        )
-    out = freq.where(F.col("column") != PATTERN).groupBy("column").agg(*aggs)
+        parsed = F.when(may_fit(F.col("_shape"), fmt), parse_date(F.col("sval"), fmt))
+        aggs.append(F.count(parsed).alias(f"date_fit_{i}"))
+    texts = F.when(F.col("column").isin(text_cols), date_shape(F.col("sval"))).otherwise(F.lit(""))
+    out = freq.where(F.col("column") != PATTERN).withColumn("_shape", texts).groupBy("column").agg(*aggs)
     fits = [F.col(f"date_fit_{i}") for i in range(len(DATE_FORMATS))]
     return out.withColumn("date_fit_max", F.greatest(*fits)).drop(*[f"date_fit_{i}" for i in range(len(DATE_FORMATS))])
 
 
-def null_patterns(base: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
-    """M: ``(pattern array<boolean>, cnt)``. One scan; a handful of rows."""
-    flags = F.array(*[q(s.name).isNull() for s in specs]) if specs else F.array().cast("array<boolean>")
-    return base.groupBy(flags.alias("pattern")).agg(F.count(F.lit(1)).alias("cnt"))
-
+def _pattern_words(specs: list[ColumnSpec]) -> list[Column]:
+    """The null flags of a row: bit k of word w is set when column ``w * WORD_BITS + k`` is null."""
+    words = []
+    for lo in range(0, max(1, len(specs)), WORD_BITS):
+        bits = [F.when(q(s.name).isNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, s in enumerate(specs[lo : lo + WORD_BITS])]
+        total = F.lit(0).cast("long")
+        for x in bits:
+            total = total.bitwiseOR(x)
+        words.append(total)
+    return words
 
-def patterns_from_frequencies(freq: DataFrame, specs: list[ColumnSpec], pairs: bool = True) -> dict:
-    """M as carried in F (0/1 strings) -> the same facts as ``pattern_stats``."""
-    m = freq.where(F.col("column") == PATTERN).select(
-        F.transform(F.split(F.col("sval"), ""), lambda x: x == "1").alias("pattern"), "cnt"
-    ) if specs else freq.where(F.col("column") == PATTERN).select(F.array().cast("array<boolean>").alias("pattern"), "cnt")
-    return pattern_stats(m, specs, pairs)
 
+def _n_words(specs: list[ColumnSpec]) -> int:
+    return max(1, -(-len(specs) // WORD_BITS))
 
-def pattern_stats(m: DataFrame, specs: list[ColumnSpec], pairs: bool = True) -> dict:
-    """Null counts, all/any-null rows and pairwise co-null counts from M (tiny input).
 
-    Co-null counts come from one aggregate over the pairs of null positions of
-    each pattern; pairs that are never null together have no entry.
-    """
-    c = len(specs)
-    cnt = F.col("cnt")
-    exprs = [F.sum(cnt).alias("rows")]
-    for i in range(c):
-        exprs.append(F.sum(F.when(F.col("pattern")[i], cnt).otherwise(0)).alias(f"null_{i}"))
-    if c:
-        exprs.append(F.sum(F.when(F.array_contains("pattern", True), cnt).otherwise(0)).alias("any"))
-        exprs.append(F.sum(F.when(~F.array_contains("pattern", False), cnt).otherwise(0)).alias("all"))
-    r = m.agg(*exprs).collect()[0].asDict()
-    out = {"rows": int(r["rows"] or 0), "rows_with_missing": int(r.get("any") or 0),
-           "completely_empty_rows": int(r.get("all") or 0) if c else 0, "null": {}, "conull": {}}
-    for i, s in enumerate(specs):
-        out["null"][s.name] = int(r[f"null_{i}"] or 0)
-    if pairs and c:
-        at = F.expr("filter(sequence(0, size(pattern) - 1), i -> pattern[i])")
-        both = m.select("cnt", at.alias("at")).select("cnt", "at", F.explode("at").alias("i"))
-        both = both.select("cnt", "i", F.explode("at").alias("j")).where("i < j")
-        for p in both.groupBy("i", "j").agg(F.sum("cnt").alias("n")).collect():
-            out["conull"][(specs[p["i"]].name, specs[p["j"]].name)] = int(p["n"])
+def null_patterns(base: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """M: ``(w0, w1, ..., cnt)``, grouped in one scan and written; a handful of rows."""
+    ensure_checkpoint_dir(base.sparkSession)
+    words = base.select(*[w.alias(f"w{k}") for k, w in enumerate(_pattern_words(specs))])
+    return words.groupBy(*words.columns).agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+
+
+def patterns_from_frequencies(freq: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """M as carried in F, written."""
+    ensure_checkpoint_dir(freq.sparkSession)
+    word = F.split("sval", ",")
+    own = freq.where(F.col("column") == PATTERN)
+    return own.select(*[word[k].cast("long").alias(f"w{k}") for k in range(_n_words(specs))], "cnt").checkpoint()
+
+
+def pattern_stats(m: DataFrame, specs: list[ColumnSpec]) -> dict:
+    """Rows, null counts, and rows with all or any value null, from M."""
+    cnt, words = F.col("cnt"), _n_words(specs)
+    any_null, all_null = F.lit(False), F.lit(bool(specs))
+    for k in range(words):
+        full = (1 << min(WORD_BITS, len(specs) - k * WORD_BITS)) - 1 if specs else 0
+        any_null = any_null | (F.col(f"w{k}") != 0)
+        all_null = all_null & (F.col(f"w{k}") == full)
+    nulls = [F.sum(cnt * F.shiftright(f"w{i // WORD_BITS}", i % WORD_BITS).bitwiseAND(1)).alias(f"null_{i}") for i in range(len(specs))]
+    r = m.agg(F.sum(cnt).alias("rows"), F.sum(F.when(any_null, cnt)).alias("any"), F.sum(F.when(all_null, cnt)).alias("all"), *nulls).first().asDict()
+    return {"rows": int(r["rows"] or 0), "rows_with_missing": int(r["any"] or 0), "completely_empty_rows": int(r["all"] or 0),
+            "null": {s.name: int(r[f"null_{i}"] or 0) for i, s in enumerate(specs)}}
+
+
+def co_nulls(m: DataFrame, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """In how many rows both columns of a pair are null, from M; a few hundred pairs an aggregate."""
+    bit = lambda i: F.shiftright(f"w{i // WORD_BITS}", i % WORD_BITS).bitwiseAND(1)
+    out = {}
+    for lo in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[lo : lo + PAIRS_AT_ONCE]
+        got = m.agg(*[F.sum(F.col("cnt") * bit(i).bitwiseAND(bit(j))) for i, j in some]).first()
+        out |= {pair: int(n or 0) for pair, n in zip(some, got)}
     return out
 
 
-def numeric_ranges(base: DataFrame, names: list[str]) -> dict[str, tuple]:
-    """(count, mean, min, max) of the finite values of numeric columns, from one scan in long form."""
-    if not names:
-        return {}
-    long = base.select(*[q(c).cast("double").alias(c) for c in names]).unpivot([], [q(c) for c in names], "column", "v")
-    got = long.where(is_finite(F.col("v"))).groupBy("column").agg(F.count("v"), F.avg("v"), F.min("v"), F.max("v")).collect()
-    return {r[0]: tuple(r)[1:] for r in got}
-
-
 def numeric_frequencies(freq: DataFrame) -> DataFrame:
     """(column, dval, cnt) of the finite values."""
     return freq.where(is_finite(F.col("dval"))).select("column", "dval", "cnt")
-
-
-def _gram_partials(batches):
-    """Per partition: masked Gram-type sums of the (mean-shifted) numeric block.
-
-    n = M'M, sx = X0'M, sxx = (X0*X0)'M, sxy = X0'X0 with M the presence mask
-    and X0 the values with missing as 0: every pairwise-complete sum at once.
-    """
-    import numpy as np
-    import pandas as pd
-
-    acc = None
-    for pdf in batches:
-        x = pdf.to_numpy(dtype=float)
-        m = np.isfinite(x)
-        x0 = np.where(m, x, 0.0)
-        mf = m.astype(float)
-        parts = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
-        acc = parts if acc is None else tuple(a + b for a, b in zip(acc, parts))
-    if acc is not None:
-        yield pd.DataFrame({k: [v.ravel()] for k, v in zip(("n", "sx", "sxx", "sxy"), acc)})
-
-
-def gram_sums(base: DataFrame, names: list[str], means: dict[str, float]):
-    """Pairwise-complete correlation sums for many columns in one pass.
-
-    Each partition folds its rows into four C x C matrices with numpy (Arrow
-    batches, no per-row Python); partitions are combined with a tree
-    reduction, so the driver receives one C x C block set (bounded by the
-    schema, as in a Gram matrix computation).
-    """
-    import sys
-
-    import numpy as np
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    sel = base.select(*[(q(c).cast("double") - F.lit(float(means[c]))).alias(f"c{i}") for i, c in enumerate(names)])
-    parts = sel.mapInPandas(_gram_partials, "n array<double>, sx array<double>, sxx array<double>, sxy array<double>")
-    c = len(names)
-    total = parts.rdd.map(lambda r: tuple(np.asarray(v, dtype=float) for v in r)).treeReduce(
-        lambda a, b: tuple(x + y for x, y in zip(a, b)), depth=2)
-    return tuple(v.reshape(c, c) for v in total)
