@@ -19,6 +19,10 @@ from tabscope.plans.spine import _has_map, _row_hash, clean, q
 from tabscope.session import ensure_checkpoint_dir
 
 
+# Copies of a row that one task writes in a row.
+CHUNK_COPIES = 1_000
+
+
 def _hashed(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Cleaned rows (NaN to null; map-bearing values as JSON text) plus ``_h``."""
     base = clean(df)
@@ -78,9 +82,16 @@ def duplicate_row_list(df: DataFrame) -> DataFrame:
     """Every row that has an equal copy (all copies kept), with its group size.
 
     The copies of a group are equal, so each group is repeated as often as it
-    was counted; no join with the table is needed. Map-bearing values come back
+    was counted; no join with the table is needed. A group is first split into
+    chunks of ``CHUNK_COPIES`` copies, which are dealt out by (group, chunk), so
+    a group of any size is written by many tasks. Map-bearing values come back
     as their JSON text (the form they were compared in).
     """
     names = [f.name for f in df.schema.fields]
-    groups = duplicate_groups(df).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return groups.select(*[q(n) for n in names], F.col("_copies").alias("group_size"))
+    last = F.ceil(F.col("_copies") / CHUNK_COPIES) - 1
+    chunks = duplicate_groups(df).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    own = F.least(F.lit(CHUNK_COPIES).cast("long"), F.col("_copies") - F.col("_chunk") * CHUNK_COPIES)
+    # A given number of partitions: Spark would merge small ones by the bytes of the chunks, which grow a thousandfold here.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(parts, "_h", "_chunk").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), own)))
+    return dealt.select(*[q(n) for n in names], F.col("_copies").alias("group_size"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabscope.session import ensure_checkpoint_dir
+
 # Roles shown to users, title length, accepted feedback kinds.
 CHAT_ROLES = ["user", "assistant"]
 TITLE_CHARS = 40
@@ -75,10 +77,26 @@ def _stamped(df: DataFrame, source_id: str | None) -> DataFrame:
     df = df.withColumn("source_id", F.coalesce(F.col("source_id"), given) if "source_id" in df.columns else given)
     now = F.current_timestamp()
     df = df.withColumn("created_at", F.coalesce(F.col("created_at").cast("timestamp"), now) if "created_at" in df.columns else now)
-    # Equal rows of one intake are told apart by their number.
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
-    twin = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    return df.withColumn("_row", F.sha2(row, 256)).withColumn("id", F.sha2(F.concat_ws("-", "_row", twin.cast("string")), 256)).drop("_row")
+    return _told_apart(df.withColumn("_row", F.sha2(row, 256))).withColumn("id", F.sha2(F.concat_ws("-", "_row", "_twin"), 256)).drop("_row", "_twin")
+
+
+def _told_apart(df: DataFrame) -> DataFrame:
+    """``df`` (with ``_row``, a digest) with ``_twin``: equal rows are numbered from 1 without gaps.
+
+    The rows are written with the number of the partition that read them. Each
+    partition numbers its own equal rows; those it shares with other partitions
+    start after the sum of their counts before it. So rows that are all equal
+    are numbered by all tasks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = rows.groupBy("_row", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_row").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_row", "_part", F.sum("_n").over(before).alias("_start")).where(F.col("_start").isNotNull())
+    own = F.row_number().over(Window.partitionBy("_row", "_part").orderBy("_row"))
+    numbered = rows.withColumn("_own", own).join(starts, ["_row", "_part"], "left")
+    return numbered.withColumn("_twin", (F.col("_own") + F.coalesce("_start", F.lit(0))).cast("string")).drop("_part", "_own", "_start")
 
 
 def clean_feedback(raw: DataFrame, source_id: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -667,6 +667,32 @@ def q_running_totals_hot_key(spark, sf_dir):
     return out.select("event_id", "user_id", "running_n", F.round("running_sum", 3).alias("running_sum"))
 
 
+@check("rank_hot_key", f"""SELECT event_id, user_id, event_type, CAST(rank() OVER w AS BIGINT) AS rank, CAST(dense_rank() OVER w AS BIGINT) AS dense_rank
+FROM {O.src('events_hot')} WINDOW w AS (PARTITION BY user_id ORDER BY event_type)""")
+def q_rank_hot_key(spark, sf_dir):
+    """A third of all events lie on one user, and most of its events tie with many others."""
+    from tabscope.operators.segments import ranked
+
+    out = ranked(_t(spark, sf_dir, "events_hot").select("event_id", "user_id", "event_type"), "user_id", "event_type")
+    return out.select("event_id", "user_id", "event_type", "rank", "dense_rank")
+
+
+@check("moving_sum_hot_key", f"""SELECT event_id, user_id, round(sum(value) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 3) AS moving_sum,
+  CAST(count(*) OVER (w ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS around, lag(event_id) OVER w AS previous_id, lead(event_id, 2) OVER w AS later_id
+FROM {O.src('events_hot')} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q_moving_sum_hot_key(spark, sf_dir):
+    """Moving frames, lag and lead within a user that holds a third of the events."""
+    from tabscope.operators.segments import windowed
+
+    columns = {
+        "moving_sum": lambda w: F.round(F.sum("value").over(w.rowsBetween(-3, 0)), 3), "around": lambda w: F.count(F.lit(1)).over(w.rowsBetween(-3, 2)),
+        "previous_id": lambda w: F.lag("event_id").over(w), "later_id": lambda w: F.lead("event_id", 2).over(w),
+    }
+    ev = _t(spark, sf_dir, "events_hot").select("event_id", "user_id", "ts", "value")
+    out = windowed(ev, "user_id", ["ts", "event_id"], columns, preceding=3, following=2)
+    return out.select("event_id", "user_id", *columns)
+
+
 @check("check_primary_key", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(o_orderkey) AS BIGINT) AS null_keys,
   CAST((SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS BIGINT) AS duplicate_keys,
   CAST(coalesce((SELECT sum(c) FROM (SELECT count(*) AS c FROM orders WHERE o_orderkey IS NOT NULL GROUP BY o_orderkey HAVING count(*) > 1)), 0) AS BIGINT) AS duplicate_rows,
