@@ -23,7 +23,7 @@ SHARD_BYTES = 4 << 20  # text of a shard
 CACHE_WORDS = 3_000_000
 SLICE_CHARS = 1 << 20
 #: A pair is replaced while it occurs this often; a round takes at most this many pairs.
-MIN_COUNT, ROUND_PAIRS = 2, 2048
+MIN_COUNT, ROUND_PAIRS = 2, 8192
 SYMBOLS = 1 << 16
 SPACES = re.compile(r"\s\s")
 # Classes of bytes: letters, digits, signs, space, line break, end of text; 0 (bytes beyond ASCII, the
