@@ -32,6 +32,8 @@ _API = {
     "type_distribution": "tabscope.operators.table", "semantic_type_distribution": "tabscope.operators.table",
     "table_summary": "tabscope.operators.table", "table_warnings": "tabscope.operators.table",
     "profile_table": "tabscope.operators.table",
+    "approx_profile": "tabscope.operators.approx", "approx_top_values": "tabscope.operators.approx",
+    "ranked": "tabscope.operators.segments", "windowed": "tabscope.operators.segments",
     "normality_jb": "tabscope.operators.normality",
     "exact_quantiles": "tabscope.operators.quantiles",
     # charts

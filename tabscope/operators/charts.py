@@ -21,6 +21,7 @@ from tabscope.functions.expressions import (
     parse_date,
     type_class,
 )
+from tabscope.operators.frequent import frequent_values
 from tabscope.operators.quantiles import exact_quantiles
 from tabscope.plans.profile import TableProfile, profiled
 from tabscope.plans.spine import q
@@ -87,15 +88,8 @@ def category_frequency(df: DataFrame, column: str, k: int = TOP_CATEGORIES) -> D
     c = q(column)
     if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
         c = nan_to_null(c)
-    counts = df.select(c.cast("string").alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    top = counts.orderBy(F.desc("count"), F.asc("value")).limit(k)
-    from pyspark.sql import Window
-
-    # ``top`` holds at most k rows: numbering them in one task is bounded.
-    w = Window.orderBy(F.desc("count"), F.asc("value"))
-    return top.select(F.row_number().over(w).cast("int").alias("rank"), "value", "count")
+    long = df.select(F.lit(0).alias("c"), c.cast("string").alias("s"), F.lit(None).cast("double").alias("d")).where(F.col("s").isNotNull())
+    return frequent_values(long, k).select(F.col("rank").cast("int").alias("rank"), F.col("s").alias("value"), F.col("cnt").alias("count"))
 
 
 def parse_dates(df: DataFrame, column: str) -> F.Column:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 from functools import cached_property
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +38,11 @@ from tabscope.functions.expressions import (
     safe_ratio,
     status_band,
 )
+from tabscope.operators.frequent import frequent_values
 from tabscope.operators.quantiles import PARTITION_ROWS, exact_quantiles
 from tabscope.plans import spine
 from tabscope.plans.moments import pair_moments, pearson
-from tabscope.session import reuse
+from tabscope.session import ensure_checkpoint_dir, reuse
 
 
 class TableProfile:
@@ -228,24 +228,38 @@ class TableProfile:
     def top_values(self, k: int = TOP_VALUES, columns: list[str] | None = None, types=("categorical", "text", "boolean")) -> DataFrame:
         """(column, rank, value, count, percentage): most frequent non-null values.
 
-        ``row_number() <= k`` lets Spark insert a partial group limit before the
-        shuffle, so each map task sends at most k rows per column. The k rows of
-        each column are collected; long texts among them are read again whole.
+        Of columns given by name, before F is built, rare values are not shuffled
+        (``operators.frequent``). From F, ``row_number() <= k`` lets Spark
+        insert a partial group limit before the shuffle. Either way the k rows
+        a column are written, not collected; long texts among them are read again whole.
         """
-        freq = self.freq
-        n = self.n_rows
-        if columns is None:
-            columns = [r["column"] for r in self.stats.where(F.col("type").isin(list(types))).select("column").collect()]
         single = [s.name for s in self.specs if s.type_name == "float"]
         as_float = F.when(F.col("column").isin(single), F.col("dval").cast("float").cast("string")).otherwise(F.col("dval").cast("string"))
-        f = freq.where(F.col("column").isin(columns) & (F.col("sval").isNotNull() | F.col("dval").isNotNull()))
-        w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("dval"), F.asc("sval"))
-        ranked = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        rows = ranked.select("column", F.col("rank").cast("int"), F.coalesce("sval", as_float), "cnt").collect()
-        whole = spine.long_values(self.base, self.specs, [(r[0], r[2]) for r in rows if r[2].startswith(spine.LONG_MARK)])
-        out = local_frame(self.spark, [(c, i, whole.get((c, v), v), m) for c, i, v, m in rows], "column string, rank int, value string, count long")
+        if columns is not None and "freq" not in self.__dict__:
+            ranked = self._frequent([s for s in self.specs if s.name in columns], k)
+        else:
+            freq = self.freq
+            if columns is None:
+                columns = [r["column"] for r in self.stats.where(F.col("type").isin(list(types))).select("column").collect()]
+            f = freq.where(F.col("column").isin(columns) & (F.col("sval").isNotNull() | F.col("dval").isNotNull()))
+            w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("dval"), F.asc("sval"))
+            ranked = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ensure_checkpoint_dir(self.spark)
+        n = self.n_rows
+        rows = ranked.select("column", F.col("rank").cast("int").alias("rank"), F.coalesce("sval", as_float).alias("value"), F.col("cnt").alias("count")).checkpoint()
+        out = spine.with_whole_texts(self.base, self.specs, rows)
         return out.withColumn("percentage", rnd(safe_ratio(F.col("count"), F.lit(n)) * 100, PCT_PLACES))
 
+    def _frequent(self, specs: list[spine.ColumnSpec], k: int) -> DataFrame:
+        if not specs:
+            return local_frame(self.spark, [], "column string, rank int, sval string, dval double, cnt long")
+        cell = "struct<c:int,s:string,d:double>"
+        cells = [F.struct(F.lit(i).alias("c"), spine._sval(s).alias("s"), spine._dval(s).alias("d")).cast(cell).alias(s.name) for i, s in enumerate(specs)]
+        long = self.base.select(*cells).unpivot([], [spine.q(s.name) for s in specs], "column", "v").select("v.c", "v.s", "v.d")
+        found = frequent_values(long.where("s IS NOT NULL OR d IS NOT NULL"), k)
+        names = F.element_at(F.array(*[F.lit(s.name) for s in specs]), F.col("c") + 1)
+        return found.select(names.alias("column"), "rank", F.col("s").alias("sval"), F.col("d").alias("dval"), "cnt")
+
     @cached_property
     def columns(self) -> DataFrame:
         """Column report (P11): one flat row per column, including score and status.
@@ -349,7 +363,7 @@ class TableProfile:
         null, n = [self.patterns["null"][s.name] for s in self.specs], self.n_rows
         varying = [i for i, k in enumerate(null) if 0 < k < n]
         rows = []
-        for (i, j), both in spine.co_nulls(self._pattern_table, list(combinations(varying, 2))).items():
+        for (i, j), both in spine.co_nulls(self._pattern_table, varying).items():
             r = (n * both - null[i] * null[j]) / math.sqrt(null[i] * (n - null[i]) * null[j] * (n - null[j]))
             if abs(r) > threshold:
                 rows.append((self.specs[i].name, self.specs[j].name, i, j, r))

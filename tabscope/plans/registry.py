@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.functions.local import local_frame
 from tabscope.plans import oracle as O
 from tabscope.plans.fixtures import register_views
 
@@ -271,15 +272,75 @@ def q_top_values_numbers(spark, sf_dir):
     return top_values(_t(spark, sf_dir, "lineitem"), columns=["l_quantity", "l_linenumber", "l_orderkey"])
 
 
-@check("top_values_long_text", """SELECT 'text' AS "column", CAST(count(*) AS BIGINT) AS n_values, CAST(sum(cnt) AS BIGINT) AS total,
-  CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT text, count(*) AS cnt FROM documents GROUP BY 1 HAVING count(*) > 1)""")
+@check("top_values_long_text", """SELECT CAST(row_number() OVER (ORDER BY cnt DESC, k) AS INTEGER) AS rank, CAST(cnt AS BIGINT) AS "count", CAST(length(t) AS INTEGER) AS chars, md5(t) AS digest
+FROM (SELECT k, any_value(text) AS t, count(*) AS cnt FROM (
+  SELECT text, CASE WHEN length(text) > 256 THEN concat(chr(57344), 'long', chr(57344), substring(text, 1, 200), sha256(text)) ELSE text END AS k
+  FROM documents WHERE text IS NOT NULL) x GROUP BY k) y ORDER BY cnt DESC, k LIMIT 100""")
 def q_top_values_long_text(spark, sf_dir):
-    """All repeated documents as top values: they come back whole, not as their key in F."""
+    """The 100 most frequent documents as top values: they come back whole, not as their key in F."""
     from tabscope.operators.columns import top_values
 
-    docs = _t(spark, sf_dir, "documents")
-    out = top_values(docs, k=docs.count(), columns=["text"]).where("count > 1")
-    return out.groupBy("column").agg(F.count("*").alias("n_values"), F.sum("count").alias("total"), F.sum(F.length("value")).alias("chars"))
+    out = top_values(_t(spark, sf_dir, "documents"), k=100, columns=["text"])
+    return out.select("rank", "count", F.length("value").alias("chars"), F.md5("value").alias("digest"))
+
+
+_APPROX = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate", "l_discount", "l_tax"]
+_APPROX_NUMBERS = [c for c in _APPROX if c not in ("l_returnflag", "l_shipdate")]
+
+
+@check("approx_profile", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS missing_count,
+  CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count, TRUE AS unique_within, """
+    + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, {O.r(f'avg({c})', 4)} AS mean, TRUE AS quantiles_within" if c in _APPROX_NUMBERS
+       else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS BOOLEAN) AS quantiles_within")
+    + f" FROM {O.src('li_nulls')}" for c in _APPROX))
+def q_approx_profile(spark, sf_dir):
+    """The sketch profile next to exact figures: estimates of distinct values and ranks of quantiles are within the bounds it states."""
+    from tabscope.operators.approx import approx_profile
+    from tabscope.operators.columns import column_uniqueness
+
+    t = _t(spark, sf_dir, "li_nulls").select(*_APPROX)
+    own = approx_profile(t).collect()  # a row a column
+    ranks = t.agg(*[F.count_if(F.col(f"`{r['column']}`") < r[x]).alias(f"{r['column']}:{x}:<") for r in own if r["rank_error"] for x in ("q25", "median", "q75")],
+                  *[F.count_if(F.col(f"`{r['column']}`") <= r[x]).alias(f"{r['column']}:{x}:=") for r in own if r["rank_error"] for x in ("q25", "median", "q75")]).first()
+    rows = []
+    for r in own:
+        n, within = r["n_rows"] - r["missing_count"], None
+        if r["rank_error"]:
+            slack = r["rank_error"] * n + 1
+            within = all(ranks[f"{r['column']}:{x}:<"] - slack <= p * n <= ranks[f"{r['column']}:{x}:="] + slack for x, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)))
+        rows.append((r["column"], r["n_rows"], r["missing_count"], r["unique_estimate"], r["unique_error"], r["min"], r["max"], r["mean"], within))
+    found = local_frame(spark, rows, "column string, n_rows long, missing_count long, estimate long, error long, min double, max double, mean double, quantiles_within boolean")
+    out = found.join(column_uniqueness(t).select("column", "unique_count"), "column")
+    return out.select("column", "n_rows", "missing_count", "unique_count", (F.abs(F.col("estimate") - F.col("unique_count")) <= F.col("error")).alias("unique_within"),
+                      "min", "max", "mean", "quantiles_within")
+
+
+@check("approx_top_values", """SELECT 'l_returnflag' AS "column", l_returnflag AS value, CAST(count(*) AS BIGINT) AS exact, TRUE AS within FROM lineitem GROUP BY 2
+UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), CAST(count(*) AS BIGINT), TRUE FROM lineitem GROUP BY 2""")
+def q_approx_top_values(spark, sf_dir):
+    """Frequent-items summaries next to exact counts of the same values."""
+    from tabscope.operators.approx import approx_top_values
+
+    li = _t(spark, sf_dir, "lineitem")
+    found = approx_top_values(li, ["l_returnflag", "l_linenumber"], k=10)
+    long = li.select("l_returnflag", F.col("l_linenumber").cast("string")).unpivot([], ["l_returnflag", "l_linenumber"], "column", "value")
+    exact = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("exact"))
+    return found.join(exact, ["column", "value"]).select("column", "value", "exact", (F.abs(F.col("count_estimate") - F.col("exact")) <= F.col("count_error")).alias("within"))
+
+
+@check("top_values_unique", """SELECT "column", CAST(rank AS INTEGER) AS rank, value, CAST(cnt AS BIGINT) AS "count" FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, o, value) AS rank FROM (
+    SELECT 'o_orderkey' AS "column", CAST(o_orderkey AS VARCHAR) AS value, CAST(o_orderkey AS DOUBLE) AS o, count(*) AS cnt FROM orders GROUP BY 2, 3
+    UNION ALL SELECT 'code', concat('order-', o_orderkey), NULL, count(*) FROM orders GROUP BY 2
+    UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), CAST(o_custkey AS DOUBLE), count(*) FROM orders GROUP BY 2, 3
+    UNION ALL SELECT 'o_orderpriority', o_orderpriority, NULL, count(*) FROM orders GROUP BY 2) x) y WHERE rank <= 10""")
+def q_top_values_unique(spark, sf_dir):
+    """Columns whose values all differ, one of many small ties and one of few values: exact without counting every value where that is proven."""
+    from tabscope.operators.columns import top_values
+
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("code"), "o_custkey", "o_orderpriority")
+    return top_values(orders, columns=orders.columns).select("column", "rank", "value", "count")
 
 
 @check("profile_table", f"""SELECT 'columns' AS part, CAST(count(*) AS BIGINT) AS rows, {O.r('avg(quality_score)', 2)} AS figure FROM ({O.profile_sql('li_nulls')}) p

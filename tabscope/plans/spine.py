@@ -96,7 +96,7 @@ def _dval(s: ColumnSpec) -> Column:
 
 # Values of over 256 characters are counted under this mark, their first 200
 # characters and their SHA-256: exact equality, but the shuffle carries ~270
-# bytes instead of whole documents. ``long_values`` finds the whole text again.
+# bytes instead of whole documents. ``with_whole_texts`` finds the whole text again.
 LONG_TEXT, LONG_MARK = 256, "\ue000long\ue000"
 
 
@@ -113,24 +113,23 @@ def _sval(s: ColumnSpec) -> Column:
     return value_key(as_text(q(s.name), s.dtype))
 
 
-def long_values(base: DataFrame, specs: list[ColumnSpec], keys: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
-    """The whole texts of some (column, key) of F; ``keys`` is as short as the list of top values."""
-    by_column: dict[str, list[str]] = {}
-    for c, k in keys:
-        by_column.setdefault(c, []).append(k)
-    found = {}
-    for s in specs:
-        if s.name in by_column:
-            t = as_text(q(s.name), s.dtype)
-            rows = base.select(value_key(t).alias("k"), t.alias("t")).where(F.col("k").isin(by_column[s.name]))
-            found |= {(s.name, r["k"]): r["t"] for r in rows.groupBy("k").agg(F.min("t").alias("t")).collect()}
-    return found
+def with_whole_texts(base: DataFrame, specs: list[ColumnSpec], found: DataFrame) -> DataFrame:
+    """``found`` (column, value, ...; written) with whole texts in place of keys of long ones."""
+    keys = found.where(F.col("value").startswith(LONG_MARK)).select("column", "value")
+    own = [s for s in specs if not s.numeric]
+    if not own or keys.isEmpty():
+        return found
+    texts = [F.struct(value_key(as_text(q(s.name), s.dtype)).alias("k"), as_text(q(s.name), s.dtype).alias("t")).alias(s.name) for s in own]
+    long = base.select(*texts).unpivot([], [q(s.name) for s in own], "column", "v").where(F.length("v.t") > LONG_TEXT)
+    long = long.select("column", F.col("v.k").alias("value"), F.col("v.t").alias("_whole"))
+    whole = long.join(keys, ["column", "value"], "left_semi").groupBy("column", "value").agg(F.min("_whole").alias("_whole"))
+    out = found.join(whole, ["column", "value"], "left")
+    return out.select(*[F.coalesce("_whole", "value").alias(c) if c == "value" else q(c) for c in found.columns])
 
 
 # Pseudo-column carried through F: each row's null pattern.
 PATTERN = "__tabscope_null_pattern__"
 WORD_BITS = 62
-PAIRS_AT_ONCE = 300
 
 
 def _row_hash(base: DataFrame) -> Column:
@@ -252,15 +251,31 @@ def pattern_stats(m: DataFrame, specs: list[ColumnSpec]) -> dict:
             "null": {s.name: int(r[f"null_{i}"] or 0) for i, s in enumerate(specs)}}
 
 
-def co_nulls(m: DataFrame, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """In how many rows both columns of a pair are null, from M; a few hundred pairs an aggregate."""
-    bit = lambda i: F.shiftright(f"w{i // WORD_BITS}", i % WORD_BITS).bitwiseAND(1)
-    out = {}
-    for lo in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[lo : lo + PAIRS_AT_ONCE]
-        got = m.agg(*[F.sum(F.col("cnt") * bit(i).bitwiseAND(bit(j))) for i, j in some]).first()
-        out |= {pair: int(n or 0) for pair, n in zip(some, got)}
-    return out
+def co_nulls(m: DataFrame, columns: list[int]) -> dict[tuple[int, int], int]:
+    """In how many rows both columns are null, for each pair i < j of ``columns``, from M.
+
+    Each task turns the words of its patterns into a 0/1 matrix and multiplies
+    it, weighted by the counts, with itself; sums stay exact below 2^53 rows.
+    """
+    if len(columns) < 2:
+        return {}
+
+    def products(batches):
+        import numpy as np
+        import pandas as pd
+
+        at = np.array(columns)
+        total = np.zeros((len(at), len(at)))
+        for b in batches:
+            words = b[[c for c in b.columns if c != "cnt"]].to_numpy(np.int64)
+            bits = ((words[:, at // WORD_BITS] >> (at % WORD_BITS)) & 1).astype(float)
+            total += (bits * b["cnt"].to_numpy(float)[:, None]).T @ bits
+        if total.any():
+            yield pd.DataFrame({"i": at, "n": list(total.astype(np.int64))})
+
+    parts = m.mapInPandas(products, "i int, n array<bigint>").select("i", F.posexplode("n").alias("k", "n"))
+    found = {(r["i"], columns[r["k"]]): r["n"] for r in parts.groupBy("i", "k").agg(F.sum("n").alias("n")).collect()}
+    return {(i, j): int(found.get((i, j), 0)) for i in columns for j in columns if i < j}
 
 
 def numeric_frequencies(freq: DataFrame) -> DataFrame:
