@@ -62,6 +62,7 @@ def bytes_of(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LONG_SPAN = 256  # bytes; longer spans are hashed by blake2b
+PAD = 16
 LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
@@ -80,7 +81,12 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place of ``data``, as a number."""
-    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+    return _padded_eights(np.concatenate([data, np.zeros(PAD, np.uint8)]))
+
+
+def _padded_eights(data: np.ndarray) -> np.ndarray:
+    """The same of an array that ends in ``PAD`` spare bytes, without a copy."""
+    return np.ndarray(len(data) - PAD + 1, "<u8", data, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -101,9 +107,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def differing(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
-    """Which spans of ``data`` are not byte for byte those of ``other``."""
+    """Which spans of ``data`` are not byte for byte those of ``other``, which ends in ``PAD`` spare bytes."""
     out = sizes != other_sizes
-    x, y = _eights(data), _eights(other)
+    x, y = _eights(data), _padded_eights(other)
     live = np.flatnonzero(~out & (sizes > 0) & (sizes <= LONG_SPAN))
     a, b, left = starts[live].astype(np.int64), other_starts[live].astype(np.int64), sizes[live].astype(np.int64)
     while len(live):
@@ -121,7 +127,7 @@ class WordCache:
 
     def __init__(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, number of each word
-        self.raw, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.raw, self.ends = np.zeros(1 << 16, np.uint8), np.zeros(1, np.int64)  # the words' bytes, with room at the end
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -141,15 +147,22 @@ class WordCache:
         if len(new):
             known = len(self.keys)
             size = (ends - starts)[some]
-            self.raw = np.concatenate([self.raw, data[ranges(starts[some], size)]])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            used = int(self.ends[-1])
+            self.ends = np.concatenate([self.ends, used + np.cumsum(size)])
+            if self.ends[-1] + PAD > len(self.raw):
+                self.raw = np.concatenate([self.raw[:used], np.zeros(2 * int(self.ends[-1]) - used + PAD, np.uint8)])
+            self.raw[used : self.ends[-1]] = data[ranges(starts[some], size)]
             self.places = np.insert(self.places, slot[new], known + np.arange(len(new)))
             self.keys = np.insert(self.keys, slot[new], distinct[new])
         word = np.empty(len(hashes), np.int64)
         word[order] = np.repeat(self.places[np.searchsorted(self.keys, distinct)], np.diff(np.append(head, len(order))))
         if len(word):
-            at = self.ends[:-1][word]
-            word[differing(data, starts, ends - starts, self.raw, at, self.ends[1:][word] - at)] = -1
+            at, size = self.ends[:-1][word], ends - starts
+            own = self.ends[1:][word] - at
+            wrong = size != own
+            long = np.flatnonzero(~wrong & (size > 8))  # up to 8 bytes, spans of one length and hash are equal
+            wrong[long] = differing(data, starts[long], size[long], self.raw, at[long], own[long])
+            word[wrong] = -1
         return word, some
 
 

@@ -23,7 +23,7 @@ LIST_ROWS = 16  # longer posting lists are compared as a block
 HOT_ROWS = 4_096  # lists of more estimated rows are found by grouped sums
 BLOCK_ROWS = 1024  # documents of a block compared at a time
 TOKENS = 1 << 20  # prefix tokens of a bucket
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -136,6 +136,7 @@ def _prefixes(docs: DataFrame, width: int, threshold: Fraction, frequency: np.nd
                     ],
                     ["doc_id", "n", "digest", "matches", "tokens"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, matches int, tokens binary")
 
@@ -225,6 +226,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, threshold
     one_side = sides.min() == sides.max()
     in_x = sides[row] == sides.min()
     edges = np.searchsorted(column, np.arange(0, often.sum() + 4096, 4096))
+    mx = my = None
     for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
         r, c = row[lo:hi], column[lo:hi] - k * 4096
         mx = np.zeros((len(x), 4096), np.float32)
@@ -235,9 +237,14 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, threshold
             my = np.zeros((len(y), 4096), np.float32)
             my[place[r[~in_x[lo:hi]]], c[~in_x[lo:hi]]] = 1
         shared += mx @ my.T
-    shared = shared.astype(np.int64)
-    near = shared * threshold.denominator >= threshold.numerator * (n[x][:, None] + n[y][None, :] - shared)
-    i, j = np.nonzero(near)
+    del mx, my, tokens, column, row, order
+    i, j = [], []
+    for lo in range(0, len(x), 256):  # in exact numbers, some rows at a time
+        some = shared[lo : lo + 256].astype(np.int64)
+        near = np.nonzero(some * threshold.denominator >= threshold.numerator * (n[x[lo : lo + 256]][:, None] + n[y][None, :] - some))
+        i.append(near[0] + lo)
+        j.append(near[1])
+    i, j = np.concatenate(i), np.concatenate(j)
     u, v = ids[x[i]], ids[y[j]]
     nodes = np.unique(ids)
     low = local_components(len(nodes), np.searchsorted(nodes, u), np.searchsorted(nodes, v))
@@ -320,6 +327,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
         unpack = zstandard.ZstdDecompressor()
         sets = shingle_sets([unpack.decompress(x).decode("utf-8", "surrogatepass") for x in group["text"]], width)
         a, b = linked(group["id"].to_numpy(), sets, group["own"].to_numpy(), t)
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"a": a, "b": b})
 
     def links(members: DataFrame) -> DataFrame:
