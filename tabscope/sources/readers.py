@@ -3,6 +3,7 @@ rules, Parquet, format dispatch, load receipt and JDBC options."""
 
 from __future__ import annotations
 
+import re
 from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabscope.functions.local import local_frame
 
+from tabscope.sources.csv_records import csv_records
 from tabscope.sources.files import list_path
 from tabscope.functions.expressions import DATE_FORMATS, parse_date
 
@@ -67,21 +69,38 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """Header row, pandas NA tokens to null, blank lines skipped, then type inference.
 
-    A quote inside a quoted cell is doubled, and cells may hold line breaks;
-    ``multi_line=False`` lets large files without such breaks be split. Short
-    rows are filled with nulls, rows of empty cells stay; a row with more cells
-    than the header raises when it is read.
+    A quote inside a quoted cell is doubled. Cells may hold line breaks, and a
+    large file is still read by many tasks (``csv_records``); ``multi_line=False``
+    saves the search for broken records where no cell has a break. Files whose only line
+    end is a carriage return are read by one task each. Short rows are filled
+    with nulls, rows of empty cells stay; a row with more cells than the header
+    raises when it is read.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     names = reader.csv(path).columns
     if not names:
         return reader.csv(path)
     surplus = "_surplus_cell"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, surplus]])
-    df = reader.schema(schema).csv(path)
+    if multi_line and not _bare_returns(spark, path):
+        names[-1] = names[-1].removesuffix("\r")
+        cells = [f"c{i}" for i in range(len(names))]
+        schema = ", ".join(f"{c} string" for c in [*cells, surplus])
+        df = csv_records(spark, path).select(F.from_csv("record", F.lit(schema), {"escape": '"'}).alias("r")).select("r.*")
+    else:
+        cells = names
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, surplus]])
+        df = reader.schema(schema).csv(path)
     fits = F.when(F.col(surplus).isNotNull(), F.raise_error(F.lit("a row has more cells than the header")).cast("string"))
-    df = _na_to_null(df.select(*[fits.otherwise(F.col(f"`{c}`")).alias(c) for c in names]))
-    return infer_types(df) if infer else df
+    df = _na_to_null(df.select(*[fits.otherwise(F.col(f"`{c}`")).alias(n) for c, n in zip(cells, names)]))
+    df = infer_types(df) if infer else df
+    df.source_path = path
+    return df
+
+
+def _bare_returns(spark: SparkSession, path: str) -> bool:
+    """Whether the first line, as ``\\n`` ends it, holds a carriage return outside quotes."""
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    return first is not None and "\r" in re.sub(r'"[^"]*"', "", first["value"].removesuffix("\r"))
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
@@ -102,8 +121,6 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) ->
 
 
 def _date_named(name: str) -> bool:
-    import re
-
     return re.search(JSON_DATE_NAME, name) is not None
 
 
@@ -128,22 +145,30 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return READERS[ext](spark, path)
 
 
-def source_metadata(df: DataFrame, filename: str | None = None) -> DataFrame:
+def source_metadata(df: DataFrame, filename: str | None = None, path: str | None = None) -> DataFrame:
     """Load receipt: ``filename, rows, columns, size_bytes, uploaded_at``.
 
-    Rows and file sizes come from one distributed pass over the hidden
-    ``_metadata`` column of file sources (no data columns are read); the
-    file name is the given one or the first input file's base name.
+    ``path`` is where the table was read from; ``read_csv`` leaves it on its result,
+    and sizes are then listed without reading the files. Without one, rows and file sizes
+    come from one distributed pass over the hidden ``_metadata`` column of file
+    sources (no data columns are read). The file name is the given one or the
+    first input file's base name.
     """
-    if df.inputFiles():
-        meta = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
-    else:  # not a file source: rows only
-        meta = df.select(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("s"))
-    per_file = meta.groupBy("p").agg(F.count(F.lit(1)).alias("rows"), F.max("s").alias("s"))
+    path = path or getattr(df, "source_path", None)
+    if path:
+        files = df.sparkSession.read.format("binaryFile").load(path).select(F.col("path").alias("p"), F.col("length").alias("s"))
+        per_file = files.withColumn("rows", F.lit(0).cast("long"))
+    else:
+        if df.inputFiles():
+            meta = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
+        else:  # not a file source: rows only
+            meta = df.select(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("s"))
+        per_file = meta.groupBy("p").agg(F.count(F.lit(1)).alias("rows"), F.max("s").alias("s"))
     r = per_file.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("s"), F.lit(0)).alias("size"),
                      F.min("p").alias("first")).collect()[0]
+    rows = df.count() if path else int(r["rows"])
     name = filename or (r["first"].rstrip("/").rpartition("/")[2] if r["first"] else None)
-    return local_frame(df.sparkSession, [(name, int(r["rows"]), len(df.columns), int(r["size"]))],
+    return local_frame(df.sparkSession, [(name, rows, len(df.columns), int(r["size"]))],
                        "filename string, rows long, columns int, size_bytes long").withColumn(
         "uploaded_at", F.current_timestamp())
 
