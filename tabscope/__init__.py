@@ -47,6 +47,7 @@ _API = {
     "apply_transform": "tabscope.operators.transform", "asof_join": "tabscope.operators.asof",
     "band_join": "tabscope.operators.bands", "running_totals": "tabscope.operators.bands",
     "check_primary_key": "tabscope.operators.keys", "check_foreign_key": "tabscope.operators.keys",
+    "find_keys": "tabscope.operators.keys",
     "chat_summaries": "tabscope.operators.logs", "chat_transcript": "tabscope.operators.logs",
     "clean_feedback": "tabscope.operators.logs", "clean_tickets": "tabscope.operators.logs",
     "append_log": "tabscope.operators.logs", "profile_diff": "tabscope.operators.diff",

@@ -57,3 +57,131 @@ def check_foreign_key(child: DataFrame, child_key: list[str] | str, parent: Data
         [(t["rows"], t["null_keys"], int(o["orphan_rows"]), o["orphan_keys"])],
         "rows long, null_keys long, orphan_rows long, orphan_keys long",
     )
+
+
+# Kinds of values that can be keys; columns of different kinds are never compared.
+_KINDS = {"tinyint": "whole", "smallint": "whole", "int": "whole", "bigint": "whole", "string": "text",
+          "date": "date", "timestamp": "time", "timestamp_ntz": "time"}
+# Estimated distinct counts have a standard error of 2 %; a claim is ruled out at ten of them.
+_ERROR, _MARGIN = 0.02, 0.2
+_LONG_TEXT = 64
+
+
+def _key_text(name: str):
+    """A value as text; long texts as their SHA-256."""
+    text = F.col(name).cast("string")
+    return F.when(F.length(text) > _LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+
+
+def _key_rows(cat, wanted: list[tuple[str, int, list]]) -> DataFrame:
+    """``(id, key)`` of every row for ``wanted`` (table, id, value columns), one scan a table; rows with a null part are left out."""
+    by_table: dict[str, list] = {}
+    for table, number, columns in wanted:
+        parts = [_key_text(f"`{c}`") for c in columns]
+        key = parts[0] if len(parts) == 1 else F.when(
+            F.greatest(*[p.isNull() for p in parts]), None).otherwise(F.to_json(F.array(*parts)))
+        by_table.setdefault(table, []).append(F.struct(F.lit(number).alias("id"), key.alias("key")))
+    rows = [cat.loaders[t](cat.spark).select(F.inline(F.array(*s))).where("key IS NOT NULL") for t, s in by_table.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _unique(cat, wanted: list[tuple[str, int, list]]) -> set[int]:
+    """Ids of ``wanted`` whose keys occur once each (nulls are ruled out before)."""
+    if not wanted:
+        return set()
+    counts = _key_rows(cat, wanted).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    return {r["id"] for r in counts.groupBy("id").agg(F.max("n").alias("n")).where("n = 1").collect()}
+
+
+def _column_facts(cat) -> list[dict]:
+    """One entry a column that can be a key, from one scan a table: counts, range, estimated distinct values."""
+    facts = []
+    for table in cat.names:
+        df = cat.loaders[table](cat.spark)
+        columns = [(n, t, _KINDS[t]) for n, t in df.dtypes if t in _KINDS]
+        if not columns:
+            continue
+        aggs = [F.count(F.lit(1))]
+        for n, _, kind in columns:
+            c = F.col(f"`{n}`")
+            low = F.substring(c, 1, 256) if kind == "text" else c.cast("bigint") if kind == "whole" else c
+            aggs += [F.count(c), F.min(low), F.max(low), F.approx_count_distinct(c, _ERROR)]
+        r = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+        for i, (n, t, kind) in enumerate(columns):
+            count, low, high, about = r[1 + 4 * i:5 + 4 * i]
+            facts.append({"id": len(facts), "table": table, "column": n, "type": t if kind == "time" else kind, "rows": r[0],
+                          "count": count, "low": low, "high": high, "about": about})
+    return facts
+
+
+def find_keys(cat) -> DataFrame:
+    """Keys and references of tables that declare none, found in their data.
+
+    ``table, kind, columns, referred_table, referred_columns, distinct_values, referred_values``:
+
+    * ``unique``: a column without nulls whose values occur once each; in a table
+      without such a column, pairs of columns without nulls that do.
+    * ``inclusion``: a column all of whose values (at least one) occur in another column that is
+      unique by itself, with the distinct values of both; where the first are few
+      of the second the two are often unrelated.
+
+    Whole numbers, texts, dates and times take part. One scan a table takes counts,
+    ranges and sketches; ranges and estimates ten standard errors off rule most columns out (a
+    claim as far off as that would be missed). What is left is counted exactly: values once a task
+    and column, then the set of columns that hold each value, and how often each set
+    occurs. Empty tables have no keys. Only facts of columns and pairs of columns reach the driver.
+    """
+    facts = _column_facts(cat)
+    full = [f for f in facts if f["rows"] and f["count"] == f["rows"]]
+    likely = [f for f in full if f["about"] >= (1 - _MARGIN) * f["rows"]
+              and (f["type"] != "whole" or f["high"] - f["low"] + 1 >= f["rows"])]
+    single = _unique(cat, [(f["table"], f["id"], [f["column"]]) for f in likely])
+    keyed = {f["table"] for f in facts if f["id"] in single}
+
+    pairs = []
+    for table in {f["table"] for f in full} - keyed:
+        own = [f for f in full if f["table"] == table]
+        fit = [(a["column"], b["column"]) for i, a in enumerate(own) for b in own[i + 1:]
+               if a["about"] * b["about"] >= (1 - _MARGIN) ** 2 * a["rows"]]
+        if fit:
+            # Sketches of the pairs, a few dozen a scan: each keeps some kilobytes in a task.
+            for at in range(0, len(fit), 64):
+                about = cat.loaders[table](cat.spark).agg(*[
+                    F.approx_count_distinct(F.xxhash64(F.col(f"`{a}`"), F.col(f"`{b}`")), _ERROR).alias(f"a{i}")
+                    for i, (a, b) in enumerate(fit[at:at + 64])]).first()
+                pairs += [(table, list(p)) for p, n in zip(fit[at:at + 64], about) if n >= (1 - _MARGIN) * own[0]["rows"]]
+    double = _unique(cat, [(t, i, p) for i, (t, p) in enumerate(pairs)])
+
+    out = [(f["table"], "unique", [f["column"]], None, None, f["rows"], None) for f in facts if f["id"] in single]
+    rows = {f["table"]: f["rows"] for f in facts}
+    out += [(t, "unique", p, None, None, rows[t], None) for i, (t, p) in enumerate(pairs) if i in double]
+    by_id = {f["id"]: f for f in facts}
+    links = [(c["id"], p) for p in sorted(single) for c in facts
+             if c["id"] != p and c["count"] and c["type"] == by_id[p]["type"] and by_id[p]["low"] <= c["low"]
+             and c["high"] <= by_id[p]["high"] and c["about"] <= (1 + _MARGIN) * by_id[p]["rows"]]
+    for child, parent, n in _included(cat, by_id, links):
+        c, p = by_id[child], by_id[parent]
+        out.append((c["table"], "inclusion", [c["column"]], p["table"], [p["column"]], n, p["rows"]))
+    return local_frame(cat.spark, out, "table string, kind string, columns array<string>, referred_table string, "
+                       "referred_columns array<string>, distinct_values long, referred_values long")
+
+
+def _included(cat, by_id: dict, links: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """``(child, parent, distinct values)`` of those ``links`` where every value of the child is one of the parent's."""
+    if not links:
+        return []
+    ids = sorted({i for link in links for i in link})
+    kinds = sorted({by_id[i]["type"] for i in ids})
+    kind_of = F.element_at(F.array(*[F.lit(kinds.index(f["type"]) if f["type"] in kinds else -1) for _, f in sorted(by_id.items())]),
+                           F.col("id") + 1)
+    values = _key_rows(cat, [(by_id[i]["table"], i, [by_id[i]["column"]]) for i in ids]).distinct()
+    holders = values.groupBy(kind_of.alias("kind"), "key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    sets = holders.groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
+    wanted = local_frame(cat.spark, links, "child int, parent int")
+    each = sets.select("ids", "n", F.explode("ids").alias("child")).join(F.broadcast(wanted), "child")
+    sums = each.groupBy("child", "parent").agg(
+        F.sum("n").alias("values"), F.sum(F.when(F.array_contains("ids", F.col("parent")), F.col("n")).otherwise(0)).alias("held"))
+    return [tuple(r) for r in sums.where("values = held").select("child", "parent", "values").collect()]

@@ -898,6 +898,56 @@ def q_describe_tables(spark, sf_dir):
     return describe_tables(load_catalog(spark, sf_dir))
 
 
+# Columns of the relational tables that can be keys, by kind.
+_KEY_COLUMNS = {
+    "region": "r_regionkey:whole r_name:text", "nation": "n_nationkey:whole n_name:text n_regionkey:whole",
+    "customer": "c_custkey:whole c_name:text c_nationkey:whole c_mktsegment:text",
+    "supplier": "s_suppkey:whole s_name:text s_nationkey:whole",
+    "part": "p_partkey:whole p_name:text p_brand:text p_type:text p_size:whole",
+    "orders": "o_orderkey:whole o_custkey:whole o_orderstatus:text o_orderdate:time o_orderpriority:text",
+    "lineitem": "l_orderkey:whole l_partkey:whole l_suppkey:whole l_linenumber:whole l_returnflag:text "
+                "l_linestatus:text l_shipdate:time",
+}
+_KEY_COLUMNS = {t: [tuple(c.split(":")) for c in cs.split()] for t, cs in _KEY_COLUMNS.items()}
+
+
+def _found_keys_sql() -> str:
+    """Unique columns, pairs in tables without one, and inclusions, over all column pairs of ``_KEY_COLUMNS``."""
+    values = " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, cs in _KEY_COLUMNS.items() for c, k in cs)
+    single = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c, n FROM (SELECT count(*) AS n, count(DISTINCT {c}) AS d FROM {t}) WHERE n > 0 AND n = d"
+        for t, cs in _KEY_COLUMNS.items() for c, _ in cs)
+    double = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{a},{b}' AS c, n FROM (SELECT count(*) AS n, count({a}) AS x, count({b}) AS y, "
+        f"count(DISTINCT ({a}, {b})) AS d FROM {t}) WHERE n > 0 AND n = x AND n = y AND n = d"
+        for t, cs in _KEY_COLUMNS.items() for i, (a, _) in enumerate(cs) for b, _ in cs[i + 1:])
+    return f"""WITH vals AS ({values}), single AS ({single}), double AS ({double}),
+  totals AS (SELECT t, c, count(*) AS d FROM vals GROUP BY t, c)
+SELECT t AS "table", 'unique' AS kind, c AS columns, CAST(NULL AS VARCHAR) AS referred_table,
+  CAST(NULL AS VARCHAR) AS referred_columns, CAST(n AS BIGINT) AS distinct_values, CAST(NULL AS BIGINT) AS referred_values
+FROM (SELECT * FROM single UNION ALL SELECT * FROM double WHERE t NOT IN (SELECT t FROM single)) u
+UNION ALL
+SELECT x.t, 'inclusion', x.c, x.pt, x.pc, CAST(x.held AS BIGINT), CAST(x.n AS BIGINT) FROM (
+  SELECT a.t, a.c, b.t AS pt, b.c AS pc, s.n, count(*) AS held FROM vals a JOIN vals b ON a.k = b.k AND a.v = b.v
+  JOIN single s ON s.t = b.t AND s.c = b.c WHERE a.t <> b.t OR a.c <> b.c GROUP BY 1, 2, 3, 4, 5) x
+JOIN totals ON totals.t = x.t AND totals.c = x.c WHERE totals.d = x.held"""
+
+
+@check("find_keys", _found_keys_sql())
+def q_find_keys(spark, sf_dir):
+    from tabscope.operators.keys import find_keys
+    from tabscope.sources.catalog import Catalog, parquet_loader
+
+    cat = Catalog(spark)
+    for t in _KEY_COLUMNS:
+        cat.register(t, parquet_loader(spark, f"{sf_dir}/{t}.parquet"))
+    found = find_keys(cat)
+    return found.withColumn("columns", F.array_join("columns", ",")).withColumn(
+        "referred_columns", F.array_join("referred_columns", ","))
+
+
 @check("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_sample_rows(spark, sf_dir):
     from tabscope.sources.catalog import load_catalog, sample_rows

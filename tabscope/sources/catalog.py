@@ -175,11 +175,12 @@ def catalog_columns(cat: Catalog) -> DataFrame:
     return local_frame(cat.spark, rows, "table string, column string, ordinal int, type string, nullable boolean, non_null long")
 
 
-def catalog_keys(cat: Catalog) -> DataFrame:
-    """Declared keys (``table, kind, columns, referred_table, referred_columns``).
+def catalog_keys(cat: Catalog, discover: bool = False) -> DataFrame:
+    """``table, kind, columns, referred_table, referred_columns`` of declared keys (``primary``, ``foreign``).
 
-    For lake tables keys are user-declared through ``register``; use
-    ``check_primary_key`` / ``check_foreign_key`` to test them against data.
+    Keys of lake tables are declared through ``register``. With ``discover`` the tables
+    without declared keys are searched too (``find_keys``): ``unique`` columns or pairs, and
+    ``inclusion`` of a column's values in a unique column of any table.
     """
     rows = []
     for t, k in cat.keys.items():
@@ -187,9 +188,15 @@ def catalog_keys(cat: Catalog) -> DataFrame:
             rows.append((t, "primary", k["primary_key"], None, None))
         for fk in k.get("foreign_keys", []):
             rows.append((t, "foreign", fk["constrained_columns"], fk["referred_table"], fk["referred_columns"]))
-    return local_frame(cat.spark, 
+    out = local_frame(cat.spark,
         rows, "table string, kind string, columns array<string>, referred_table string, referred_columns array<string>"
     )
+    if discover:
+        from tabscope.operators.keys import find_keys
+
+        found = find_keys(cat).where(~F.col("table").isin(list(cat.keys)))
+        out = out.unionByName(found.select(*out.columns))
+    return out
 
 
 def describe_tables(cat: Catalog) -> DataFrame:
