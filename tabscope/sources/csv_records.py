@@ -4,14 +4,14 @@ Spark splits a file only where every line is a record. Here each split's lines
 are read on their own and the quotes decide afterwards which lines belong together:
 
 1. every line is a function of the state before it (outside or inside a quoted
-   cell); each task carries both cases through its split and writes, for each
-   line, the state after it and the line its record began in, once per case;
-2. one row a split (its two end states, its last record start) is chained along the
-   file by running sums, which settles the state that each split begins in;
-3. lines that are a record by themselves stay where they are; only the lines of
-   broken records are shuffled, by the line that their record began in.
-
-The lines are written to the checkpoint folder first: split bounds may differ
+   cell); each task carries both cases through its split and writes chunks of
+   lines, with the state at the chunk's start and end in either case;
+2. one row a split (its end states, its last chunk where a record starts) is chained
+   along the file by running sums, which settles the state that each split begins in;
+3. with its state known, each chunk is cut into records; only records that cross
+   a chunk's bounds are shuffled, by the chunk that they start in.
+
+The chunks are written to the checkpoint folder first: split bounds may differ
 between two scans when the number of executors changes.
 """
 
@@ -19,9 +19,7 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +32,13 @@ _QUOTED = rb'(?:[^"]++|"")*+'
 _OPENS = re.compile(rb'(?:(?:"' + _QUOTED + rb'"' + _REST_OF_CELL + rb'|[^",]' + _REST_OF_CELL + rb'|),)*+"' + _QUOTED + rb"\Z")
 _CLOSES = re.compile(_QUOTED + rb'"' + _REST_OF_CELL + rb"(,|\Z)")
 
-LINE = ("file string, block long, line long, start0 long, start1 long, end0 boolean, end1 boolean, "
-        "blank boolean, value string")
+# Text of one chunk; a longer line is a chunk of its own.
+CHUNK_BYTES = 1 << 20
+_BLANK = b" \t\r"
+
+CHUNK = ("file string, block long, chunk long, in0 boolean, in1 boolean, end0 boolean, end1 boolean, "
+         "from0 long, from1 long, last0 long, last1 long, blank boolean, text binary")
+PIECE = "owner long, block long, chunk long, whole boolean, header boolean, record string"
 
 
 def line_function(line: bytes) -> tuple[bool, bool]:
@@ -47,56 +50,82 @@ def line_function(line: bytes) -> tuple[bool, bool]:
     return outside, closed.group(1) == b"," and _OPENS.match(line[closed.end():]) is not None
 
 
-def _lines(batches):
-    """Both cases carried through the lines of each split, in file order (``LINE``)."""
-    split, ends, starts = None, (False, True), [-1, -1]
+def _chunks(batches):
+    """The lines of each split in file order as rows of ``CHUNK``, both cases carried along.
+
+    ``from`` is the split's last chunk before this one where a record starts, ``last`` counts this one too (-1: none).
+    """
+    split, state, last = None, (False, True), (-1, -1)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        ids = table["line"].to_numpy()
-        quoted = np.flatnonzero(table["quoted"].to_numpy())
-        values = dict(zip(quoted.tolist(), table["raw"].take(pa.array(quoted)).to_pylist()))
-        blocks, files = table["block"].to_numpy(), table["file"].combine_chunks()
-        same_file = pc.equal(files.slice(1), files.slice(0, len(files) - 1)).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(~same_file | (np.diff(blocks) != 0)) + 1
-        before = np.zeros((2, len(ids)), bool)
-        after = np.zeros((2, len(ids)), bool)
-        begun = np.full((2, len(ids)), -1, np.int64)
-        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-            here = (files[low].as_py(), int(blocks[low]))
+        out = []
+        held, size, first = [], 0, None
+        files, blocks, ids, raws = (batch.column(c) for c in ("file", "block", "line", "raw"))
+        for i in range(batch.num_rows):
+            here = (files[i].as_py(), blocks[i].as_py())
+            line = raws[i].as_py()
+            if held and (here != split or size + len(line) > CHUNK_BYTES):
+                row, state, last = _chunk(split, first, held, state, last)
+                out.append(row)
+                held, size = [], 0
             if here != split:
-                split, ends, starts = here, (False, True), [-1, -1]
-            at = low
-            for j in quoted[np.searchsorted(quoted, low):np.searchsorted(quoted, high)].tolist():
-                for case in (0, 1):
-                    before[case, at:j + 1] = after[case, at:j] = ends[case]
-                f = line_function(values[j])
-                ends = (f[ends[0]], f[ends[1]])
-                after[:, j] = ends
-                at = j + 1
-            for case in (0, 1):
-                before[case, at:high] = after[case, at:high] = ends[case]
-                begun[case, low:high] = np.maximum(
-                    np.maximum.accumulate(np.where(before[case, low:high], -1, ids[low:high])), starts[case])
-                starts[case] = int(begun[case, high - 1])
-        yield from pa.table({
-            "file": table["file"], "block": table["block"], "line": table["line"], "start0": begun[0], "start1": begun[1],
-            "end0": after[0], "end1": after[1], "blank": table["blank"], "value": table["raw"].cast(pa.string())
-            if _valid(table["raw"]) else pa.array([_text(v) for v in table["raw"].to_pylist()], pa.string()),
-        }).to_batches()
-
-
-def _valid(raw) -> bool:
-    try:
-        raw.cast(pa.string())
-        return True
-    except pa.ArrowInvalid:
-        return False
-
-
-def _text(raw: bytes) -> str:
-    return raw.decode("utf-8", "replace")
+                split, state, last = here, (False, True), (-1, -1)
+            if not held:
+                first = ids[i].as_py()
+            held.append(line)
+            size += len(line) + 1
+        if held:
+            row, state, last = _chunk(split, first, held, state, last)
+            out.append(row)
+        if out:
+            yield _batch(out, CHUNK)
+
+
+def _chunk(split, number, lines, state, last):
+    start, ends, begun = state, [*state], [*last]
+    for line in lines:
+        for case in (0, 1):
+            if not ends[case]:
+                begun[case] = number
+        if b'"' in line:
+            f = line_function(line)
+            ends = [f[ends[0]], f[ends[1]]]
+    row = (*split, number, *start, *ends, *last, *begun, not any(v.strip(_BLANK) for v in lines), b"\n".join(lines))
+    return row, tuple(ends), tuple(begun)
+
+
+def _batch(rows, ddl: str):
+    names = [c.split() for c in ddl.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), names)], names=[n for n, _ in names])
+
+
+def _records(batches):
+    """Chunks of known state cut into whole records and parts of records that cross their bounds (``PIECE``)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            out, held, owner, inside = [], [], r["owner"] if r["inside"] else r["chunk"], r["inside"]
+            crossed, header = inside, r["header"]
+            for line in r["text"].split(b"\n"):
+                held.append(line)
+                if b'"' in line:
+                    inside = line_function(line)[inside]
+                if inside:
+                    continue
+                if crossed or len(held) > 1 or line.strip(_BLANK):
+                    out.append((owner, r["block"], r["chunk"], not crossed, header and not crossed, _text(held, True)))
+                    header = header and crossed
+                held, crossed, owner = [], False, r["chunk"]
+            if held:
+                # A later part of this record follows in another chunk.
+                out.append((owner, r["block"], r["chunk"], False, header and not crossed, _text(held, False)))
+            if out:
+                yield _batch(out, PIECE)
+
+
+def _text(lines: list[bytes], ended: bool) -> str:
+    text = b"\n".join(lines)
+    return (text.removesuffix(b"\r") if ended else text).decode("utf-8", "replace")
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -108,44 +137,45 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """
     value = F.col("value")
     block = F.col("_metadata.file_block_start")
-    mark = "﻿"
+    mark = "\ufeff"
     text = F.when((block == 0) & value.startswith(mark), value.substr(F.lit(2), F.length(value))).otherwise(value)
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("line"),
-        value.contains('"').alias("quoted"), (F.trim(F.regexp_replace(value, r"\r", "")) == "").alias("blank"),
         text.cast("binary").alias("raw"))
-    written = scratch_path(spark, "csv-lines")
-    lines.mapInArrow(_lines, LINE).write.parquet(written)
-    lines = spark.read.schema(LINE).parquet(written)
+    written = scratch_path(spark, "csv-chunks")
+    lines.mapInArrow(_chunks, CHUNK).write.option("compression", "zstd").parquet(written)
+    chunks = spark.read.schema(CHUNK).parquet(written)
 
-    splits = lines.groupBy("file", "block").agg(
-        F.max_by(F.struct("end0", "end1"), "line").alias("e"), F.max("start0").alias("last0"), F.max("start1").alias("last1"),
-        F.min(F.when(~F.col("blank"), F.col("line"))).alias("first"))
+    splits = chunks.groupBy("file", "block").agg(
+        F.max_by(F.struct("end0", "end1", "last0", "last1"), "chunk").alias("e"),
+        F.min(F.when(~F.col("blank"), F.col("chunk"))).alias("first"))
     along = Window.partitionBy("file").orderBy("block")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    swaps = F.col("e.end0") & ~F.col("e.end1")
+    swaps = (F.col("e.end0") & ~F.col("e.end1")).cast("int")
     settles = F.col("e.end0") == F.col("e.end1")
-    splits = splits.withColumn("turns", F.sum(swaps.cast("int")).over(along)).withColumn(
+    splits = splits.withColumn("turns", F.sum(swaps).over(along)).withColumn(
         "known", F.last(F.when(settles, F.struct(F.col("e.end0").cast("int").alias("state"), "turns")), ignorenulls=True).over(earlier))
-    inside = (F.coalesce(F.col("known.state"), F.lit(0)) + F.col("turns") - swaps.cast("int")
-              - F.coalesce(F.col("known.turns"), F.lit(0))) % 2 == 1
-    last = F.when(F.col("inside"), F.col("last1")).otherwise(F.col("last0"))
+    inside = (F.coalesce(F.col("known.state"), F.lit(0)) + F.col("turns") - swaps - F.coalesce(F.col("known.turns"), F.lit(0))) % 2 == 1
+    last = F.when(F.col("inside"), F.col("e.last1")).otherwise(F.col("e.last0"))
+    whole_file = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     splits = splits.withColumn("inside", inside).select(
-        "file", "block", "inside", F.last(F.when(last >= 0, last), ignorenulls=True).over(earlier).alias("owner"),
-        F.first("first", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("header"))
+        "file", "block", F.col("inside").alias("begins"), F.last(F.when(last >= 0, last), ignorenulls=True).over(earlier).alias("carried"),
+        F.first("first", ignorenulls=True).over(whole_file).alias("top"))
     chained = scratch_path(spark, "csv-splits")
     splits.write.parquet(chained)
-    splits = spark.read.schema("file string, block long, inside boolean, owner long, header long").parquet(chained)
-
-    begun = F.when(F.col("inside"), F.col("start1")).otherwise(F.col("start0"))
-    placed = lines.join(splits, ["file", "block"]).select(
-        "block", "line", "header", "blank", "value", F.when(begun >= 0, begun).otherwise(F.col("owner")).alias("record_line"),
-        F.when(F.col("inside"), F.col("end1")).otherwise(F.col("end0")).alias("open"))
-    body = F.col("record_line") != F.col("header")
-    alone = (F.col("record_line") == F.col("line")) & ~F.col("open")
-    # The condition is part of the value, so a filter that Spark moves below it never sees a header or a part of a record.
-    whole = placed.select(F.when(body & alone & ~F.col("blank"), F.col("value")).alias("record")).where("record IS NOT NULL")
-    pieces = F.sort_array(F.collect_list(F.struct("block", "line", "value")))
-    broken = placed.where(body & ~alone).groupBy("record_line").agg(pieces.alias("p")).select(
-        F.array_join(F.col("p.value"), "\n").alias("record"))
-    return whole.unionByName(broken).select(F.regexp_replace("record", r"\r\z", "").alias("record"))
+    splits = spark.read.schema("file string, block long, begins boolean, carried long, top long").parquet(chained)
+
+    before = F.when(F.col("begins"), F.col("from1")).otherwise(F.col("from0"))
+    placed = chunks.join(splits, ["file", "block"]).select(
+        "block", "chunk", F.when(F.col("begins"), F.col("in1")).otherwise(F.col("in0")).alias("inside"),
+        F.when(before >= 0, before).otherwise(F.col("carried")).alias("owner"),
+        F.coalesce(F.col("chunk") == F.col("top"), F.lit(False)).alias("header"), "text")
+    cut = scratch_path(spark, "csv-records")
+    placed.mapInArrow(_records, PIECE).write.option("compression", "zstd").parquet(cut)
+    pieces = spark.read.schema(PIECE).parquet(cut)
+    # The conditions are part of the value, so a filter that Spark moves below them never sees a header or a part of a record.
+    whole = pieces.select(F.when(F.col("whole") & ~F.col("header"), F.col("record")).alias("record"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "chunk", "record")))
+    crossing = pieces.where("NOT whole").groupBy("owner").agg(F.max("header").alias("header"), parts.alias("p")).select(
+        F.when(~F.col("header"), F.array_join(F.col("p.record"), "\n")).alias("record"))
+    return whole.unionByName(crossing).where("record IS NOT NULL")

@@ -13,9 +13,11 @@ def small_splits(spark):
     cost = spark.conf.get("spark.sql.files.openCostInBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     yield
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def _random_cell(rng):
@@ -28,7 +30,7 @@ def _random_cell(rng):
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
-def test_many_splits_equal_one_reader(spark, tmp_path, small_splits, end):
+def test_many_splits_equal_one_reader(spark, tmp_path, small_splits, monkeypatch, end):
     from tabscope.sources.readers import read_csv
 
     rng = random.Random(7)
@@ -43,6 +45,7 @@ def test_many_splits_equal_one_reader(spark, tmp_path, small_splits, end):
         w.writerows(rows)
         (folder / f"{f}.csv").write_bytes(("﻿" if f == 2 else "").encode() + out.getvalue().encode())
         expected += rows
+    monkeypatch.setattr("tabscope.sources.csv_records.CHUNK_BYTES", 900)
     assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
     df = read_csv(spark, str(folder), infer=False)
     assert df.columns == ["id", "first,\nname", "second"]
