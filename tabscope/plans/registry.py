@@ -514,6 +514,12 @@ for _fn, _val in [("sum", "value"), ("mean", "value"), ("median", "value"), ("mi
     check(f"dynamics_{_fn}", _dyn_sql(_fn, _val))(_dyn_query(_fn, _val))
 
 
+@check("dynamics_empty", "SELECT CAST(NULL AS VARCHAR) AS day, CAST(NULL AS DOUBLE) AS value FROM events WHERE event_type <> event_type")
+def q_dynamics_empty(spark, sf_dir):
+    """V4e: no value of the column is a number, so no day has a sum."""
+    return _dyn_query("sum", "event_type")(spark, sf_dir)
+
+
 @check("dynamics_text_dates", f"""SELECT strftime(CAST(d AS DATE), '%Y-%m-%d') AS day, CAST(sum(o_totalprice) AS DOUBLE) AS value
 FROM (SELECT try_strptime(order_day, '%Y-%m-%d') AS d, o_totalprice FROM {O.src('orders_text_dates')}) x
 WHERE d IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1""")
@@ -622,6 +628,12 @@ _sql_check("sql_grouping_sets", """SELECT l_returnflag, l_linestatus, count(*) A
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""")
 _sql_check("sql_approx", """SELECT o_orderstatus, approx_count_distinct(o_custkey) AS approx_customers,
   percentile_approx(o_totalprice, 0.5) AS approx_median FROM orders GROUP BY o_orderstatus""", oracle=False)
+_sql_check("sql_approx_error", """WITH near AS (SELECT o_orderstatus, approx_count_distinct(o_custkey) AS customers,
+  percentile_approx(o_totalprice, 0.5) AS middle FROM orders GROUP BY o_orderstatus)
+SELECT o_orderstatus, abs(max(customers) - count(DISTINCT o_custkey)) <= 0.25 * count(DISTINCT o_custkey) AS customers_near,
+  abs(count_if(o_totalprice <= middle) / count(o_totalprice) - 0.5) <= 0.0002 + 1 / count(o_totalprice) AS median_near
+FROM orders JOIN near USING (o_orderstatus) GROUP BY o_orderstatus""",
+           "SELECT o_orderstatus, TRUE AS customers_near, TRUE AS median_near FROM orders GROUP BY o_orderstatus")
 _sql_check("sql_window_rank", """SELECT o_custkey, o_orderkey,
   CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rn,
   CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INT) AS rk,
@@ -962,6 +974,26 @@ def q_source_metadata(spark, sf_dir):
     return source_metadata(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).drop("uploaded_at")
 
 
+@check("source_metadata_rows", """SELECT 'lineitem.parquet' AS filename, CAST(count(*) AS BIGINT) AS rows,
+  CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem') AS INTEGER) AS columns, TRUE AS has_size FROM lineitem""")
+def q_source_metadata_rows(spark, sf_dir):
+    """The receipt with its file size as a flag, which SQL can state."""
+    return q_source_metadata(spark, sf_dir).select("filename", "rows", "columns", (F.col("size_bytes") > 0).alias("has_size"))
+
+
+@check("catalog_table", """SELECT 'named' AS lookup, CAST(count(*) AS BIGINT) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders
+UNION ALL SELECT 'current', CAST(count(*) AS BIGINT), CAST(sum(o_orderkey) AS BIGINT) FROM orders""")
+def q_catalog_table(spark, sf_dir):
+    """A table by name, then the current one, which is the last that was named."""
+    from tabscope.sources.catalog import load_catalog
+
+    cat = load_catalog(spark, sf_dir)
+    lookups = [("named", cat.table("orders")), ("current", cat.table())]
+    first, second = (df.agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")).select(
+        F.lit(name).alias("lookup"), "rows", "keys") for name, df in lookups)
+    return first.unionByName(second)
+
+
 _DIFF_METRICS = ["missing_percentage", "unique_ratio", "entropy", "mean", "std", "median", "quality_score"]
 
 
@@ -1172,6 +1204,19 @@ def q_append_log(spark, sf_dir):
     return spark.read.parquet(path).select("conv_id", "turn", "role", F.col("batch").cast("int").alias("batch"))
 
 
+@check("sql_result", """SELECT 'o_orderkey,o_totalprice' AS columns, CAST(least(50, count(*)) AS BIGINT) AS shown, CAST(count(*) AS BIGINT) AS total_rows,
+  count(*) > 50 AS truncated, CAST(arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS BIGINT) AS first_key FROM orders""")
+def q_sql_result(spark, sf_dir):
+    """Q5: the shape of a guarded query's result: columns, a preview, the whole number of rows."""
+    from tabscope.operators.sql import read_only_sql
+    from tabscope.sources.catalog import load_catalog
+
+    r = read_only_sql(load_catalog(spark, sf_dir), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
+                      count_rows=True)
+    return local_frame(spark, [(",".join(r.columns), len(r.rows), r.total_rows, r.truncated, r.rows[0][0])],
+                       "columns string, shown long, total_rows long, truncated boolean, first_key long")
+
+
 @check("preview", """SELECT """ + ", ".join(
     f"substring(CAST({c} AS VARCHAR), 1, 60) AS {c}"
     for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
