@@ -39,7 +39,7 @@ from tabscope.functions.expressions import (
     status_band,
 )
 from tabscope.operators.frequent import frequent_values
-from tabscope.operators.quantiles import PARTITION_ROWS, exact_quantiles
+from tabscope.operators.quantiles import exact_quantiles
 from tabscope.plans import spine
 from tabscope.plans.moments import pair_moments, pearson
 from tabscope.session import ensure_checkpoint_dir, reuse
@@ -120,9 +120,8 @@ class TableProfile:
         by_name = {f["column"]: f for f in facts}
         live = [f for f in facts if f["cls"] == "numeric" and f["n_num"] > 0]
         if live:
-            distinct = sum(f["unique_count"] for f in live)
             q = exact_quantiles(spine.numeric_frequencies(self.freq), ["column"], "dval", [0.25, 0.5, 0.75],
-                                ["q25", "median", "q75"], weight="cnt", partitions=max(1, -(-distinct // PARTITION_ROWS)))
+                                ["q25", "median", "q75"], weight="cnt")
             for r in q.collect():
                 by_name[r["column"]].update(q25=r["q25"], median=r["median"], q75=r["q75"])
             small = []

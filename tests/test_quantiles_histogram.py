@@ -92,3 +92,48 @@ def test_exact_quantiles_empty_and_null_groups(spark, partitions):
     assert out == {"b": 2.0}
     empty = df.where("1 = 0")
     assert exact_quantiles(empty, ["k"], "v", [0.5], partitions=partitions).count() == 0
+
+
+def test_exact_quantiles_over_the_whole_range_of_doubles(spark):
+    """Magnitudes from the smallest double to the largest, signs, zeros, infinities, nulls, NaN and a null key."""
+    from tabscope.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(12)
+    wide = np.concatenate([
+        rng.normal(size=700) * 10.0 ** rng.integers(-300, 300, 700), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] * 3,
+        np.nextafter(1.0, 2.0) ** np.arange(200), 1.0 + np.arange(300) * 2.0**-52,  # neighbours that share every bit but the last
+    ])
+    inf = [1.0, 2.0, float("inf"), float("inf"), float("inf"), -float("inf"), -float("inf"), -float("inf"), 3.0]
+    rows = [("wide", float(v)) for v in wide] + [("inf", v) for v in inf] + [(None, 4.0), (None, 8.0), ("wide", None), ("wide", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = {r["g"]: list(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {"wide", "inf", None}
+    ordered = np.sort(wide)
+    for p, v in zip(probs, got["wide"]):
+        at = p * (len(ordered) - 1)
+        lo, hi = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert v == (lo if lo == hi else lo + (hi - lo) * (at - np.floor(at)))
+    assert got["inf"][0] == -float("inf") and got["inf"][3] == 2.0 and got["inf"][-1] == float("inf")
+    assert got[None] == pytest.approx([4.0, 4.4, 5.0, 6.0, 7.08, 8.0])
+
+
+def test_quantile_cells_keep_the_order_of_doubles(spark):
+    from pyspark.sql import functions as F
+
+    from tabscope.operators.quantiles import log_cell
+
+    rng = np.random.default_rng(13)
+    v = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-320, 308, 3000), [0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, np.inf, -np.inf]])
+    cells = [r[0] for r in spark.createDataFrame(pd.DataFrame({"v": np.sort(v)})).select(log_cell(F.col("v")), "v").orderBy("v").collect()]
+    assert cells == sorted(cells) and cells[0] == -33_000 and cells[-1] == 33_000 and max(cells[:-1]) < 33_000
+
+
+def test_exact_quantiles_without_a_broadcast(spark, monkeypatch):
+    from tabscope.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BROADCAST_INTERVALS", 0)
+    pdf, df = _frame(spark)
+    got = {r["g"]: r["q50"] for r in quantiles.exact_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == pytest.approx(pdf.groupby("g")["v"].median().to_dict(), rel=1e-12)
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
