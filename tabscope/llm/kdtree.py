@@ -51,7 +51,8 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, target_bytes: int | None = No
 
     Dimensions are the logarithm of the size, hashes of source and language,
     and the place of doc_id in its range, each in 65,536 cells. A node is split
-    along the dimension whose cells it spans most, at the weighted median of
+    along its widest dimension, widths taken as parts of what the whole table
+    spans in that dimension (ties in the order above), at the weighted median of
     (cell, doc_id): the left side gets its number of leaves' share of the bytes,
     so leaf sizes differ by about one document a level and a hot source or a
     large group of equal texts is split by doc_id. With ``target_bytes`` the
@@ -75,6 +76,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, target_bytes: int | None = No
     meta = meta.withColumn("id_dim", F.coalesce(F.floor((F.col("doc_id").cast("decimal(38,0)") - lo) * CELLS / (hi - lo + 1)), F.lit(0)).cast("long"))
     if target_bytes:
         n_shards = max(1, -(-(total or 0) // target_bytes))
+    whole = meta.agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMS]).first()
     node: Column = F.lit(0)
     leaves = {0: n_shards}  # node -> leaves below it
     first = {0: 0}  # node -> its first shard
@@ -82,7 +84,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, target_bytes: int | None = No
         placed = meta.withColumn("node", node)
         open_ = [k for k, x in leaves.items() if x > 1]
         spans = placed.where(F.col("node").isin(open_)).groupBy("node").agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMS]).collect()
-        widest = {r["node"]: max(DIMS, key=lambda d: (r[d], -DIMS.index(d))) for r in spans}  # noqa: B023
+        widest = {r["node"]: max(DIMS, key=lambda d: (r[d] / max(1, whole[d]), -DIMS.index(d))) for r in spans}  # noqa: B023
         cuts = _cut(placed, {k: (d, (leaves[k] // 2) / leaves[k]) for k, d in widest.items()}) if widest else {}
         nxt, start, goes = {}, {}, []
         for k, x in leaves.items():

@@ -107,6 +107,43 @@ def test_kd_shards_balance(docs):
     assert {r["shard"] for r in kdtree.kd_shards(docs, target_bytes=total // 3 + 1).collect()} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("shards", [4, 7, 16])
+def test_kd_shards_are_the_leaves_of_the_tree(docs, shards):
+    """Every row's shard and slot against the tree built in plain Python: widest dimension, weighted median, leaves."""
+    code = lambda v: zlib.crc32(("\x00" if v is None else v).encode()) // 65536
+    ids = [r[0] for r in rows() if r[0] is not None]
+    lo, hi = min(ids), max(ids)
+    points = []
+    for r in rows():
+        text = (r[1] or "").encode()
+        place = 0 if r[0] is None else (r[0] - lo) * 65536 // (hi - lo + 1)
+        points.append({"id": -(2**62) if r[0] is None else r[0], "size": len(text) + 1, "crc": zlib.crc32(text), "at": (min(int(np.log2(len(text) + 1) * 2048), 65535), code(r[3]), code(r[2]), place)})
+    span = lambda some, d: max(p["at"][d] for p in some) - min(p["at"][d] for p in some)
+    whole, shard_of, used = [max(1, span(points, d)) for d in range(4)], {}, set()
+
+    def split(some, leaves, first):
+        if leaves == 1 or not some:
+            for p in some:
+                shard_of[id(p)] = first
+            return
+        d = max(range(4), key=lambda d: (span(some, d) / whole[d], -d))
+        used.add(d)
+        order = sorted(some, key=lambda p: (p["at"][d], p["id"]))
+        need, upto = sum(p["size"] for p in some) * (leaves // 2 / leaves), 0
+        for p in order:
+            upto += p["size"]
+            if upto >= need:
+                cut = (p["at"][d], p["id"])
+                break
+        split([p for p in some if (p["at"][d], p["id"]) <= cut], leaves // 2, first)
+        split([p for p in some if (p["at"][d], p["id"]) > cut], leaves - leaves // 2, first + leaves // 2)
+
+    split(points, shards, 0)
+    assert shards < 16 or len(used) > 1
+    want = sorted((p["id"], p["size"], p["crc"], shard_of[id(p)]) for p in points)
+    assert sorted((-(2**62) if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in kdtree.kd_shards(docs, shards).collect()) == want
+
+
 def test_kd_shards_split_equal_texts(spark):
     same = spark.range(640).select(F.col("id").alias("doc_id"), F.lit("equal").alias("text"), F.lit("x").alias("lang"), F.lit("s").alias("source"))
     assert {r["count"] for r in kdtree.kd_shards(same, 16).groupBy("shard").count().collect()} == {40}
