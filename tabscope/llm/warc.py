@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shard_of, shards_for
+from .common import checkpoint, shard_of, shards_for, small_side
 
 VOLUME_BYTES = 8 << 20
 FANOUT, HEIGHT = 16, 5
@@ -27,22 +27,40 @@ def write_warc(pages: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES) ->
     """Writes ``pages`` (page_id, url, html) as gzip WARC volumes below ``path`` and returns it.
 
     The volume is a hash of page_id, so one site or a group of equal pages is
-    spread; its records lie in the order of page_id. Spark's text writer makes
-    the files: a record ends with the line break that the writer adds. Null
-    url or html count as empty, null page_id as the word null; repeated rows are
-    records each; an empty table writes no volume. Other columns are ignored.
+    spread; its records lie in the order of page_id. The records of a page_id (or
+    of none) that holds over half of ``volume_bytes`` are spread by a hash of the
+    record too, equal ones in chunks of copies, so no id fills a volume by itself.
+    Spark's text writer makes the files: a record ends with the line break that
+    the writer adds. Null url or html count as empty, null page_id as the word
+    null; repeated rows are records each; an empty table writes no volume. Other
+    columns are ignored.
     """
-    body, text = F.coalesce(F.col("html").cast("string"), F.lit("")), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ")
-    total = pages.agg(F.sum(F.octet_length(body) + F.octet_length(uri) + 200)).first()[0] or 0
-    n = shards_for(total, volume_bytes)
+    text = lambda c, empty: F.coalesce(F.col(c).cast("string"), F.lit(empty))
+    rows = pages.select(F.col("page_id").alias("id"), F.regexp_replace(text("url", ""), r"[\r\n]", " ").alias("uri"), text("html", "").alias("body"))
+    size = F.octet_length("body") + F.octet_length("uri") + 200
+    sizes = checkpoint(rows.groupBy("id").agg(F.sum(size).alias("bytes")).groupBy((F.col("bytes") > volume_bytes // 2).alias("hot"), F.when(F.col("bytes") > volume_bytes // 2, F.col("id")).alias("hot_id")).agg(F.sum("bytes").alias("bytes")))
+    n = shards_for(sizes.agg(F.sum("bytes")).first()[0] or 0, volume_bytes)
+    hot, key = sizes.where("hot").select("hot_id"), F.coalesce(F.col("id").cast("long"), F.lit(-1))
+    placed, spread = rows.withColumn("copies", F.lit(1).cast("long")), not hot.isEmpty()
+    if not spread:
+        placed = placed.withColumn("volume", shard_of(key, n))
+    else:
+        same, hot = F.col("id").eqNullSafe(F.col("hot_id")), small_side(hot)
+        cold = placed.join(hot, same, "left_anti").withColumn("volume", shard_of(key, n))
+        equal = rows.join(hot, same, "left_semi").groupBy("id", "uri", "body").agg(F.count("*").alias("n"))
+        chunk = F.greatest(F.floor(F.lit(volume_bytes // 8) / size), F.lit(1))  # copies that lie together
+        dealt = equal.withColumn("chunk", chunk).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("chunk")))))
+        copies = F.least(F.col("chunk"), F.col("n") - F.col("i") * F.col("chunk"))
+        placed = cold.unionByName(dealt.select("id", "uri", "body", copies.alias("copies"), F.pmod(F.xxhash64(key, "uri", "body", "i"), F.lit(n)).cast("int").alias("volume")))
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), text("page_id"), F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri,
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), text("id", "null"), F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.col("uri"),
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit("\r\n\r\n"),
     )
-    rows = pages.select("page_id", F.concat(head, body, F.lit("\r\n\r")).alias("value"), shard_of(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)), n).alias("volume"))
-    rows = rows.repartition(n, "volume").sortWithinPartitions("volume", "page_id", "value")
-    rows.select("volume", "value").write.partitionBy("volume").option("compression", "gzip").text(path)
+    lines = placed.select("id", F.concat(head, "body", F.lit("\r\n\r")).alias("value"), "volume", "copies")
+    lines = lines.repartition(n, "volume").sortWithinPartitions("volume", "id", "value")
+    if spread:
+        lines = lines.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    lines.select("volume", "value").write.partitionBy("volume").option("compression", "gzip").text(path)
     return path
 
 
