@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, local_components
+from .common import checkpoint, connected_components, local_components, ranges
 from .vectors import dimension, distances, k_means, prepared, sample, unit
 
-SAMPLE_ROWS = 4_096  # rows that fit the codebooks
+SAMPLE_ROWS = 4_096  # rows that fit the codebooks,
+CENTROID_ROWS, MOST_SAMPLE_ROWS = 32, 65_536  # or as many a centroid, up to this bound
+VISITS = 1 << 22  # cells that a slice of rows may visit at a time
 CELL_ROWS = 1_000  # wanted rows of a cell
 CHUNK_ROWS = 2_048  # rows of a cell compared in one piece
 
@@ -28,6 +30,9 @@ class Grid:
         u = unit(vectors)
         self.half = u.shape[1] // 2
         self.books = [k_means(h, k) for h in self.halves(u)]
+        self.gaps = [np.sqrt(distances(c, c)) for c in self.books]
+        for gap in self.gaps:
+            np.fill_diagonal(gap, np.inf)
 
     def halves(self, u: np.ndarray) -> list[np.ndarray]:
         return [u[:, : self.half], u[:, self.half :]]
@@ -41,29 +46,39 @@ class Grid:
 
         A row in the cell of centroid i is on the far side of every plane between
         i and another centroid, so the planes give a least distance for each
-        half. Cells are taken in the order of their summed centroid distances
-        while they can still hold a row within ``radius`` in a random direction,
-        of which only a part, normal with deviation radius / sqrt(dimensions),
-        points across the planes: ``target_recall`` says how many deviations
-        count. At 1, every direction counts. A pair is looked for once, from the
-        row whose home comes first in the grid.
+        half. Both halves' centroids are sorted by it; with each centroid of the first
+        half the second half's sequence is walked until the sum passes ``radius``
+        squared, so cells beyond it are never looked at. ``target_recall`` below 1
+        cuts the radius to that of a random direction, of which only a part, normal with
+        deviation radius / sqrt(dimensions), points across the planes. At 1, every
+        direction counts. A pair is looked for once, from the row whose home comes
+        first in the grid.
         """
         if target_recall < 1:
             radius *= min(1.0, NormalDist().inv_cdf((1 + target_recall) / 2) / math.sqrt(u.shape[1]))
         found = [distances(h, c) for h, c in zip(self.halves(u), self.books)]
         least = []
-        for d, c in zip(found, self.books):
-            gap = np.sqrt(distances(c, c))
-            np.fill_diagonal(gap, np.inf)
+        for d, gap in zip(found, self.gaps):
             low = np.zeros_like(d)
-            for k in range(len(c)):
+            for k in range(len(gap)):
                 np.maximum(low, (d - d[:, k : k + 1]) / (2 * np.maximum(gap[k], 1e-12)), out=low)
             least.append(low * low)
-        bound = least[0][:, :, None] + least[1][:, None, :] <= radius**2 + 1e-9
-        later = np.arange(bound[0].size).reshape(bound[0].shape) >= self.home(u)[:, None, None]
-        row, i, j = np.nonzero(bound & later)
-        order = np.lexsort((found[0][row, i] + found[1][row, j], row))
-        return row[order], (i * len(self.books[1]) + j)[order]
+        n, k = least[1].shape
+        turn = np.argsort(least[1], axis=1, kind="stable")
+        # One sorted array of all rows' sequences: least distances of unit vectors stay below 8.
+        base = 8.0 * np.arange(n)[:, None]
+        sequence = (base + np.take_along_axis(least[1], turn, axis=1)).ravel()
+        left = np.clip(radius**2 + 1e-9 - least[0], -1.0, 7.0)
+        steps = np.searchsorted(sequence, (base + left).ravel(), "right") - np.repeat(np.arange(n) * k, least[0].shape[1])
+        steps[left.ravel() < 0] = 0
+        first = np.repeat(np.arange(len(steps)), steps)
+        row, i = first // least[0].shape[1], first % least[0].shape[1]
+        j = turn[row, ranges(np.zeros(len(steps), np.int64), steps)]
+        cell = i * k + j
+        later = cell >= self.home(u)[row]
+        row, i, j, cell = row[later], i[later], j[later], cell[later]
+        order = np.lexsort((least[0][row, i] + least[1][row, j], row))
+        return row[order], cell[order]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 1.0) -> DataFrame:
@@ -72,8 +87,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     Rows link when their labels are equal and not null and the cosine, in
     double precision, is at least ``threshold``. Equal vectors of a label are
     counted first and stand for one. Each of these has a home cell in a product
-    grid of two codebooks (fitted on 4,096 rows, about 1,000 rows a cell) and
-    visits, nearest first, the cells that can hold a link, all of them at the
+    grid of two codebooks (fitted on 4,096 rows, or 32 a centroid up to 65,536; sqrt(n / 1,000)
+    centroids each, so about 1,000 rows a cell at every size) and visits, nearest first, the cells that can hold a link, all of them at the
     default ``target_recall`` of 1; less cuts the radius, trusting that links point
     in random directions. Rows of a cell are split into chunks of 2,048 by hash,
     for a cell may hold most rows, and every pair of chunks gives link counts and
@@ -101,15 +116,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     out = vectors.select("vec_id", "label")
     if not n:
         return out.select("vec_id", "label", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    k = max(4, min(256, math.ceil(math.sqrt(n / CELL_ROWS))))
-    grid = Grid(sample(copies, SAMPLE_ROWS), k)
+    k = max(4, math.ceil(math.sqrt(n / CELL_ROWS)))
+    grid = Grid(sample(copies, min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, CENTROID_ROWS * k))), k)
+    slice_rows = max(1, min(1024, VISITS // (k * k)))
     radius = math.sqrt(2 - 2 * threshold)
 
     def placed(visiting: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
+                for at in range(0, b.num_rows, slice_rows):
+                    part = b.slice(at, slice_rows)
                     u = unit(np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(part.num_rows, dim))
                     row, cell = grid.visits(u, radius, target_recall) if visiting else (np.arange(len(u)), grid.home(u))
                     take = pa.array(row)

@@ -90,6 +90,31 @@ def test_near_duplicates(vectors, rows, chunk, recall, monkeypatch):
         assert r["kept"] == (i is not None and component.get(i, i) == i)
 
 
+@pytest.mark.parametrize("k,threshold", [(4, 0.93), (9, 0.93), (9, 0.5), (7, 0.999)])
+def test_traversal_visits_exactly_the_cells_in_reach(k, threshold):
+    """The walk along the sorted halves against every cell's bound, worked out one by one."""
+    rng = np.random.default_rng(14)
+    u = multi_index.unit(rng.normal(size=(300, 12)) + 2 * rng.normal(size=(4, 12))[rng.integers(0, 4, 300)])
+    grid, radius = multi_index.Grid(u, k), np.sqrt(2 - 2 * threshold)
+    row, cell = grid.visits(u, radius, 1.0)
+    got = {}
+    for r, c in zip(row.tolist(), cell.tolist()):
+        got.setdefault(r, []).append(c)
+    home, wide = grid.home(u), len(grid.books[1])
+    for r in range(len(u)):
+        least = []
+        for half, book in zip(grid.halves(u[r : r + 1]), grid.books):
+            d = ((half - book) ** 2).sum(axis=1)
+            least.append([max([0.0, *((d[i] - d[m]) / (2 * np.linalg.norm(book[i] - book[m])) for m in range(len(book)) if m != i)]) ** 2 for i in range(len(book))])
+        sums = {i * wide + j: least[0][i] + least[1][j] for i in range(len(least[0])) for j in range(wide)}
+        sure = {c for c, s in sums.items() if s <= radius**2 and c >= home[r]}
+        maybe = {c for c, s in sums.items() if s <= radius**2 + 1e-8 and c >= home[r]}
+        mine = got.get(r, [])
+        assert len(mine) == len(set(mine)) and sure <= set(mine) <= maybe
+        walked = [sums[c] for c in mine]
+        assert all(a <= b + 1e-9 for a, b in zip(walked, walked[1:]))
+
+
 def test_near_duplicates_in_few_directions(spark):
     """Vectors that vary in 2 of 64 dimensions: links point straight across the cells."""
     rng = np.random.default_rng(11)
@@ -135,6 +160,27 @@ def test_warc_records_cover_their_volumes(spark, pages):
     assert sorted(bodies) == sorted(r["html"] or "" for r in pages.collect())
 
 
+def test_warc_spreads_a_hot_page_id(spark):
+    """A third of the rows without an id and a third equal in everything: no volume holds them all, no record is lost."""
+    rng = np.random.default_rng(15)
+    data = [(None, f"http://n/{i}", "n" * int(rng.integers(100, 700))) for i in range(400)] + [(7, "http://same", "s" * 400)] * 400
+    data += [(100 + i, f"http://own/{i}", "o" * 400) for i in range(400)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(4)
+    path = warc.write_warc(pages, shared_path(spark, "test-warc"), volume_bytes=40_000)
+    found = volumes(spark, path)
+    got = []
+    for held in found.values():
+        assert len(held) <= 2 * 40_000
+        for o, n in warc.records(held):
+            head, body = held[o : o + n].split(b"\r\n\r\n", 1)
+            page = warc.ID.search(held, o, o + n)[1].decode()
+            got.append((page, head.split(b"WARC-Target-URI: ")[1].split(b"\r\n")[0].decode(), body[:-4].decode()))
+    assert sorted(got) == sorted(("null" if i is None else str(i), u, h) for i, u, h in data)
+    assert {r["status"] for r in warc.audited(spark, path, path).collect()} == {"ok"}
+    again = warc.write_warc(pages.repartition(7), shared_path(spark, "test-warc"), volume_bytes=40_000)
+    assert volumes(spark, again) == found
+
+
 def test_audit_finds_planted_damage(spark, pages):
     first = warc.write_warc(pages, shared_path(spark, "test-warc"), volume_bytes=40_000)
 
