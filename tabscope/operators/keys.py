@@ -67,33 +67,55 @@ _ERROR, _MARGIN = 0.02, 0.2
 _LONG_TEXT = 64
 
 
-def _key_text(name: str):
-    """A value as text; long texts as their SHA-256."""
-    text = F.col(name).cast("string")
-    return F.when(F.length(text) > _LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+# Claims of uniqueness are first tried on one in so many hashes of keys; masks of column sets have so many bits a word.
+_SHARES, _BITS = 64, 62
 
 
-def _key_rows(cat, wanted: list[tuple[str, int, list]]) -> DataFrame:
-    """``(id, key)`` of every row for ``wanted`` (table, id, value columns), one scan a table; rows with a null part are left out."""
+def _key_part(fact: dict):
+    """A column's value as part of a key, in a type that all columns of its kind share; long texts as their SHA-256."""
+    c = F.col(f"`{fact['column']}`")
+    if fact["type"] == "text":
+        return F.when(F.length(c) > _LONG_TEXT, F.sha2(c, 256)).otherwise(c)
+    return c.cast("bigint") if fact["type"] == "whole" else c
+
+
+def _key_rows(cat, wanted: list[tuple[dict, list[dict]]]) -> DataFrame:
+    """The tags and parts (``k0``, ``k1``) of every row's key for ``wanted`` (tags by name, facts of the key's columns).
+
+    All keys have parts of the same types; one scan a table; rows with a null part are left out.
+    """
     by_table: dict[str, list] = {}
-    for table, number, columns in wanted:
-        parts = [_key_text(f"`{c}`") for c in columns]
-        key = parts[0] if len(parts) == 1 else F.when(
-            F.greatest(*[p.isNull() for p in parts]), None).otherwise(F.to_json(F.array(*parts)))
-        by_table.setdefault(table, []).append(F.struct(F.lit(number).alias("id"), key.alias("key")))
-    rows = [cat.loaders[t](cat.spark).select(F.inline(F.array(*s))).where("key IS NOT NULL") for t, s in by_table.items()]
+    for tags, own in wanted:
+        by_table.setdefault(own[0]["table"], []).append(F.struct(
+            *[F.lit(v).cast("bigint").alias(n) for n, v in tags.items()], *[_key_part(f).alias(f"k{i}") for i, f in enumerate(own)]))
+    rows = [cat.loaders[t](cat.spark).select(F.inline(F.array(*s))) for t, s in by_table.items()]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out
+    return out.dropna(subset=[f"k{i}" for i in range(len(wanted[0][1]))])
+
+
+def _repeated(cat, wanted: dict[int, list[dict]], shares: int) -> set[int]:
+    """Ids of ``wanted`` (facts of the key's columns by id) with a key that occurs twice, among one in ``shares`` of all keys by hash."""
+    by_types: dict[tuple, list] = {}
+    for number, own in wanted.items():
+        by_types.setdefault(tuple(f["type"] for f in own), []).append(({"id": number}, own))
+    found = None
+    for types, some in by_types.items():
+        parts = [f"k{i}" for i in range(len(types))]
+        rows = _key_rows(cat, some)
+        if shares > 1:
+            rows = rows.where(F.pmod(F.xxhash64(*parts), F.lit(shares)) == 0)
+        twice = rows.groupBy("id", *parts).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        found = twice if found is None else found.unionByName(twice)
+    return {r["id"] for r in found.distinct().collect()} if found is not None else set()
 
 
-def _unique(cat, wanted: list[tuple[str, int, list]]) -> set[int]:
-    """Ids of ``wanted`` whose keys occur once each (nulls are ruled out before)."""
-    if not wanted:
-        return set()
-    counts = _key_rows(cat, wanted).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
-    return {r["id"] for r in counts.groupBy("id").agg(F.max("n").alias("n")).where("n = 1").collect()}
+def _undisproved(cat, wanted: dict[int, list[dict]]) -> dict[int, list[dict]]:
+    """Those of ``wanted`` that may be unique: a repeated key among the rows of one hash share disproves a claim,
+    and only claims without one need be counted over all keys."""
+    disproved = _repeated(cat, wanted, _SHARES)
+    return {i: own for i, own in wanted.items() if i not in disproved}
 
 
 def _column_facts(cat) -> list[dict]:
@@ -130,34 +152,36 @@ def find_keys(cat) -> DataFrame:
 
     Whole numbers, texts, dates and times take part. One scan a table takes counts,
     ranges and sketches; ranges and estimates ten standard errors off rule most columns out (a
-    claim as far off as that would be missed). What is left is counted exactly: values once a task
-    and column, then the set of columns that hold each value, and how often each set
-    occurs. Empty tables have no keys. Only facts of columns and pairs of columns reach the driver.
+    claim as far off as that would be missed). What is left is counted exactly, in the columns' own types:
+    how often each key occurs; which columns hold each value, as a mask of bits that tasks merge before
+    they shuffle; and how often each mask occurs. Empty tables have no keys. Only facts of columns and pairs of columns reach the driver.
     """
     facts = _column_facts(cat)
     full = [f for f in facts if f["rows"] and f["count"] == f["rows"]]
     likely = [f for f in full if f["about"] >= (1 - _MARGIN) * f["rows"]
               and (f["type"] != "whole" or f["high"] - f["low"] + 1 >= f["rows"])]
-    single = _unique(cat, [(f["table"], f["id"], [f["column"]]) for f in likely])
+    left = _undisproved(cat, {f["id"]: [f] for f in likely})
+    single = set(left) - _repeated(cat, left, 1)
     keyed = {f["table"] for f in facts if f["id"] in single}
 
     pairs = []
     for table in {f["table"] for f in full} - keyed:
         own = [f for f in full if f["table"] == table]
-        fit = [(a["column"], b["column"]) for i, a in enumerate(own) for b in own[i + 1:]
+        fit = [(a, b) for i, a in enumerate(own) for b in own[i + 1:]
                if a["about"] * b["about"] >= (1 - _MARGIN) ** 2 * a["rows"]]
-        if fit:
-            # Sketches of the pairs, a few dozen a scan: each keeps some kilobytes in a task.
-            for at in range(0, len(fit), 64):
+        for at in range(0, len(fit), 64):
+            some = list(_undisproved(cat, dict(enumerate(fit[at:at + 64]))).values())
+            if some:
+                # Sketches of the pairs, a few dozen a scan: each keeps some kilobytes in a task.
                 about = cat.loaders[table](cat.spark).agg(*[
-                    F.approx_count_distinct(F.xxhash64(F.col(f"`{a}`"), F.col(f"`{b}`")), _ERROR).alias(f"a{i}")
-                    for i, (a, b) in enumerate(fit[at:at + 64])]).first()
-                pairs += [(table, list(p)) for p, n in zip(fit[at:at + 64], about) if n >= (1 - _MARGIN) * own[0]["rows"]]
-    double = _unique(cat, [(t, i, p) for i, (t, p) in enumerate(pairs)])
+                    F.approx_count_distinct(F.xxhash64(*[F.col(f"`{f['column']}`") for f in p]), _ERROR).alias(f"a{i}")
+                    for i, p in enumerate(some)]).first()
+                pairs += [p for p, n in zip(some, about) if n >= (1 - _MARGIN) * own[0]["rows"]]
+    double = set(range(len(pairs))) - _repeated(cat, dict(enumerate(pairs)), 1)
 
     out = [(f["table"], "unique", [f["column"]], None, None, f["rows"], None) for f in facts if f["id"] in single]
-    rows = {f["table"]: f["rows"] for f in facts}
-    out += [(t, "unique", p, None, None, rows[t], None) for i, (t, p) in enumerate(pairs) if i in double]
+    out += [(a["table"], "unique", [a["column"], b["column"]], None, None, a["rows"], None)
+            for i, (a, b) in enumerate(pairs) if i in double]
     by_id = {f["id"]: f for f in facts}
     links = [(c["id"], p) for p in sorted(single) for c in facts
              if c["id"] != p and c["count"] and c["type"] == by_id[p]["type"] and by_id[p]["low"] <= c["low"]
@@ -171,17 +195,20 @@ def find_keys(cat) -> DataFrame:
 
 def _included(cat, by_id: dict, links: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """``(child, parent, distinct values)`` of those ``links`` where every value of the child is one of the parent's."""
-    if not links:
-        return []
-    ids = sorted({i for link in links for i in link})
-    kinds = sorted({by_id[i]["type"] for i in ids})
-    kind_of = F.element_at(F.array(*[F.lit(kinds.index(f["type"]) if f["type"] in kinds else -1) for _, f in sorted(by_id.items())]),
-                           F.col("id") + 1)
-    values = _key_rows(cat, [(by_id[i]["table"], i, [by_id[i]["column"]]) for i in ids]).distinct()
-    holders = values.groupBy(kind_of.alias("kind"), "key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    sets = holders.groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
-    wanted = local_frame(cat.spark, links, "child int, parent int")
-    each = sets.select("ids", "n", F.explode("ids").alias("child")).join(F.broadcast(wanted), "child")
-    sums = each.groupBy("child", "parent").agg(
-        F.sum("n").alias("values"), F.sum(F.when(F.array_contains("ids", F.col("parent")), F.col("n")).otherwise(0)).alias("held"))
-    return [tuple(r) for r in sums.where("values = held").select("child", "parent", "values").collect()]
+    found = None
+    for kind in sorted({by_id[c]["type"] for c, _ in links}):
+        own = [link for link in links if by_id[link[0]]["type"] == kind]
+        # The n-th column is one bit of one word.
+        place = {i: (f"w{n // _BITS}", 1 << n % _BITS) for n, i in enumerate(sorted({i for link in own for i in link}))}
+        words = sorted({w for w, _ in place.values()})
+        values = _key_rows(cat, [({w: bit if w == word else 0 for w in words}, [by_id[i]]) for i, (word, bit) in place.items()])
+        holders = values.groupBy("k0").agg(*[F.bit_or(w).alias(w) for w in words])
+        ids = F.array_compact(F.array(*[F.when(F.col(w).bitwiseAND(F.lit(bit)) != 0, F.lit(i)) for i, (w, bit) in place.items()]))
+        sets = holders.groupBy(*words).agg(F.count(F.lit(1)).alias("n")).select(ids.alias("ids"), "n")
+        wanted = local_frame(cat.spark, own, "child int, parent int")
+        each = sets.select("ids", "n", F.explode("ids").alias("child")).join(F.broadcast(wanted), "child")
+        sums = each.groupBy("child", "parent").agg(
+            F.sum("n").alias("values"), F.sum(F.when(F.array_contains("ids", F.col("parent")), F.col("n")).otherwise(0)).alias("held"))
+        held = sums.where("values = held").select("child", "parent", "values")
+        found = held if found is None else found.unionByName(held)
+    return [tuple(r) for r in found.collect()] if found is not None else []

@@ -71,3 +71,40 @@ def test_no_tables_and_no_fitting_columns(spark):
 
     assert find_keys(Catalog(spark)).collect() == []
     assert find_keys(Catalog(spark).register("t", spark.sql("SELECT 1.5D AS x"))).collect() == []
+
+
+def test_keys_are_grouped_as_typed_values_and_disproved_pairs_are_not_counted_whole(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tabscope.operators import keys
+    from tabscope.sources.catalog import Catalog
+
+    # Of 6,000 rows each pair (a, b) comes twice, so one hash share holds such pairs; (a, c) comes once.
+    twice = spark.range(6000).selectExpr("id % 60 AS a", "id % 3000 DIV 60 AS b", "id DIV 60 AS c")
+    # One pair comes twice, and its hash is outside the first share.
+    once = spark.range(5000).selectExpr("id DIV 50 AS d", "id % 50 AS e")
+    spare = once.where(F.pmod(F.xxhash64("d", "e"), F.lit(64)) != 0).limit(1)
+    cat = Catalog(spark).register("twice", twice).register("nearly", once.unionByName(spare))
+    grouped, counted = [], []
+    rows, repeated = keys._key_rows, getattr(keys, "_repeated", None)
+    monkeypatch.setattr(keys, "_key_rows", lambda *a: grouped.append(rows(*a)) or grouped[-1])
+    monkeypatch.setattr(keys, "_repeated", lambda c, wanted, shares: counted.append(
+        (shares, sorted("".join(f["column"] for f in own) for own in wanted.values()))) or repeated(c, wanted, shares), raising=False)
+    got = {(r["table"], r["kind"], tuple(r["columns"])) for r in keys.find_keys(cat).collect()}
+    assert got == {("twice", "unique", ("a", "c"))}
+    assert {t for df in grouped for _, t in df.dtypes} == {"bigint"}
+    assert sorted(p for shares, pairs in counted if shares == 1 for p in pairs) == ["ac", "de"]
+
+
+def test_inclusions_of_more_columns_than_bits_of_a_word(spark):
+    from pyspark.sql import functions as F
+
+    from tabscope.operators.keys import find_keys
+    from tabscope.sources.catalog import Catalog
+
+    # Columns k0 to k69 hold k % 7 + 1 of ten ids and a null; the last column holds a number that is no id.
+    wide = spark.range(8).select(*[F.when(F.col("id") > 0, F.col("id") % (k % 7 + 1)).alias(f"k{k}") for k in range(70)],
+                                 F.when(F.col("id") == 3, 9).otherwise(F.col("id") % 2).alias("off"))
+    cat = Catalog(spark).register("wide", wide).register("ids", spark.sql("SELECT explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8, 11)) AS id"))
+    got = {tuple(r["columns"]) + (r["distinct_values"], r["referred_values"]) for r in find_keys(cat).where("kind = 'inclusion'").collect()}
+    assert got == {(f"k{k}", k % 7 + 1, 10) for k in range(70)}
