@@ -8,19 +8,22 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, connected_components, local_components, ranges
+from .common import checkpoint, connected_components, ranges
+from .near_pairs import FOUND, coded, compared, filter_basis, packed, record, unpacked
 from .vectors import dimension, distances, k_means, prepared, sample, unit
 
 SAMPLE_ROWS = 4_096  # rows that fit the codebooks,
 CENTROID_ROWS, MOST_SAMPLE_ROWS = 32, 65_536  # or as many a centroid, up to this bound
 VISITS = 1 << 22  # cells that a slice of rows may visit at a time
-CELL_ROWS = 1_000  # wanted rows of a cell
-CHUNK_ROWS = 2_048  # rows of a cell compared in one piece
+CELL_ROWS = 1 << 18  # wanted rows of a cell, of all labels
+CHUNK_ROWS, LEAST_CHUNK_ROWS = 1 << 19, 1 << 14  # rows of a label compared in one piece: a quarter of the largest label's between these,
+CHUNK_BYTES = 96 << 20  # and what their codes and filters may take
+CALL_CHUNKS = 2  # visiting chunks to a call
 
 
 class Grid:
@@ -81,18 +84,35 @@ class Grid:
         return row[order], cell[order]
 
 
+def cut(sizes: np.ndarray, chunk_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, chunks) of each cell of a label, given its rows: neighbours share a chunk, a large cell has several of its own."""
+    first, span = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32)
+    chunk, used = 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if used and used + n > chunk_rows:
+            chunk, used = chunk + 1, 0
+        first[c], span[c] = chunk, max(1, -(-n // chunk_rows))
+        if span[c] > 1:
+            chunk, used = chunk + int(span[c]), 0
+        else:
+            used += n
+    return first, span
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 1.0) -> DataFrame:
     """(vec_id, label, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and the cosine, in
     double precision, is at least ``threshold``. Equal vectors of a label are
     counted first and stand for one. Each of these has a home cell in a product
-    grid of two codebooks (fitted on 4,096 rows, or 32 a centroid up to 65,536; sqrt(n / 1,000)
-    centroids each, so about 1,000 rows a cell at every size) and visits, nearest first, the cells that can hold a link, all of them at the
+    grid of two codebooks (fitted on 4,096 rows, or 32 a centroid up to 65,536; sqrt(n / 262,144)
+    centroids each). The cells of a label, in grid order, make up its chunks, of a bounded number of
+    rows; a label that fits has one. A row visits, nearest first, the cells that can hold a link, all of them at the
     default ``target_recall`` of 1; less cuts the radius, trusting that links point
-    in random directions. Rows of a cell are split into chunks of 2,048 by hash,
-    for a cell may hold most rows, and every pair of chunks gives link counts and
-    a spanning forest, never all pairs.
+    in random directions. It is sent once to each later chunk with such a cell, as one byte a
+    component with an error bound. A chunk compares its rows and its visitors (``near_pairs``) and
+    returns link counts and a spanning forest, never all pairs. Rows of pairs so close to the
+    threshold that the bytes can't tell are sent again, with their vectors, to the same chunks.
 
     n_links counts other rows; component_id is the smallest vec_id reachable,
     the row's own without links; kept marks that row. Rows with a null label or
@@ -103,77 +123,100 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "embedding")
     dim = dimension(rows, "embedding")
+    kind = vectors.schema["embedding"].dataType
+    dtype = np.dtype(np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = pa.array([hashlib.blake2b(v, digest_size=16).digest() for v in b.column("vec").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, keys], ["id", "label", "vec", "key"])
 
-    usable = prepared(rows.where("label IS NOT NULL"), dim).mapInArrow(digested, "id long, label long, vec binary, key binary")
-    usable = checkpoint(usable)
-    copies = checkpoint(usable.groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.any_value("vec").alias("vec")))
-    n = copies.count()
+    usable = prepared(rows.where("label IS NOT NULL"), dim, dtype).mapInArrow(digested, "id long, label long, vec binary, key binary")
+    copies = usable.groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.any_value("vec").alias("vec"))
+    copies = checkpoint(copies.withColumn("row", F.monotonically_increasing_id()))
+    counts = checkpoint(copies.groupBy("label").count())
+    n, largest = counts.agg(F.sum("count"), F.max("count")).first()
     out = vectors.select("vec_id", "label")
     if not n:
         return out.select("vec_id", "label", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     k = max(4, math.ceil(math.sqrt(n / CELL_ROWS)))
-    grid = Grid(sample(copies, min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, CENTROID_ROWS * k))), k)
-    slice_rows = max(1, min(1024, VISITS // (k * k)))
+    seen = sample(copies, min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, CENTROID_ROWS * k)), dtype)
+    grid, basis = Grid(seen, k), filter_basis(unit(seen))
+    cells = k * k
+    slice_rows = max(1, min(1024, VISITS // cells))
     radius = math.sqrt(2 - 2 * threshold)
+    chunk_rows = min(CHUNK_ROWS, max(LEAST_CHUNK_ROWS, largest // 4), max(1, CHUNK_BYTES // (dim + 128)))
+    many = counts.where(F.col("count") > chunk_rows).select("label")
+    vectors_of = lambda b: unpacked(b.column("vec"), dtype, dim).reshape(b.num_rows, dim).astype(np.float64)
 
-    def placed(visiting: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, slice_rows):
-                    part = b.slice(at, slice_rows)
-                    u = unit(np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(part.num_rows, dim))
-                    row, cell = grid.visits(u, radius, target_recall) if visiting else (np.arange(len(u)), grid.home(u))
-                    take = pa.array(row)
-                    vec = pa.array([v.tobytes() for v in u], pa.binary()).take(take)
-                    away = pa.array(cell != grid.home(u)[row])
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("label").take(take), pa.array(cell, pa.int32()), part.column("id").take(take), part.column("m").take(take), away, vec],
-                        ["label", "cell", "id", "m", "away", "vec"],
-                    )
-
-        return copies.mapInArrow(run, "label long, cell int, id long, m long, away boolean, vec binary")
-
-    members, visitors = placed(False), placed(True)
-    chunks = lambda c: F.ceil(F.col(c) / CHUNK_ROWS).cast("int")
-    sizes = checkpoint(members.groupBy("label", "cell").count().select("label", "cell", chunks("count").alias("chunks")))
-    calls = checkpoint(visitors.groupBy("label", "cell").count().join(sizes, ["label", "cell"]).select("label", "cell", "chunks", chunks("count").alias("calls")))
-    spread = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = members.join(calls, ["label", "cell"]).withColumn("chunk", spread("chunks")).withColumn("call", every("calls"))
-    right = visitors.join(calls, ["label", "cell"]).withColumn("call", spread("calls")).withColumn("chunk", every("chunks"))
-    left, right = (x.select("label", "cell", "chunk", "call", "id", "m", "away", "vec") for x in (left, right))
-
-    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "other": [], "links": []})
-        if not len(a) or not len(b):
-            return empty
-        x, y = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), dim) for t in (a, b))
-        ai, bi, am = a["id"].to_numpy(), b["id"].to_numpy(), a["m"].to_numpy()
-        near = (y @ x.T >= threshold) & (bi[:, None] != ai[None, :])
-        links = near @ am  # of visitors; members count visitors from other cells, which they don't visit
-        away = b["away"].to_numpy()
-        seen = (b["m"].to_numpy() * away) @ near
-        ids = np.unique(np.concatenate([ai, bi]))
-        i, j = np.nonzero(near)
-        low = local_components(len(ids), np.searchsorted(ids, bi)[i], np.searchsorted(ids, ai)[j])
-        tied = np.flatnonzero(low != np.arange(len(ids)))
-        some, back = links > 0, seen > 0
-        return pd.DataFrame({
-            "id": np.concatenate([bi[some], ai[back], ids[tied]]), "other": np.concatenate([bi[some], ai[back], ids[low[tied]]]),
-            "links": np.concatenate([links[some], seen[back], np.zeros(len(tied), np.int64)]),
-        })
-
-    by = ["label", "cell", "chunk", "call"]
-    found = checkpoint(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "id long, other long, links long"))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, slice_rows):
+                part = b.slice(at, slice_rows)
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(grid.home(unit(vectors_of(part))), pa.int32())], ["label", "cell"])
+
+    sizes: dict[int, np.ndarray] = {}
+    for r in copies.select("label", "vec").join(F.broadcast(many), "label", "leftsemi").select("label", "vec").mapInArrow(homes, "label long, cell int").groupBy("label", "cell").count().collect():
+        sizes.setdefault(r["label"], np.zeros(cells, np.int64))[r["cell"]] = r["count"]
+    large = np.array(sorted(sizes), np.int64)
+    plan = [cut(sizes[label], chunk_rows) for label in large.tolist()]
+    first, span = (np.array([p[x] for p in plan], np.int32).reshape(len(plan), cells) for x in (0, 1))
+    wide = int((first + span).max()) if len(plan) else 1
+
+    def spread(row: np.ndarray, over: np.ndarray) -> np.ndarray:
+        return ((row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % over
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, slice_rows):
+                part = b.slice(at, slice_rows)
+                x, rows = vectors_of(part), np.zeros(part.num_rows, record(dim))
+                rows["code"], rows["scale"], rows["err"] = coded(x)
+                for c in ("row", "id", "m"):
+                    rows[c] = part.column(c).to_numpy()
+                label = part.column("label").to_numpy()
+                own, guest, there = np.zeros(len(x), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if len(large):
+                    of = np.minimum(np.searchsorted(large, label), len(large) - 1)
+                    some = np.flatnonzero(large[of] == label)
+                    of, u = of[some], unit(x[some])
+                    home = grid.home(u)
+                    own[some] = first[of, home] + spread(rows["row"][some], span[of, home])
+                    row, cell = grid.visits(u, radius, target_recall)
+                    reach, width = np.zeros((len(some), wide), bool), span[of[row], cell]
+                    for s in range(int(width.max(initial=0))):
+                        row, cell, width = row[width > s], cell[width > s], width[width > s]
+                        reach[row, first[of[row], cell] + s] = True
+                    guest, there = np.nonzero(reach & (np.arange(wide) > own[some, None]))
+                    guest = some[guest]
+                calls = lambda chunk: np.maximum(1, -(-chunk // CALL_CHUNKS))
+                mine = np.repeat(np.arange(len(x)), calls(own))
+                who = np.concatenate([mine, guest])
+                chunk = np.concatenate([own[mine], there])
+                call = np.concatenate([ranges(np.zeros(len(x), np.int64), calls(own)), spread(rows["row"][guest], calls(there))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(label[who]), pa.array(chunk, pa.int32()), pa.array(call, pa.int32()), pa.array(np.arange(len(who)) >= len(mine)), packed(rows[who])],
+                    ["label", "chunk", "call", "visitor", "data"],
+                )
+
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * int(sum(f.max() + 1 for f in first)), -(-3 * n // chunk_rows))
+
+    def met(placed: DataFrame, vec: np.dtype | None) -> DataFrame:
+        by = ["label", "chunk", "call"]
+        return checkpoint(
+            placed.repartition(parts, *by).sortWithinPartitions(*by, "visitor").mapInArrow(lambda batches: compared(batches, threshold, basis, vec), FOUND)
+        )
+
+    found = met(copies.mapInArrow(sent, "label long, chunk int, call int, visitor boolean, data binary"), None)
+    close = found.where("row IS NOT NULL").select("row", "label", "chunk", "call", "visitor")
+    if not close.isEmpty():
+        again = met(close.join(copies.select("row", "id", "m", "vec"), "row"), dtype)
+        found = found.where("row IS NULL").union(again)
+    counted = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     tied = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     stats = (
-        copies.drop("vec").join(counts, "id", "left").join(tied, F.col("id") == F.col("node"), "left")
+        copies.drop("vec").join(counted, "id", "left").join(tied, F.col("id") == F.col("node"), "left")
+        .where("m > 1 OR links IS NOT NULL OR component IS NOT NULL")  # the others keep their own id and have no links
         .select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     linked = usable.select("id", "label", "key").join(checkpoint(stats), ["label", "key"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

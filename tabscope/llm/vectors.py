@@ -29,8 +29,8 @@ def dimension(df: DataFrame, column: str) -> int:
     return got["d"] if got else 0
 
 
-def prepared(df: DataFrame, dim: int) -> DataFrame:
-    """(id, label, vec) with the usable vectors as little-endian doubles; ``df`` has id, label, embedding.
+def prepared(df: DataFrame, dim: int, dtype: type = np.float64) -> DataFrame:
+    """(id, label, vec) with the usable vectors as little-endian doubles, or ``dtype``; ``df`` has id, label, embedding.
 
     Rows with a null id, or a vector that is null, zero, of another length, or
     holds null or non-finite components are left out.
@@ -41,16 +41,16 @@ def prepared(df: DataFrame, dim: int) -> DataFrame:
             at, x = matrix(b.column("embedding"), dim)
             keep = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(keep), b.column("label").take(keep), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "label", "vec"]
+                [b.column("id").take(keep), b.column("label").take(keep), pa.array([v.tobytes() for v in x.astype(dtype)], pa.binary())], ["id", "label", "vec"]
             )
 
     return df.where("id IS NOT NULL").mapInArrow(rows, "id long, label long, vec binary")
 
 
-def sample(vectors: DataFrame, rows: int) -> np.ndarray:
+def sample(vectors: DataFrame, rows: int, dtype: type = np.float64) -> np.ndarray:
     """At most ``rows`` vectors of (id, vec), those with the smallest hash of id, on the driver."""
     got = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(rows).collect()
-    return np.stack([np.frombuffer(r["vec"]) for r in got]) if got else np.zeros((0, 0))
+    return np.stack([np.frombuffer(r["vec"], dtype) for r in got]).astype(np.float64) if got else np.zeros((0, 0))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
