@@ -21,9 +21,9 @@ SAMPLE_ROWS = 4_096  # rows that fit the codebooks,
 CENTROID_ROWS, MOST_SAMPLE_ROWS = 32, 65_536  # or as many a centroid, up to this bound
 VISITS = 1 << 22  # cells that a slice of rows may visit at a time
 CELL_ROWS = 1 << 18  # wanted rows of a cell, of all labels
-CHUNK_ROWS, LEAST_CHUNK_ROWS = 1 << 19, 1 << 14  # rows of a label compared in one piece: a quarter of the largest label's between these,
-CHUNK_BYTES = 96 << 20  # and what their codes and filters may take
-CALL_CHUNKS = 2  # visiting chunks to a call
+CHUNK_ROWS, LEAST_CHUNK_ROWS = 3 << 17, 1 << 14  # rows of a label compared in one piece: a quarter of the largest label's between these,
+CHUNK_BYTES = 72 << 20  # and what their codes and filters may take
+CALL_CHUNKS = 4  # visiting chunks to a call
 
 
 class Grid:
@@ -84,19 +84,13 @@ class Grid:
         return row[order], cell[order]
 
 
-def cut(sizes: np.ndarray, chunk_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first chunk, chunks) of each cell of a label, given its rows: neighbours share a chunk, a large cell has several of its own."""
-    first, span = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32)
-    chunk, used = 0, 0
-    for c, n in enumerate(sizes.tolist()):
-        if used and used + n > chunk_rows:
-            chunk, used = chunk + 1, 0
-        first[c], span[c] = chunk, max(1, -(-n // chunk_rows))
-        if span[c] > 1:
-            chunk, used = chunk + int(span[c]), 0
-        else:
-            used += n
-    return first, span
+def cut(sizes: np.ndarray, chunk_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(rows before, first chunk, chunks) of each cell of a label, and the rows of a chunk: chunks are equal parts of the cells in order."""
+    n = int(sizes.sum())
+    rows = -(-n // -(-n // chunk_rows))
+    before = np.cumsum(sizes) - sizes
+    first = np.minimum(before, n - 1) // rows
+    return before, first, np.maximum(before + sizes - 1, before).clip(max=n - 1) // rows - first + 1, rows
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall: float = 1.0) -> DataFrame:
@@ -106,8 +100,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
     double precision, is at least ``threshold``. Equal vectors of a label are
     counted first and stand for one. Each of these has a home cell in a product
     grid of two codebooks (fitted on 4,096 rows, or 32 a centroid up to 65,536; sqrt(n / 262,144)
-    centroids each). The cells of a label, in grid order, make up its chunks, of a bounded number of
-    rows; a label that fits has one. A row visits, nearest first, the cells that can hold a link, all of them at the
+    centroids each). The cells of a label, in grid order, are cut into equal chunks of a bounded number of
+    rows, inside a cell by hash; a label that fits has one. A row visits, nearest first, the cells that can hold a link, all of them at the
     default ``target_recall`` of 1; less cuts the radius, trusting that links point
     in random directions. It is sent once to each later chunk with such a cell, as one byte a
     component with an error bound. A chunk compares its rows and its visitors (``near_pairs``) and
@@ -160,7 +154,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
         sizes.setdefault(r["label"], np.zeros(cells, np.int64))[r["cell"]] = r["count"]
     large = np.array(sorted(sizes), np.int64)
     plan = [cut(sizes[label], chunk_rows) for label in large.tolist()]
-    first, span = (np.array([p[x] for p in plan], np.int32).reshape(len(plan), cells) for x in (0, 1))
+    before, first, span = (np.array([p[x] for p in plan], np.int64).reshape(len(plan), cells) for x in range(3))
+    held, each = np.array([sizes[label] for label in large.tolist()], np.int64).reshape(len(plan), cells), np.array([p[3] for p in plan], np.int64)
     wide = int((first + span).max()) if len(plan) else 1
 
     def spread(row: np.ndarray, over: np.ndarray) -> np.ndarray:
@@ -181,7 +176,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target_recall:
                     some = np.flatnonzero(large[of] == label)
                     of, u = of[some], unit(x[some])
                     home = grid.home(u)
-                    own[some] = first[of, home] + spread(rows["row"][some], span[of, home])
+                    own[some] = np.minimum(before[of, home] + spread(rows["row"][some], np.maximum(1, held[of, home])), held[of].sum(axis=1) - 1) // each[of]
                     row, cell = grid.visits(u, radius, target_recall)
                     reach, width = np.zeros((len(some), wide), bool), span[of[row], cell]
                     for s in range(int(width.max(initial=0))):

@@ -91,8 +91,9 @@ def test_codes_keep_their_bound():
 
 
 def test_cells_make_up_chunks():
-    first, span = multi_index.cut(np.array([3, 4, 0, 5, 25, 1, 9, 2]), 10)
-    assert first.tolist() == [0, 0, 0, 1, 2, 5, 5, 6] and span.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+    before, first, span, rows = multi_index.cut(np.array([0, 3, 4, 0, 5, 25, 1, 9, 2, 0]), 10)
+    assert rows == 10 and before.tolist() == [0, 0, 3, 7, 7, 12, 37, 38, 47, 49]
+    assert first.tolist() == [0, 0, 0, 0, 0, 1, 3, 3, 4, 4] and span.tolist() == [1, 1, 1, 1, 2, 3, 1, 2, 1, 1]
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
